@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import jaccard, language, quality
+from quantloom.llm import jaccard, language, quality, substring
 
 
 def queries() -> dict:
     return {
         "op3_quality": quality.op3_quality,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
         "op10_language": language.op10_language,
         "pipeline": corpus_pipeline.run,
