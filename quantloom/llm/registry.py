@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import jaccard, language, quality, substring
+from quantloom.llm import chat, jaccard, language, packing, quality, substring
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_language": language.op10_language,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_formatting": chat.ORACLE}
