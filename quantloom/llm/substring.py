@@ -18,7 +18,6 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,12 +36,6 @@ WINDOW, BLOCK = 35, 18
 PART_BYTES, MOST_PARTS, FLUSH = 16 << 20, 1 << 16, 1 << 21
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts_for(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return int(min(MOST_PARTS, 1 + size // PART_BYTES))
@@ -172,21 +165,35 @@ def _candidates(parts: int, window: int, block: int):
     return run
 
 
-def _repeated_windows(t: pa.Table) -> pa.Table:
-    """One hash partition: of each text, the windows whose hash is found at two places or more."""
-    h = joined(t, "hashes", np.uint64)
-    order = np.argsort(h)
-    s = h[order]
-    twin = np.zeros(len(s), bool)
-    equal = s[1:] == s[:-1]
-    twin[1:] |= equal
-    twin[:-1] |= equal
-    hit = np.sort(order[twin])
-    ids, marks, starts = joined(t, "ids", np.int64)[hit], joined(t, "marks", np.int64)[hit], joined(t, "starts", np.uint32)[hit]
+FOUND_SCHEMA = "bucket int, ids binary, marks binary, starts binary"
+
+
+def _repeated_windows(buckets: int):
+    """One hash partition: the windows whose hash is found at two places or more, packed by buckets of texts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        h = joined(t, "hashes", np.uint64)
+        order = np.argsort(h)
+        s = h[order]
+        twin = np.zeros(len(s), bool)
+        equal = s[1:] == s[:-1]
+        twin[1:] |= equal
+        twin[:-1] |= equal
+        hit = np.sort(order[twin])
+        ids, marks, starts = joined(t, "ids", np.int64)[hit], joined(t, "marks", np.int64)[hit], joined(t, "starts", np.uint32)[hit]
+        order, bucket, edge = dealt(W.mix(ids.view(np.uint64) ^ W.mix(marks.view(np.uint64))), buckets)
+        return pa.table({"bucket": bucket, "ids": slices(ids[order], edge), "marks": slices(marks[order], edge), "starts": slices(starts[order], edge)})
+
+    return run
+
+
+def _by_text(t: pa.Table) -> pa.Table:
+    """One bucket of texts: of each text, where its repeated windows start."""
+    ids, marks, starts = joined(t, "ids", np.int64), joined(t, "marks", np.int64), joined(t, "starts", np.uint32)
     order = np.lexsort((starts, marks, ids))
     ids, marks, starts = ids[order], marks[order], starts[order]
-    edge = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]), [True]))) if len(ids) else np.zeros(1, np.int64)
-    return pa.table({"doc_id": ids[edge[:-1]] if len(ids) else ids, "mark": marks[edge[:-1]] if len(ids) else marks, "starts": slices(starts, edge)})
+    edge = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]), [True])))
+    return pa.table({"doc_id": ids[edge[:-1]], "mark": marks[edge[:-1]], "starts": slices(starts, edge)})
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -198,7 +205,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, mark (hash of the text), starts (list of packed word positions) of the texts with repeated windows."""
+    """doc_id, mark (hash of the text), starts (packed word positions) of the texts with repeated windows."""
     if not (0 < block and 2 * block - 1 <= window):
         raise ValueError("a window must hold a whole block")
     spark = docs.sparkSession
@@ -208,17 +215,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     probes = rows.where("text IS NOT NULL").mapInArrow(_probes(parts, block), PROBE_SCHEMA)
     hits = probes.groupBy("part").applyInArrow(_repeated_blocks, "doc_id long, mark long, number int")
     hits = saved(hits.groupBy("doc_id", "mark").agg(F.collect_set("number").alias("numbers")), "blocks")
-    tidy(spark)
     near = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "numbers")
-    found = near.mapInArrow(_candidates(parts, window, block), WINDOW_SCHEMA).groupBy("part").applyInArrow(_repeated_windows, "doc_id long, mark long, starts binary")
-    found = saved(found.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts")), "windows")
+    found = near.mapInArrow(_candidates(parts, window, block), WINDOW_SCHEMA).groupBy("part").applyInArrow(_repeated_windows(parts), FOUND_SCHEMA)
+    found = saved(found.groupBy("bucket").applyInArrow(_by_text, "doc_id long, mark long, starts binary"), "windows")
     dropped(hits)
-    tidy(spark)
     return found
 
 
 def _starts(value) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in value.values]).astype(np.int64) if value.is_valid else np.zeros(0, np.int64)
+    return np.frombuffer(value.as_buffer(), np.uint32).astype(np.int64) if value.is_valid else np.zeros(0, np.int64)
 
 
 def _with_repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
