@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import quality
+from quantloom.llm import jaccard, language, packing, quality, substring
 from quantloom.session import saved
 
 
@@ -16,7 +16,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES = [("quality classifier", quality_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents without a letter, or whose language is not told with a confidence of one half."""
+    return language.keep(docs, language.fit(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each component of near duplicates."""
+    return jaccard.keep_one(docs, *SHINGLES)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages out of the texts; every document stays, and n_chars is set anew."""
+    return substring.remove(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences."""
+    return packing.packed(docs)
+
+
+#: Near-duplicate stages on word shingles take five words and a similarity of 0.8 or more.
+SHINGLES = (5, 80, 100)
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("substring dedup", passage_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: Trained models and token packing have no SQL form; tests/llm checks the stages by brute force.
 ORACLE_SQL = None

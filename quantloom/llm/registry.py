@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import chat, jaccard, language, packing, quality, substring
+from quantloom.llm import bpe, chat, jaccard, language, media, neighbours, packing, quality, substring, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_filters": urls.op1_url_filters,
+        "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
+        "op4_media": media.op4_media,
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_language": language.op10_language,
         "pipeline": corpus_pipeline.run,
