@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quantloom.plans import evaluation_queries, panel_queries
+from quantloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation_queries", "panel_queries"]
