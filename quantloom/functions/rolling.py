@@ -5,15 +5,20 @@ A rolling value needs a full window: fewer bars, or a null among them, give null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("ts_code").orderBy("trade_date")
-DAY = Window.partitionBy("trade_date")
+
+def series() -> WindowSpec:
+    return Window.partitionBy("ts_code").orderBy("trade_date")
+
+
+def day() -> WindowSpec:
+    return Window.partitionBy("trade_date")
 
 
 def lagged(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(SERIES)
+    return F.lag(x, n).over(series())
 
 
 def change(x: Column, n: int) -> Column:
@@ -21,7 +26,7 @@ def change(x: Column, n: int) -> Column:
 
 
 def _full(x: Column, n: int, value: Column, last: int = 0) -> Column:
-    w = SERIES.rowsBetween(last - n + 1, last)
+    w = series().rowsBetween(last - n + 1, last)
     return F.when(F.count(x).over(w) == n, value.over(w))
 
 
@@ -48,7 +53,7 @@ def lowest(x: Column, n: int) -> Column:
 def correlation(x: Column, y: Column, n: int) -> Column:
     """Pearson; null where a side doesn't vary."""
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
-    w = SERIES.rowsBetween(1 - n, 0)
+    w = series().rowsBetween(1 - n, 0)
     spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
     return F.when((F.count(both).over(w) == n) & (spread > 1e-12), F.covar_pop(x, y).over(w) / F.when(spread > 1e-12, spread))
 
@@ -63,7 +68,7 @@ def rank_share(x: Column) -> Column:
     """Average rank within the date over the number of values."""
     w = Window.partitionBy("trade_date").orderBy(x.asc_nulls_last())
     peers = F.count(x).over(Window.partitionBy("trade_date", x))
-    return F.when(x.isNotNull(), (F.rank().over(w) + (peers - 1) / 2) / F.count(x).over(DAY))
+    return F.when(x.isNotNull(), (F.rank().over(w) + (peers - 1) / 2) / F.count(x).over(day()))
 
 
 def divided(x: Column, y: Column) -> Column:

@@ -70,7 +70,7 @@ def score_many(panel: DataFrame, specs: list[tuple[str, str, int]]) -> DataFrame
 
 def forward_returns(panel: DataFrame) -> DataFrame:
     """trade_date, ts_code, fwd: to the asset's next bar, whenever that is."""
-    later = F.lead("close", 1).over(R.SERIES)
+    later = F.lead("close", 1).over(R.series())
     return panel.select("trade_date", "ts_code", (R.divided(later, F.col("close")) - 1).alias("fwd"))
 
 
@@ -81,7 +81,7 @@ def neutralised(scores: DataFrame, controls: list[str]) -> DataFrame:
     more controls, the minimum-norm solution is computed per date.
     """
     rows = scores.dropna(subset=["score", *controls])
-    day = R.DAY
+    day = R.day()
     y = F.col("score")
     if not controls:
         return rows.select("trade_date", "ts_code", (y - F.avg(y).over(day)).alias("score"))
