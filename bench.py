@@ -18,13 +18,13 @@ from quantloom.sources import panel as P
 def sweep(spark, d):
     """The whole grid of 145 candidates over the supplier panel: scores, daily IC and summary in one job."""
     p = P.supplier_panel(spark, d)
-    rows = E.aligned(scores.score_many(p, scores.sweep_grid()), scores.forward_returns(p))
+    rows = scores.score_many(p, scores.sweep_grid(), with_forward=True).dropna(subset=["score", "fwd"])
     return E.ic_summary(E.daily_ic(rows))
 
 
 def one_factor(spark, d):
     p = P.supplier_panel(spark, d)
-    rows = E.aligned(scores.score(p, "rev", "close", 5).withColumn("factor", F.lit("rev")), scores.forward_returns(p))
+    rows = scores.score_many(p, [("rev", "close", 5)], with_forward=True).dropna(subset=["score", "fwd"])
     return E.net_metrics(E.long_short(rows), ["factor"], F.lit(5.0))
 
 

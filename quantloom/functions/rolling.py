@@ -67,7 +67,7 @@ def rank(x: Column) -> Column:
 def rank_share(x: Column) -> Column:
     """Average rank within the date over the number of values."""
     w = Window.partitionBy("trade_date").orderBy(x.asc_nulls_last())
-    peers = F.count(x).over(Window.partitionBy("trade_date", x))
+    peers = F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), (F.rank().over(w) + (peers - 1) / 2) / F.count(x).over(day()))
 
 

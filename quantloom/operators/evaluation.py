@@ -44,7 +44,9 @@ def _ic(x: str, y: str) -> Column:
 
 
 def _average_rank(x: str, day: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*day).orderBy(x)) + (F.count("*").over(Window.partitionBy(*day, x)) - 1) / 2
+    w = Window.partitionBy(*day).orderBy(x)
+    # Peers by a range frame, so that both share one sort.
+    return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def daily_ic(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -59,19 +59,31 @@ def score(panel: DataFrame, template: str, field: str, window: int) -> DataFrame
     return rows.select("trade_date", "ts_code", R.rank(F.col("raw")).alias("score"))
 
 
-def score_many(panel: DataFrame, specs: list[tuple[str, str, int]]) -> DataFrame:
-    """factor, trade_date, ts_code, score for many factors: one shuffle by asset for all raw values, one by date for all ranks."""
+def score_many(panel: DataFrame, specs: list[tuple[str, str, int]], with_forward: bool = False) -> DataFrame:
+    """factor, trade_date, ts_code, score (and fwd) for many factors.
+
+    One shuffle by asset computes all raw values, and the forward return, side by side; one by factor
+    and date ranks them. Evaluation by factor and date then needs no further shuffle and no join.
+    """
     names = [f"{t}_{f}_{w}" for t, f, w in specs]
-    wide = panel.select("trade_date", "ts_code", *(raw(*s).alias(n) for s, n in zip(specs, names, strict=True)))
-    ranked = wide.select("trade_date", "ts_code", *(R.rank(F.col(n)).alias(n) for n in names))
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.col(n).alias("score")) for n in names)))
-    return ranked.select("trade_date", "ts_code", pairs.alias("p")).select("p.factor", "trade_date", "ts_code", "p.score")
+    extra = [forward().alias("fwd")] if with_forward else []
+    wide = panel.select("trade_date", "ts_code", *extra, *(raw(*s).alias(n) for s, n in zip(specs, names, strict=True)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.col(n).alias("raw")) for n in names)))
+    keys = ["trade_date", "ts_code", *(["fwd"] if with_forward else [])]
+    long = wide.select(*keys, pairs.alias("p")).select("p.factor", *keys, "p.raw")
+    order = Window.partitionBy("factor", "trade_date").orderBy(F.col("raw").asc_nulls_last(), "ts_code")
+    score = F.when(F.col("raw").isNotNull(), F.row_number().over(order).cast("double"))
+    return long.withColumn("score", score).drop("raw")
+
+
+def forward() -> Column:
+    """The return to the asset's next bar, whenever that is."""
+    return R.divided(F.lead("close", 1).over(R.series()), F.col("close")) - 1
 
 
 def forward_returns(panel: DataFrame) -> DataFrame:
     """trade_date, ts_code, fwd: to the asset's next bar, whenever that is."""
-    later = F.lead("close", 1).over(R.series())
-    return panel.select("trade_date", "ts_code", (R.divided(later, F.col("close")) - 1).alias("fwd"))
+    return panel.select("trade_date", "ts_code", forward().alias("fwd"))
 
 
 def neutralised(scores: DataFrame, controls: list[str]) -> DataFrame:

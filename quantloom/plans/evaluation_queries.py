@@ -45,7 +45,7 @@ ls AS (SELECT factor, trade_date, ls, CASE WHEN pl IS NOT NULL THEN
 def seed_rows(spark, d) -> DataFrame:
     """As ROWS: scores of all seeds in one pass, forward returns, members of the time."""
     p = P.brand_panel(spark, d)
-    rows = E.aligned(scores.score_many(p, SEEDS), scores.forward_returns(p))
+    rows = scores.score_many(p, SEEDS, with_forward=True).dropna(subset=["score", "fwd"])
     return E.point_in_time(rows, members(p))
 
 
