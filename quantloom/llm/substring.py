@@ -227,10 +227,13 @@ def _starts(value) -> np.ndarray:
 
 
 def _with_repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
-    """docs with __starts, null where nothing is repeated."""
-    found = repeats(docs, window, block).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
-    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == found["__id"]) & (F.xxhash64(docs["text"]) == found["__mark"])
-    return docs.join(found, match, "left").drop("__id", "__mark")
+    """docs with one more column at the end: packed starts, null where nothing is repeated."""
+    name = "starts"
+    while any(c.lower().endswith(name) for c in docs.columns):
+        name = f"_{name}"
+    found = repeats(docs, window, block).select(F.col("doc_id").alias(f"id_{name}"), F.col("mark").alias(f"mark_{name}"), F.col("starts").alias(name))
+    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == found[f"id_{name}"]) & (F.xxhash64(docs["text"]) == found[f"mark_{name}"])
+    return docs.join(found, match, "left").drop(f"id_{name}", f"mark_{name}")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
