@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import bpe, chat, jaccard, language, media, neighbours, packing, quality, substring, urls
+from quantloom.llm import bpe, chat, jaccard, language, media, neighbours, oracles, packing, quality, substring, urls
 
 
 def queries() -> dict:
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.ORACLE}
+    return {"op5_substring_dedup": oracles.SUBSTRING, "op6_ngram_jaccard": oracles.JACCARD, "op9_chat_formatting": chat.ORACLE}
