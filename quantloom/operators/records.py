@@ -63,16 +63,26 @@ def same_error(a: Column, b: Column) -> Column:
     return F.startswith(error_key(a), error_key(b)) | F.startswith(error_key(b), error_key(a))
 
 
+FOLD_ROWS = 4096
+
+
 def clamped_weights(log: DataFrame, low: float = -10.0, high: float = 10.0) -> DataFrame:
     """signature, weight, attempts, survived of a log (signature, seq, survived): +2 or -1 each, clamped after every step.
 
-    A step x -> min(b, max(a, x + s)) has that form again when steps are composed, so the fold over a
-    signature's ordered steps needs three numbers; they are computed per signature in order.
+    Steps compose: any run of them is x -> min(b, max(a, x + s)). So the ordered log of a signature is
+    folded in stretches of FOLD_ROWS, each to three numbers, and these are folded again; no row ever
+    holds a whole log.
     """
-    step = F.when(F.col("survived"), 2.0).otherwise(-1.0)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", step.alias("step"))))
-    weight = F.aggregate(ordered, F.lit(0.0), lambda acc, x: F.greatest(F.lit(low), F.least(F.lit(high), acc + x["step"])))
-    return log.groupBy("signature").agg(weight.alias("weight"), F.count("*").alias("attempts"), F.count_if("survived").alias("survived"))
+    clamp = lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    order = Window.partitionBy("signature").orderBy("seq")
+    rows = log.select("signature", "seq", "survived", F.when(F.col("survived"), 2.0).otherwise(-1.0).alias("step"))
+    rows = rows.withColumn("stretch", F.floor((F.row_number().over(order) - 1) / FOLD_ROWS))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b"))
+    step = lambda acc, x: F.struct((acc["s"] + x["step"]).alias("s"), clamp(acc["a"] + x["step"]).alias("a"), clamp(acc["b"] + x["step"]).alias("b"))
+    run = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "step"))), start, step)
+    runs = rows.groupBy("signature", "stretch").agg(run.alias("run"), F.count("*").alias("attempts"), F.count_if("survived").alias("survived"))
+    weight = F.aggregate(F.array_sort(F.collect_list(F.struct("stretch", "run"))), F.lit(0.0), lambda acc, x: F.greatest(x["run"]["a"], F.least(x["run"]["b"], acc + x["run"]["s"])))
+    return runs.groupBy("signature").agg(weight.alias("weight"), F.sum("attempts").alias("attempts"), F.sum("survived").alias("survived"))
 
 
 def outcome(state: Column, n_ids: Column, error: Column) -> Column:

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,17 @@ def test_clamped_weights(spark):
     assert got == {"m": (5.0, 4, 3), "n": (9.0, 10, 9)}
 
 
+def test_clamped_weights_fold_in_stretches(spark, monkeypatch):
+    random.seed(1)
+    steps = [random.random() < 0.4 for _ in range(200)]
+    want = 0.0
+    for s in steps:
+        want = max(-10.0, min(10.0, want + (2.0 if s else -1.0)))
+    monkeypatch.setattr(C, "FOLD_ROWS", 7)
+    log = spark.createDataFrame([("m", k, s) for k, s in enumerate(steps)], "signature string, seq int, survived boolean")
+    assert C.clamped_weights(log).first()["weight"] == want
+
+
 def test_paging_clamps(spark):
     rows, total, more = C.page(spark.range(5), ["id"], -3, 0)
     assert (rows.count(), total, more) == (1, 5, 1)
