@@ -103,20 +103,19 @@ class Coder:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges in order of rank; of equal ranks the leftmost first."""
-        rank = self.rank
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: rank.get(p, 1 << 60))
-            if best not in rank:
+        get, never = self.rank.get, len(self.rank)
+        ranks = [get(pair, never) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == never:
                 break
-            joined, out, k, n = best[0] + best[1], [], 0, len(symbols)
-            while k < n:
-                if k + 1 < n and symbols[k] == best[0] and symbols[k + 1] == best[1]:
-                    out.append(joined)
-                    k += 2
-                else:
-                    out.append(symbols[k])
-                    k += 1
-            symbols = out
+            k = ranks.index(least)
+            symbols[k] += symbols.pop(k + 1)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((symbols[k - 1], symbols[k]), never)
+            if k < len(ranks):
+                ranks[k] = get((symbols[k], symbols[k + 1]), never)
         return symbols
 
     def transduce(self, word: str) -> Iterator[int]:
