@@ -337,7 +337,7 @@ def components_by_brute_force(docs_, k, num, den):
     return collections.Counter((d, len(s), least.get(find(i))) for i, ((d, *_), s) in enumerate(zip(docs_, sets)))
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (2, 50)])
 def test_jaccard(docs, k, num):
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, k, num, 100).collect())
     want = components_by_brute_force(rows(), k, num, 100)
