@@ -56,22 +56,25 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{sc._quantloom_scratch}"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: In force while a table is saved: shuffle files go when the write has ended, and batches to Python stay small.
+WHILE_SAVED = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The shuffle files of the write go when it has ended.
-    """
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_SAVED}
+    for k, v in WHILE_SAVED.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path, compression=codec)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
