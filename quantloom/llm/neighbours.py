@@ -3,10 +3,13 @@
 Equal vectors form one node that knows its smallest ids, so a group of copies costs one node. First
 neighbours come from random-projection cells. Each descent round joins every node's code to the nodes
 that are its neighbours or have it as one; there all that meet are compared, and the better pairs go
-back to their nodes, which keep the GRAPH_K best. A hub meets REVERSE_K of the nodes that point to it.
+back to their nodes, which keep the GRAPH_K best. A hub meets, in each round, another draw of the nodes
+that point to it. Rounds go on until one changes at most DELTA of the graph. Then the neighbours of a
+sample of nodes are compared with those of a full scan; while fewer than RECALL of them are right, the
+graph gets more neighbours a node, newly drawn cells and further rounds, so its size follows the table.
 Codes are unit vectors of 16-bit floats. A query starts at its own node, and in each step opens the
-best nodes that it has not opened yet; the BEAM best nodes found are scored in double precision on
-the original vectors and expanded to ids.
+best nodes that it has not opened yet, until all in its beam are open; the BEAM best nodes found are
+scored in double precision on the original vectors and expanded to ids.
 
 Defined results: vectors that are null, empty, zero, of a length other than the commonest, or that
 hold null or non-finite components take no part, nor do rows with a null id; a query's own id is no
@@ -27,12 +30,15 @@ from quantloom.llm.streams import as_binary, binaries, run_bounds, whole_runs
 from quantloom.session import dropped, saved, ship
 
 WANTED, QUERY_STEP = 5, 50
-GRAPH_K, REVERSE_K, RETURNED, ROUNDS = 40, 32, 10, 2
+GRAPH_K, RETURNED = 40, 10
+#: A round that changes a larger share of the neighbours is followed by another; PROBES nodes measure the graph's recall.
+DELTA, RECALL, PROBES = 0.01, 0.92, 256
 #: Rows aimed at for each random-projection cell, the most compared at once, and how many times cells are drawn.
 CELL_ROWS, CELL_MOST, CELL_TREES = 1024, 2048, 12
-BEAM, OPEN, STEPS = 96, 16, 5
+BEAM, OPEN = 96, 16
 SAMPLE_ROWS = 2000
 GRAPH = "node long, code binary, neighbours binary, sims binary"
+MERGED = f"{GRAPH}, fresh int"
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -115,7 +121,7 @@ def _cell_pairs(k: int, most: int):
 
 
 def _merge(k: int):
-    """Rows sorted by node -> one row a node with its code and its k best neighbours."""
+    """Rows sorted by node -> one row a node with its code, its k best neighbours, and how many of them its coded row lacked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_runs(batches):
@@ -125,20 +131,22 @@ def _merge(k: int):
             other, n = binaries(b.column(2), np.int64)
             sims, _ = binaries(b.column(3), np.float32)
             owner = np.repeat(which, n)
+            new = np.repeat(~np.asarray(b.column(1).is_valid()), n)
             fine = (other != key[edge[owner]]) & (sims > -2) if len(owner) else np.zeros(0, bool)
-            owner, other, sims = owner[fine], other[fine], sims[fine]
-            order = np.lexsort((-sims, other, owner))
-            owner, other, sims = owner[order], other[order], sims[order]
+            owner, other, sims, new = owner[fine], other[fine], sims[fine], new[fine]
+            order = np.lexsort((-sims, new, other, owner))
+            owner, other, sims, new = owner[order], other[order], sims[order], new[order]
             first = np.ones(len(owner), bool)
             first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-            owner, other, sims = owner[first], other[first], sims[first]
+            owner, other, sims, new = owner[first], other[first], sims[first], new[first]
             order = np.lexsort((other, -sims, owner))
-            owner, other, sims = owner[order], other[order], sims[order]
+            owner, other, sims, new = owner[order], other[order], sims[order], new[order]
             rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            owner, other, sims = owner[rank < k], other[rank < k], sims[rank < k]
+            owner, other, sims, new = owner[rank < k], other[rank < k], sims[rank < k], new[rank < k]
+            fresh = np.bincount(owner[new], minlength=len(edge) - 1).astype(np.int32)
             bound = np.searchsorted(owner, np.arange(len(edge)))
             coded = np.flatnonzero(np.asarray(b.column(1).is_valid()))
-            out = pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), b.column(1).take(pa.array(coded)) if len(coded) == len(edge) - 1 else _codes(b, which, len(edge) - 1), as_binary(other, bound), as_binary(sims, bound)], ["node", "code", "neighbours", "sims"])
+            out = pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), b.column(1).take(pa.array(coded)) if len(coded) == len(edge) - 1 else _codes(b, which, len(edge) - 1), as_binary(other, bound), as_binary(sims, bound), pa.array(fresh)], ["node", "code", "neighbours", "sims", "fresh"])
             yield out
 
     return run
@@ -211,33 +219,86 @@ def _sorted_by(df: DataFrame, key: str, *more) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *more)
 
 
-def graph_of(nodes: DataFrame, k: int = GRAPH_K, rounds: int = ROUNDS, trees: int = CELL_TREES) -> DataFrame:
-    """The neighbour graph: node, code, neighbours, sims (packed, best first)."""
+def _truth(ids: np.ndarray, codes: np.ndarray, wanted: int):
+    """(node, code) -> (node, sim): the wanted best similarities of each probe among the rows of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(ids), 0), np.float32)
+        for b in batches:
+            if not len(b):
+                continue
+            s = codes @ _matrix(b.column(1), np.float16).astype(np.float32).T
+            s[ids[:, None] == b.column(0).to_numpy()] = -2
+            best = np.concatenate([best, s], axis=1)
+            best = np.take_along_axis(best, _best(best, wanted), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel())], ["node", "sim"])
+
+    return run
+
+
+def recall_of(graph: DataFrame, n: int, wanted: int = WANTED) -> float:
+    """The share of the wanted best neighbours that PROBES of the n nodes have in the graph; equally near ones count as right."""
+    wanted = min(wanted, n - 1)
+    if wanted < 1:
+        return 1.0
+    draw = F.pmod(F.xxhash64(F.lit("probe"), "node"), F.lit(1 << 30)) / float(1 << 30)
+    probes = graph.where(draw < min(1.0, 2 * PROBES / n)).select("node", "code", "sims").orderBy(F.xxhash64(F.lit("probe"), "node")).limit(PROBES).collect()
+    if not probes:
+        return 1.0
+    ids = np.array([r["node"] for r in probes])
+    codes = np.stack([np.frombuffer(r["code"], np.float16) for r in probes]).astype(np.float32)
+    best = graph.select("node", "code").mapInArrow(_truth(ids, codes, wanted), "node long, sim float")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim")))
+    least = {r["node"]: r["sim"] for r in best.withColumn("rank", rank).where(F.col("rank") == wanted).collect()}
+    return sum((np.frombuffer(r["sims"], np.float32)[:wanted] >= least[r["node"]] - 1e-5).sum() for r in probes) / (wanted * len(probes))
+
+
+def _descended(graph: DataFrame, k: int, at: int) -> DataFrame:
+    """The graph after a round of descent, the at-th; the given one is deleted."""
+    edges = graph.select("node", "neighbours").mapInArrow(_edges, "center long, member long, back boolean")
+    rank = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64(F.lit(at), "center", "member")))
+    back = edges.where("back").withColumn("rank", rank).where(F.col("rank") <= k * 4 // 5).select("center", "member")
+    edges = edges.where("NOT back").select("center", "member").unionByName(back)
+    codes = graph.select("node", "code", "sims").mapInArrow(_with_least(k), "member long, code binary, least float")
+    met = edges.join(codes, "member").select("center", "member", "code", "least")
+    found = _sorted_by(met, "center").mapInArrow(_local_join(RETURNED), GRAPH)
+    new = saved(_sorted_by(graph.drop("fresh").unionByName(found), "node").mapInArrow(_merge(k), MERGED), "graph")
+    dropped(graph)
+    return new
+
+
+def graph_of(nodes: DataFrame, k: int = GRAPH_K, trees: int = CELL_TREES, wanted: int = WANTED) -> DataFrame:
+    """The neighbour graph: node, code, neighbours, sims (packed, best first), fresh."""
     n = nodes.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 30)) / float(1 << 30)
     sample = [np.frombuffer(r["code"], np.float16) for r in nodes.where(draw < share).select("code").collect()]
     dims = len(sample[0]) if sample else 1
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / CELL_ROWS))))
-    planes = np.random.default_rng(20).standard_normal((trees, bits, dims)).astype(np.float32)
     x = np.stack(sample).astype(np.float32) if sample else np.zeros((1, dims), np.float32)
-    middle = np.stack([np.median(x @ planes[t].T, axis=0) for t in range(trees)])
-    cells = nodes.select("node", "code").mapInArrow(_cells(planes, middle), "cell long, node long, code binary")
-    found = _sorted_by(cells, "cell", F.xxhash64("node")).mapInArrow(_cell_pairs(k, CELL_MOST), GRAPH)
+    rng = np.random.default_rng(20)
+
+    def met_in_cells() -> DataFrame:
+        planes = rng.standard_normal((trees, bits, dims)).astype(np.float32)
+        middle = np.stack([np.median(x @ planes[t].T, axis=0) for t in range(trees)])
+        cells = nodes.select("node", "code").mapInArrow(_cells(planes, middle), "cell long, node long, code binary")
+        return _sorted_by(cells, "cell", F.xxhash64("node")).mapInArrow(_cell_pairs(k, CELL_MOST), GRAPH)
+
     bare = nodes.select("node", "code", F.lit(None).cast("binary").alias("neighbours"), F.lit(None).cast("binary").alias("sims"))
-    graph = saved(_sorted_by(bare.unionByName(found), "node").mapInArrow(_merge(k), GRAPH), "graph")
-    for _ in range(rounds):
-        edges = graph.select("node", "neighbours").mapInArrow(_edges, "center long, member long, back boolean")
-        rank = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64("center", "member")))
-        back = edges.where("back").withColumn("rank", rank).where(F.col("rank") <= REVERSE_K).select("center", "member")
-        edges = edges.where("NOT back").select("center", "member").unionByName(back)
-        codes = graph.select("node", "code", "sims").mapInArrow(_with_least(k), "member long, code binary, least float")
-        met = edges.join(codes, "member").select("center", "member", "code", "least")
-        found = _sorted_by(met, "center").mapInArrow(_local_join(RETURNED), GRAPH)
-        new = saved(_sorted_by(graph.unionByName(found), "node").mapInArrow(_merge(k), GRAPH), "graph")
+    graph = saved(_sorted_by(bare.unionByName(met_in_cells()), "node").mapInArrow(_merge(k), MERGED), "graph")
+    at = 0
+    while True:
+        changed = True
+        while changed:
+            graph = _descended(graph, k, at)
+            changed = (graph.agg(F.sum("fresh")).first()[0] or 0) > DELTA * n * k
+            at += 1
+        if k >= n - 1 or recall_of(graph, n, wanted) >= RECALL:
+            return graph
+        k = min(n - 1, k * 3 // 2)
+        more = saved(_sorted_by(graph.drop("fresh").unionByName(met_in_cells()), "node").mapInArrow(_merge(k), MERGED), "graph")
         dropped(graph)
-        graph = new
-    return graph
+        graph = more
 
 
 STATE = "q long, u long, code binary, beam binary, sims binary, opened binary"
@@ -332,11 +393,11 @@ def _exact(wanted: int):
     return run
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, wanted: int = WANTED, beam: int = BEAM, width: int = OPEN, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, wanted: int = WANTED, beam: int = BEAM, width: int = OPEN) -> DataFrame:
     """query_id, rank, vec_id, score for queries (id, node), whose nodes are in the graph."""
     starts = queries.select("node").distinct()
     state = saved(graph.join(starts, "node", "left_semi").select("node", "code", "neighbours", "sims").mapInArrow(_begin, STATE), "state")
-    for _ in range(steps):
+    while not state.where(F.contains("opened", F.lit(bytearray(1)))).isEmpty():
         ahead = state.select("q", "beam", "opened").mapInArrow(_frontier(width), "q long, v long")
         reach = ahead.join(graph.select(F.col("node").alias("v"), "neighbours"), "v").select("q", "neighbours").mapInArrow(_spread, "q long, u long").distinct()
         none = F.lit(None).cast("binary")
@@ -359,7 +420,7 @@ def nearest(table: DataFrame, id_column: str, vector: str, is_query, wanted: int
     asked = rows.where(is_query).select("id", "h1", "h2").distinct()
     of_node = nodes.select("node", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     queries = saved(asked.join(of_node, ["h1", "h2"]).select("id", "node"), "queries")
-    return search(nodes, graph_of(nodes), queries, wanted)
+    return search(nodes, graph_of(nodes, wanted=wanted), queries, wanted)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,6 +456,20 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest(df.where("vec_id = 0"), "vec_id", "embedding", one).count() == 0
 
 
+def test_neighbour_graph_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    x = np.random.default_rng(1).standard_normal((1200, 24))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>")
+    nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "id", "vector"), 5), "nodes")
+    graph = {r["node"]: np.frombuffer(r["neighbours"], np.int64)[:5] for r in neighbours.graph_of(nodes, k=10, trees=2).collect()}
+    u = neighbours.unit(x)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    true = np.argsort(-s, axis=1)[:, :5]
+    assert sorted(graph) == list(range(1200))
+    assert sum(len(set(true[k]) & set(graph[k])) for k in graph) / true.size >= 0.9
+
+
 # -- 9
 
 
