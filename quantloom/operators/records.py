@@ -63,6 +63,25 @@ def same_error(a: Column, b: Column) -> Column:
     return F.startswith(error_key(a), error_key(b)) | F.startswith(error_key(b), error_key(a))
 
 
+def error_kin(errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (e, key) of distinct strings e, and kin (key, longer): the distinct keys that begin with another, and each with itself.
+
+    A key meets the keys among its own beginnings, so no two strings of one group are paired.
+    """
+    members = errors.select("e", error_key(F.col("e")).alias("key")).distinct()
+    keys = members.select("key").distinct()
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)))
+    return members, keys.select(F.col("key").alias("longer"), start.alias("key")).join(keys, "key").select("key", "longer")
+
+
+def error_pairs(errors: DataFrame) -> DataFrame:
+    """a, b with a < b: the distinct strings e of which one's key begins with the other's."""
+    members, kin = error_kin(errors)
+    both = kin.join(members.withColumnRenamed("e", "x"), "key").join(members.select(F.col("e").alias("y"), F.col("key").alias("longer")), "longer")
+    both = both.where((F.col("key") != F.col("longer")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 FOLD_ROWS = 4096
 
 

@@ -52,11 +52,8 @@ def jobs_degraded(spark, d):
 SELECT a.e AS a, b.e AS b FROM e a JOIN e b ON a.e < b.e WHERE starts_with(lower(trim(split_part(a.e, ':', 1))), lower(trim(split_part(b.e, ':', 1)))) OR starts_with(lower(trim(split_part(b.e, ':', 1))), lower(trim(split_part(a.e, ':', 1))))""")
 def error_prefix_match(spark, d):
     tail = F.when(F.expr("user_id % 2 = 0"), F.concat(F.lit(": user "), F.col("user_id").cast("string"))).otherwise("")
-    e = table(spark, d, "events").where("user_id < 8").select(F.concat("event_type", tail).alias("e")).distinct()
-    keyed = e.withColumn("key", C.error_key(F.col("e")))
-    a, b = keyed.select(F.col("e").alias("a"), F.col("key").alias("ka")), keyed.select(F.col("e").alias("b"), F.col("key").alias("kb"))
-    # Keys that begin alike share their first three characters or are shorter, so the join has an equality.
-    return a.join(b, F.left("ka", F.lit(3)) == F.left("kb", F.lit(3))).where((F.col("a") < F.col("b")) & (F.startswith("ka", "kb") | F.startswith("kb", "ka"))).select("a", "b")
+    e = table(spark, d, "events").where("user_id < 8").select(F.concat("event_type", tail).alias("e"))
+    return C.error_pairs(e)
 
 
 @query("classify_outcome", """SELECT event_id, CASE WHEN event_type = 'purchase' THEN CASE WHEN user_id % 3 > 0 THEN 'cataloged' ELSE 'empty' END

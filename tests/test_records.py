@@ -80,3 +80,14 @@ def test_stream_makes_bars(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["trade_date"].day: (r["open"], r["close"], r["volume"]) for r in spark.table("made_bars").collect()}
     assert got == {1: (11.0, 15.0, 2.0), 2: (21.0, 25.0, 2.0)}
+
+
+def test_error_pairs_of_short_keys(spark):
+    errors = ["io: x", "IO : y", "io error: z", ": w", "i", "disk: full", "disk", "iota"]
+    key = lambda e: e.split(":")[0].strip().lower()
+    want = {(a, b) for a in errors for b in errors if a < b and (key(a).startswith(key(b)) or key(b).startswith(key(a)))}
+    df = spark.createDataFrame([(e,) for e in [*errors, *errors, None]], "e string")
+    got = [tuple(r) for r in C.error_pairs(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+    kin = C.error_kin(df)[1]
+    assert {tuple(r) for r in kin.where("longer = 'io error'").collect()} == {("", "io error"), ("i", "io error"), ("io", "io error"), ("io error", "io error")}
