@@ -1,24 +1,34 @@
 """N-gram Jaccard join by signature trees, and the connected components of its links.
 
-Exact: two documents link when DEN * overlap >= NUM * union of their shingle sets, and no link
-between different sets is lost. The steps:
+Two documents link when DEN * overlap >= NUM * union of their shingle sets. The steps:
 
-1. Documents with equal shingle sets form a class; one member stands for it from there on.
+1. Texts with equal shingle sets form a class with a key of its own; doc_id plays no part until the
+   end, so neither null ids nor ids that come twice lose a link.
 2. Blocks: under one global order of the shingles, two linked sets share a shingle among their first
    n - ceil(t n) + 1 ones. The order puts frequent shingles last (a bounded table of them, from local
-   counts; any order is right), so passages that many documents share make no large blocks.
-3. In each block a signature tree: documents by size at the bottom, above them nodes with the OR of
-   their members' shingle bitmaps, the size range and the least bit count. The dual traversal drops
-   node pairs whose largest possible overlap is too small, down to pairs of documents. Large blocks
-   get finer bitmaps, which leave few pairs below the threshold.
-4. First only pairs with the block's pivot are verified on the full sets and turned into components;
-   then the trees skip pairs within a component, so a group of k near copies costs about k pairs.
-5. What is left is verified in the same way, and all links together give the components.
+   counts; any order is right), so passages that many documents share make no large blocks. A token's
+   rows are split by size: bands of doubling sizes, in which a set of the next lower band takes part
+   as a guest if it is large enough.
+3. Signature trees give all pairs of a block: sets at the bottom, above them nodes with the OR of
+   their members' shingle bitmaps, the size range, the least bit count and the components below. A
+   dual traversal of tree pairs drops node pairs whose largest possible overlap is too small, down to
+   pairs of sets. The trees of all blocks of a batch are traversed together. A block of more than
+   CHUNK rows is dealt into chunks with a tree each, and each pair of chunks is a task's work of its own.
+4. Before that, the sets of each block are held against one set of the block, its pivot, and the
+   verified links turned into components. A block whose sets are all of one component is done, and the
+   trees skip pairs within a component, so a group of k near copies costs about k pairs.
+5. What the trees give is verified on the full sets, and all links together give the components.
+
+Groupings by token, class, pivot or component are joins of two written tables (which Spark splits
+where a key is hot) or sums that are made in each task first. What any bound cannot tell apart, sets
+of one block just below the threshold, is compared pair by pair on bitmaps, spread over chunk pairs.
 
 Defined results: a null text or one without words has an empty set, n_shingles 0, and its own doc_id
-as component; below K words the whole sequence is one shingle; repeated rows of one doc_id are kept
-as they are; a row with a null doc_id takes the component of its class; other columns are ignored.
-Sets are sets of 64-bit hashes.
+as component; below K words the whole sequence is one shingle; repeated rows are kept as they are; a
+row takes the component of its text, whatever its doc_id: with a null one too, and with one that
+comes with other texts (which makes no link between the texts); a component has the smallest doc_id
+of its rows, null if they have none; other columns are ignored. Shingles are 64-bit hashes: that any
+two given shingles are confused has a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -27,24 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import words as W
 from quantloom.llm.components import components
-from quantloom.llm.streams import as_binary, run_bounds, whole_runs
+from quantloom.llm.streams import run_bounds, whole_runs
 from quantloom.session import dropped, saved, ship
 
 K, NUM, DEN = 4, 85, 100
 #: Shingles with this local count are candidates for the table of frequent ones, which holds so many at most.
 HOT_FROM, MOST_HOT = 6, 1 << 19
 FLUSH = 1 << 21
-#: Bits of a bitmap for each shingle (rounded up to a power of two), in blocks up to LEAF rows and in larger ones.
-COARSE, FINE = 1, 8
+#: Bits of a bitmap for each shingle of the largest set of a band, in blocks up to SMALL rows and in larger ones.
+COARSE, FINE, SMALL = 1, 4, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 16
-LEAF, FANOUT, FRONTIER = 8, 8, 1 << 15
-#: 64-bit words of bitmaps that are compared at once.
-COMPARED = 1 << 19
+#: Children of a tree's node, most rows of a tree, node pairs that are held at once, 64-bit words of bitmaps compared at once.
+FANOUT, CHUNK, FRONTIER, COMPARED = 4, 1024, 1 << 15, 1 << 19
 
 
 def prefix_length(n, num: int = NUM, den: int = DEN):
@@ -98,8 +107,18 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return t[order], c[order]
 
 
+def band_of(n: int) -> int:
+    return int(n).bit_length() - 1
+
+
+def width(band: int, per_shingle: int) -> int:
+    """Bits of the bitmaps of a band's trees."""
+    return min(MOST_BITS, max(LEAST_BITS, per_shingle << (band + 1)))
+
+
 def bitmap(s: np.ndarray, per_shingle: int) -> bytes:
-    m = min(MOST_BITS, max(LEAST_BITS, 1 << int(per_shingle * len(s) - 1).bit_length()))
+    """At the width of the next higher band, where the set may be a guest; folded in half for its own."""
+    m = width(band_of(len(s)) + 1, per_shingle)
     bits = np.zeros(m, np.uint8)
     bits[(s >> np.uint64(7)).astype(np.int64) & (m - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -110,7 +129,7 @@ def _signatures(k: int, num: int, den: int, hot):
         often, count = hot.value
         for b in batches:
             n, f1, f2, prefix, bits, fine = [], [], [], [], [], []
-            for sets in sets_of(b.column(1), k):
+            for sets in sets_of(b.column(3), k):
                 for s in sets:
                     n.append(len(s))
                     if not len(s):
@@ -133,43 +152,12 @@ def _signatures(k: int, num: int, den: int, hot):
                     bits.append(bitmap(s, COARSE))
                     fine.append(bitmap(s, FINE))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "n", "f1", "f2", "prefix", "bits", "fine"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "t1", "t2", "n", "f1", "f2", "prefix", "bits", "fine"])
 
     return run
 
 
-class Signatures:
-    """Sizes, bitmaps (of a power of two of bits, by width), component marks and room of the rows of a block.
-
-    room is the size less the token's position in the global order. A pair has no more in common than
-    the smaller room in the block of its first common token, and is sure to be found there.
-    """
-
-    def __init__(self, n: np.ndarray, bits: list[bytes], group: np.ndarray, room: np.ndarray):
-        self.n, self.group, self.room = n, group, room
-        self.width = np.array([len(x) for x in bits], np.int64)
-        self.place = np.zeros(len(bits), np.int64)
-        self.tables = {}
-        for w in np.unique(self.width):
-            rows = np.flatnonzero(self.width == w)
-            self.place[rows] = np.arange(len(rows))
-            self.tables[w] = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(len(rows), -1)
-
-    def fits(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which pairs of rows may reach the threshold, by size and by the bits that only one has."""
-        ok = (self.group[i] != self.group[j]) & (den * np.minimum(self.n[i], self.n[j]) >= num * np.maximum(self.n[i], self.n[j]))
-        ok &= (num + den) * np.minimum(self.room[i], self.room[j]) >= num * (self.n[i] + self.n[j])
-        i, j = i[ok], j[ok]
-        good = np.zeros(len(i), bool)
-        swap = self.width[i] > self.width[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        kinds = self.width[i] * (MOST_BITS + 1) + self.width[j]
-        for kind in np.unique(kinds):
-            at = np.flatnonzero(kinds == kind)
-            a, b = self.tables[self.width[i[at[0]]]], self.tables[self.width[j[at[0]]]]
-            good[at] = bound_reached(a, self.place[i[at]], b, self.place[j[at]], self.n[i[at]], self.n[j[at]], self.n[i[at]] + self.n[j[at]], None, None, num, den)
-        ok[np.flatnonzero(ok)[~good]] = False
-        return ok
+SIGNATURE = "doc_id long, t1 long, t2 long, n long, f1 long, f2 long, prefix array<long>, bits binary, fine binary"
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -177,262 +165,282 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), bits.shape[1] // words, words), axis=1) if bits.shape[1] > words else bits
 
 
-def bound_reached(a, i, b, j, most_a, most_b, least_sum, pop_a, pop_b, num, den) -> np.ndarray:
-    """Whether the largest possible overlap of a[i] and b[j] can reach the threshold.
+def reachable(common, pop_a, pop_b, most_a, most_b, least_sum, num: int, den: int) -> np.ndarray:
+    """Whether the largest possible overlap of sets of two nodes can reach the threshold.
 
-    A member with size at most `most` has at least pop - popcount(a & b) shingles that the other side
-    lacks, as each of its bits outside the other bitmap stands for one. pop is None for rows, whose own
-    bits are counted.
+    A member of size `most` at most has pop - common shingles at least that the other side lacks, as
+    each bit outside the other side's bitmap stands for one.
     """
-    words = min(a.shape[1], b.shape[1])
-    common, bits_a, bits_b = np.zeros((3, len(i)), np.int64)
-    step = max(16, COMPARED // max(a.shape[1], b.shape[1]))
-    for k in range(0, len(i), step):
-        part = slice(k, k + step)
-        x, y = folded(a[i[part]], words), folded(b[j[part]], words)
-        common[part] = np.bitwise_count(x & y).sum(axis=1)
-        if pop_a is None:
-            bits_a[part], bits_b[part] = np.bitwise_count(x).sum(axis=1), np.bitwise_count(y).sum(axis=1)
-    if pop_a is not None:
-        # Folding lowers bit counts, and those of the members of a folded node aren't known.
-        bits_a = np.zeros_like(pop_a) if a.shape[1] > words else pop_a
-        bits_b = np.zeros_like(pop_b) if b.shape[1] > words else pop_b
-    over = np.minimum(most_a - np.maximum(bits_a - common, 0), most_b - np.maximum(bits_b - common, 0))
+    over = np.minimum(most_a - np.maximum(pop_a - common, 0), most_b - np.maximum(pop_b - common, 0))
     return (num + den) * over >= num * least_sum
 
 
-class SignatureTree:
-    """levels[0] are the rows by size; above, every FANOUT nodes have one parent."""
-
-    def __init__(self, s: Signatures, rows: np.ndarray):
-        rows = rows[np.argsort(s.n[rows], kind="stable")]
-        table = s.tables[s.width[rows[0]]][s.place[rows]]
-        pop = np.bitwise_count(table).sum(axis=1, dtype=np.int64)
-        self.rows = rows
-        self.levels = [(table, s.n[rows], s.n[rows], pop, s.group[rows], s.group[rows], s.room[rows])]
-        while len(self.levels[-1][0]) > 1:
-            bits, low, high, pop, g0, g1, room = self.levels[-1]
-            at = np.arange(0, len(low), LEAF if len(self.levels) == 1 else FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(pop, at), np.minimum.reduceat(g0, at), np.maximum.reduceat(g1, at), np.maximum.reduceat(room, at)))
-
-    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Children of the nodes at the level, and for each the index of its node."""
-        f = LEAF if level == 1 else FANOUT
-        c = nodes[:, None] * f + np.arange(f)
-        ok = c < len(self.levels[level - 1][1])
-        return c[ok], np.nonzero(ok)[0]
-
-
-def dual_join(s: Signatures, left: SignatureTree, right: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of two trees (or of one with itself, each pair once) whose bound reaches the threshold."""
-    same = left is right
-    stack = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        x, y, i, j = stack.pop()
-        if len(i) > FRONTIER:
-            stack += [(x, y, i[k : k + FRONTIER], j[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
-            continue
-        a, b = [None, *(v[i] for v in left.levels[x][1:])], [None, *(v[j] for v in right.levels[y][1:])]
-        ok = (den * a[2] >= num * b[1]) & (den * b[2] >= num * a[1])
-        ok &= (a[4] != a[5]) | (b[4] != b[5]) | (a[4] != b[4])
-        ok &= (num + den) * np.minimum(a[6], b[6]) >= num * (a[1] + b[1])
-        at = np.flatnonzero(ok)
-        at = at[bound_reached(left.levels[x][0], i[at], right.levels[y][0], j[at], a[2][at], b[2][at], a[1][at] + b[1][at], a[3][at], b[3][at], num, den)]
-        i, j = i[at], j[at]
-        if x == 0 and y == 0:
-            i, j = left.rows[i], right.rows[j]
-            ok = s.fits(i, j, num, den)
-            yield i[ok], j[ok]
-        elif len(i):
-            if x > 0 and (same or x >= y):
-                i, parent = left.children(x, i)
-                j, x = j[parent], x - 1
-            if y > 0 and (same or y > x):
-                j, parent = right.children(y, j)
-                i, y = i[parent], y - 1
-            if same:
-                ok = i < j if x == 0 else i <= j
-                i, j = i[ok], j[ok]
-            stack.append((x, y, i, j))
-
-
-def block_pairs(s: Signatures, rows: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of one block of more than LEAF rows: a tree for each bitmap width, joined with itself and the next width's."""
-    trees = {w: SignatureTree(s, rows[s.width[rows] == w]) for w in np.unique(s.width[rows])}
-    for w, tree in trees.items():
-        yield from dual_join(s, tree, tree, num, den)
-        if 2 * w in trees:
-            yield from dual_join(s, tree, trees[2 * w], num, den)
-
-
-def _block_join(num: int, den: int, pivots: bool, buckets: int):
-    """Rows sorted by token -> candidate pairs, packed by bucket; pivots: of each block only those with its pivot."""
-
-    def pairs(b: pa.RecordBatch) -> np.ndarray:
-        token, rep, n, pos, group = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        s = Signatures(n, b.column(5).to_pylist(), group, n if pivots else n - pos)
-        edge = run_bounds(token)
-        size = np.diff(edge)
-        found = []
-        if pivots:
-            run = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((rep, W.mix(rep.astype(np.uint64)), run))
-            pivot = order[edge[:-1]][run]
-            i = np.flatnonzero(pivot != np.arange(len(token)))
-            for k in range(0, len(i), FRONTIER):
-                a = i[k : k + FRONTIER]
-                found.append((a[ok := s.fits(a, pivot[a], num, den)], pivot[a][ok]))
-        else:
-            small = np.repeat(size <= LEAF, size)
-            for d in range(1, LEAF):
-                i = np.flatnonzero(small[:-d] & (token[:-d] == token[d:]))
-                for k in range(0, len(i), FRONTIER):
-                    a = i[k : k + FRONTIER]
-                    found.append((a[ok := s.fits(a, a + d, num, den)], a[ok] + d))
-            for k in np.flatnonzero(size > LEAF):
-                found += block_pairs(s, np.arange(edge[k], edge[k + 1]), num, den)
-        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return distinct(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1))
-
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        p = distinct(np.concatenate(held))
-        bucket = (W.mix(p[:, 0].astype(np.uint64) ^ W.mix(p[:, 1].astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        edge = run_bounds(bucket[order])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order][edge[:-1]]), as_binary(p[order].ravel(), 2 * edge)], ["bucket", "pairs"])
+class Forest:
+    """The signature trees of many blocks of one bitmap width; rows come sorted by block.
+
+    levels[0] are the rows, the last level has a node for each block. Of a level: first child of each
+    node (and the end), bitmap, least and largest size, least bit count, least and largest component,
+    largest room, least and largest side, whether a row of the block's own band is below, and whether
+    the block holds two chunks, of which only pairs across count. room is the size less the token's
+    position in the global order: a pair has no more in common than the smaller room in the block of
+    its first common token, and is sure to be found there.
+    """
+
+    def __init__(self, block: np.ndarray, bits: np.ndarray, n, comp, room, side, home, split):
+        self.rows = order = np.lexsort((n, comp, side, block))
+        block, bits, n, comp, room, side, home, split = (x[order] for x in (block, bits, n, comp, room, side, home, split))
+        pop = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = [(None, bits, n, n, pop, comp, comp, room, side, side, home, split)]
+        while len(block) > len(run_bounds(block)) - 1:
+            edge = run_bounds(block)
+            place = np.arange(len(block)) - np.repeat(edge[:-1], np.diff(edge))
+            at = np.flatnonzero(place % FANOUT == 0)
+            _, bits, low, high, pop, c0, c1, room, s0, s1, home, split = self.levels[-1]
+            lo, hi = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((np.append(at, len(block)), np.bitwise_or.reduceat(bits, at, axis=0), lo(low, at), hi(high, at), lo(pop, at), lo(c0, at), hi(c1, at), hi(room, at), lo(s0, at), hi(s1, at), hi(home, at), split[at]))
+            block = block[at]
+
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dual traversal of each tree with itself: pairs of rows, by their places in the given order."""
+        roots = np.arange(len(self.levels[-1][1]))
+        stack = [(len(self.levels) - 1, roots, roots)]
+        while stack:
+            level, i, j = stack.pop()
+            if len(i) > FRONTIER:
+                stack += [(level, i[k : k + FRONTIER], j[k : k + FRONTIER]) for k in range(0, len(i), FRONTIER)]
+                continue
+            at = np.flatnonzero(self._near(level, i, j, num, den))
+            i, j = i[at], j[at]
+            at = np.flatnonzero(self._alike(level, i, j, num, den))
+            i, j = i[at], j[at]
+            if level == 0:
+                yield self.rows[i], self.rows[j]
+            elif len(i):
+                i, j = self._below(level, i, j)
+                stack.append((level - 1, i, j))
+
+    def _near(self, level: int, i, j, num: int, den: int) -> np.ndarray:
+        """By sizes, rooms, components, sides and bands."""
+        _, _, low, high, _, c0, c1, room, s0, s1, home, split = self.levels[level]
+        ok = (den * high[i] >= num * low[j]) & (den * high[j] >= num * low[i])
+        ok &= (num + den) * np.minimum(room[i], room[j]) >= num * (low[i] + low[j])
+        ok &= (c0[i] != c1[j]) | (c1[i] != c0[j])
+        ok &= ~split[i] | (s0[i] != s1[j]) | (s1[i] != s0[j])
+        return ok & (home[i] | home[j])
+
+    def _alike(self, level: int, i, j, num: int, den: int) -> np.ndarray:
+        """By bitmaps; a node holds what it holds."""
+        _, bits, low, high, pop, *_ = self.levels[level]
+        common = np.zeros(len(i), np.int64)
+        step = max(16, COMPARED // bits.shape[1])
+        for k in range(0, len(i), step):
+            common[k : k + step] = np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1)
+        return (i == j) | reachable(common, pop[i], pop[j], high[i], high[j], low[i] + low[j], num, den)
+
+    def _below(self, level: int, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of children of the node pairs, each once."""
+        first = self.levels[level][0]
+        a, b = first[i + 1] - first[i], first[j + 1] - first[j]
+        of = np.repeat(np.arange(len(i)), a * b)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(a * b) - a * b, a * b)
+        x, y = first[i[of]] + place // b[of], first[j[of]] + place % b[of]
+        ok = (i[of] != j[of]) | (x < y if level == 1 else x <= y)
+        return x[ok], y[ok]
+
+
+def _tree_pairs(num: int, den: int):
+    """Rows of blocks, sorted by block -> pairs (a, b) of sets that may link."""
+
+    def of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        block, rep, n, room, comp, side, home, split, words = (b.column(k).to_numpy(zero_copy_only=False) for k in range(9))
+        bits = b.column(9).to_pylist()
+        size = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        for kind in np.unique(words):
+            at = np.flatnonzero(words == kind)
+            table = np.empty((len(at), kind), np.uint64)
+            for s in np.unique(size[at]):
+                rows = np.flatnonzero(size[at] == s)
+                table[rows] = folded(np.frombuffer(b"".join(bits[k] for k in at[rows]), np.uint64).reshape(len(rows), -1), int(kind))
+            forest = Forest(block[at], table, n[at], comp[at], room[at], side[at], home[at], split[at])
+            for i, j in forest.pairs(num, den):
+                yield np.stack([np.minimum(rep[at[i]], rep[at[j]]), np.maximum(rep[at[i]], rep[at[j]])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in whole_runs(batches):
-            held.append(pairs(b))
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield packed(held)
-                held, size = [], 0
+            for p in of(b):
+                held.append(p)
+                size += len(p)
+                if size >= FLUSH:
+                    yield _pair_batch(held)
+                    held, size = [], 0
         if size:
-            yield packed(held)
+            yield _pair_batch(held)
 
     return run
 
 
-def distinct(p: np.ndarray) -> np.ndarray:
-    order = np.lexsort((p[:, 1], p[:, 0]))
-    p = p[order]
+def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    p = np.concatenate(held)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
     keep = np.ones(len(p), bool)
     keep[1:] = (p[1:] != p[:-1]).any(axis=1)
-    return p[keep]
+    return pa.RecordBatch.from_arrays([pa.array(p[keep, 0]), pa.array(p[keep, 1])], ["a", "b"])
 
 
-def _unpacked(t: pa.Table) -> pa.Table:
-    p = distinct(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["pairs"]]).reshape(-1, 2))
-    return pa.table({"a": p[:, 0], "b": p[:, 1]})
+def _may_link(num: int, den: int):
+    """Rows (a, b, n of a, bitmap of a, n of b, bitmap of b) -> the pairs (a, b) whose bound reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            x, y = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            good = np.zeros(len(n), bool)
+            kinds = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+            for p, q in np.unique(kinds, axis=0):
+                at = np.flatnonzero((kinds[:, 0] == p) & (kinds[:, 1] == q))
+                least = int(min(p, q)) // 8
+                u, v = (folded(np.frombuffer(b"".join(side[k] for k in at), np.uint64).reshape(len(at), -1), least) for side in (x, y))
+                common, pop_u, pop_v = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (u & v, u, v))
+                good[at] = reachable(common, pop_u, pop_v, n[at], m[at], n[at] + m[at], num, den)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return run
 
 
 def _as_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [W.packed(s) for some in sets_of(b.column(1), k) for s in some]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "grams"])
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Rows sorted by (a, b), of which the first of each a has a's own set and no b -> links."""
+    """Rows (a, b, set of a, set of b) -> links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mine = None, None
         for batch in batches:
-            out = []
-            for a, b, grams in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s = np.frombuffer(grams, np.uint64)
-                if b is None:
-                    own, mine = a, s
-                elif own == a:
-                    at = np.searchsorted(mine, s)
-                    common = int((mine[np.minimum(at, len(mine) - 1)] == s).sum())
-                    if den * common >= num * (len(mine) + len(s) - common):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            good = np.zeros(len(batch), bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+                good[k] = den * common >= num * (len(s) + len(t) - common)
+            kept = batch.select([0, 1]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(kept.columns, ["u", "v"])
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = saved(texts.mapInArrow(_as_sets(k), "id long, grams binary").dropDuplicates(["id"]), "sets")
-    members = sets.withColumnRenamed("id", "b").join(pairs.hint("merge"), "b").select("a", "b", "grams")
-    heads = sets.join(pairs.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = members.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    out = saved(rows.mapInArrow(_verify(num, den), "u long, v long"), "links")
-    dropped(sets)
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v). Hot sets should stand in b."""
+    rows = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("own")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("other")), "b")
+    return saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long"), "links")
+
+
+def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """token, band, rep, n, pos, home, pivot of the rows of all blocks that can hold a link."""
+    tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
+    often = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
+    band = F.length(F.bin("n")) - 1
+    above = F.expr("shiftleft(1L, CAST(length(bin(n)) AS INT))")
+    in_bands = F.when(den * F.col("n") >= num * above, F.array(band, band + 1)).otherwise(F.array(band))
+    rows = tokens.join(often, "token").select("token", "rep", "n", F.col("pos").cast("long").alias("pos"), F.explode(in_bands).alias("band"))
+    rows = saved(rows.withColumn("home", F.col("band") == band), "rows")
+    # Some row stands so early that it can be the smaller one of a pair at its first common token.
+    early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
+    pivot = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep"))["rep"]
+    stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"), pivot.alias("pivot"))
+    stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band", "pivot"), "stats")
+    out = saved(rows.join(stats, ["token", "band"]), "blocks")
+    for t in (often, rows, stats):
+        dropped(t)
     return out
 
 
-def _with_partners(tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows (token, rep, n, pos) that can be in a pair of their block, and the block's number of rows as c.
-
-    The neighbour by size is near enough, and some row stands so early that it can be the smaller one
-    of a pair at its first common token. All windows share one sort.
-    """
-    order = Window.partitionBy("token").orderBy("n")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n, before, after = F.col("n"), F.lag("n").over(order), F.lead("n").over(order)
-    near = F.coalesce(den * before >= num * n, F.lit(False)) | F.coalesce(den * n >= num * after, F.lit(False))
-    early = (num + den) * (n - F.col("pos")) >= 2 * num * n
-    kept = tokens.withColumns({"near": near, "some": F.max(early).over(whole)}).where("near AND some").drop("near", "some")
-    return kept.withColumn("c", F.count("*").over(whole)).where("c > 1")
+def _chunked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (token, band, rep, n, pos, home, comp, c) of blocks with their bitmaps, as rows of trees: large blocks as pairs of chunks."""
+    per = F.when(F.col("c") > SMALL, FINE).otherwise(COARSE)
+    words = F.expr(f"CAST(least({MOST_BITS}, greatest({LEAST_BITS}, CASE WHEN c > {SMALL} THEN {FINE} ELSE {COARSE} END * shiftleft(1L, band + 1))) / 64 AS INT)")
+    chunks = F.ceil(F.col("c") / CHUNK)
+    rows = rows.withColumns({"chunk": F.pmod(F.xxhash64("rep"), chunks), "other": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
+    rows = rows.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
+    rows = rows.withColumns({"block": F.xxhash64("token", "band", "x", "y"), "split": F.col("x") != F.col("y"), "side": (F.col("chunk") != F.col("x")).cast("int"), "words": words, "kind": per})
+    rows = rows.join(classes.select("rep", "bits", "fine"), "rep")
+    bits = F.when(F.col("kind") == FINE, F.col("fine")).otherwise(F.col("bits"))
+    rows = rows.select("block", "rep", "n", (F.col("n") - F.col("pos")).alias("room"), "comp", "side", "home", "split", "words", bits.alias("bits"))
+    return rows.repartition("block").sortWithinPartitions("block")
 
 
-def join(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs.
+def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t1, t2, n, f1, f2) of docs, and classes (f1, f2, n, component, least, n_links).
 
-    n_links counts the verified links that its class was joined by: enough of them to connect the
-    component, not all that exist inside it.
+    t1 and t2 are hashes of the text, component is a key of the class's component, least the smallest
+    doc_id in it; rows with an empty set are in no class.
     """
     spark = docs.sparkSession
     ship(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     hot = spark.sparkContext.broadcast(frequent(docs, k))
-    sig = saved(ids.mapInArrow(_signatures(k, num, den, hot), "doc_id long, n long, f1 long, f2 long, prefix array<long>, bits binary, fine binary"), "signatures")
-    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fine").alias("fine"))
-    classes = saved(classes, "classes")
-    tokens = classes.where("rep IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
-    shared = _with_partners(tokens, num, den)
-    used = F.when(F.col("c") > LEAF, F.col("fine")).otherwise(F.col("bits"))
-    shared = saved(shared.join(classes.select("rep", "bits", "fine"), "rep").select("token", "rep", "n", "pos", used.alias("bits")), "blocks")
-
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def candidates(groups: DataFrame, pivots: bool) -> DataFrame:
-        rows = groups.select("token", "rep", "n", F.col("pos").cast("long").alias("pos"), "comp", "bits").repartition("token").sortWithinPartitions("token", "n", "rep")
-        found = rows.mapInArrow(_block_join(num, den, pivots, buckets), "bucket int, pairs binary")
-        return saved(found.groupBy("bucket").applyInArrow(_unpacked, "a long, b long"), "pairs")
-
-    first = _links(docs, candidates(shared.withColumn("comp", F.col("rep")), True), k, num, den)
-    comp = components(first).select(F.col("node").alias("rep"), F.col("component").alias("comp_of"))
-    marked = shared.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp_of", "rep"))
-    second = _links(docs, candidates(marked, False), k, num, den)
-    dropped(shared)
+    sig = saved(texts.mapInArrow(_signatures(k, num, den, hot), SIGNATURE), "signatures")
+    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("prefix", "bits", "fine")))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    blocks = _blocks(classes, num, den)
+    wanted = blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2")
+    sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, grams binary")
+    sets = saved(sets.groupBy("rep").agg(F.first("grams").alias("grams")), "sets")
+    # Links with the pivots.
+    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    pairs = blocks.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct().join(one, "a").join(two, "b")
+    pairs = pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
+    first = _links(pairs, sets, num, den)
+    # Links across the components so far.
+    comp = components(first).select(F.col("node").alias("rep"), "component")
+    marked = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "pivot"), "marked")
+    open_ = saved(marked.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "band", "c"), "open")
+    pairs = _chunked(marked.join(open_, ["token", "band"]), classes).mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
+    second = _links(pairs, sets, num, den)
+    for t in (blocks, sets, marked, open_):
+        dropped(t)
     links = first.unionByName(second)
     comp = components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("f1", "f2", "n", "rep").join(comp, "rep", "left").join(degree, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"), "n_links")
-    out = sig.select("doc_id", "f1", "f2", "n").join(of_class, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of = classes.select("f1", "f2", "n", "rep", "least").join(comp, "rep", "left").join(degree, "rep", "left")
+    of = saved(of.select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-class")
+    low = saved(of.groupBy("component").agg(F.min("least").alias("low")), "lows")
+    return sig, of.join(low, "component").select("f1", "f2", "n", "component", F.col("low").alias("least"), "n_links")
+
+
+def join(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs.
+
+    n_links counts the verified links that its class was joined by: enough of them to connect the
+    component, not all that exist inside it.
+    """
+    sig, classes = classified(docs, k, num, den)
+    out = sig.select("doc_id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"], "left")
+    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns; of repeated ids one row stays.
+    """One row of docs for each component, with all its columns: that with the smallest doc_id, a null one last.
 
-    Rows with an empty set have no duplicates and stay, as do rows with a null doc_id.
+    Of different texts under that id the one with the smaller hash stays, of wholly repeated rows any.
+    Rows with an empty set have no duplicates and all stay.
     """
-    kept = join(docs, k, num, den).where((F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kind = docs.schema["doc_id"].dataType
-    first = docs.join(kept.select(F.col("doc_id").cast(kind)).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    sig, classes = classified(docs, k, num, den)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
+    kept = sig.select("doc_id", "t1", "t2", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).groupBy("component").agg(F.min(order).alias("o"))
+    names = [f"kept_{x}" + "_" * sum(c.lower().startswith("kept_") for c in docs.columns) for x in ("none", "id", "t1", "t2")]
+    kept = saved(kept.select(*(F.col(f"o.{x}").alias(n) for x, n in zip(("none", "id", "t1", "t2"), names, strict=True))), "kept")
+    own = docs["doc_id"].cast("long")
+    key = {names[0]: own.isNull(), names[1]: F.coalesce(own, F.lit(0)), names[2]: F.xxhash64(docs["text"]), names[3]: F.xxhash64(F.lit(1), docs["text"])}
+    has_words = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = docs.where(has_words).withColumns(key).join(kept.hint("merge"), names, "left_semi").dropDuplicates(names)
+    return chosen.select(docs.columns).unionByName(docs.where(~has_words))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Words, word hashes and rolling windows over whole Arrow string arrays, in numpy.
 
 A word is a maximal run of bytes outside space and 0x09-0x0D, which in UTF-8 is the regex
-``[^\\x20\\x09-\\x0D]+``. Hashes are 64 bits wide; no Python object is made per word.
+``[^\\x20\\x09-\\x0D]+``. Hashes are 64 bits wide and not polynomial; no Python object is made per word
+of up to SIDE_BY_SIDE bytes. Two given different words or windows hash alike with a chance of 2^-64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE, GRAM_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of a word that are hashed side by side with all other words; longer words go to BLAKE2 one by one.
+SIDE_BY_SIDE = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,21 +34,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: eight bytes after eight are mixed in, so no arithmetic relation of words gives equal hashes."""
+    size = end - start
+    # Unaligned reads of eight bytes from any place.
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * np.uint64(GRAM_BASE) + np.uint64(BASE))
+    at = np.flatnonzero(size <= SIDE_BY_SIDE)
+    from_, left = start[at], size[at]
+    while len(at):
+        h[at] = mix((h[at] ^ (eight[from_] & _LOW[np.minimum(left, 8)])) * np.uint64(BASE) + np.uint64(GRAM_BASE))
+        more = left > 8
+        at, from_, left = at[more], from_[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > SIDE_BY_SIDE):
+        h[k] = int.from_bytes(blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least; base is odd."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(n, BLOCK_BYTES + 1), b, np.uint64)
-            p[0] = 1
-            pair.append(np.cumprod(p))
-        if n > BLOCK_BYTES + 1:
-            return tuple(pair)
-        _powers[base] = tuple(pair)
-    return _powers[base]
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its first and second part."""
+    return mix(a * np.uint64(BASE) + (b ^ (b >> np.uint64(32))) * np.uint64(GRAM_BASE) + np.uint64(1))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +90,31 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, n
     begins[cut] |= inside[1:-1][cut]
     ends[cut - 1] |= inside[1:-1][cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[LOWER[data] if lower else data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(GRAM_BASE))
+    h = word_hashes(LOWER[data] if lower else data, start, end)
     return h, start, end, np.searchsorted(start, off)
 
 
 def windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word windows that lie in one text, and the word index where each starts."""
+    """Hashes of all k-word windows that lie in one text, and the word index where each starts.
+
+    Hashes of 1, 2, 4, 8 … words are made of each other; the windows are put together from these.
+    """
     n = len(h)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(GRAM_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * up[:n], out=total[1:])
+    power, size, done, total = h, 1, 0, None
+    while True:
+        if k & size:
+            part = power[done : done + n - k + 1]
+            total = part if total is None else joint(total, part)
+            done += size
+        if 2 * size > k:
+            break
+        power, size = joint(power[:-size], power[size:]), 2 * size
     at = np.arange(n - k + 1)
     text_end = np.repeat(first[1:], np.diff(first))[: n - k + 1]
     at = at[at + k <= text_end]
-    return mix((total[at + k] - total[at]) * down[at] + np.uint64(k)), at
+    return mix(total[at] + np.uint64(k)), at
 
 
 def gram_sets(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
