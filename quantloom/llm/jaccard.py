@@ -128,7 +128,7 @@ def _signatures(k: int, num: int, den: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = hot.value
         for b in batches:
-            n, f1, f2, prefix, bits, fine = [], [], [], [], [], []
+            n, f1, f2, prefix = [], [], [], []
             for sets in sets_of(b.column(3), k):
                 for s in sets:
                     n.append(len(s))
@@ -136,8 +136,6 @@ def _signatures(k: int, num: int, den: int, hot):
                         f1.append(0)
                         f2.append(0)
                         prefix.append(s.view(np.int64))
-                        bits.append(b"")
-                        fine.append(b"")
                         continue
                     f1.append(int(W.mix(s).sum().view(np.int64)))
                     f2.append(int(W.mix(s ^ np.uint64(W.BASE)).sum().view(np.int64)))
@@ -149,15 +147,13 @@ def _signatures(k: int, num: int, den: int, hot):
                     else:
                         s_ordered = s
                     prefix.append(s_ordered[: prefix_length(len(s), num, den)].view(np.int64))
-                    bits.append(bitmap(s, COARSE))
-                    fine.append(bitmap(s, FINE))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefix)]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "t1", "t2", "n", "f1", "f2", "prefix", "bits", "fine"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "t1", "t2", "n", "f1", "f2", "prefix"])
 
     return run
 
 
-SIGNATURE = "doc_id long, t1 long, t2 long, n long, f1 long, f2 long, prefix array<long>, bits binary, fine binary"
+SIGNATURE = "doc_id long, t1 long, t2 long, n long, f1 long, f2 long, prefix array<long>"
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
@@ -309,10 +305,25 @@ def _may_link(num: int, den: int):
 
 
 def _as_sets(k: int):
+    """(rep, text) -> the sets with their bitmaps. Of neighbours with one rep the first counts, which drops the copies of a text in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.int64(-1)
         for b in batches:
-            sets = [W.packed(s) for some in sets_of(b.column(1), k) for s in some]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "grams"])
+            if not len(b):
+                continue
+            rep = b.column(0).to_numpy()
+            new = rep != np.concatenate(([last], rep[:-1]))
+            last = rep[-1]
+            b = b.filter(pa.array(new))
+            n, grams, bits, fine = [], [], [], []
+            for some in sets_of(b.column(1), k):
+                for s in some:
+                    n.append(len(s))
+                    grams.append(W.packed(s))
+                    bits.append(bitmap(s, COARSE))
+                    fine.append(bitmap(s, FINE))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (grams, bits, fine))], ["rep", "n", "grams", "bits", "fine"])
 
     return run
 
@@ -336,7 +347,7 @@ def _verify(num: int, den: int):
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v). Hot sets should stand in b."""
     rows = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("own")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("other")), "b")
-    return saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long"), "links")
+    return saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long").distinct(), "links")
 
 
 def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -359,7 +370,7 @@ def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
     return out
 
 
-def _chunked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _chunked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows (token, band, rep, n, pos, home, comp, c) of blocks with their bitmaps, as rows of trees: large blocks as pairs of chunks."""
     per = F.when(F.col("c") > SMALL, FINE).otherwise(COARSE)
     words = F.expr(f"CAST(least({MOST_BITS}, greatest({LEAST_BITS}, CASE WHEN c > {SMALL} THEN {FINE} ELSE {COARSE} END * shiftleft(1L, band + 1))) / 64 AS INT)")
@@ -367,7 +378,7 @@ def _chunked(rows: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.withColumns({"chunk": F.pmod(F.xxhash64("rep"), chunks), "other": F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))})
     rows = rows.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
     rows = rows.withColumns({"block": F.xxhash64("token", "band", "x", "y"), "split": F.col("x") != F.col("y"), "side": (F.col("chunk") != F.col("x")).cast("int"), "words": words, "kind": per})
-    rows = rows.join(classes.select("rep", "bits", "fine"), "rep")
+    rows = rows.join(sets.select("rep", "bits", "fine").hint("merge"), "rep")
     bits = F.when(F.col("kind") == FINE, F.col("fine")).otherwise(F.col("bits"))
     rows = rows.select("block", "rep", "n", (F.col("n") - F.col("pos")).alias("room"), "comp", "side", "home", "split", "words", bits.alias("bits"))
     return rows.repartition("block").sortWithinPartitions("block")
@@ -383,26 +394,31 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     hot = spark.sparkContext.broadcast(frequent(docs, k))
-    sig = saved(texts.mapInArrow(_signatures(k, num, den, hot), SIGNATURE), "signatures")
-    classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("prefix", "bits", "fine")))
-    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    blocks = _blocks(classes, num, den)
+    wide = saved(texts.mapInArrow(_signatures(k, num, den, hot), SIGNATURE), "signatures")
+    classes = wide.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("t1", "t2")).alias("t"), F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    with_prefix = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    sig = saved(wide.drop("prefix"), "rows")
+    dropped(wide)
+    blocks = _blocks(with_prefix, num, den)
+    classes = saved(with_prefix.drop("prefix"), "classes")
+    dropped(with_prefix)
     wanted = blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2")
-    sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, grams binary")
-    sets = saved(sets.groupBy("rep").agg(F.first("grams").alias("grams")), "sets")
+    sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
+    sets = saved(sets, "sets")
     # Links with the pivots.
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     pairs = blocks.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct().join(one, "a").join(two, "b")
     pairs = pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
-    first = _links(pairs, sets, num, den)
+    first = _links(pairs := saved(pairs, "pairs"), sets, num, den)
+    dropped(pairs)
     # Links across the components so far.
     comp = components(first).select(F.col("node").alias("rep"), "component")
     marked = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "pivot"), "marked")
     open_ = saved(marked.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "band", "c"), "open")
-    pairs = _chunked(marked.join(open_, ["token", "band"]), classes).mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
+    pairs = saved(_chunked(marked.join(open_, ["token", "band"]), sets).mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs")
     second = _links(pairs, sets, num, den)
-    for t in (blocks, sets, marked, open_):
+    for t in (blocks, sets, marked, open_, pairs):
         dropped(t)
     links = first.unionByName(second)
     comp = components(links).withColumnRenamed("node", "rep")
