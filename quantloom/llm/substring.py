@@ -8,12 +8,15 @@ Fixed-block anchors: each text is cut into non-overlapping reference blocks of B
 2. Hits are extended: of the windows around repeated blocks, the full hashes are counted; those that
    start at two places or more are kept, and consecutive ones merge into maximal exact repeats.
 3. The words under these repeats go.
-No pairs of occurrences are made, so a passage of k copies costs k rows.
+No pairs of occurrences are made. A task first counts what it holds itself (FLUSH words at a time): a
+block or window found there twice is known to be repeated, keeps its places to itself, and goes out as
+two probes. So a passage that half of all texts share costs a hash partition a few bytes a batch, not
+its number of occurrences; places are dealt out by text.
 
 Defined results: a null or empty text has no words and stays as it is; windows of one document count
 as well as those of others, and repeated rows are occurrences like any other; texts below WINDOW
 words lose nothing; other columns are ignored. Words are bytes outside space and 0x09-0x0D; windows
-are compared by 64-bit hashes.
+are compared by 64-bit hashes, of which any two given different ones agree with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -45,13 +48,50 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
 
 
-def dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that puts the hashes of a part together, the parts that occur, and the parts + 1 bounds."""
-    p = part_of(h, parts)
+def dealt(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts equal parts together, the parts that occur, and their bounds."""
     order = np.argsort(p, kind="stable")
-    p = p[order]
+    return order, *bounds(p[order])
+
+
+def bounds(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted parts: those that occur, and where each begins, with the end."""
     edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else np.zeros(1, np.int64)
-    return order, p[edge[:-1]].astype(np.int32) if len(p) else np.zeros(0, np.int32), edge
+    return p[edge[:-1]].astype(np.int32) if len(p) else np.zeros(0, np.int32), edge
+
+
+def counted(h: np.ndarray, parts: int, kind) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Which hashes occur twice in h; and the parts, with the hashes to tell each: once, or twice if they occur more often.
+
+    Sorted hashes are sorted by part too.
+    """
+    s = np.sort(h)
+    first = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    second = ~first
+    second[1:] &= first[:-1]
+    again = s[second]
+    told = s[first | second]
+    part, edge = bounds(part_of(told, parts))
+    twice = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h if len(again) else np.zeros(len(h), bool)
+    return twice, part, slices(told.astype(kind), edge)
+
+
+def by_text(ids: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
+    """A part or bucket of n for each text."""
+    return part_of(W.mix(ids.view(np.uint64) ^ W.mix(marks.view(np.uint64))), n)
+
+
+def packs(part: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that occurs, with the values of its places packed."""
+    order, part, edge = dealt(part)
+    return pa.RecordBatch.from_arrays([pa.array(part), *(slices(v[order], edge) for v in columns.values())], ["part", *columns])
+
+
+def whole(b: pa.RecordBatch, schema: str) -> pa.RecordBatch:
+    """b with the columns of the schema that it lacks as nulls."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) if c in b.schema.names else pa.nulls(len(b), pa.binary()) for c in names], names)
 
 
 def slices(values: np.ndarray, edge: np.ndarray) -> pa.Array:
@@ -83,21 +123,49 @@ def keys(b: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(pc.fill_null(b.column(k).slice(i, j - i), -1).to_numpy(zero_copy_only=False) for k in (0, 1))
 
 
-PROBE_SCHEMA = "part int, probes binary, blocks binary, ids binary, marks binary, numbers binary"
+#: probes: hashes; values, ids, marks, places: of what occurs once in its batch; sure_…: of what is known to be repeated.
+PROBE_SCHEMA = "part int, probes binary, values binary, ids binary, marks binary, places binary, sure_ids binary, sure_marks binary, sure_places binary"
+
+
+def told(h: np.ndarray, chosen: np.ndarray, ids: np.ndarray, marks: np.ndarray, places: np.ndarray, parts: int, kind) -> Iterator[pa.RecordBatch]:
+    """What a batch tells the parts: of its hashes h, and of the chosen ones whose places are wanted. kind: of the hashes on their way."""
+    twice, part, probes = counted(h, parts, kind)
+    yield whole(pa.RecordBatch.from_arrays([pa.array(part), probes], ["part", "probes"]), PROBE_SCHEMA)
+    sure = twice[chosen]
+    value = h[chosen]
+    columns = {"ids": ids, "marks": marks, "places": places.astype(np.uint32)}
+    one = {k: v[~sure] for k, v in columns.items()}
+    yield whole(packs(part_of(value[~sure], parts), values=value[~sure].astype(kind), **one), PROBE_SCHEMA)
+    i, m, p = (v[sure] for v in columns.values())
+    order = np.lexsort((p, m, i))
+    i, m, p = i[order], m[order], p[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1])
+    i, m, p = i[new], m[new], p[new]
+    yield whole(packs(by_text(i, m, parts), sure_ids=i, sure_marks=m, sure_places=p), PROBE_SCHEMA)
+
+
+def repeated(t: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one hash partition: (ids, marks, places) of what is found at two places or more."""
+    probes, values = np.sort(joined(t, "probes", kind)), joined(t, "values", kind)
+    hit = np.searchsorted(probes, values, "right") - np.searchsorted(probes, values) > 1
+    return tuple(np.concatenate([joined(t, c, of)[hit], joined(t, f"sure_{c}", of)]) for c, of in (("ids", np.int64), ("marks", np.int64), ("places", np.uint32)))
+
+
+def joined(t: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in t.column(name) if x.is_valid)])
 
 
 def _probes(parts: int, block: int):
-    def rows(g: Gather) -> pa.RecordBatch:
+    """Every rolling window of `block` words probes, every reference block is chosen."""
+
+    def rows(g: Gather) -> Iterator[pa.RecordBatch]:
         h, first, ids, marks = g.all()
         w, at = W.windows(h, first, block)
         text = np.repeat(np.arange(len(ids)), np.diff(first))[at]
-        order, part, edge = dealt(w, parts)
         number, off = np.divmod(at - first[text], block)
-        anchor = off[order] == 0
-        chosen = order[anchor]
-        bound = np.concatenate(([0], np.cumsum(anchor)))[edge]
-        low = w.astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array(part), slices(low[order], edge), slices(low[chosen], bound), slices(ids[text[chosen]], bound), slices(marks[text[chosen]], bound), slices(number[chosen].astype(np.uint32), bound)], ["part", "probes", "blocks", "ids", "marks", "numbers"])
+        chosen = np.flatnonzero(off == 0)
+        yield from told(w, chosen, ids[text[chosen]], marks[text[chosen]], number[chosen], parts, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Gather()
@@ -106,32 +174,24 @@ def _probes(parts: int, block: int):
                 h, _, _, first = W.words(data, off, lower=False)
                 g.add(h, first, *keys(b, i, j))
                 if g.n >= FLUSH:
-                    yield rows(g)
+                    yield from rows(g)
                     g.clear()
         if g.n:
-            yield rows(g)
+            yield from rows(g)
 
     return run
 
 
-def joined(t: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)] or [np.zeros(0, kind)])
-
-
 def _repeated_blocks(t: pa.Table) -> pa.Table:
     """One hash partition: the reference blocks that are found at two places or more."""
-    probes, blocks = np.sort(joined(t, "probes", np.uint32)), joined(t, "blocks", np.uint32)
-    hit = probes[np.minimum(np.searchsorted(probes, blocks) + 1, max(len(probes) - 1, 0))] == blocks if len(probes) > 1 else np.zeros(len(blocks), bool)
-    return pa.table({"doc_id": joined(t, "ids", np.int64)[hit], "mark": joined(t, "marks", np.int64)[hit], "number": joined(t, "numbers", np.uint32)[hit].astype(np.int32)})
-
-
-WINDOW_SCHEMA = "part int, hashes binary, ids binary, marks binary, starts binary"
+    ids, marks, numbers = repeated(t, np.uint32)
+    return pa.table({"doc_id": ids, "mark": marks, "number": numbers.astype(np.int32)})
 
 
 def _candidates(parts: int, window: int, block: int):
     """Windows around repeated blocks."""
 
-    def rows(g: Gather, wanted: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(g: Gather, wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, first, ids, marks = g.all()
         w, at = W.windows(h, first, window)
         text = np.repeat(np.arange(len(ids)), np.diff(first))[at]
@@ -143,9 +203,7 @@ def _candidates(parts: int, window: int, block: int):
         for k, numbers in enumerate(wanted):
             flag[base[k] + numbers] = True
         sel = np.flatnonzero(flag[base[text] + (start + block - 1) // block])
-        w, text, start = w[sel], text[sel], start[sel]
-        order, part, edge = dealt(w, parts)
-        return pa.RecordBatch.from_arrays([pa.array(part), slices(w[order], edge), slices(ids[text[order]], edge), slices(marks[text[order]], edge), slices(start[order].astype(np.uint32), edge)], ["part", "hashes", "ids", "marks", "starts"])
+        yield from told(w[sel], np.arange(len(sel)), ids[text[sel]], marks[text[sel]], start[sel], parts, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, wanted = Gather(), []
@@ -156,11 +214,11 @@ def _candidates(parts: int, window: int, block: int):
                 g.add(h, first, *keys(b, i, j))
                 wanted += [numbers[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for k in range(i, j)]
                 if g.n >= FLUSH:
-                    yield rows(g, wanted)
+                    yield from rows(g, wanted)
                     g.clear()
                     wanted = []
         if g.n:
-            yield rows(g, wanted)
+            yield from rows(g, wanted)
 
     return run
 
@@ -172,16 +230,8 @@ def _repeated_windows(buckets: int):
     """One hash partition: the windows whose hash is found at two places or more, packed by buckets of texts."""
 
     def run(t: pa.Table) -> pa.Table:
-        h = joined(t, "hashes", np.uint64)
-        order = np.argsort(h)
-        s = h[order]
-        twin = np.zeros(len(s), bool)
-        equal = s[1:] == s[:-1]
-        twin[1:] |= equal
-        twin[:-1] |= equal
-        hit = np.sort(order[twin])
-        ids, marks, starts = joined(t, "ids", np.int64)[hit], joined(t, "marks", np.int64)[hit], joined(t, "starts", np.uint32)[hit]
-        order, bucket, edge = dealt(W.mix(ids.view(np.uint64) ^ W.mix(marks.view(np.uint64))), buckets)
+        ids, marks, starts = repeated(t, np.uint64)
+        order, bucket, edge = dealt(by_text(ids, marks, buckets))
         return pa.table({"bucket": bucket, "ids": slices(ids[order], edge), "marks": slices(marks[order], edge), "starts": slices(starts[order], edge)})
 
     return run
@@ -216,7 +266,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     hits = probes.groupBy("part").applyInArrow(_repeated_blocks, "doc_id long, mark long, number int")
     hits = saved(hits.groupBy("doc_id", "mark").agg(F.collect_set("number").alias("numbers")), "blocks")
     near = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "numbers")
-    found = near.mapInArrow(_candidates(parts, window, block), WINDOW_SCHEMA).groupBy("part").applyInArrow(_repeated_windows(parts), FOUND_SCHEMA)
+    found = near.mapInArrow(_candidates(parts, window, block), PROBE_SCHEMA).groupBy("part").applyInArrow(_repeated_windows(parts), FOUND_SCHEMA)
     found = saved(found.groupBy("bucket").applyInArrow(_by_text, "doc_id long, mark long, starts binary"), "windows")
     dropped(hits)
     return found
