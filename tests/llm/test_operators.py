@@ -114,31 +114,44 @@ def test_url_parts_and_rules(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
-def test_propagation_matches_dense_iteration(spark):
-    names = [f"h{k}" for k in range(12)]
+def dense_ranks(names, edges, seeds):
+    """(trust, distrust) of each name as solutions of the linear equations."""
+    n = len(names)
+    send = np.zeros((n, n))
+    for (x, y), count in edges.items():
+        send[names.index(x), names.index(y)] += count
+    total = send.sum(axis=1)
+    send = np.where(total[:, None] > 0, send / np.maximum(total, 1)[:, None], np.eye(n))
+    d = urls.DAMPING
+    keeps = np.diag(np.diag(send) * (total == 0))
+    seed = np.array([seeds.get(x, (0, 0)) for x in names], float)
+    trust = np.linalg.solve(np.eye(n) - d * send.T, (1 - d) * seed[:, 0])
+    distrust = np.linalg.solve(np.eye(n) - d * np.where(total[:, None] > 0, send, keeps), (1 - d) * seed[:, 1])
+    return {x: (t, u) for x, t, u in zip(names, trust, distrust)}
+
+
+def test_propagation_matches_the_dense_solution(spark):
+    names = [f"h{k}" for k in range(14)]
     random.seed(2)
-    edges = {(a, b): random.randint(1, 4) for a in names[:9] for b in random.sample(names, 3) if a != b}
-    seeds = {n: (float(k % 3 == 0), float(k % 4 == 1)) for k, n in enumerate(names[:10])}
+    edges = {(a, b): random.randint(1, 4) for a in names[:9] for b in random.sample(names[:12], 3) if a != b} | {("h12", "h13"): 2, ("h13", "h12"): 1}
+    seeds = {n: (float(k % 3 == 0), float(k % 4 == 1)) for k, n in enumerate(names[:10])} | {"h12": (0.5, 0.5)}
     hosts = spark.createDataFrame([(n, *s) for n, s in seeds.items()], "host string, trust_seed double, distrust_seed double")
     got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(hosts, spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")).collect()}
-    for which in (0, 1):
-        send = np.zeros((12, 12))
-        for (a, b), n in edges.items():
-            i, j = names.index(a), names.index(b)
-            send[(i, j) if which == 0 else (j, i)] += n
-        total = send.sum(axis=1)
-        send = np.where(total[:, None] > 0, send / np.maximum(total, 1)[:, None], np.eye(12))
-        seed = np.array([seeds.get(n, (0, 0))[which] for n in names])
-        rank = np.linalg.solve(np.eye(12) - urls.DAMPING * send.T, (1 - urls.DAMPING) * seed)
-        assert max(abs(got[n][which] - r) for n, r in zip(names, rank) if n in got) < 0.02
+    want = dense_ranks(names, edges, seeds)
+    assert all(abs(got[n][k] - want[n][k]) < 1e-6 for n in got for k in (0, 1)) and "h13" in got
 
 
 def test_distrust_blocks_hosts_that_link_to_blocked_ones(spark):
     bad = [(k, f"http://bad.net/es/{k}", "") for k in range(5)]
-    ring = [(10 + k, f"http://ring.org/{k}", "<A x=1 HREF='http://bad.net/es/1'>b</a>") for k in range(5)]
-    good = [(20, "http://good.org/", '<a href="/x">x</a>')]
-    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(bad + ring + good, "page_id int, url string, html string"), threshold=0.3).collect()}
-    assert got[10]["verdict"] == "block" and got[20]["verdict"] == "allow" and got[10]["rule"] is None
+    rings = [(100 * r + k, f"http://ring{r}.org/{k}", "<A x=1 HREF='http://bad.net/es/1?a=1&amp;b'>b</a><a href=//bad.net/fr/>c</a>") for r in range(1, 31) for k in range(2)]
+    mixed = [(7000, "http://mixed.org/", "<a href='http://bad.net/es/1'></a>" + "".join(f"<a href='http://fine{k}.org/'></a>" for k in range(5)))]
+    behind = [(7001, "http://behind.org/", "<a href='http://ring1.org/'>x</a>")]
+    good = [(20, "http://good.org/", '<a href="/x">x</a>'), (21, "http://popular.org/", "")]
+    pages = bad + rings + mixed + behind + good + [(8000, "http://shop.com/", "<a href='http://popular.org/'></a>")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert all(got[k]["verdict"] == "block" and got[k]["rule"] is None for k, *_ in rings)
+    assert got[7000]["verdict"] == got[20]["verdict"] == got[21]["verdict"] == "allow" and got[7001]["verdict"] == "block"
+    assert abs(got[7000]["distrust"] - 0.85 / 6) < 1e-6 and abs(got[7001]["distrust"] - 0.85**2) < 1e-6 and got[21]["trust"] > 0.8
 
 
 # -- 2
@@ -520,6 +533,44 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest(df.where("vec_id = 0"), "vec_id", "embedding", one).count() == 0
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    x = [[1e200, 1e200], [1e200, 0.9e200], [1e-300, 1e-300], [-1e200, 3e-200], [1.0, 0.0]]
+    got = neighbours.nearest(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("id") == 0).collect()
+    score = {r["vec_id"]: r["score"] for r in got}
+    assert [r["vec_id"] for r in got][:2] == [2, 1] and abs(score[2] - 1) < 1e-15 and abs(score[4] - 0.5**0.5) < 1e-15 and score[3] < -0.7
+
+
+def test_queries_that_the_search_leaves_short_are_scanned(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SCANNED", 3)
+    x = np.random.default_rng(4).standard_normal((60, 6))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5), "nodes")
+    queries = nodes.where("node % 6 = 0").select(F.col("node").alias("id"), "node")
+    none = spark.createDataFrame([(0, 1, 7, 0.5)], "query_id long, rank int, vec_id long, score double")
+    got = collections.defaultdict(list)
+    for r in neighbours.completed(none, nodes, queries, 5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    s = neighbours.unit(x) @ neighbours.unit(x).T
+    np.fill_diagonal(s, -2)
+    assert got == {q: np.argsort(-s[q])[:5].tolist() for q in range(0, 60, 6)}
+
+
+def test_recall_over_many_cells(spark):
+    """20,000 vectors without clusters, with the parameters of production: more than a hundred cells, so descent decides."""
+    x = np.random.default_rng(7).standard_normal((20_000, 32)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))})).repartition(4)
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, "vec_id", "embedding", F.pmod(F.col("id"), F.lit(50)) == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    u = neighbours.unit(x.astype(float))
+    hits = 0
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(found & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert len(got) == 400 and hits / (5 * len(got)) >= 0.9
+
+
 def test_neighbour_graph_of_many_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
     x = np.random.default_rng(1).standard_normal((1200, 24))
