@@ -1,15 +1,17 @@
 """Approximate nearest neighbours: an NN-descent graph by iterative joins, and greedy graph search.
 
-Equal vectors form one node that knows its smallest ids, so a group of copies costs one node. First
-neighbours come from random-projection cells. Each descent round joins every node's code to the nodes
-that are its neighbours or have it as one; there all that meet are compared, and the better pairs go
-back to their nodes, which keep the GRAPH_K best. A hub meets, in each round, another draw of the nodes
-that point to it. Rounds go on until one changes at most DELTA of the graph. Then the neighbours of a
-sample of nodes are compared with those of a full scan; while fewer than RECALL of them are right, the
-graph gets more neighbours a node, newly drawn cells and further rounds, so its size follows the table.
-Codes are unit vectors of 16-bit floats. A query starts at its own node, and in each step opens the
+Equal vectors form one node that knows its smallest ids, so a group of copies costs one node. A few
+small random-projection cells give first, mostly wrong neighbours. Each descent round then joins nodes
+to their neighbours' neighbours: at every node meet a draw of its neighbours and of the nodes that
+have it as one, and pairs of which one is new there (not yet compared in an earlier round) are scored;
+better ones go back to their nodes, which keep the GRAPH_K best. A hub meets another draw of the nodes
+that point to it in each round. Rounds go on until one changes at most DELTA of the graph. Then the
+neighbours of a sample of nodes are compared with those of a full scan; while fewer than RECALL of
+them are right, the graph gets more neighbours a node (MOST_K at most), newly drawn cells and further
+rounds, so its size follows the table. Codes are unit vectors of 16-bit floats. A query starts at its own node, and in each step opens the
 best nodes that it has not opened yet, until all in its beam are open; the BEAM best nodes found are
-scored in double precision on the original vectors and expanded to ids.
+scored in double precision on the original vectors and expanded to ids. Queries that still have fewer
+results than there are candidates for are answered by a full scan, in blocks of SCANNED.
 
 Defined results: vectors that are null, empty, zero, of a length other than the commonest, or that
 hold null or non-finite components take no part, nor do rows with a null id; a query's own id is no
@@ -26,18 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm import words as W
 from quantloom.llm.streams import as_binary, binaries, run_bounds, whole_runs
 from quantloom.session import dropped, saved, ship
 
 WANTED, QUERY_STEP = 5, 50
-GRAPH_K, RETURNED = 40, 10
+GRAPH_K, MOST_K, RETURNED = 48, 256, 12
 #: A round that changes a larger share of the neighbours is followed by another; PROBES nodes measure the graph's recall.
 DELTA, RECALL, PROBES = 0.01, 0.92, 256
 #: Rows aimed at for each random-projection cell, the most compared at once, and how many times cells are drawn.
-CELL_ROWS, CELL_MOST, CELL_TREES = 1024, 2048, 12
+CELL_ROWS, CELL_MOST, CELL_TREES = 128, 1024, 2
 BEAM, OPEN = 96, 16
-SAMPLE_ROWS = 2000
-GRAPH = "node long, code binary, neighbours binary, sims binary"
+SAMPLE_ROWS, SCANNED = 2000, 256
+#: Rows of neighbours or members that a Python task works on at once.
+AT_ONCE = 1 << 18
+GRAPH = "node long, code binary, neighbours binary, sims binary, flags binary"
 MERGED = f"{GRAPH}, fresh int"
 
 
@@ -54,6 +59,11 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square over- or underflows; cosines stay the same to the bit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(column: pa.Array, kind) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False) if pa.types.is_list(column.type) else binaries(column, kind)[0]
     return values.reshape(len(column), -1)
@@ -115,39 +125,66 @@ def _cell_pairs(k: int, most: int):
                     at = _best(s, min(k, n - 1))
                     keep = np.take_along_axis(s, at, 1)
                     width = np.arange(n + 1) * at.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.nulls(n, pa.binary()), as_binary(node[m][at].ravel(), width), as_binary(keep.ravel(), width)], ["node", "code", "neighbours", "sims"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[m]), pa.nulls(n, pa.binary()), as_binary(node[m][at].ravel(), width), as_binary(keep.ravel(), width)], ["node", "code", "neighbours", "sims"]).append_column("flags", pa.nulls(n, pa.binary()))
 
     return run
 
 
-def _merge(k: int):
-    """Rows sorted by node -> one row a node with its code, its k best neighbours, and how many of them its coded row lacked."""
+def drawn(at: int, center: np.ndarray, member: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which (center, member) pairs the at-th round draws, each with the chance `share`."""
+    h = W.mix(W.mix(center.view(np.uint64) + np.uint64(at + 1) * np.uint64(W.BASE)) ^ member.view(np.uint64))
+    return (h >> np.uint64(40)).astype(np.float64) < share * (1 << 24)
+
+
+def _shares(flags: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """For each neighbour of rows with n ones: the share of its row's new, or old, neighbours that a draw of `most` takes."""
+    owner = np.repeat(np.arange(len(n)), n)
+    new = np.bincount(owner, flags, len(n))
+    return most / np.maximum(np.where(flags > 0, new[owner], (n - new)[owner]), most)
+
+
+def _merge(k: int, at: int):
+    """Rows sorted by node -> one row a node with its code, its k best neighbours, which of them are still new after the at-th round, and how many its coded row lacked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_runs(batches):
             key = b.column(0).to_numpy()
+            counts = binaries(b.column(3), np.float32)[1]
+            # In pieces of whole runs with a bounded number of neighbours.
             edge = run_bounds(key)
-            which = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-            other, n = binaries(b.column(2), np.int64)
-            sims, _ = binaries(b.column(3), np.float32)
-            owner = np.repeat(which, n)
-            new = np.repeat(~np.asarray(b.column(1).is_valid()), n)
-            fine = (other != key[edge[owner]]) & (sims > -2) if len(owner) else np.zeros(0, bool)
-            owner, other, sims, new = owner[fine], other[fine], sims[fine], new[fine]
-            order = np.lexsort((-sims, new, other, owner))
-            owner, other, sims, new = owner[order], other[order], sims[order], new[order]
-            first = np.ones(len(owner), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-            owner, other, sims, new = owner[first], other[first], sims[first], new[first]
-            order = np.lexsort((other, -sims, owner))
-            owner, other, sims, new = owner[order], other[order], sims[order], new[order]
-            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            owner, other, sims, new = owner[rank < k], other[rank < k], sims[rank < k], new[rank < k]
-            fresh = np.bincount(owner[new], minlength=len(edge) - 1).astype(np.int32)
-            bound = np.searchsorted(owner, np.arange(len(edge)))
-            coded = np.flatnonzero(np.asarray(b.column(1).is_valid()))
-            out = pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), b.column(1).take(pa.array(coded)) if len(coded) == len(edge) - 1 else _codes(b, which, len(edge) - 1), as_binary(other, bound), as_binary(sims, bound), pa.array(fresh)], ["node", "code", "neighbours", "sims", "fresh"])
-            yield out
+            total = np.concatenate(([0], np.cumsum(counts)))[edge]
+            i = 0
+            while i < len(edge) - 1:
+                j = max(i + 1, int(np.searchsorted(total, total[i] + AT_ONCE, "right")) - 1)
+                yield merged(b.slice(edge[i], edge[j] - edge[i]))
+                i = j
+
+    def merged(b: pa.RecordBatch) -> pa.RecordBatch:
+        key = b.column(0).to_numpy()
+        edge = run_bounds(key)
+        nodes = len(edge) - 1
+        which = np.repeat(np.arange(nodes), np.diff(edge))
+        other, n = binaries(b.column(2), np.int64)
+        sims, _ = binaries(b.column(3), np.float32)
+        flags = np.ones(len(other), np.uint8)
+        known = np.repeat(np.asarray(b.column(4).is_valid()), n)
+        old, m = binaries(b.column(4), np.uint8)
+        flags[known] = old & ~drawn(at, np.repeat(key, m), other[known], _shares(old, m, k // 2)) if at >= 0 else old
+        owner = np.repeat(which, n)
+        fine = (other != key[edge[owner]]) & (sims > -2) if len(owner) else np.zeros(0, bool)
+        owner, other, sims, flags, known = (x[fine] for x in (owner, other, sims, flags, known))
+        # Of a neighbour that comes twice, what is known of it counts.
+        order = np.lexsort((-sims, ~known, other, owner))
+        owner, other, sims, flags, known = (x[order] for x in (owner, other, sims, flags, known))
+        first = np.ones(len(owner), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+        owner, other, sims, flags, known = (x[first] for x in (owner, other, sims, flags, known))
+        order = np.lexsort((other, -sims, owner))
+        order = order[np.arange(len(order)) - np.searchsorted(owner, owner) < k]
+        owner, other, sims, flags, known = (x[order] for x in (owner, other, sims, flags, known))
+        fresh = np.bincount(owner[~known], minlength=nodes).astype(np.int32)
+        bound = np.searchsorted(owner, np.arange(nodes + 1))
+        return pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), _codes(b, which, nodes), as_binary(other, bound), as_binary(sims, bound), as_binary(flags, bound), pa.array(fresh)], ["node", "code", "neighbours", "sims", "flags", "fresh"])
 
     return run
 
@@ -159,13 +196,20 @@ def _codes(b: pa.RecordBatch, which: np.ndarray, n: int) -> pa.Array:
     return b.column(1).take(pa.array(at, mask=at < 0))
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(center, member, back) for each neighbour in both directions; back: the member points to the center."""
-    for b in batches:
-        other, n = binaries(b.column(1), np.int64)
-        own = np.repeat(b.column(0).to_numpy(), n)
-        for c, m, back in ((own, other, False), (other, own, True)):
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(m), pa.array(np.full(len(c), back))], ["center", "member", "back"])
+def _edges(k: int, at: int):
+    """(center, member, new, back) for the neighbours that the at-th round draws, in both directions; back: the member points to the center."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            other, n = binaries(b.column(1), np.int64)
+            flags, _ = binaries(b.column(2), np.uint8)
+            own = np.repeat(b.column(0).to_numpy(), n)
+            chosen = drawn(at, own, other, _shares(flags, n, k // 2))
+            own, other, new = own[chosen], other[chosen], flags[chosen] > 0
+            for c, m, back in ((own, other, False), (other, own, True)):
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(m), pa.array(new), pa.array(np.full(len(c), back))], ["center", "member", "new", "back"])
+
+    return run
 
 
 def _with_least(k: int):
@@ -181,36 +225,47 @@ def _with_least(k: int):
 
 
 def _local_join(k: int):
-    """Rows (center, member, code, least) sorted by center -> better pairs for the members."""
+    """Rows (center, member, new, code, least) sorted by center -> better pairs for the members, of which one is new at the center."""
+
+    def found(b: pa.RecordBatch, edge: np.ndarray) -> pa.RecordBatch | None:
+        member, new, least = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy()
+        x = _matrix(b.column(3), np.float16).astype(np.float32)
+        owners, others, sims = [], [], []
+        for i, j in zip(edge, edge[1:], strict=False):
+            # New ones first; of a member that comes twice, the new row counts.
+            order = i + np.lexsort((member[i:j], ~new[i:j]))
+            _, once = np.unique(member[order], return_index=True)
+            order = order[np.sort(once)]
+            m, at_least, n_new = member[order], least[order], int(new[order].sum())
+            if len(m) < 2 or not n_new:
+                continue
+            s = x[order[:n_new]] @ x[order].T
+            s[np.arange(n_new), np.arange(n_new)] = -2
+            for value, own, rest, low in ((s, m[:n_new], m, at_least[:n_new]), (s[:, n_new:].T, m[n_new:], m[:n_new], at_least[n_new:])):
+                if value.size:
+                    best = _best(value, min(k, value.shape[1]))
+                    top = np.take_along_axis(value, best, 1)
+                    row, col = np.nonzero(top > low[:, None])
+                    owners.append(own[row])
+                    others.append(rest[best[row, col]])
+                    sims.append(top[row, col])
+        if not owners:
+            return None
+        owner, other, sim = np.concatenate(owners), np.concatenate(others), np.concatenate(sims)
+        order = np.lexsort((other, owner))
+        owner, other, sim = owner[order], other[order], sim[order]
+        first = np.ones(len(owner), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+        owner, other, sim = owner[first], other[first], sim[first]
+        edge = run_bounds(owner)
+        none = pa.nulls(len(edge) - 1, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), none, as_binary(other, edge), as_binary(sim, edge), none], ["node", "code", "neighbours", "sims", "flags"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_runs(batches):
-            edge = run_bounds(b.column(0).to_numpy())
-            member, least = b.column(1).to_numpy(), b.column(3).to_numpy()
-            x = _matrix(b.column(2), np.float16).astype(np.float32)
-            owners, others, sims = [], [], []
-            for i, j in zip(edge, edge[1:], strict=False):
-                m, at = np.unique(member[i:j], return_index=True)
-                if len(m) < 2:
-                    continue
-                s = x[i:j][at] @ x[i:j][at].T
-                np.fill_diagonal(s, -2)
-                best = _best(s, min(k, len(m) - 1))
-                value = np.take_along_axis(s, best, 1)
-                row, col = np.nonzero(value > least[i:j][at][:, None])
-                owners.append(m[row])
-                others.append(m[best[row, col]])
-                sims.append(value[row, col])
-            if not owners:
-                continue
-            owner, other, sim = np.concatenate(owners), np.concatenate(others), np.concatenate(sims)
-            order = np.lexsort((other, owner))
-            owner, other, sim = owner[order], other[order], sim[order]
-            first = np.ones(len(owner), bool)
-            first[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-            owner, other, sim = owner[first], other[first], sim[first]
-            edge = run_bounds(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), pa.nulls(len(edge) - 1, pa.binary()), as_binary(other, edge), as_binary(sim, edge)], ["node", "code", "neighbours", "sims"])
+            out = found(b, run_bounds(b.column(0).to_numpy()))
+            if out is not None:
+                yield out
 
     return run
 
@@ -255,14 +310,14 @@ def recall_of(graph: DataFrame, n: int, wanted: int = WANTED) -> float:
 
 def _descended(graph: DataFrame, k: int, at: int) -> DataFrame:
     """The graph after a round of descent, the at-th; the given one is deleted."""
-    edges = graph.select("node", "neighbours").mapInArrow(_edges, "center long, member long, back boolean")
-    rank = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64(F.lit(at), "center", "member")))
-    back = edges.where("back").withColumn("rank", rank).where(F.col("rank") <= k * 4 // 5).select("center", "member")
-    edges = edges.where("NOT back").select("center", "member").unionByName(back)
+    edges = graph.select("node", "neighbours", "flags").mapInArrow(_edges(k, at), "center long, member long, new boolean, back boolean")
+    rank = F.row_number().over(Window.partitionBy("center", "new").orderBy(F.xxhash64(F.lit(at), "center", "member")))
+    back = edges.where("back").withColumn("rank", rank).where(F.col("rank") <= k // 2).select("center", "member", "new")
+    edges = edges.where("NOT back").select("center", "member", "new").unionByName(back)
     codes = graph.select("node", "code", "sims").mapInArrow(_with_least(k), "member long, code binary, least float")
-    met = edges.join(codes, "member").select("center", "member", "code", "least")
+    met = edges.join(codes, "member").select("center", "member", "new", "code", "least")
     found = _sorted_by(met, "center").mapInArrow(_local_join(RETURNED), GRAPH)
-    new = saved(_sorted_by(graph.drop("fresh").unionByName(found), "node").mapInArrow(_merge(k), MERGED), "graph")
+    new = saved(_sorted_by(graph.drop("fresh").unionByName(found), "node").mapInArrow(_merge(k, at), MERGED), "graph")
     dropped(graph)
     return new
 
@@ -284,8 +339,8 @@ def graph_of(nodes: DataFrame, k: int = GRAPH_K, trees: int = CELL_TREES, wanted
         cells = nodes.select("node", "code").mapInArrow(_cells(planes, middle), "cell long, node long, code binary")
         return _sorted_by(cells, "cell", F.xxhash64("node")).mapInArrow(_cell_pairs(k, CELL_MOST), GRAPH)
 
-    bare = nodes.select("node", "code", F.lit(None).cast("binary").alias("neighbours"), F.lit(None).cast("binary").alias("sims"))
-    graph = saved(_sorted_by(bare.unionByName(met_in_cells()), "node").mapInArrow(_merge(k), MERGED), "graph")
+    bare = nodes.select("node", "code", *(F.lit(None).cast("binary").alias(c) for c in ("neighbours", "sims", "flags")))
+    graph = saved(_sorted_by(bare.unionByName(met_in_cells()), "node").mapInArrow(_merge(k, -1), MERGED), "graph")
     at = 0
     while True:
         changed = True
@@ -293,10 +348,10 @@ def graph_of(nodes: DataFrame, k: int = GRAPH_K, trees: int = CELL_TREES, wanted
             graph = _descended(graph, k, at)
             changed = (graph.agg(F.sum("fresh")).first()[0] or 0) > DELTA * n * k
             at += 1
-        if k >= n - 1 or recall_of(graph, n, wanted) >= RECALL:
+        if k >= min(n - 1, MOST_K) or recall_of(graph, n, wanted) >= RECALL:
             return graph
-        k = min(n - 1, k * 3 // 2)
-        more = saved(_sorted_by(graph.drop("fresh").unionByName(met_in_cells()), "node").mapInArrow(_merge(k), MERGED), "graph")
+        k = min(n - 1, MOST_K, k * 3 // 2)
+        more = saved(_sorted_by(graph.drop("fresh").unionByName(met_in_cells()), "node").mapInArrow(_merge(k, -1), MERGED), "graph")
         dropped(graph)
         graph = more
 
@@ -375,7 +430,7 @@ def _exact(wanted: int):
         for b in whole_runs(batches):
             q, u = b.column(0).to_numpy(), b.column(1).to_numpy()
             edge = run_bounds(q)
-            x = _matrix(b.column(2), None)
+            x = scaled(_matrix(b.column(2), None))
             norm = np.sqrt((x * x).sum(axis=1))
             ids = b.column(3)
             out = ([], [], [])
@@ -412,6 +467,48 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, wanted: int =
     return found.withColumn("rank", rank).where(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
 
 
+def _scan(ids: np.ndarray, vectors: np.ndarray, wanted: int):
+    """(vector, ids) of nodes -> the wanted + 1 best (query_id, vec_id, score) of each query among the rows of a batch."""
+    asked = scaled(vectors)
+    asked_norm = np.sqrt((asked * asked).sum(axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = scaled(_matrix(b.column(0), None))
+            norm = np.sqrt((x * x).sum(axis=1))
+            vec = [v.values.to_numpy(zero_copy_only=False) for v in b.column(1)]
+            of, vec = np.repeat(np.arange(len(b)), [len(v) for v in vec]), np.concatenate(vec)
+            for q, a, n in zip(ids, asked, asked_norm, strict=True):
+                score = ((x * a).sum(axis=1) / (norm * n))[of]
+                top = np.lexsort((vec, -score))[: wanted + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(vec[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def completed(found: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int) -> DataFrame:
+    """found, where queries with fewer results than they could have get those of a full scan instead."""
+    some = nodes.agg(F.sum(F.size("ids"))).first()[0] or 0
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(wanted, some - 1)).select(F.col("query_id").alias("id"))
+    lacking = saved(queries.join(enough, "id", "left_anti").join(nodes.select("node", "vector"), "node").select("id", "vector"), "lacking")
+    n = lacking.count()
+    if not n:
+        dropped(lacking)
+        return found
+    blocks = -(-n // SCANNED)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    out = found.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    for k in range(blocks):
+        rows = lacking.where(block == k).collect()
+        if rows:
+            best = nodes.select("vector", "ids").mapInArrow(_scan(np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows]), wanted), "query_id long, vec_id long, score double")
+            out = out.unionByName(saved(best.where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= wanted), "scanned").select(found.columns))
+    return out
+
+
 def nearest(table: DataFrame, id_column: str, vector: str, is_query, wanted: int = WANTED) -> DataFrame:
     """The wanted nearest rows of every row for which the Column is_query (of `id`) holds."""
     ship(table.sparkSession)
@@ -420,7 +517,10 @@ def nearest(table: DataFrame, id_column: str, vector: str, is_query, wanted: int
     asked = rows.where(is_query).select("id", "h1", "h2").distinct()
     of_node = nodes.select("node", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     queries = saved(asked.join(of_node, ["h1", "h2"]).select("id", "node"), "queries")
-    return search(nodes, graph_of(nodes, wanted=wanted), queries, wanted)
+    graph = graph_of(nodes, wanted=wanted)
+    found = saved(search(nodes, graph, queries, wanted), "found")
+    dropped(graph)
+    return completed(found, nodes, queries, wanted)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
