@@ -4,9 +4,12 @@ Whether a token is final depends only on a bounded stretch of text behind it. Th
 lookahead follows from the merge list: a change at the end of the known text moves a token boundary
 to its left only through merges of rising rank, each of whose right parts begins with the left part
 of the one before; the longest such chain, in symbols, bounds how far it gets. A token that ends
-further than that from the end of what is known is emitted, and its symbols are forgotten, so memory
-stays constant however long a word is. Decoding turns ids into bytes and bytes into text with an
-incremental state machine, and holds no more than an unfinished character.
+further than that from the end of what is known is emitted, and its symbols are forgotten. So what is
+held beside the text itself does not grow with it: a text is taken in stretches of about STRETCH
+characters, cut before white space (or inside a word longer than that, which the transducer reads as it
+goes), and the ids of a stretch are hashed, decoded and let go before the next. Decoding turns ids into
+bytes and bytes into text with an incremental state machine, and holds no more than an unfinished
+character.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are encoded each; other
 columns are ignored. Strings of added tokens inside a text become those tokens, as the tokenizers
@@ -18,6 +21,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -33,8 +37,10 @@ from quantloom.session import ship
 
 #: White space of Unicode, which the splitting pattern leaves out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a text may be cut.
+BREAK = re.compile(r"[\t\n\r ]")
 CACHE_WORDS, LONG_WORD = 1 << 18, 256
-IDS_AT_ONCE = 1 << 16
+STRETCH, IDS_AT_ONCE = 1 << 16, 1 << 16
 _coders: dict[str, Coder] = {}
 
 
@@ -121,19 +127,20 @@ class Coder:
     def transduce(self, word: str) -> Iterator[int]:
         """The ids of one word; holds two lookaheads of symbols at most."""
         alphabet, vocab, hold = self.alphabet, self.vocab, self.lookahead + 1
-        symbols = [alphabet[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        start, n, room = 0, len(symbols), 2 * hold + LONG_WORD
+        raw = word.encode()
+        start, n, room = 0, len(raw), 2 * hold + LONG_WORD
         while n - start > room:
             at = start
-            for token in self.merge(symbols[start : start + room]):
+            for token in self.merge([alphabet[b] for b in raw[start : start + room]]):
                 at += len(token)
                 if at > start + room - hold:
                     at -= len(token)
                     break
                 yield vocab[token]
             start = at
-        for token in self.merge(symbols[start:]):
+        symbols = [alphabet[b] for b in raw[start:]]
+        symbols[-1] += self.suffix
+        for token in self.merge(symbols):
             yield vocab[token]
 
     def normalised(self, text: str) -> str:
@@ -143,16 +150,46 @@ class Coder:
 
     def encode(self, text: str) -> array:
         """All ids of a whole text, as unsigned 32-bit integers."""
-        ids, at = array("I"), 0
-        for m in self.split.finditer(text) if self.split else ():
-            ids.extend(self._plain(text[at : m.start()]))
-            ids.append(self.added[m.group()])
-            at = m.end()
-        ids.extend(self._plain(text[at:] if at else text))
+        ids = array("I")
+        for some in self.stretches(text):
+            ids.extend(some)
         return ids
 
-    def _plain(self, text: str) -> Iterable[int]:
-        return chain.from_iterable(map(self.cache.__getitem__, self.words_of.findall(self.normalised(text)))) if text else ()
+    def stretches(self, text: str) -> Iterator[array]:
+        """The ids of a text, in pieces of bounded length."""
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            yield from self._plain(text, at, m.start())
+            yield array("I", [self.added[m.group()]])
+            at = m.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, start: int, end: int) -> Iterator[array]:
+        """The ids of text[start:end], which holds no added token.
+
+        Cuts come before an ASCII space, tab or line end: neither normalising, lower-casing nor
+        splitting into words looks across one.
+        """
+        while start < end:
+            cut = end
+            if end - start > STRETCH and (m := BREAK.search(text, start + STRETCH, end)):
+                cut = m.start()
+            yield from self._words(self.normalised(text[start:cut]))
+            start = cut
+
+    def _words(self, text: str) -> Iterator[array]:
+        if len(text) <= 2 * STRETCH:
+            yield array("I", chain.from_iterable(map(self.cache.__getitem__, self.words_of.findall(text))))
+            return
+        ids = array("I")
+        for m in self.words_of.finditer(text):
+            word = m.group()
+            for i in self.cache[word] if len(word) <= LONG_WORD else self.transduce(word):
+                ids.append(i)
+                if len(ids) >= IDS_AT_ONCE:
+                    yield ids
+                    ids = array("I")
+        yield ids
 
     def decoded(self, ids: array) -> Iterator[str]:
         """The text of the ids as the library decodes a vocabulary without a decoder: token strings with a space between, piece by piece."""
@@ -198,13 +235,16 @@ def _digests(path: str):
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1):
-                ids = c.encode(text.as_py() or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(little_endian(ids)).hexdigest())
-                sha = hashlib.sha256()
-                for piece in c.decoded(ids):
-                    sha.update(piece.encode())
-                text_sha.append(sha.hexdigest())
+                total, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                machine = Decoder(c.token_bytes, b" ")
+                for ids in c.stretches(text.as_py() or ""):
+                    total += len(ids)
+                    of_ids.update(little_endian(ids))
+                    of_text.update(machine.feed(ids).encode())
+                of_text.update(machine.finish().encode())
+                n.append(total)
+                ids_sha.append(of_ids.hexdigest())
+                text_sha.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
