@@ -1,14 +1,20 @@
 """Media columns: interleaved document sequences.
 
-HTML is parsed into an ordered array of structs: text runs, and references to media with their
-caption. A reference names its payload by digest; payloads live once each in a table of their own, and
-a join by digest resolves them while position and caption stay with the reference. Payloads are
-stored losslessly as 8-bit grey samples (binary PGM, WIDTH samples a row).
+HTML is parsed into an ordered array of structs: text runs, and references to media with their source
+and caption. A reference names its payload by digest, in its source or by a table of sources; a join by
+digest resolves payloads or what was read from them, while position and caption stay with the
+reference. Payloads are stored losslessly as 8-bit grey samples (binary PGM, WIDTH samples a row), once
+for each digest and task, and each digest has one row of features.
+
+The query makes a document of each text: a heading, a preview (its 8 x 8 bands), a text run, the payload
+of the whole text, and a closing run; it parses that HTML, resolves both references and returns the
+payload's, found by position and caption.
 
 Defined results: null html has no items; text between tags is one item with white space collapsed,
-scripts and styles are left out; a reference whose digest is unknown resolves to nulls and stays in
-its place; equal payloads share a row of the media table; a null text counts as empty and is stored
-as WIDTH zero bytes; other columns are ignored.
+scripts and styles are left out; images, videos, audios, embeds and objects are references, of a picture
+its image, of a video or audio without a source the first of its sources; a reference whose digest is
+unknown resolves to nulls and stays in its place; equal payloads share a row of features; a null text
+counts as empty and is stored as WIDTH zero bytes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,9 +33,15 @@ from pyspark.sql import functions as F
 from quantloom.session import saved, ship
 
 WIDTH, SCHEME = 64, "media:"
-ITEMS = "array<struct<pos:int,kind:string,text:string,digest:string,caption:string>>"
+PREVIEW, PAYLOAD = "preview", "payload"
+ITEMS = "array<struct<pos:int,kind:string,text:string,tag:string,source:string,digest:string,caption:string>>"
+#: Digests that a task remembers as stored before it starts anew.
+MOST_SEEN = 1 << 20
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+_ITEM = pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "tag", "source", "digest", "caption"))])
+INLINE = {"b", "i", "em", "strong", "span", "a", "br", "u", "s", "small", "sub", "sup", "code", "mark", "font", "abbr", "cite", "q", "time", "picture", "source"}
+#: Tags of media, and the attributes that may hold the source and the caption.
+MEDIA = {"img": (("src", "data-src"), ("alt", "title")), "video": (("src", "data-src"), ("title", "aria-label")), "audio": (("src", "data-src"), ("title", "aria-label")), "embed": (("src",), ("title",)), "object": (("data",), ("title",))}
 
 
 class _Parser(HTMLParser):
@@ -46,21 +59,28 @@ class _Parser(HTMLParser):
         text = " ".join(" ".join(self.words).split())
         self.words = []
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "tag": None, "source": None, "digest": None, "caption": None})
+
+    def set_source(self, source: str | None) -> None:
+        self.image["source"] = source
+        self.image["digest"] = source.removeprefix(SCHEME) if source and source.startswith(SCHEME) else None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in ("script", "style"):
             self.hidden += 1
-        elif tag == "img":
+        elif tag in MEDIA and not self.hidden:
             self.flush()
-            src = a.get("src") or ""
-            self.image = {"kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": a.get("alt")}
+            sources, captions = (next((a[k] for k in names if a.get(k)), None) for names in MEDIA[tag])
+            self.image = {"kind": "media", "text": None, "tag": tag, "caption": captions}
+            self.set_source(sources)
             self.items.append(self.image)
+        elif tag == "source" and self.image is not None and self.image["tag"] in ("video", "audio") and self.image["source"] is None:
+            self.set_source(a.get("src"))
         elif tag == "figcaption" and self.image is not None:
             self.flush()
             self.caption = []
-        elif tag not in ("b", "i", "em", "strong", "span", "a", "br"):
+        elif tag not in INLINE:
             self.flush()
             if tag == "figure":
                 self.image = None
@@ -74,7 +94,7 @@ class _Parser(HTMLParser):
         elif tag == "figure":
             self.flush()
             self.image = None
-        elif tag not in ("b", "i", "em", "strong", "span", "a", "br"):
+        elif tag not in INLINE:
             self.flush()
 
     def handle_data(self, data):
@@ -94,7 +114,7 @@ def parse(html: str | None) -> list[dict]:
 
 
 def sequences(df: DataFrame, key: str, html: str) -> DataFrame:
-    """key, items (pos, kind, text, digest, caption) of every row of df."""
+    """key, items (pos, kind, text, tag, source, digest, caption) of every row of df."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,29 +143,57 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
 
 
+def _cells(x: np.ndarray) -> np.ndarray:
+    """Means of 8 x 8 parts of the image."""
+    rows = x.reshape(-1, WIDTH)
+    bands = np.array_split(rows, 8) if len(rows) >= 8 else [rows[k * len(rows) // 8 : k * len(rows) // 8 + 1] for k in range(8)]
+    return np.stack([b.reshape(len(b), 8, 8).sum(axis=(0, 2), dtype=np.int64) / (8 * len(b)) for b in bands])
+
+
 def feature(samples: bytes) -> str:
     """Mean, deviation and an 8 x 8 average hash of the image."""
     x = np.frombuffer(samples, np.uint8)
     n, total, square = len(x), int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
-    rows = x.reshape(-1, WIDTH)
-    bands = np.array_split(rows, 8) if len(rows) >= 8 else [rows[k * len(rows) // 8 : k * len(rows) // 8 + 1] for k in range(8)]
-    cells = np.stack([b.reshape(len(b), 8, 8).sum(axis=(0, 2), dtype=np.int64) / (8 * len(b)) for b in bands])
-    bits = (cells.ravel() > total / n).astype(np.uint8)
+    bits = (_cells(x).ravel() > total / n).astype(np.uint8)
     return f"mean={total / n:.6f};dev={max(square / n - (total / n) ** 2, 0) ** 0.5:.6f};hash={np.packbits(bits).tobytes().hex()}"
 
 
+def preview(payload: bytes) -> bytes:
+    """64 samples: the mean of each eighth of the columns in each eighth of the rows."""
+    x = np.frombuffer(payload, np.uint8)
+    return (_cells(x) + 0.5).astype(np.uint8).tobytes()
+
+
+def digest_of(payload: bytes, n_bytes: int) -> str:
+    return hashlib.sha256(payload + n_bytes.to_bytes(8, "little")).hexdigest()
+
+
+def figure(digest: str, caption: str) -> str:
+    return f'<figure><img src="{SCHEME}{digest}" alt="samples"><figcaption>{escape(caption)}</figcaption></figure>'
+
+
+def document(raw: bytes) -> tuple[str, dict[str, bytes]]:
+    """The HTML of a text and the media that it refers to, by digest."""
+    payload = padded(raw)
+    small = preview(payload)
+    one, two = digest_of(small, len(small)), digest_of(payload, len(raw))
+    html = f"<article><h1>Text of {len(raw)} bytes</h1>{figure(one, PREVIEW)}<p>It takes <b>{len(payload) // WIDTH}</b> rows &amp; {WIDTH} columns:</p>{figure(two, f'{PAYLOAD}: {len(raw)} bytes')}<p>end of {two[:8]}</p></article>"
+    return html, {one: to_media(small, len(small)), two: to_media(payload, len(raw))}
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, html, digest, media): the interleaved document and its stored payload."""
+    """(id, text) -> (id, html, media): the interleaved document, and those of its media that the task has not stored yet."""
+    seen: set[str] = set()
     for b in batches:
-        htmls, digests, media = [], [], []
+        htmls, stored_now = [], []
         for text in b.column(1):
-            raw = (text.as_py() or "").encode()
-            payload = padded(raw)
-            digest = hashlib.sha256(payload + len(raw).to_bytes(8, "little")).hexdigest()
-            htmls.append(f'<article><p>payload of a document</p><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
-            digests.append(digest)
-            media.append(to_media(payload, len(raw)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(htmls, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.large_binary()).cast(pa.binary())], ["doc_id", "html", "digest", "media"])
+            html, media = document((text.as_py() or "").encode())
+            htmls.append(html)
+            stored_now.append([{"digest": d, "media": m} for d, m in media.items() if d not in seen])
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            seen.update(media)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(htmls, pa.string()), pa.array(stored_now, pa.list_(pa.struct([("digest", pa.string()), ("media", pa.binary())])))], ["doc_id", "html", "media"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +211,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """A row of features for each digest of media (digest, media), read from the stored bytes."""
+    """A row of features for each digest of media (digest, media), read from the stored bytes and written to the shared folder."""
     ship(media.sparkSession)
-    return media.select("digest", "media").mapInArrow(_features, FEATURES).dropDuplicates(["digest"])
+    return saved(media.select("digest", "media").mapInArrow(_features, FEATURES).dropDuplicates(["digest"]), "features")
 
 
-def resolve(items: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """key, pos, kind, text, digest, caption and the columns of media (one row a digest), a row for each item.
+def resolve(items: DataFrame, key: str, media: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """key, pos, kind, text, tag, source, digest, caption and the columns of media (one row a digest), a row for each item.
 
-    Only references with a digest take part in the join, so text items don't meet in one task.
+    sources (source, digest; one row a source) names the digests of plain sources. Only references with
+    a digest take part in the join, so text items don't meet in one task; a digest that many documents
+    refer to is split by Spark, as media is a written table.
     """
     rows = items.select(key, F.explode("items").alias("item")).select(key, "item.*")
+    if sources is not None:
+        plain = F.col("digest").isNull() & F.col("source").isNotNull()
+        named = rows.where(plain).drop("digest").join(sources.select("source", "digest"), "source", "left")
+        rows = rows.where(~plain).unionByName(named)
     found = rows.where("digest IS NOT NULL").join(media, "digest", "left")
     return found.unionByName(rows.where("digest IS NULL"), allowMissingColumns=True)
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, html, digest, media of every row of docs, written to the shared folder."""
+def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, html) of every row of docs, and (digest, media) of all payloads, written to the shared folder."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return saved(docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, html string, digest string, media binary"), "media", "zstd")
+    kept = saved(docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, html string, media array<struct<digest:string,media:binary>>"), "media", "zstd")
+    return kept.select("doc_id", "html"), kept.select(F.explode("media").alias("m")).select("m.digest", "m.media")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = resolve(sequences(kept, "doc_id", "html"), "doc_id", media_features(kept)).where("kind = 'media'")
+    htmls, media = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = resolve(sequences(htmls, "doc_id", "html"), "doc_id", media_features(media)).where(F.startswith("caption", F.lit(f"{PAYLOAD}:")))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")

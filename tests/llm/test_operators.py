@@ -193,6 +193,17 @@ def test_bpe_long_words_use_bounded_windows(word_coder, word_library):
         assert list(word_coder.transduce(text)) == word_library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_stretches_do_not_show(word_coder, word_library, monkeypatch):
+    random.seed(14)
+    odd = ["it's", "e\u0301", "ΑΣ", "<|endoftext|>", "\u2028", "漢字", "don't  ", "\n", "x" * 700, "\t1 2", "\u0301", " "]
+    texts = ["".join(random.choice(odd + [" a", " the"]) for _ in range(300)) for _ in range(6)] + ["y" * 3000 + " z"]
+    for stretch in (1, 7, 50):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        monkeypatch.setattr(bpe, "IDS_AT_ONCE", 5)
+        for t in texts:
+            assert word_coder.encode(t).tolist() == word_library.encode(t, add_special_tokens=False).ids
+
+
 def test_small_lookahead_is_sufficient():
     merges = [("a", "b"), ("b", "a"), ("ab", "a"), ("c", "ab"), ("a", "c")]
     ahead = bpe.sufficient_lookahead(merges, "")
@@ -280,26 +291,59 @@ def test_language_counts_do_not_depend_on_pieces(monkeypatch):
 
 
 def test_media_round_trip(spark, docs, empty):
-    got = media.resolve(media.sequences(kept := media.stored(docs), "doc_id", "html"), "doc_id", media.media_features(kept)).where("kind = 'media'").collect()
-    assert len(got) == len(rows())
-    by_id = {r["doc_id"]: r for r in got}
+    htmls, payloads = media.stored(docs)
+    features = media.media_features(payloads)
+    got = collections.defaultdict(list)
+    for r in media.resolve(media.sequences(htmls, "doc_id", "html"), "doc_id", features).orderBy("pos").collect():
+        got[r["doc_id"]].append(r)
+    copies = collections.Counter(d for d, *_ in rows())
+    assert features.count() == features.select("digest").distinct().count() and sum(map(len, got.values())) == 5 * len(rows())
     for d, t, *_ in rows():
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        if d is not None:
-            r = by_id[d]
-            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-            assert media.from_media(media.to_media(payload, len(raw))) == (payload, len(raw)) and r["caption"] == f"{len(raw)} bytes" and r["pos"] == 1
-    assert media.stored(empty).count() == 0
+        assert media.from_media(media.to_media(payload, len(raw))) == (payload, len(raw))
+        if copies[d] == 1:
+            head, small, middle, big, end = got[d]
+            assert (big["n_bytes"], big["payload_bytes"], big["payload_sha256"], big["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert small["caption"] == "preview" and small["payload_bytes"] == 64 and big["caption"] == f"payload: {len(raw)} bytes"
+            assert head["text"] == f"Text of {len(raw)} bytes" and middle["text"] == f"It takes {len(payload) // 64} rows & 64 columns:" and end["text"] == "end of " + big["digest"][:8]
+            assert [x["pos"] for x in got[d]] == list(range(5)) and head["n_bytes"] is None
+    assert media.stored(empty)[0].count() == media.stored(empty)[1].count() == 0
+
+
+def test_a_task_stores_equal_payloads_once(spark):
+    df = spark.createDataFrame([(k, "same text") for k in range(50)] + [(50, None), (51, "")], "doc_id long, text string").coalesce(1)
+    assert media.stored(df)[1].count() == 4
 
 
 def test_html_items_stay_in_order(spark):
-    html = "<p>One <b>two</b></p><script>no</script>three<figure><img src='media:d1' alt='a'><figcaption>Cap &amp; tion</figcaption></figure><img src=media:nope><img src='http://x/y.png' alt=z>end"
-    got = [(x["kind"], x["text"], x["digest"], x["caption"]) for x in media.parse(html)]
-    assert got == [("text", "One two", None, None), ("text", "three", None, None), ("media", None, "d1", "Cap & tion"), ("media", None, "nope", None), ("media", None, None, "z"), ("text", "end", None, None)]
-    store = spark.createDataFrame([("d1", 5)], "digest string, size int")
-    rows_ = media.resolve(media.sequences(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html"), "id", store).orderBy("pos").collect()
-    assert [r["pos"] for r in rows_] == list(range(6)) and [r["size"] for r in rows_] == [None, None, 5, None, None, None]
+    html = """<p>One <b>two</b></p><script>no<img src=media:no></script>three<figure><img src='media:d1' alt='a'><figcaption>Cap &amp; <i>tion</i></figcaption></figure>
+        <img src=media:nope><video title=v><source src='http://x/v.mp4'><source src=w></video><picture><source srcset=s><img data-src='http://x/y.png?a=1&amp;b' alt=z></picture>end<audio src=q></audio><p>"""
+    got = [(x["kind"], x["text"], x["tag"], x["source"], x["digest"], x["caption"]) for x in media.parse(html)]
+    assert got == [
+        ("text", "One two", None, None, None, None),
+        ("text", "three", None, None, None, None),
+        ("media", None, "img", "media:d1", "d1", "Cap & tion"),
+        ("media", None, "img", "media:nope", "nope", None),
+        ("media", None, "video", "http://x/v.mp4", None, "v"),
+        ("media", None, "img", "http://x/y.png?a=1&b", None, "z"),
+        ("text", "end", None, None, None, None),
+        ("media", None, "audio", "q", None, None),
+    ]
+    store = spark.createDataFrame([("d1", 5), ("d2", 6)], "digest string, size int")
+    sources = spark.createDataFrame([("http://x/v.mp4", "d2"), ("unused", "d1")], "source string, digest string")
+    items = media.sequences(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "id", "html")
+    rows_ = media.resolve(items, "id", store, sources).orderBy("pos").collect()
+    assert [r["pos"] for r in rows_] == list(range(8)) and [r["size"] for r in rows_] == [None, None, 5, None, 6, None, None, None]
+    assert [r["source"] for r in media.resolve(items, "id", store).orderBy("pos").collect()][4] == "http://x/v.mp4"
+
+
+def test_pages_become_sequences(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = media.sequences(pages, "page_id", "html")
+    items = got.select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
+    assert got.count() == pages.count() and items.where("kind = 'text'").count() > pages.count()
+    assert items.where("kind = 'text' AND (text IS NULL OR text RLIKE '^ | $|  ')").isEmpty()
 
 
 # -- 5
