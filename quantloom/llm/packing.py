@@ -4,8 +4,10 @@ Documents become token ids and an end id; longer ones than a sequence are cut in
 first of which takes what is left over. Pieces are dealt by a hash into groups of about GROUP_ROWS,
 so no group grows with the corpus; each group is packed on its own, largest pieces first: a piece
 goes to the open sequence that it fits into and after which the sum over residual gaps of the
-squared counts of open sequences is smallest, and opens a new sequence only where it fits nowhere.
-A group leaves few open sequences, so dealing costs next to nothing in sequences.
+squared counts of open sequences is smallest. Opening a sequence is not weighed against the open gaps,
+as the rule alone would: with as few sequences as possible wanted, it is done only where a piece fits
+nowhere. A group leaves few open sequences, so dealing costs next to nothing in sequences. The place
+of a piece in the table takes part in its hash, so copies of one document are dealt over all groups.
 
 Defined results: a null text counts as empty and gives one piece, the end id alone; repeated rows
 are packed each; a null doc_id is kept; other columns are ignored. Special strings in a text are
@@ -139,7 +141,7 @@ def packed(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, ranks: s
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = saved(docs.select("doc_id", "text").mapInArrow(_pieces(ranks, json_file, end_id, length), schema), "pieces")
     groups = max(1, round(pieces.count() / group_rows))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(_pack_group(length), f"{schema}, sequence_id long, offset long")
 
 
