@@ -154,13 +154,13 @@ def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
         df[r["feature"]] = r["n"]
     total = sum(per_lang.values())
     idf = np.log((1 + total) / (1 + df)) + 0.1
-    # A row is in the sample if a hash of its id falls under its language's share.
+    # A row is in the sample if a hash of its id and text falls under its language's share; of equal rows one counts.
     share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, sample_per_lang / per_lang[lang]))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CALIBRATION_SHARE)).cast("int")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text"), F.lit(CALIBRATION_SHARE)).cast("int")
     sample = rows.where(draw < share[F.col("lang")]).select("lang", part.alias("part"), "text")
     learn, held = [], []
-    for r in sample.mapInArrow(_sparse, "lang string, part int, x binary").collect():
+    for r in sample.mapInArrow(_sparse, "lang string, part int, x binary").distinct().collect():
         k = len(r["x"]) // 6
         at = np.frombuffer(r["x"], np.uint16, k).astype(np.int64)
         n = np.frombuffer(r["x"], np.uint8)[2 * k :].copy().view(np.float32).astype(float)
