@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -44,11 +47,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; on a local master without one, as in tests, a temporary folder.
+
+    On a cluster each executor would write to its own disk, so there the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(sc, "_quantloom_scratch", None):
         sc._quantloom_scratch = tempfile.mkdtemp(prefix="quantloom-ckpt-")
         sc.setCheckpointDir(sc._quantloom_scratch)
@@ -61,20 +69,39 @@ WHILE_SAVED = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
+_saving: dict[int, tuple[int, dict]] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def settings_while_saved(spark: SparkSession):
+    """WHILE_SAVED holds until the last of the threads that save in this session is done, and then what was set before."""
+    key = id(spark)
+    with _lock:
+        users, before = _saving.get(key, (0, {}))
+        if not users:
+            before = {k: spark.conf.get(k) for k in WHILE_SAVED}
+            for k, v in WHILE_SAVED.items():
+                spark.conf.set(k, v)
+        _saving[key] = users + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            users, before = _saving.pop(key)
+            if users > 1:
+                _saving[key] = users - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
 
 
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in WHILE_SAVED}
-    for k, v in WHILE_SAVED.items():
-        spark.conf.set(k, v)
-    try:
+    with settings_while_saved(spark):
         df.write.parquet(path, compression=codec)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,11 @@
 import datetime
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from quantloom import session
 from quantloom.operators import gates, pool
 from quantloom.operators import records as C
 from quantloom.streaming import bars
@@ -91,3 +94,28 @@ def test_error_pairs_of_short_keys(spark):
     assert len(got) == len(want) and set(got) == want
     kin = C.error_kin(df)[1]
     assert {tuple(r) for r in kin.where("longer = 'io error'").collect()} == {("", "io error"), ("i", "io error"), ("io", "io error"), ("io error", "io error")}
+
+
+def test_scratch_needs_a_shared_folder_off_a_local_master():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError):
+        session.scratch(Session())
+
+
+def test_settings_hold_until_the_last_save_has_ended(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with session.settings_while_saved(spark):
+        with session.settings_while_saved(spark):
+            pass
+        assert spark.conf.get(key) == "8m"
+    assert spark.conf.get(key) == before
