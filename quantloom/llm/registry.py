@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from quantloom.llm import bpe, chat, jaccard, language, media, neighbours, oracles, packing, quality, substring, urls
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_language": language.op10_language,
-        "pipeline": corpus_pipeline.run,
     }
 
 
