@@ -14,9 +14,10 @@ Two documents link when DEN * overlap >= NUM * union of their shingle sets. The
    dual traversal of tree pairs drops node pairs whose largest possible overlap is too small, down to
    pairs of sets. The trees of all blocks of a batch are traversed together. A block of more than
    CHUNK rows is dealt into chunks with a tree each, and each pair of chunks is a task's work of its own.
-4. Before that, the sets of each block are held against one set of the block, its pivot, and the
-   verified links turned into components. A block whose sets are all of one component is done, and the
-   trees skip pairs within a component, so a group of k near copies costs about k pairs.
+4. Before that, in PIVOTS rounds, the sets of each block are held against one set of the block, its
+   pivot of the round, and the verified links turned into components. A block whose sets are all of
+   one component is done, pivots are skipped by their own component, and the trees skip pairs within
+   one, so a group of k near copies costs about PIVOTS * k pairs.
 5. What the trees give is verified on the full sets, and all links together give the components.
 
 Groupings by token, class, pivot or component are joins of two written tables (which Spark splits
@@ -53,7 +54,8 @@ FLUSH = 1 << 21
 COARSE, FINE, SMALL = 1, 4, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Children of a tree's node, most rows of a tree, node pairs that are held at once, 64-bit words of bitmaps compared at once.
-FANOUT, CHUNK, FRONTIER, COMPARED = 4, 1024, 1 << 15, 1 << 19
+FANOUT, CHUNK, FRONTIER, COMPARED = 4, 512, 1 << 15, 1 << 19
+PIVOTS = 3
 
 
 def prefix_length(n, num: int = NUM, den: int = DEN):
@@ -351,7 +353,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, band, rep, n, pos, home, pivot of the rows of all blocks that can hold a link."""
+    """token, band, rep, n, pos, home of the rows of all blocks that can hold a link."""
     tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
     often = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     band = F.length(F.bin("n")) - 1
@@ -361,9 +363,8 @@ def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
     rows = saved(rows.withColumn("home", F.col("band") == band), "rows")
     # Some row stands so early that it can be the smaller one of a pair at its first common token.
     early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
-    pivot = F.min(F.struct(F.xxhash64("rep").alias("order"), "rep"))["rep"]
-    stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"), pivot.alias("pivot"))
-    stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band", "pivot"), "stats")
+    stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"))
+    stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band"), "stats")
     out = saved(rows.join(stats, ["token", "band"]), "blocks")
     for t in (often, rows, stats):
         dropped(t)
@@ -405,22 +406,31 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     wanted = blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2")
     sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
     sets = saved(sets, "sets")
-    # Links with the pivots.
+    # Links with the pivots, and components of all links so far.
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    pairs = blocks.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct().join(one, "a").join(two, "b")
-    pairs = pairs.where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
-    first = _links(pairs := saved(pairs, "pairs"), sets, num, den)
-    dropped(pairs)
+    links = None
+    marked = blocks.withColumn("comp", F.col("rep"))
+    for at in range(PIVOTS):
+        pivot = F.min(F.struct(F.xxhash64(F.lit(at), "rep").alias("order"), "rep", "comp"))
+        pivots = marked.groupBy("token", "band").agg(pivot.alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        pivots = saved(pivots.select("token", "band", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("skip")), "pivots")
+        pairs = marked.join(pivots, ["token", "band"]).where("comp <> skip").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        pairs = pairs.join(one, "a").join(two, "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+        pairs = saved(pairs.mapInArrow(_may_link(num, den), "a long, b long"), "pairs")
+        found = _links(pairs, sets, num, den)
+        links = found if links is None else links.unionByName(found)
+        comp = components(links).select(F.col("node").alias("rep"), "component")
+        again = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "marked")
+        for t in (pivots, pairs, *([marked] if at else [])):
+            dropped(t)
+        marked = again
     # Links across the components so far.
-    comp = components(first).select(F.col("node").alias("rep"), "component")
-    marked = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component", "pivot"), "marked")
     open_ = saved(marked.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "band", "c"), "open")
     pairs = saved(_chunked(marked.join(open_, ["token", "band"]), sets).mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs")
-    second = _links(pairs, sets, num, den)
+    links = links.unionByName(_links(pairs, sets, num, den))
     for t in (blocks, sets, marked, open_, pairs):
         dropped(t)
-    links = first.unionByName(second)
     comp = components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of = classes.select("f1", "f2", "n", "rep", "least").join(comp, "rep", "left").join(degree, "rep", "left")
