@@ -14,10 +14,12 @@ Two documents link when DEN * overlap >= NUM * union of their shingle sets. The
    dual traversal of tree pairs drops node pairs whose largest possible overlap is too small, down to
    pairs of sets. The trees of all blocks of a batch are traversed together. A block of more than
    CHUNK rows is dealt into chunks with a tree each, and each pair of chunks is a task's work of its own.
-4. Before that, in PIVOTS rounds, the sets of each block are held against one set of the block, its
-   pivot of the round, and the verified links turned into components. A block whose sets are all of
-   one component is done, pivots are skipped by their own component, and the trees skip pairs within
-   one, so a group of k near copies costs about PIVOTS * k pairs.
+4. Pairs come in three steps, each with the components of the links found so far, as a block whose
+   sets are all of one component is done and trees skip pairs within one: first each set of a block is
+   held against one of them, the set with the largest share of its tokens in blocks, which among edited
+   copies of a text is the least edited one; then the trees give BEST partners for each set, those with
+   the largest possible similarity; then all that is left. So a group of k near copies costs a few k
+   pairs.
 5. What the trees give is verified on the full sets, and all links together give the components.
 
 Groupings by token, class, pivot or component are joins of two written tables (which Spark splits
@@ -55,7 +57,8 @@ COARSE, FINE, SMALL = 1, 4, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Children of a tree's node, most rows of a tree, node pairs that are held at once, 64-bit words of bitmaps compared at once.
 FANOUT, CHUNK, FRONTIER, COMPARED = 4, 512, 1 << 15, 1 << 19
-PIVOTS = 3
+#: Partners of a set that the trees give at first.
+BEST = 2
 
 
 def prefix_length(n, num: int = NUM, den: int = DEN):
@@ -163,14 +166,13 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), bits.shape[1] // words, words), axis=1) if bits.shape[1] > words else bits
 
 
-def reachable(common, pop_a, pop_b, most_a, most_b, least_sum, num: int, den: int) -> np.ndarray:
-    """Whether the largest possible overlap of sets of two nodes can reach the threshold.
+def possible(common, pop_a, pop_b, most_a, most_b) -> np.ndarray:
+    """The largest possible overlap of sets of two nodes.
 
     A member of size `most` at most has pop - common shingles at least that the other side lacks, as
     each bit outside the other side's bitmap stands for one.
     """
-    over = np.minimum(most_a - np.maximum(pop_a - common, 0), most_b - np.maximum(pop_b - common, 0))
-    return (num + den) * over >= num * least_sum
+    return np.minimum(most_a - np.maximum(pop_a - common, 0), most_b - np.maximum(pop_b - common, 0))
 
 
 class Forest:
@@ -198,8 +200,8 @@ class Forest:
             self.levels.append((np.append(at, len(block)), np.bitwise_or.reduceat(bits, at, axis=0), lo(low, at), hi(high, at), lo(pop, at), lo(c0, at), hi(c1, at), hi(room, at), lo(s0, at), hi(s1, at), hi(home, at), split[at]))
             block = block[at]
 
-    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal of each tree with itself: pairs of rows, by their places in the given order."""
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Dual traversal of each tree with itself: pairs of rows, by their places in the given order, and their possible similarity."""
         roots = np.arange(len(self.levels[-1][1]))
         stack = [(len(self.levels) - 1, roots, roots)]
         while stack:
@@ -209,10 +211,11 @@ class Forest:
                 continue
             at = np.flatnonzero(self._near(level, i, j, num, den))
             i, j = i[at], j[at]
-            at = np.flatnonzero(self._alike(level, i, j, num, den))
+            over, total = self._overlap(level, i, j)
+            at = np.flatnonzero((i == j) | ((num + den) * over >= num * total))
             i, j = i[at], j[at]
             if level == 0:
-                yield self.rows[i], self.rows[j]
+                yield self.rows[i], self.rows[j], over[at] / (total[at] - over[at])
             elif len(i):
                 i, j = self._below(level, i, j)
                 stack.append((level - 1, i, j))
@@ -226,14 +229,14 @@ class Forest:
         ok &= ~split[i] | (s0[i] != s1[j]) | (s1[i] != s0[j])
         return ok & (home[i] | home[j])
 
-    def _alike(self, level: int, i, j, num: int, den: int) -> np.ndarray:
-        """By bitmaps; a node holds what it holds."""
+    def _overlap(self, level: int, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """The largest possible overlap by bitmaps, and the least sum of sizes."""
         _, bits, low, high, pop, *_ = self.levels[level]
         common = np.zeros(len(i), np.int64)
         step = max(16, COMPARED // bits.shape[1])
         for k in range(0, len(i), step):
             common[k : k + step] = np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1)
-        return (i == j) | reachable(common, pop[i], pop[j], high[i], high[j], low[i] + low[j], num, den)
+        return possible(common, pop[i], pop[j], high[i], high[j]), low[i] + low[j]
 
     def _below(self, level: int, i, j) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of children of the node pairs, each once."""
@@ -246,8 +249,8 @@ class Forest:
         return x[ok], y[ok]
 
 
-def _tree_pairs(num: int, den: int):
-    """Rows of blocks, sorted by block -> pairs (a, b) of sets that may link."""
+def _tree_pairs(num: int, den: int, best: int | None):
+    """Rows of blocks, sorted by block -> pairs (a, b) of sets that may link; with `best`, for each row of a block so many."""
 
     def of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         block, rep, n, room, comp, side, home, split, words = (b.column(k).to_numpy(zero_copy_only=False) for k in range(9))
@@ -260,7 +263,8 @@ def _tree_pairs(num: int, den: int):
                 rows = np.flatnonzero(size[at] == s)
                 table[rows] = folded(np.frombuffer(b"".join(bits[k] for k in at[rows]), np.uint64).reshape(len(rows), -1), int(kind))
             forest = Forest(block[at], table, n[at], comp[at], room[at], side[at], home[at], split[at])
-            for i, j in forest.pairs(num, den):
+            found = forest.pairs(num, den)
+            for i, j in ((i, j) for i, j, _ in found) if best is None else [most_similar(found, best)]:
                 yield np.stack([np.minimum(rep[at[i]], rep[at[j]]), np.maximum(rep[at[i]], rep[at[j]])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +282,32 @@ def _tree_pairs(num: int, den: int):
     return run
 
 
+def most_similar(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], best: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs with similarities: for each row the `best` most similar ones. Not more than FLUSH pairs and the best are held."""
+    i = j = np.zeros(0, np.int64)
+    s = np.zeros(0)
+    held, size = [], 0
+
+    def merged():
+        a, b, v = (np.concatenate(x) for x in zip((i, j, s), *held, strict=True))
+        row, other, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([v, v])
+        order = np.lexsort((other, -value, row))
+        row, other, value = row[order], other[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < best
+        row, other, value = row[keep], other[keep], value[keep]
+        a, b = np.minimum(row, other), np.maximum(row, other)
+        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        return a[once], b[once], value[once]
+
+    for p in found:
+        held.append(p)
+        size += len(p[0])
+        if size >= FLUSH:
+            i, j, s = merged()
+            held, size = [], 0
+    return merged()[:2] if held else (i, j)
+
+
 def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     p = np.concatenate(held)
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
@@ -300,7 +330,7 @@ def _may_link(num: int, den: int):
                 least = int(min(p, q)) // 8
                 u, v = (folded(np.frombuffer(b"".join(side[k] for k in at), np.uint64).reshape(len(at), -1), least) for side in (x, y))
                 common, pop_u, pop_v = (np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (u & v, u, v))
-                good[at] = reachable(common, pop_u, pop_v, n[at], m[at], n[at] + m[at], num, den)
+                good[at] = (num + den) * possible(common, pop_u, pop_v, n[at], m[at]) >= num * (n[at] + m[at])
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return run
@@ -353,7 +383,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, band, rep, n, pos, home of the rows of all blocks that can hold a link."""
+    """token, band, rep, n, pos, home of the rows of all blocks that can hold a link, and alone: the share of the set's tokens that no block has."""
     tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
     often = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     band = F.length(F.bin("n")) - 1
@@ -365,8 +395,11 @@ def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
     early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
     stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"))
     stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band"), "stats")
-    out = saved(rows.join(stats, ["token", "band"]), "blocks")
-    for t in (often, rows, stats):
+    kept = saved(rows.join(stats, ["token", "band"]), "kept")
+    prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
+    alone = saved(kept.where("home").groupBy("rep", "n").agg(F.count("*").alias("m")).select("rep", (1 - F.col("m") / prefix).alias("alone")), "alone")
+    out = saved(kept.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(1.0))), "blocks")
+    for t in (often, rows, stats, kept, alone):
         dropped(t)
     return out
 
@@ -385,6 +418,31 @@ def _chunked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block")
 
 
+def _open(marked: DataFrame, *more) -> DataFrame:
+    """token, band and more of the blocks with sets of different components; written, so that Spark splits joins with it."""
+    found = marked.groupBy("token", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *more).where("x <> y").drop("x", "y")
+    return saved(found, "open")
+
+
+def _pivot_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of each set and the pivot b of its blocks, where their bitmaps let them link."""
+    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    pivot = F.min(F.struct("alone", F.xxhash64("rep").alias("order"), "rep"))["rep"]
+    pairs = marked.join(_open(marked, pivot.alias("b")), ["token", "band"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    pairs = pairs.join(one, "a").join(two, "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    return pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
+
+
+def _best_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int, best: int | None = BEST) -> DataFrame:
+    rows = _chunked(marked.join(_open(marked, F.count("*").alias("c")), ["token", "band"]), sets)
+    return rows.mapInArrow(_tree_pairs(num, den, best), "a long, b long").distinct()
+
+
+def _all_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    return _best_pairs(marked, sets, num, den, None)
+
+
 def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, t1, t2, n, f1, f2) of docs, and classes (f1, f2, n, component, least, n_links).
 
@@ -406,31 +464,19 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     wanted = blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2")
     sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
     sets = saved(sets, "sets")
-    # Links with the pivots, and components of all links so far.
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    links = None
-    marked = blocks.withColumn("comp", F.col("rep"))
-    for at in range(PIVOTS):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(at), "rep").alias("order"), "rep", "comp"))
-        pivots = marked.groupBy("token", "band").agg(pivot.alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        pivots = saved(pivots.select("token", "band", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("skip")), "pivots")
-        pairs = marked.join(pivots, ["token", "band"]).where("comp <> skip").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        pairs = pairs.join(one, "a").join(two, "b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-        pairs = saved(pairs.mapInArrow(_may_link(num, den), "a long, b long"), "pairs")
+    links, marked = None, blocks.withColumn("comp", F.col("rep"))
+    for step in (_pivot_pairs, _best_pairs, _all_pairs):
+        pairs = saved(step(marked, sets, num, den), "pairs")
         found = _links(pairs, sets, num, den)
         links = found if links is None else links.unionByName(found)
-        comp = components(links).select(F.col("node").alias("rep"), "component")
-        again = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "marked")
-        for t in (pivots, pairs, *([marked] if at else [])):
-            dropped(t)
-        marked = again
-    # Links across the components so far.
-    open_ = saved(marked.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "band", "c"), "open")
-    pairs = saved(_chunked(marked.join(open_, ["token", "band"]), sets).mapInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs")
-    links = links.unionByName(_links(pairs, sets, num, den))
-    for t in (blocks, sets, marked, open_, pairs):
-        dropped(t)
+        if marked is not blocks and step is not _pivot_pairs:
+            dropped(marked)
+        dropped(pairs)
+        if step is not _all_pairs:
+            comp = components(links).select(F.col("node").alias("rep"), "component")
+            marked = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "marked")
+    dropped(blocks)
+    dropped(sets)
     comp = components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of = classes.select("f1", "f2", "n", "rep", "least").join(comp, "rep", "left").join(degree, "rep", "left")

@@ -432,6 +432,17 @@ def test_jaccard_in_large_blocks(spark, monkeypatch):
     assert got == components_by_brute_force(table, 4, 85, 100)
 
 
+def test_best_partners(monkeypatch):
+    monkeypatch.setattr(jaccard, "FLUSH", 5)
+    random.seed(3)
+    value = {(i, j): random.random() for j in range(12) for i in range(j) if random.random() < 0.7}
+    pairs = [(np.array([i]), np.array([j]), np.array([v])) for (i, j), v in value.items()]
+    got = set(zip(*(x.tolist() for x in jaccard.most_similar(iter(pairs), 2))))
+    of = lambda k: sorted((p for p in value if k in p), key=value.get)[-2:]
+    assert {p for k in range(12) for p in of(k)} <= got <= set(value)
+    assert [len(x) for x in jaccard.most_similar(iter([]), 2)] == [0, 0]
+
+
 def test_keep_one(docs, empty):
     kept = jaccard.keep_one(docs, 5, 80, 100)
     ids = collections.Counter(r["doc_id"] for r in kept.collect())
@@ -486,7 +497,7 @@ def test_trees_give_all_pairs_of_a_block(monkeypatch, chunk, fanout):
     of = [k % (1 + n // chunk) for k in range(n)]
     rows_ = [(x * 100 + y, k, len(sets[k]), len(sets[k]), k, int(of[k] != x), True, x != y, words, jaccard.bitmap(sets[k], jaccard.FINE)) for x in set(of) for y in set(of) if x <= y for k in range(n) if of[k] in (x, y)]
     batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows_)], ["block", "rep", "n", "room", "comp", "side", "home", "split", "words", "bits"])
-    got = [tuple(p) for b in jaccard._tree_pairs(85, 100)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    got = [tuple(p) for b in jaccard._tree_pairs(85, 100, None)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert want <= set(got) and len(want) > 20 and len(got) < n * (n - 1) // 4
 
 
