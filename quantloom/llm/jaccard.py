@@ -51,7 +51,7 @@ from quantloom.session import dropped, saved, ship
 K, NUM, DEN = 4, 85, 100
 #: Shingles with this local count are candidates for the table of frequent ones, which holds so many at most.
 HOT_FROM, MOST_HOT = 6, 1 << 19
-FLUSH = 1 << 21
+FLUSH, MOST_IDS = 1 << 21, 1 << 20
 #: Bits of a bitmap for each shingle of the largest set of a band, in blocks up to SMALL rows and in larger ones.
 COARSE, FINE, SMALL = 1, 4, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 16
@@ -377,9 +377,16 @@ def _verify(num: int, den: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v). Hot sets should stand in b."""
-    rows = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("own")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("other")), "b")
-    return saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long").distinct(), "links")
+    """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v). Hot sets should stand in b.
+
+    Only the sets of the pairs travel: up to MOST_IDS keys are broadcast to pick them out, more are joined.
+    """
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
+    used = sets.select("rep", "grams").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("merge"), "rep", "left_semi")
+    rows = pairs.join(used.select(F.col("rep").alias("a"), F.col("grams").alias("own")), "a").join(used.select(F.col("rep").alias("b"), F.col("grams").alias("other")), "b")
+    out = saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long").distinct(), "links")
+    dropped(ids)
+    return out
 
 
 def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
