@@ -25,7 +25,7 @@ WINDOWS = [1, 5, 10, 20, 60, 120, 240]
 
 COMMUTES = {"corr", "mul", "max", "min", "add"}
 SETTLES = {"rank", "csrank", "abs", "sign"}
-FIELD, CONST = "__field__", "__const__"
+FIELD, CONST = "@", "#"
 BINARY = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "div", ast.Pow: "pow"}
 SAME = {"delay": "ref", "ts_mean": "mean", "ts_std": "std", "correlation": "corr", "divide": "div"}
 
@@ -83,8 +83,10 @@ def _node(x: ast.AST) -> Node:
 
 
 def text_of(n: Node, window: Callable[[object], str] = repr) -> str:
-    params = ",".join(str(p) if n.op == FIELD else window(p) for p in n.params)
-    return f"{n.op}({params})[{'|'.join(text_of(k, window) for k in n.kids)}]"
+    """The tree as an S-expression: the operator, its numbers, its subtrees."""
+    if n.op == FIELD:
+        return f"{n.op}{n.args[0]}"
+    return f"({' '.join([n.op, *map(window, n.params), *(text_of(k, window) for k in n.kids)])})"
 
 
 def canonical(n: Node) -> Node:

@@ -67,6 +67,17 @@ def ic_summary(ic: DataFrame, column: str = "ic") -> DataFrame:
     return ic.groupBy("factor").agg(n.alias("days"), F.when(enough, F.round(mean, 6)).alias("mean"), F.when(enough & (sd > 0), F.round(mean / F.when(sd > 0, sd), 4)).alias("ratio"))
 
 
+def ic_table(ic: DataFrame) -> DataFrame:
+    """factor, ic, icir, rank_ic from daily values, in one aggregation; null below DAYS_LEAST days."""
+    out = []
+    for k, mean_as, ratio_as in (("ic", "ic", "icir"), ("rank_ic", "rank_ic", None)):
+        n, mean, sd = F.count(k), F.avg(k), F.stddev_pop(k)
+        out.append(F.when(n >= DAYS_LEAST, F.round(mean, 6)).alias(mean_as))
+        if ratio_as:
+            out.append(F.when((n >= DAYS_LEAST) & (sd > 0), F.round(mean / F.when(sd > 0, sd), 4)).alias(ratio_as))
+    return ic.groupBy("factor").agg(*out)
+
+
 def buckets(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
     """rows with bucket 0 to groups - 1 by ordinal rank of the score; 0 holds the lowest."""
     day = Window.partitionBy("factor", "trade_date")
@@ -139,37 +150,36 @@ def bench(rows: DataFrame, windows: dict[str, tuple[str, str]], costs: list[floa
     placed = in_windows(rows, windows)
     keyed = placed.withColumn("factor", F.concat_ws("\u0001", "factor", "window"))
     ic = daily_ic(keyed)
-    summary = ic_summary(ic).select("factor", F.col("mean").alias("ic"), F.col("ratio").alias("icir")).join(ic_summary(ic, "rank_ic").select("factor", F.col("mean").alias("rank_ic")), "factor")
+    summary = ic_table(ic)
     metrics = net_metrics(with_costs(long_short(keyed), costs), ["factor", "bps"], F.col("bps"))
     out = metrics.join(summary, "factor", "left")
     parts = F.split("factor", "\u0001")
     return out.withColumns({"factor": parts[0], "window": parts[1]})
 
 
-def walk_forward(rows: DataFrame, bps: float = 5.0, least: int = DAYS_LEAST) -> DataFrame:
-    """factor, fold (calendar year) and the metrics of each fold with enough days."""
+def walk_forward(rows: DataFrame, bps: float = 5.0) -> DataFrame:
+    """factor, fold (calendar year, its last date embargoed), ic, rank_ic, icir and the metrics after costs of each fold with DAYS_LEAST return days."""
     ends = rows.groupBy(F.year("trade_date").alias("fold")).agg(F.max("trade_date").alias("last"), F.min("trade_date").alias("first"))
     placed = rows.withColumn("fold", F.year("trade_date")).join(F.broadcast(ends), "fold").where("trade_date < last OR first = last")
     keyed = placed.withColumn("factor", F.concat_ws("\u0001", "factor", "fold"))
-    ic = daily_ic(keyed)
-    days = long_short(keyed).withColumn("net", F.col("ls") - bps / 10_000 * F.coalesce("turnover", F.lit(0.0)))
-    out = ic.groupBy("factor").agg(F.count("ic").alias("days"), F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic")).join(days.groupBy("factor").agg(F.avg("net").alias("net")), "factor")
+    metrics = net_metrics(long_short(keyed), ["factor"], F.lit(float(bps))).where(F.col("days") >= DAYS_LEAST)
     parts = F.split("factor", "\u0001")
-    return out.where(F.col("days") >= least).withColumns({"factor": parts[0], "fold": parts[1].cast("int")})
+    return metrics.join(ic_table(daily_ic(keyed)), "factor", "left").withColumns({"factor": parts[0], "fold": parts[1].cast("int")})
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:
-    """factor, folds, mean and spread of ic and rank_ic over folds, share of folds with a positive rank_ic."""
-    spread = lambda k: F.when(F.count(k) > 1, F.round(F.stddev_pop(k), 6))
-    return folds.groupBy("factor").agg(F.count("*").alias("folds"), F.round(F.avg("ic"), 6).alias("ic_mean"), spread("ic").alias("ic_std"), F.round(F.avg("rank_ic"), 6).alias("rank_ic_mean"), spread("rank_ic").alias("rank_ic_std"), F.round(F.avg(F.when(F.col("rank_ic") > 0, 1.0).otherwise(0.0)), 6).alias("positive_share"))
+    """factor, folds, mean and spread of ic, rank_ic and sharpe over folds, share of folds with a positive rank_ic."""
+    measures = [("ic", "ic"), ("rank_ic", "rank_ic"), ("sharpe", "sharpe")]
+    mean_and_spread = [x for k, n in measures for x in (F.round(F.avg(k), 6).alias(f"{n}_mean"), F.when(F.count(k) > 1, F.round(F.stddev_pop(k), 6)).alias(f"{n}_std"))]
+    positive = F.round(F.avg(F.when(F.col("rank_ic") > 0, 1.0).when(F.col("rank_ic").isNotNull(), 0.0)), 4)
+    return folds.groupBy("factor").agg(F.count("*").alias("folds"), *mean_and_spread, positive.alias("positive_share"))
 
 
 def top_k(table: DataFrame, rank_by: str, k: int) -> DataFrame:
-    """The k rows with the largest metric; a prefix is_ or oos_ names the window."""
-    if rank_by.startswith(("is_", "oos_")):
-        window, rank_by = rank_by.split("_", 1)
-        table = table.where(F.lower("window") == window)
-    return table.orderBy(F.col(rank_by).desc_nulls_last(), "factor").limit(k)
+    """The k rows with the largest metric, one at least; the prefixes oos_ and is_ name the window, without one it is IS."""
+    window = "oos" if rank_by.startswith("oos_") else "is"
+    metric = rank_by.removeprefix("oos_").removeprefix("is_")
+    return table.where(F.lower("window") == window).orderBy(F.col(metric).desc_nulls_last(), "factor").limit(max(1, k))
 
 
 def rebalance_dates(spark, start: str, end: str) -> DataFrame:

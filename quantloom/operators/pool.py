@@ -22,8 +22,11 @@ def _few(df: DataFrame) -> list:
 
 
 def correlations(series: DataFrame) -> Callable[[str, str], float | None]:
-    table = {(r["a"], r["b"]): r["corr"] for r in _few(S.pairwise(series))}
-    return lambda a, b: table.get((min(a, b), max(a, b)))
+    """For at most MOST_CANDIDATES series, so at most half the square of that many numbers come to the driver."""
+    _few(series.select("series_id").distinct())
+    table = S.pairwise(series).toArrow()
+    known = dict(zip(zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True), table["corr"].to_pylist(), strict=True))
+    return lambda a, b: known.get((min(a, b), max(a, b)))
 
 
 def structural_dedup(candidates: list[tuple[str, str]], zoo: Iterable[str], most: float = 0.85) -> list[tuple[str, str]]:
@@ -41,43 +44,61 @@ def structural_dedup(candidates: list[tuple[str, str]], zoo: Iterable[str], most
     return out
 
 
-MIRRORED = ["ic", "rank_ic", "sharpe", "ic_ir"]
+# The metrics whose sign turns with a factor's.
+MIRRORED = ["ic", "rank_ic", "sharpe", "ic_ir", "icir", "perf_metric", "selection_score"]
 
 
 def sign_reflected(factors: DataFrame, least_t: float = 3.0) -> DataFrame:
-    """factors (with ic, ic_ir, n_days, has_returns …) and a mirrored row for each with a clearly negative ic."""
-    t = F.abs(F.col("ic_ir") * F.sqrt("n_days"))
-    base = factors.withColumn("mirrored", F.lit(False))
-    mirror = base.where((F.col("ic") < 0) & S.finite(F.col("ic")).isNotNull() & F.col("has_returns") & (t >= least_t))
-    return base.unionByName(mirror.withColumns({k: -F.col(k) for k in MIRRORED} | {"mirrored": F.lit(True), "name": F.concat("name", F.lit("_mirror"))}))
+    """factors (with ic, ic_ir, n_days, has_returns …) and a mirrored row for each with a clearly negative ic.
+
+    Those of MIRRORED that there are change their sign if they are finite; a hypothesis gets a remark.
+    sign_reflected tells the rows apart, reflected_from_t has the t value behind it.
+    """
+    t = F.col("ic_ir") * F.sqrt("n_days")
+    base = factors.withColumns({"sign_reflected": F.lit(False), "reflected_from_t": F.lit(None).cast("double")})
+    mirror = base.where((F.col("ic") < 0) & S.finite(F.col("ic")).isNotNull() & F.col("has_returns") & (F.abs(t) >= least_t))
+    turned = {k: F.when(S.finite(F.col(k)).isNotNull(), -F.col(k)).otherwise(F.col(k)) for k in MIRRORED if k in factors.columns}
+    if "hypothesis" in factors.columns:
+        turned["hypothesis"] = F.concat("hypothesis", F.lit(" [sign-mirrored]"))
+    return base.unionByName(mirror.withColumns(turned | {"sign_reflected": F.lit(True), "reflected_from_t": F.round(t, 3)}))
 
 
 def pool_cull(factors: DataFrame, series: DataFrame, least_ic: float = 0.005, most_corr: float = 0.7) -> list[str]:
-    """Names kept: simulated and weak ones go, then in order of score those correlated with a kept one of their profile."""
+    """Names kept: simulated and weak ones go, then in order of score those correlated with a kept one of their profile.
+
+    Spark finds the pairs that are too close; the pass over the candidates in order needs only these.
+    """
     rows = _few(factors.where(~F.col("simulated") & (F.abs("ic") > least_ic)).orderBy(F.desc("score"), "name"))
-    corr, sign, kept = correlations(series), {r["name"]: 1 if r["ic"] >= 0 else -1 for r in rows}, []
-    for r in rows:
-        pairs = (corr(r["name"], k["name"]) for k in kept if k["profile"] == r["profile"])
-        signs = (sign[r["name"]] * sign[k["name"]] for k in kept if k["profile"] == r["profile"])
-        if not any(c is not None and c * s > most_corr for c, s in zip(pairs, signs, strict=True)):
-            kept.append(r)
-    return [r["name"] for r in kept]
+    place = {r["name"]: k for k, r in enumerate(rows)}
+    side = lambda k: factors.select(F.col("name").alias(k), F.when(F.col("ic") >= 0, 1).otherwise(-1).alias(f"sign_{k}"), F.col("profile").alias(f"profile_{k}"))
+    wanted = series.join(factors.where(~F.col("simulated") & (F.abs("ic") > least_ic)).select(F.col("name").alias("series_id")), "series_id", "left_semi")
+    close = S.pairwise(wanted).join(side("a"), "a").join(side("b"), "b").where((F.col("profile_a") == F.col("profile_b")) & (F.col("corr") * F.col("sign_a") * F.col("sign_b") > most_corr)).select("a", "b").toArrow()
+    earlier: list[list[int]] = [[] for _ in rows]
+    for a, b in zip(close["a"].to_pylist(), close["b"].to_pylist(), strict=True):
+        i, j = sorted((place[a], place[b]))
+        earlier[j].append(i)
+    kept = [False] * len(rows)
+    for k in range(len(rows)):
+        kept[k] = not any(kept[i] for i in earlier[k])
+    return [r["name"] for k, r in enumerate(rows) if kept[k]]
 
 
 def diverse_samples(factors: DataFrame, series: DataFrame, k: int) -> list[str]:
     """The factor with the largest |ic| first, then each time the one whose largest |corr| to the chosen is smallest.
 
-    Pairs without enough overlap or without variance count as 1.
+    Pairs without enough overlap or without variance count as 1. Each choice asks Spark for the
+    correlations with the one chosen last, never for those of all pairs.
     """
     rows = _few(factors.where(~F.col("status").isin("deprecated", "culled")).join(series.select(F.col("series_id").alias("name")).distinct(), "name", "left_semi").orderBy(F.desc(F.abs("ic")), "name"))
     names = [r["name"] for r in rows]
     if len(names) < 2:
         return []
-    corr, chosen = correlations(series), names[:1]
-    distance = lambda a, b: 1.0 if corr(a, b) is None else abs(corr(a, b))
+    chosen, nearest = [], dict.fromkeys(names, 0.0)
     while len(chosen) < min(k, len(names)):
-        rest = [n for n in names if n not in chosen]
-        chosen.append(min(rest, key=lambda n: (max(distance(n, c) for c in chosen), names.index(n))))
+        chosen.append(min((n for n in names if n not in chosen), key=lambda n: (nearest[n], names.index(n))) if chosen else names[0])
+        found = {r["b"]: r["corr"] for r in S.correlation_with(series, chosen[-1]).collect()}
+        for n in names:
+            nearest[n] = max(nearest[n], 1.0 if found.get(n) is None else abs(found[n]))
     return chosen
 
 

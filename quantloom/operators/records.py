@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import or_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Keys whose values are secret, and the metrics that a slim record keeps.
 SECRET_KEYS = ["api_key", "password", "token", "authorization", "secret", "llm_api_key"]
 METRIC_KEYS = ["ic", "rank_ic", "sharpe", "turnover", "max_drawdown", "annual"]
 
 
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows (source, source_ref, id, created_at, updated_at, …) where new replaces old on (source, source_ref), but for id and created_at."""
+    """Rows (source, source_ref, id, created_at, updated_at, …) where new replaces old on (source, source_ref), but for id and created_at.
+
+    Of new rows with one key the last updated counts, of those the one with the largest id.
+    """
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
     rest = [c for c in old.columns if c not in ("source", "source_ref", "id", "created_at")]
-    first, last = F.struct("_age", "created_at", "id"), F.struct("_age", "updated_at")
+    first, last = F.struct("_age", "created_at", "id"), F.struct("_age", "updated_at", "id")
     return both.groupBy("source", "source_ref").agg(F.min_by("id", first).alias("id"), F.min_by("created_at", first).alias("created_at"), *(F.max_by(c, last).alias(c) for c in rest))
 
 
 def search(catalog: DataFrame, text: str | None = None, limit: int = 50, **equal: str) -> DataFrame:
-    """Newest first: name contains the text (in any case), other columns are equal."""
+    """Newest first: name, formula or second name (those there are) contain the text in any case; other columns are equal."""
     for c, v in equal.items():
         catalog = catalog.where(F.col(c) == v)
     if text:
         pattern = "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
-        catalog = catalog.where(F.col("name").ilike(pattern))
+        found = [F.coalesce(F.col(c).ilike(pattern), F.lit(False)) for c in ("name", "formula", "name_cn") if c in catalog.columns]
+        catalog = catalog.where(reduce(or_, found, F.lit(False)))
     return catalog.orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
@@ -50,6 +60,30 @@ def redacted(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(F.lower(k).isin(SECRET_KEYS), "***").otherwise(v))
 
 
+def _without_secrets(x):
+    if isinstance(x, dict):
+        return {k: "***" if k.lower() in SECRET_KEYS else _without_secrets(v) for k, v in x.items()}
+    return [_without_secrets(v) for v in x] if isinstance(x, list) else x
+
+
+def _redact(detail: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return None if text is None else json.dumps(_without_secrets(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return text
+
+    return detail.map(one)
+
+
+def redacted_json(detail: Column) -> Column:
+    """Values of secret keys at any depth of a JSON document become "***"; what is no JSON stays.
+
+    Documents nest without a bound, which no built-in function follows, so this one is a Pandas function.
+    """
+    return F.pandas_udf(_redact, "string")(detail)
+
+
 def slim_metrics(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: k.isin(METRIC_KEYS))
 
@@ -82,6 +116,15 @@ def error_pairs(errors: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+LAST_ERRORS = 80
+
+
+def similar_errors(events: DataFrame, error: str, last: int = LAST_ERRORS) -> DataFrame:
+    """Of the last events with an error (ts, event_id, error), those whose key is akin to that of the given one; newest first."""
+    recent = events.where(F.col("error").isNotNull()).orderBy(F.desc("ts"), F.desc("event_id")).limit(last)
+    return recent.where(same_error(F.col("error"), F.lit(error))).orderBy(F.desc("ts"), F.desc("event_id"))
+
+
 FOLD_ROWS = 4096
 
 
@@ -104,14 +147,44 @@ def clamped_weights(log: DataFrame, low: float = -10.0, high: float = 10.0) -> D
     return runs.groupBy("signature").agg(weight.alias("weight"), F.sum("attempts").alias("attempts"), F.sum("survived").alias("survived"))
 
 
-def outcome(state: Column, n_ids: Column, error: Column) -> Column:
-    """Campaign outcome of a job by its state, catalogued ids and error."""
-    return F.when(state == "done", F.when(n_ids > 0, "cataloged").otherwise("empty")).when(state == "error", F.when(error.isNotNull(), "failed").otherwise("unknown")).otherwise("pending")
+def outcome(found: Column, status: Column, factors: Column, error: Column) -> Column:
+    """struct(state, catalog_ids, error) of one result of a campaign.
+
+    found: whether there is a result; factors: array of structs with catalog_id and id, of which the
+    first that is set names the entry. Nothing found fails as empty_result; no factors under an empty
+    or ok status say from which; an error fails with its first 300 characters.
+    """
+    status = F.coalesce(status, F.lit(""))
+    none = F.coalesce(F.size(factors), F.lit(0)) <= 0
+    set_ = lambda x: F.nullif(x.cast("string"), F.lit(""))
+    ids = F.array_compact(F.transform(F.coalesce(factors, F.array().cast("array<struct<catalog_id:string,id:string>>")), lambda f: F.coalesce(set_(f["catalog_id"]), set_(f["id"]))))
+    made = lambda state, ids, error: F.struct(F.lit(state).alias("state"), ids.alias("catalog_ids"), error.alias("error"))
+    nothing, no_error = F.array().cast("array<string>"), F.lit(None).cast("string")
+    return (
+        F.when(~F.coalesce(found, F.lit(False)), made("failed", nothing, F.lit("empty_result")))
+        .when(status == "no_factors", made("no_factors", nothing, no_error))
+        .when(status.isin("", "ok") & none, made("no_factors", nothing, F.concat(F.lit("no_factors_from:"), F.when(status == "", "unknown").otherwise(status))))
+        .when(F.coalesce(F.trim(error), F.lit("")) != "", made("failed", nothing, F.substring(error, 1, 300)))
+        .when(F.size(ids) == 0, made("no_factors", nothing, no_error))
+        .otherwise(made("done", ids, no_error))
+    )
+
+
+# What a run is called whose job is in a given state; other states keep their names.
+RUN_STATES = {"queued": "pending", "running": "running", "done": "completed", "error": "failed", "cancelled": "stopped"}
 
 
 def run_status(state: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in {"queued": "pending", "running": "running", "done": "completed", "error": "failed", "cancelled": "stopped"}.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, state), F.lit("unknown"))
+    """Of a job's state; without one, pending."""
+    known = F.create_map(*[F.lit(x) for pair in RUN_STATES.items() for x in pair])
+    state = F.coalesce(F.nullif(state, F.lit("")), F.lit("pending"))
+    return F.coalesce(F.try_element_at(known, state), state)
+
+
+def run_of_job(status: Column, updated_at: Column) -> dict[str, Column]:
+    """status, is_active and ended_at of the run of a job."""
+    mapped = run_status(status)
+    return {"status": mapped, "is_active": mapped.isin("pending", "running", "starting"), "ended_at": F.when(mapped.isin("completed", "failed", "stopped"), updated_at)}
 
 
 def wiki_edges(pages: DataFrame) -> DataFrame:

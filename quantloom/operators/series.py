@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -47,39 +48,42 @@ def ic_t_stat(ratio: Column, n: Column) -> Column:
 
 
 def return_moments(series: DataFrame) -> DataFrame:
-    """n, mean, variance, skew and kurtosis (population, not excess) of each series."""
-    m = series.groupBy("series_id").agg(F.count("r").alias("n"), F.avg("r").alias("m1"), F.avg(F.pow("r", F.lit(2))).alias("s2"), F.avg(F.pow("r", F.lit(3))).alias("s3"), F.avg(F.pow("r", F.lit(4))).alias("s4"))
-    var = F.col("s2") - F.pow("m1", F.lit(2))
-    third = F.col("s3") - 3 * F.col("m1") * F.col("s2") + 2 * F.pow("m1", F.lit(3))
-    fourth = F.col("s4") - 4 * F.col("m1") * F.col("s3") + 6 * F.pow("m1", F.lit(2)) * F.col("s2") - 3 * F.pow("m1", F.lit(4))
-    ok = var > 1e-12
-    return m.select("series_id", "n", F.col("m1").alias("mean"), var.alias("variance"), F.when(ok, third / F.pow(F.when(ok, var), F.lit(1.5))).alias("skew"), F.when(ok, fourth / F.pow(F.when(ok, var), F.lit(2))).alias("kurtosis"))
-
-
-def deflated(n: int, mean: float, variance: float, skew: float, kurtosis: float, trials: int) -> float | None:
-    """Probability that the Sharpe ratio exceeds what the best of so many trials would show by chance."""
-    if n < DAYS_LEAST or not variance > 1e-12:
-        return None
-    ratio = mean / variance**0.5
-    spread = 1 - skew * ratio + (kurtosis - 1) / 4 * ratio**2
-    if spread <= 0:
-        return None
-    normal, bar = NormalDist(), 0.0
-    if trials > 1:
-        bar = (spread / (n - 1)) ** 0.5 * ((1 - EULER) * normal.inv_cdf(1 - 1 / trials) + EULER * normal.inv_cdf(1 - 1 / (trials * np.e)))
-    return normal.cdf((ratio - bar) * ((n - 1) / spread) ** 0.5)
+    """n, mean, variance, skew and kurtosis (population, not excess) of each series, by centred sums."""
+    m = series.groupBy("series_id").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.var_pop("r").alias("variance"), F.skewness("r").alias("skew"), (F.kurtosis("r") + 3).alias("kurtosis"))
+    ok = F.col("variance") > 1e-12
+    return m.select("series_id", "n", "mean", "variance", F.when(ok, F.col("skew")).alias("skew"), F.when(ok, F.col("kurtosis")).alias("kurtosis"))
 
 
-def deflated_sharpe(series: DataFrame, trials: int) -> DataFrame:
-    """series_id, dsr; the moments are aggregates, only the normal distribution needs Python."""
-    ship(series.sparkSession)
+# Hart's rational approximation of the tail of the normal distribution, in double precision.
+TAIL_TOP = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+TAIL_BOTTOM = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
 
-    @F.pandas_udf("double")
-    def probability(n: pd.Series, mean: pd.Series, variance: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
-        rows = zip(n, mean, variance, skew, kurtosis, strict=True)
-        return pd.Series([None if pd.isna(s) else deflated(int(a), m, v, s, k, trials) for a, m, v, s, k in rows], dtype="float64")
+def normal_cdf(x: Column) -> Column:
+    """The distribution function of the standard normal, to about 1e-15."""
+    a = F.least(F.abs(x), F.lit(37.0))
+    poly = lambda cs: reduce(lambda acc, c: acc * a + c, cs[1:], F.lit(cs[0]))
+    far = reduce(lambda acc, k: a + k / acc, (4.0, 3.0, 2.0, 1.0), a + 0.65) * 2.506628274631
+    tail = F.exp(-a * a / 2) * F.when(a < 7.07106781186547, poly(TAIL_TOP) / poly(TAIL_BOTTOM)).otherwise(1 / far)
+    return F.when(x > 0, 1 - tail).otherwise(tail)
 
-    return return_moments(series).select("series_id", probability("n", "mean", "variance", "skew", "kurtosis").alias("dsr"))
+
+def chance_factor(trials: int) -> float:
+    """How many standard errors the best of so many trials is expected to reach by chance."""
+    normal = NormalDist()
+    return (1 - EULER) * normal.inv_cdf(1 - 1 / trials) + EULER * normal.inv_cdf(1 - 1 / (trials * np.e)) if trials > 1 else 0.0
+
+
+def deflated_sharpe(series: DataFrame, trials: int) -> DataFrame:
+    """series_id, dsr: the probability that the Sharpe ratio exceeds what the best of so many trials would show by chance.
+
+    Null below DAYS_LEAST values, without variance, and where the moments give no spread.
+    """
+    m = return_moments(series).withColumn("ratio", F.when(F.col("variance") > 1e-12, F.col("mean") / F.sqrt("variance")))
+    m = m.withColumn("spread", 1 - F.col("skew") * F.col("ratio") + (F.col("kurtosis") - 1) / 4 * F.col("ratio") ** 2)
+    root = F.sqrt((F.col("n") - 1) / F.when(F.col("spread") > 0, F.col("spread")))
+    dsr = normal_cdf(F.col("ratio") * root - F.lit(chance_factor(trials)))
+    return m.select("series_id", F.when((F.col("n") >= DAYS_LEAST) & root.isNotNull(), dsr).alias("dsr"))
 
 
 def library_score(ic: Column, sharpe_ratio: Column, drawdown: Column, pbo: Column) -> Column:
@@ -96,15 +100,64 @@ def selection_score(annual: Column, ratio: Column, ic: Column, drawdown: Column,
     return 0.35 * annual + 0.35 * ratio + 0.15 * ic - 0.08 * F.abs(drawdown) - 0.04 * turnover - 0.03 * drag
 
 
+#: Series of a block of the correlation table.
+BLOCK = 256
+
+
 def pairwise(series: DataFrame, least: int = OVERLAP_LEAST) -> DataFrame:
-    """a, b (a < b), n, corr over common dates; null where a side is flat or few dates are common.
+    """a, b (a < b), n, corr over common dates; null where a side is flat or few dates are common, no row without a common date.
 
-    The number of series is that of factors under comparison, not of rows.
+    Series are packed to arrays over their dates and dealt into blocks of about BLOCK; each pair of
+    blocks is one task's matrix products over the dates of its series, so neither a join by date nor
+    one task holds all pairs. The number of series is that of factors under comparison, not of rows.
     """
-    a, b = series.select(F.col("series_id").alias("a"), "d", F.col("r").alias("x")), series.select(F.col("series_id").alias("b"), "d", F.col("r").alias("y"))
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    ship(series.sparkSession)
+    packed = series.where("series_id IS NOT NULL AND d IS NOT NULL AND r IS NOT NULL").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date(F.to_date("d")).alias("d"), "r"))).alias("v"))
+    packed = saved(packed.select("series_id", "v.d", "v.r"), "series")
+    blocks = -(-packed.count() // BLOCK) or 1
+    own = F.pmod(F.xxhash64("series_id"), F.lit(blocks))
+    rows = packed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    kind = series.schema["series_id"].dataType.simpleString()
+    return rows.groupBy("x", "y").applyInPandas(_block_correlations(least), f"a {kind}, b {kind}, n long, corr double")
+
+
+def _block_correlations(least: int):
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        own, ids = (t["own"] == t["x"]).to_numpy(), t["series_id"].to_numpy()
+        days = np.unique(np.concatenate(t["d"].to_list()))
+        x = np.full((len(t), len(days)), np.nan)
+        for k, (d, r) in enumerate(zip(t["d"], t["r"], strict=True)):
+            x[k, np.searchsorted(days, d)] = r
+        there = ~np.isnan(x)
+        # Shifting a series changes no correlation, and keeps the sums of squares small.
+        x = np.where(there, x - np.nanmean(x, axis=1, keepdims=True), 0.0)
+        m = there.astype(float)
+        left = np.flatnonzero(own)
+        right = left if t["x"].iloc[0] == t["y"].iloc[0] else np.flatnonzero(~own)
+        n = m[left] @ m[right].T
+        i, j = np.nonzero(n > 0)
+        a, b = left[i], right[j]
+        keep = ids[a] < ids[b] if right is left else np.ones(len(a), bool)
+        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+        n = n[i, j]
+        sums = [(p[left] @ q[right].T)[i, j] / n for p, q in ((x, m), (m, x), (x * x, m), (m, x * x), (x, x))]
+        spread = np.sqrt(np.maximum(sums[2] - sums[0] ** 2, 0)) * np.sqrt(np.maximum(sums[3] - sums[1] ** 2, 0))
+        fine = (n >= least) & (spread > 1e-18)
+        corr = np.where(fine, (sums[4] - sums[0] * sums[1]) / np.where(fine, spread, 1), np.nan)
+        swap = ids[a] > ids[b]
+        return pd.DataFrame({"a": ids[np.where(swap, b, a)], "b": ids[np.where(swap, a, b)], "n": n.astype(np.int64), "corr": pd.Series(corr).astype(object).where(fine, None)})
+
+    return run
+
+
+def correlation_with(series: DataFrame, name: str, least: int = OVERLAP_LEAST) -> DataFrame:
+    """b, corr of every other series with one, as in pairwise."""
+    one = series.where(F.col("series_id") == name).select("d", F.col("r").alias("x"))
+    spread = F.stddev_pop("x") * F.stddev_pop("r")
     ok = (F.count("*") >= least) & (spread > 1e-18)
-    return a.join(b, "d").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.when(ok, F.covar_pop("x", "y") / F.when(spread > 1e-18, spread)).alias("corr"))
+    rows = series.where(F.col("series_id") != name).join(one, "d").where("x IS NOT NULL AND r IS NOT NULL")
+    return rows.groupBy(F.col("series_id").alias("b")).agg(F.when(ok, F.covar_pop("x", "r") / F.when(spread > 1e-18, spread)).alias("corr"))
 
 
 def covered_grid(series: DataFrame, min_members: int = 2, share: float = 0.6) -> DataFrame:
@@ -154,15 +207,52 @@ def combination_vs_best(series: DataFrame, lookback: int = 20, bps: float = 5.0)
 
 
 def ols_head(series: DataFrame, least: int = 6) -> DataFrame:
-    """series_id, n, and the in-sample coefficients of r on its two lags, by normal equations."""
-    order = Window.partitionBy("series_id").orderBy("d")
-    rows = series.select("series_id", F.col("r").alias("y"), F.lag("r", 1).over(order).alias("x1"), F.lag("r", 2).over(order).alias("x2")).dropna()
+    """series_id, n, and the in-sample coefficients of r on its two lags, by normal equations; of series with `least` values."""
+    rows = _lagged(series)
     m = rows.groupBy("series_id").agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m_{k}") for k in ("y", "x1", "x2")), F.var_pop("x1").alias("v11"), F.var_pop("x2").alias("v22"), F.covar_pop("x1", "x2").alias("v12"), F.covar_pop("x1", "y").alias("v1y"), F.covar_pop("x2", "y").alias("v2y"))
     det = F.nullif(F.col("v11") * F.col("v22") - F.col("v12") * F.col("v12"), F.lit(0.0))
-    m = m.where(F.col("n") >= least).withColumns({"b1": (F.col("v1y") * F.col("v22") - F.col("v2y") * F.col("v12")) / det, "b2": (F.col("v2y") * F.col("v11") - F.col("v1y") * F.col("v12")) / det})
+    m = m.where(F.col("n") >= least - 2).withColumns({"b1": (F.col("v1y") * F.col("v22") - F.col("v2y") * F.col("v12")) / det, "b2": (F.col("v2y") * F.col("v11") - F.col("v1y") * F.col("v12")) / det})
     return m.select("series_id", "n", (F.col("m_y") - F.col("b1") * F.col("m_x1") - F.col("b2") * F.col("m_x2")).alias("b0"), "b1", "b2")
 
 
-def next_action(last_action: Column, last_error: Column, improved: Column) -> Column:
-    """What a research loop does after its last event."""
-    return F.when(last_action.isNull(), "propose").when(last_error.isNotNull(), "repair").when(F.coalesce(improved, F.lit(False)), "exploit").otherwise("explore")
+def _lagged(series: DataFrame) -> DataFrame:
+    order = Window.partitionBy("series_id").orderBy("d")
+    rows = series.where(finite(F.col("r")).isNotNull())
+    return rows.select("series_id", "d", F.col("r").alias("y"), F.lag("r", 1).over(order).alias("x1"), F.lag("r", 2).over(order).alias("x2")).where("x2 IS NOT NULL")
+
+
+def ols_curve(series: DataFrame, least: int = 6) -> DataFrame:
+    """series_id, d, pred, pnl, nav: the fitted value of each date, its product with the return, and the compounded curve of these."""
+    heads = ols_head(series, least)
+    rows = _lagged(series).join(heads, "series_id").withColumn("pred", F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2"))
+    rows = rows.withColumn("pnl", F.col("pred") * F.col("y"))
+    return rows.select("series_id", "d", "pred", "pnl", F.product(1 + F.col("pnl")).over(_order()).alias("nav"))
+
+
+def portfolio_return(curve: DataFrame) -> DataFrame:
+    """series_id, portfolio_return: the last value of nav over the first, less 1; null below two dates or from 0."""
+    first, last = F.min_by("nav", "d"), F.max_by("nav", "d")
+    return curve.groupBy("series_id").agg(F.when(F.count("*") >= 2, last / F.nullif(first, F.lit(0.0)) - 1).alias("portfolio_return"))
+
+
+def next_action(event: dict[str, Column]) -> Column:
+    """What a research loop works on after its last event: factor or model.
+
+    event: action, ok, has_returns, skip_reason, sharpe_net, portfolio_return of it; action is null
+    without one. After a factor that came out with returns the model is next; after a model another
+    model as long as the reward (net Sharpe, else the portfolio's return) is above 0 and nothing was
+    skipped; otherwise a factor.
+    """
+    reward = F.coalesce(event["sharpe_net"], event["portfolio_return"])
+    fine = lambda c: F.coalesce(c, F.lit(False))
+    on = (fine(event["action"] == "factor") & fine(event["ok"]) & fine(event["has_returns"])) | (fine(event["action"] == "model") & (F.coalesce(event["skip_reason"], F.lit("")) == "") & fine(reward > 0))
+    return F.when(on, "model").otherwise("factor")
+
+
+def combine_ready(catalog: DataFrame, series: DataFrame, least: int = 2, limit: int = 50) -> DataFrame | str:
+    """The combination of the newest ready entries (id, status, updated_at) that have a series, or the reason why there is none."""
+    ready = catalog.where("status = 'ready'").orderBy(F.desc("updated_at"), "id").limit(limit).select(F.col("id").alias("series_id"))
+    rows = series.join(F.broadcast(ready), "series_id", "left_semi")
+    if rows.select("series_id").distinct().limit(least).count() < least:
+        return "insufficient_ready_factors"
+    return combined(rows)

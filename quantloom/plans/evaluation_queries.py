@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ ls AS (SELECT factor, trade_date, ls, CASE WHEN pl IS NOT NULL THEN
   FROM lagged WHERE n >= 20)"""
 
 
-def seed_rows(spark, d) -> DataFrame:
+def seed_rows(spark, d, period: str = "month") -> DataFrame:
     """As ROWS: scores of all seeds in one pass, forward returns, members of the time."""
-    p = P.brand_panel(spark, d)
+    p = P.brand_panel(spark, d, period)
     rows = scores.score_many(p, SEEDS, with_forward=True).dropna(subset=["score", "fwd"])
     return E.point_in_time(rows, members(p))
 
@@ -150,27 +152,33 @@ def cost_curve(spark, d):
     return _plain(E.net_metrics(E.with_costs(E.long_short(seed_rows(spark, d)), COSTS), ["factor", "bps"], F.col("bps")))
 
 
-_FOLDS = f"""{ROWS.replace('rows AS (SELECT factor', 'every AS (SELECT factor')},
-rows AS (SELECT factor || '@' || year(trade_date) AS factor, trade_date, ts_code, score, fwd FROM every
-  WHERE trade_date < (SELECT max(e.trade_date) FROM every e WHERE year(e.trade_date) = year(every.trade_date)) OR (SELECT count(DISTINCT e.trade_date) FROM every e WHERE year(e.trade_date) = year(every.trade_date)) = 1),
-{IC}, {LEGS},
-folds AS (SELECT i.factor, days, ic, rank_ic, net FROM (SELECT factor, count(ic) AS days, avg(ic) AS ic, avg(rank_ic) AS rank_ic FROM ic GROUP BY factor) i
-  JOIN (SELECT factor, avg(ls - 5.0 / 10000 * coalesce(turnover, 0)) AS net FROM ls GROUP BY factor) n ON i.factor = n.factor WHERE days >= 10)"""
+# Folds need DAYS_LEAST return dates a year, so they are made on weekly bars.
+WEEKLY = ROWS.replace("date_trunc('month'", "date_trunc('week'")
+ICS = """ics AS (SELECT factor, CASE WHEN count(ic) >= 20 THEN round(avg(ic), 6) + 0.0 END AS ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / nullif(stddev_pop(ic), 0), 4) + 0.0 END AS icir,
+  CASE WHEN count(rank_ic) >= 20 THEN round(avg(rank_ic), 6) + 0.0 END AS rank_ic FROM ic GROUP BY factor)"""
+_FOLDS = f"""{WEEKLY.replace('rows AS (SELECT factor', 'every AS (SELECT factor')},
+last_days AS (SELECT year(trade_date) AS y, max(trade_date) AS last, min(trade_date) AS first FROM every GROUP BY 1),
+rows AS (SELECT factor || '@' || y AS factor, trade_date, ts_code, score, fwd FROM every JOIN last_days ON year(trade_date) = y WHERE trade_date < last OR first = last),
+{IC}, {LEGS}, {_net('factor', '5.0')}, {ICS},
+folds AS (SELECT split_part(m.factor, '@', 1) AS factor, CAST(split_part(m.factor, '@', 2) AS INTEGER) AS fold, days, sharpe, annual, max_drawdown, turnover, ic, icir, rank_ic FROM metrics m LEFT JOIN ics ON m.factor = ics.factor WHERE days >= 20)"""
 
 
 def _folds(spark, d) -> DataFrame:
-    return E.walk_forward(seed_rows(spark, d), least=10)
+    out = _plain(E.walk_forward(seed_rows(spark, d, "week")))
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("ic", "icir", "rank_ic")})
 
 
-@query("walkforward", f"{_FOLDS} SELECT split_part(factor, '@', 1) AS factor, CAST(split_part(factor, '@', 2) AS INTEGER) AS fold, days, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic, round(net, 6) + 0.0 AS net FROM folds")
+@query("walkforward", f"{_FOLDS} SELECT * FROM folds")
 def walkforward(spark, d):
-    return _rounded(_folds(spark, d), "ic", "rank_ic", "net")
+    return _folds(spark, d)
 
 
-@query("walkforward_summary", f"""{_FOLDS} SELECT split_part(factor, '@', 1) AS factor, count(*) AS folds, round(avg(ic), 6) + 0.0 AS ic_mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(ic), 6) END AS ic_std,
-  round(avg(rank_ic), 6) + 0.0 AS rank_ic_mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(rank_ic), 6) END AS rank_ic_std, round(avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share FROM folds GROUP BY 1""")
+@query("walkforward_summary", f"""{_FOLDS} SELECT factor, count(*) AS folds, round(avg(ic), 6) + 0.0 AS ic_mean, CASE WHEN count(ic) > 1 THEN round(stddev_pop(ic), 6) END AS ic_std,
+  round(avg(rank_ic), 6) + 0.0 AS rank_ic_mean, CASE WHEN count(rank_ic) > 1 THEN round(stddev_pop(rank_ic), 6) END AS rank_ic_std,
+  round(avg(sharpe), 6) + 0.0 AS sharpe_mean, CASE WHEN count(sharpe) > 1 THEN round(stddev_pop(sharpe), 6) END AS sharpe_std,
+  round(avg(CASE WHEN rank_ic > 0 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END), 4) AS positive_share FROM folds GROUP BY factor""")
 def walkforward_summary(spark, d):
-    return E.fold_summary(_folds(spark, d)).withColumns({c: F.col(c) + F.lit(0.0) for c in ("ic_mean", "rank_ic_mean")})
+    return E.fold_summary(_folds(spark, d)).withColumns({c: F.col(c) + F.lit(0.0) for c in ("ic_mean", "rank_ic_mean", "sharpe_mean")})
 
 
 _BENCH = f"""{ROWS.replace('rows AS (SELECT factor', 'every AS (SELECT factor')},
@@ -179,8 +187,7 @@ inside AS (SELECT e.*, w FROM every e JOIN spans ON trade_date BETWEEN a AND b),
 ends AS (SELECT w, max(trade_date) AS last, min(trade_date) AS first FROM inside GROUP BY w),
 rows AS (SELECT factor || '@' || w AS factor, trade_date, ts_code, score, fwd FROM inside JOIN ends USING (w) WHERE trade_date < last OR first = last),
 {IC}, {LEGS}, costs AS (SELECT ls.*, bps FROM ls, (VALUES (0.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE)) c(bps)), {_net('factor, bps', 'bps', 'costs')},
-ics AS (SELECT factor, CASE WHEN count(ic) >= 20 THEN round(avg(ic), 6) + 0.0 END AS ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / nullif(stddev_pop(ic), 0), 4) + 0.0 END AS icir,
-  CASE WHEN count(rank_ic) >= 20 THEN round(avg(rank_ic), 6) + 0.0 END AS rank_ic FROM ic GROUP BY factor),
+{ICS},
 bench AS (SELECT split_part(m.factor, '@', 1) AS factor, split_part(m.factor, '@', 2) AS "window", bps, days, sharpe, annual, max_drawdown, turnover, ic, icir, rank_ic FROM metrics m LEFT JOIN ics ON m.factor = ics.factor)"""
 
 
@@ -196,7 +203,7 @@ def bench_table(spark, d):
 
 @query("sweep_topk", f"{_BENCH} SELECT factor, ic, sharpe FROM bench WHERE \"window\" = 'IS' AND bps = 5 ORDER BY ic DESC NULLS LAST, factor LIMIT 2")
 def sweep_topk(spark, d):
-    return E.top_k(bench(spark, d).where("bps = 5"), "is_ic", 2).select("factor", "ic", "sharpe")
+    return E.top_k(bench(spark, d).where("bps = 5"), "ic", 2).select("factor", "ic", "sharpe")
 
 
 @query("rebalance_dates", """SELECT CAST(m + to_days(CAST((5 - dayofweek(m) + 7) % 7 + 7 AS INTEGER)) AS DATE) AS rebalance_date
@@ -249,9 +256,22 @@ def return_moments(spark, d):
     return out.select("series_id", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("variance", 6).alias("variance"), (F.round("skew", 4) + F.lit(0.0)).alias("skew"), F.round("kurtosis", 4).alias("kurtosis"))
 
 
-@query("deflated_sharpe")
+def _horner(cs: list[float], x: str) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {c!r}::DOUBLE)", cs[1:], f"{cs[0]!r}::DOUBLE")
+
+
+_FAR = reduce(lambda acc, k: f"(a + {k} / {acc})", (4, 3, 2, 1), "(a + 0.65)")
+
+
+@query("deflated_sharpe", f"""{_RETURNS}, c AS (SELECT series_id, count(r) AS n, avg(r) AS m FROM series GROUP BY series_id),
+q AS (SELECT series_id, any_value(n) AS n, any_value(m) AS m, avg((r - m) ** 2) AS v, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM series JOIN c USING (series_id) GROUP BY series_id),
+s AS (SELECT series_id, n, m / sqrt(v) AS ratio, 1 - m3 / v ** 1.5 * m / sqrt(v) + (m4 / v ** 2 - 1) / 4 * (m / sqrt(v)) ** 2 AS spread FROM q WHERE n >= 20 AND v > 1e-12),
+z AS (SELECT series_id, ratio * sqrt((n - 1) / spread) - {S.chance_factor(145)!r}::DOUBLE AS x FROM s WHERE spread > 0),
+t AS (SELECT series_id, x, least(abs(x), 37.0) AS a FROM z),
+u AS (SELECT series_id, x, exp(-a * a / 2) * CASE WHEN a < 7.07106781186547 THEN {_horner(S.TAIL_TOP, 'a')} / {_horner(S.TAIL_BOTTOM, 'a')} ELSE 1 / ({_FAR} * 2.506628274631) END AS tail FROM t)
+SELECT series_id, round(CASE WHEN x > 0 THEN 1 - tail ELSE tail END, 8) AS dsr FROM c LEFT JOIN u USING (series_id)""")
 def deflated_sharpe(spark, d):
-    return S.deflated_sharpe(returns(spark, d), 145)
+    return S.deflated_sharpe(returns(spark, d), 145).withColumn("dsr", F.round("dsr", 8))
 
 
 @query("finite_filter", "SELECT event_id, value FROM events WHERE isfinite(value) AND value < 100")
@@ -306,14 +326,32 @@ def common_dates(spark, d):
     return r.where("series_id = 'mom_close_20'").select("d").intersect(r.where("series_id = 'rev_close_5'").select("d"))
 
 
-@query("ols_head", f"""{_RETURNS}, l AS (SELECT series_id, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
-m AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS v1y, covar_pop(x2, y) AS v2y FROM l WHERE x2 IS NOT NULL GROUP BY series_id HAVING count(*) >= 6),
-b AS (SELECT *, (v1y * v22 - v2y * v12) / (v11 * v22 - v12 * v12) AS b1, (v2y * v11 - v1y * v12) / (v11 * v22 - v12 * v12) AS b2 FROM m)
-SELECT series_id, n, round(my - b1 * m1 - b2 * m2, 6) + 0.0 AS b0, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2 FROM b""")
+_OLS = f"""{_RETURNS}, l AS (SELECT series_id, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
+m AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS v1y, covar_pop(x2, y) AS v2y FROM l WHERE x2 IS NOT NULL GROUP BY series_id HAVING count(*) >= 4),
+b AS (SELECT *, (v1y * v22 - v2y * v12) / (v11 * v22 - v12 * v12) AS b1, (v2y * v11 - v1y * v12) / (v11 * v22 - v12 * v12) AS b2 FROM m), h AS (SELECT series_id, n, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)"""
+
+
+@query("ols_head", f"{_OLS} SELECT series_id, n, round(b0, 6) + 0.0 AS b0, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2 FROM h")
 def ols_head(spark, d):
     return _rounded(S.ols_head(returns(spark, d)), "b0", "b1", "b2")
 
 
+_CURVE = f"""{_OLS}, lagged_days AS (SELECT series_id, d, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
+fitted AS (SELECT series_id, d, b0 + b1 * x1 + b2 * x2 AS pred, (b0 + b1 * x1 + b2 * x2) * y AS pnl FROM lagged_days JOIN h USING (series_id) WHERE x2 IS NOT NULL),
+curve AS (SELECT *, product(1 + pnl) OVER (PARTITION BY series_id ORDER BY d) AS nav FROM fitted)"""
+
+
+@query("ols_curve", f"{_CURVE} SELECT series_id, d, round(pred, 6) + 0.0 AS pred, round(pnl, 8) + 0.0 AS pnl, round(nav, 6) AS nav FROM curve")
+def ols_curve(spark, d):
+    out = S.ols_curve(returns(spark, d))
+    return out.select("series_id", "d", (F.round("pred", 6) + F.lit(0.0)).alias("pred"), (F.round("pnl", 8) + F.lit(0.0)).alias("pnl"), F.round("nav", 6).alias("nav"))
+
+
+@query("ols_portfolio", f"{_CURVE} SELECT series_id, CASE WHEN count(*) >= 2 THEN round(arg_max(nav, d) / nullif(arg_min(nav, d), 0) - 1, 6) + 0.0 END AS portfolio_return FROM curve GROUP BY series_id")
+def ols_portfolio(spark, d):
+    return _rounded(S.portfolio_return(S.ols_curve(returns(spark, d))), "portfolio_return")
+
+
 @query("eval_net_metrics", f"{ROWS}, {LEGS}, {_net('factor', '12.0')} SELECT factor, days, sharpe, annual, max_drawdown, turnover, turnover IS NULL AS no_turnover FROM metrics")
 def eval_net_metrics(spark, d):
     return _plain(E.net_metrics(E.long_short(seed_rows(spark, d)), ["factor"], F.lit(12.0))).withColumn("no_turnover", F.col("turnover").isNull())

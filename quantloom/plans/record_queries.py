@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import expressions as X
 from quantloom.operators import gates as G
 from quantloom.operators import pool
 from quantloom.operators import records as C
@@ -16,15 +17,48 @@ from quantloom.operators import series as S
 from quantloom.plans.evaluation_queries import returns
 from quantloom.plans.panel_queries import ZOO
 from quantloom.plans.registry import query
+from quantloom.session import saved
+from quantloom.sources import panel as P
 from quantloom.sources.panel import table
 
+#: Series of the part pool: monthly changes of the mean price of parts by key modulo this, so as many factors at every scale.
+POOL = 320
+_POOL_SERIES = f"""bars AS (SELECT 'p' || l_partkey % {POOL} AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS close FROM lineitem GROUP BY 1, 2),
+moves AS (SELECT series_id, d, close / lag(close) OVER (PARTITION BY series_id ORDER BY d) - 1 AS r FROM bars), series AS (SELECT * FROM moves WHERE r IS NOT NULL)"""
+_POOL_FACTORS = f"""factors AS (SELECT 'p' || p_partkey % {POOL} AS name, (sum(p_size) % 41 - 20) / 1000.0::DOUBLE AS ic, CAST(sum(p_size * 7) % 53 AS DOUBLE) AS score, 'm' || p_partkey % {POOL} % 3 AS profile, p_partkey % {POOL} % 19 = 0 AS simulated, CASE WHEN p_partkey % {POOL} % 17 = 0 THEN 'culled' ELSE 'review' END AS status FROM part GROUP BY p_partkey % {POOL})"""
+
+
+def pool_series(spark, d) -> DataFrame:
+    bars = P.bars_of(table(spark, d, "lineitem"), F.concat(F.lit("p"), F.expr(f"l_partkey % {POOL}").cast("string")))
+    before = F.lag("close").over(C.Window.partitionBy("ts_code").orderBy("trade_date"))
+    return bars.select(F.col("ts_code").alias("series_id"), F.col("trade_date").alias("d"), (F.col("close") / before - 1).alias("r")).where("r IS NOT NULL")
+
+
+def pool_factors(spark, d) -> DataFrame:
+    by = table(spark, d, "part").groupBy(F.expr(f"p_partkey % {POOL}").alias("k")).agg(F.sum("p_size").alias("s"), F.sum(F.expr("p_size * 7")).alias("t"))
+    return by.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), F.expr("(s % 41 - 20) / 1000D").alias("ic"), F.expr("CAST(t % 53 AS DOUBLE)").alias("score"), F.concat(F.lit("m"), F.expr("k % 3").cast("string")).alias("profile"), F.expr("k % 19 = 0").alias("simulated"), F.expr("CASE WHEN k % 17 = 0 THEN 'culled' ELSE 'review' END").alias("status"))
+
+
+def _gate_texts() -> list[tuple[str, float, dict]]:
+    """Expressions with their largest similarity to the corpus and their complexity."""
+    texts = [*ZOO[:3], "Rank(Delta(close, 7) / Std(open, 33))", "If(Greater(open, low), Mean(volume, 9), Sum(amount, 4)) * Corr(high, volume, 15) - Rank(vwap)", " "]
+    out = []
+    for t in texts:
+        known = t.strip() != ""
+        out.append((t, round(X.most_similar(t, ZOO), 6) if known else 0.0, X.complexity(X.parse(t)) if known else {"sl": 0, "pc": 0, "fc": 0}))
+    long = " + ".join(f"Mean(close, {k})" for k in range(2, 12))
+    return [*out, (long, round(X.most_similar(long, ZOO), 6), X.complexity(X.parse(long)))]
+
+
+_GATE_ROWS = ", ".join(f"({k}, '{t}', {s!r}::DOUBLE, {c['sl']}, {c['pc']}, {c['fc']})" for k, (t, s, c) in enumerate(_gate_texts()))
+_N_GATES = len(_gate_texts())
 _DAY = "CAST(DATE '2024-01-01' + to_days(CAST({} AS INTEGER)) AS DATE)"
-_CATALOG = f"cat AS (SELECT 'part' AS source, p_partkey % 500 AS source_ref, p_partkey AS id, p_name AS name, p_type AS style, p_brand AS status, {_DAY.format('p_partkey % 300')} AS created_at, {_DAY.format('p_partkey % 300 + 1')} AS updated_at FROM part)"
+_CATALOG = f"cat AS (SELECT 'part' AS source, p_partkey % 500 AS source_ref, p_partkey AS id, p_name AS name, 'Rank(' || p_type || ')' AS formula, p_brand || '-cn' AS name_cn, p_type AS style, p_brand AS status, {_DAY.format('p_partkey % 300')} AS created_at, {_DAY.format('p_partkey % 300 + 1')} AS updated_at FROM part)"
 
 
 def _catalog(spark, d) -> DataFrame:
     day = lambda x: F.date_add(F.lit("2024-01-01").cast("date"), F.expr(x).cast("int"))
-    return table(spark, d, "part").select(F.lit("part").alias("source"), F.expr("p_partkey % 500").alias("source_ref"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("style"), F.col("p_brand").alias("status"), day("p_partkey % 300").alias("created_at"), day("p_partkey % 300 + 1").alias("updated_at"))
+    return table(spark, d, "part").select(F.lit("part").alias("source"), F.expr("p_partkey % 500").alias("source_ref"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("Rank("), F.col("p_type"), F.lit(")")).alias("formula"), F.concat(F.col("p_brand"), F.lit("-cn")).alias("name_cn"), F.col("p_type").alias("style"), F.col("p_brand").alias("status"), day("p_partkey % 300").alias("created_at"), day("p_partkey % 300 + 1").alias("updated_at"))
 
 
 @query("catalog_search", f"WITH {_CATALOG} SELECT id, name, style, updated_at FROM cat WHERE style = 'ECONOMY' AND name ILIKE '%RED%' ORDER BY updated_at DESC, id LIMIT 20")
@@ -32,36 +66,75 @@ def catalog_search(spark, d):
     return C.search(_catalog(spark, d), "RED", 20, style="ECONOMY").select("id", "name", "style", "updated_at")
 
 
-_STORES = """stores AS (SELECT 'part' AS source, p_partkey AS ref, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer)"""
+@query("catalog_search_all", f"WITH {_CATALOG} SELECT id, name, formula, name_cn FROM cat WHERE name ILIKE '%eco%' OR formula ILIKE '%eco%' OR name_cn ILIKE '%eco%' UNION ALL SELECT id, name, formula, name_cn FROM cat WHERE name ILIKE '%#1_-CN%' OR formula ILIKE '%#1_-CN%' OR name_cn ILIKE '%#1\\_-CN%' ESCAPE '\\'")
+def catalog_search_all(spark, d):
+    cat = _catalog(spark, d)
+    return C.search(cat, "eco", 1 << 30).unionByName(C.search(cat, "#1_-CN", 1 << 30)).select("id", "name", "formula", "name_cn")
+
+
+# Three stores of entries; a rebuild upserts them over a catalog that has some of them.
+_STORES = """stores AS (SELECT 'part' AS source, p_partkey AS source_ref, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer),
+before AS (SELECT source, source_ref, source || source_ref AS id, 'old' AS name, 1 AS created_at FROM stores WHERE source_ref % 3 = 0),
+again AS (SELECT source, source_ref, 'new-' || source || source_ref AS id, name, 2 AS created_at FROM stores)"""
 
 
-@query("catalog_rebuild_union", f"WITH {_STORES} SELECT source, ref, name FROM stores")
+@query("catalog_rebuild_union", f"WITH {_STORES} SELECT source, source_ref, coalesce(b.id, a.id) AS id, a.name, coalesce(b.created_at, a.created_at) AS created_at FROM again a LEFT JOIN before b USING (source, source_ref)")
 def catalog_rebuild_union(spark, d):
-    pick = lambda t, k, n: table(spark, d, t).select(F.lit(t).alias("source"), F.col(k).alias("ref"), F.col(n).alias("name"))
-    return pick("part", "p_partkey", "p_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("customer", "c_custkey", "c_name"))
+    pick = lambda t, k, n: table(spark, d, t).select(F.lit(t).alias("source"), F.col(k).alias("source_ref"), F.col(n).alias("name"))
+    stores = pick("part", "p_partkey", "p_name").unionByName(pick("supplier", "s_suppkey", "s_name")).unionByName(pick("customer", "c_custkey", "c_name"))
+    key = F.concat("source", F.col("source_ref").cast("string"))
+    before = stores.where("source_ref % 3 = 0").select("source", "source_ref", key.alias("id"), F.lit("old").alias("name"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    again = stores.select("source", "source_ref", F.concat(F.lit("new-"), key).alias("id"), "name", F.lit(2).alias("created_at"), F.lit(2).alias("updated_at"))
+    return C.upserted(before, again).select("source", "source_ref", "id", "name", "created_at")
 
 
 @query("jobs_degraded", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT user_id, bool_and(event_type = 'error') AS degraded FROM r WHERE rn <= 2 GROUP BY user_id""")
+SELECT user_id, count(*) >= 3 AND bool_and(event_type IN ('error', 'view')) AS degraded FROM r WHERE rn <= 3 GROUP BY user_id""")
 def jobs_degraded(spark, d):
     last = C.F.row_number().over(C.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").withColumn("rn", last).where("rn <= 2").groupBy("user_id").agg(F.every(F.col("event_type") == "error").alias("degraded"))
+    failed = F.col("event_type").isin("error", "view")
+    return table(spark, d, "events").withColumn("rn", last).where("rn <= 3").groupBy("user_id").agg(((F.count("*") >= 3) & F.every(failed)).alias("degraded"))
 
 
-@query("error_prefix_match", """WITH e AS (SELECT DISTINCT event_type || CASE WHEN user_id % 2 = 0 THEN ': user ' || user_id ELSE '' END AS e FROM events WHERE user_id < 8)
-SELECT a.e AS a, b.e AS b FROM e a JOIN e b ON a.e < b.e WHERE starts_with(lower(trim(split_part(a.e, ':', 1))), lower(trim(split_part(b.e, ':', 1)))) OR starts_with(lower(trim(split_part(b.e, ':', 1))), lower(trim(split_part(a.e, ':', 1))))""")
+# Errors whose keys are event types or beginnings of them, of any length from none.
+_ERRORS = "CASE WHEN user_id % 7 = 0 THEN left(event_type, CAST(user_id // 7 % 5 AS INTEGER)) ELSE event_type END || CASE WHEN user_id % 2 = 0 THEN ': user ' || user_id ELSE '' END"
+
+
+@query("error_prefix_match", f"""WITH e AS (SELECT DISTINCT {_ERRORS} AS e FROM events), m AS (SELECT e, lower(trim(split_part(e, ':', 1))) AS key FROM e), k AS (SELECT DISTINCT key FROM m)
+SELECT m.e, m.key, k.key AS longer FROM m JOIN k ON starts_with(k.key, m.key)""")
 def error_prefix_match(spark, d):
+    kind = F.when(F.expr("user_id % 7 = 0"), F.expr("left(event_type, CAST(user_id div 7 % 5 AS INT))")).otherwise(F.col("event_type"))
     tail = F.when(F.expr("user_id % 2 = 0"), F.concat(F.lit(": user "), F.col("user_id").cast("string"))).otherwise("")
-    e = table(spark, d, "events").where("user_id < 8").select(F.concat("event_type", tail).alias("e"))
-    return C.error_pairs(e)
+    members, kin = C.error_kin(table(spark, d, "events").select(F.concat(kind, tail).alias("e")))
+    return members.join(kin, "key").select("e", "key", "longer")
+
+
+@query("similar_errors", """WITH f AS (SELECT event_id, ts, event_type || ': at ' || user_id AS error FROM events WHERE event_type IN ('error', 'click') ORDER BY ts DESC, event_id DESC LIMIT 80)
+SELECT event_id, error FROM f WHERE lower(trim(split_part(error, ':', 1))) = 'error'""")
+def similar_errors(spark, d):
+    failed = F.when(F.col("event_type").isin("error", "click"), F.concat("event_type", F.lit(": at "), F.col("user_id").cast("string")))
+    return C.similar_errors(table(spark, d, "events").select("event_id", "ts", failed.alias("error")), "Error : of today").select("event_id", "error")
+
 
+# Results of a campaign: none, of several states, with factors that have one id, another or none, with and without an error.
+_RESULTS = """r AS (SELECT event_id, event_id % 11 > 0 AS found, CASE user_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_factors' WHEN 2 THEN '' WHEN 3 THEN 'partial' END AS status,
+  [x for x in [CASE WHEN user_id % 3 > 0 THEN 'f' || event_id END, CASE WHEN event_id % 4 = 0 THEN 'g' || user_id END] if x IS NOT NULL] AS ids, user_id % 6 = 5 AS nameless,
+  CASE WHEN event_type = 'error' THEN repeat(event_type || ' ' || event_id || ';', 60) WHEN event_type = 'view' THEN '  ' END AS error FROM events)"""
 
-@query("classify_outcome", """SELECT event_id, CASE WHEN event_type = 'purchase' THEN CASE WHEN user_id % 3 > 0 THEN 'cataloged' ELSE 'empty' END
-  WHEN event_type = 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'failed' ELSE 'unknown' END ELSE 'pending' END AS outcome FROM events""")
+
+@query("classify_outcome", f"""WITH {_RESULTS}, n AS (SELECT *, len(ids) + CAST(nameless AS INTEGER) AS n_factors FROM r)
+SELECT event_id, CASE WHEN NOT found THEN 'failed' WHEN coalesce(status, '') = 'no_factors' OR (coalesce(status, '') IN ('', 'ok') AND n_factors = 0) THEN 'no_factors' WHEN trim(coalesce(error, '')) <> '' THEN 'failed' WHEN len(ids) = 0 THEN 'no_factors' ELSE 'done' END AS state,
+  CASE WHEN found AND NOT (coalesce(status, '') = 'no_factors' OR (coalesce(status, '') IN ('', 'ok') AND n_factors = 0)) AND trim(coalesce(error, '')) = '' THEN array_to_string(ids, ',') ELSE '' END AS catalog_ids,
+  CASE WHEN NOT found THEN 'empty_result' WHEN coalesce(status, '') = 'no_factors' THEN NULL WHEN coalesce(status, '') IN ('', 'ok') AND n_factors = 0 THEN 'no_factors_from:' || coalesce(nullif(status, ''), 'unknown') WHEN trim(coalesce(error, '')) <> '' THEN left(error, 300) END AS error FROM n""")
 def classify_outcome(spark, d):
-    state = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("running")
-    error = F.when(F.expr("user_id % 2 = 0"), F.lit("boom"))
-    return table(spark, d, "events").select("event_id", C.outcome(state, F.expr("user_id % 3"), error).alias("outcome"))
+    text = lambda c: c.cast("string")
+    status = F.when(F.expr("user_id % 5 = 0"), "ok").when(F.expr("user_id % 5 = 1"), "no_factors").when(F.expr("user_id % 5 = 2"), "").when(F.expr("user_id % 5 = 3"), "partial")
+    one = lambda a, b: F.struct(a.cast("string").alias("catalog_id"), b.cast("string").alias("id"))
+    none = F.lit(None)
+    factors = F.array_compact(F.array(F.when(F.expr("user_id % 3 > 0"), one(F.concat(F.lit("f"), text(F.col("event_id"))), F.lit("unused"))), F.when(F.expr("event_id % 4 = 0"), one(F.lit(""), F.concat(F.lit("g"), text(F.col("user_id"))))), F.when(F.expr("user_id % 6 = 5"), one(none, none))))
+    error = F.when(F.col("event_type") == "error", F.repeat(F.concat("event_type", F.lit(" "), text(F.col("event_id")), F.lit(";")), F.lit(60))).when(F.col("event_type") == "view", "  ")
+    out = table(spark, d, "events").select("event_id", C.outcome(F.expr("event_id % 11 > 0"), status, factors, error).alias("o"))
+    return out.select("event_id", F.col("o.state").alias("state"), F.array_join("o.catalog_ids", ",").alias("catalog_ids"), F.col("o.error").alias("error"))
 
 
 @query("broad_universe", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS broad FROM part")
@@ -175,16 +248,30 @@ def audit_redact(spark, d):
     return table(spark, d, "events").select("event_id", C.redacted(m).alias("m")).select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["k"].alias("k"))
 
 
+@query("audit_redact_nested", """SELECT event_id, '{"a":[{"Api_Key":"***","n":' || user_id || '}],"password":"***","b":{"secret":"***","c":["token",' || event_id || ']}}' AS detail FROM events""")
+def audit_redact_nested(spark, d):
+    n = lambda c: F.col(c).cast("string")
+    detail = F.concat(F.lit('{"a": [{"Api_Key": "x]}", "n": '), n("user_id"), F.lit('}], "password": {"deep": [1, 2]}, "b": {"secret": null, "c": ["token", '), n("event_id"), F.lit("]}}"))
+    return table(spark, d, "events").select("event_id", C.redacted_json(detail).alias("detail"))
+
+
 @query("jobs_active", "SELECT user_id % 10 AS kind, count(*) FILTER (event_type IN ('view', 'click')) AS n_active, count(*) FILTER (event_type IN ('view', 'click')) < 2 AS has_room FROM events GROUP BY 1")
 def jobs_active(spark, d):
     active = F.count_if(F.col("event_type").isin("view", "click"))
     return table(spark, d, "events").groupBy(F.expr("user_id % 10").alias("kind")).agg(active.alias("n_active"), (active < 2).alias("has_room"))
 
 
-@query("job_status_map", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'unknown' END AS status FROM events")
+@query("job_status_map", """WITH j AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE CASE user_id % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'starting' WHEN 2 THEN '' END END AS state FROM events),
+m AS (SELECT *, CASE coalesce(nullif(state, ''), 'pending') WHEN 'queued' THEN 'pending' WHEN 'done' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'cancelled' THEN 'stopped' ELSE coalesce(nullif(state, ''), 'pending') END AS status FROM j)
+SELECT event_id, status, status IN ('pending', 'running', 'starting') AS is_active, CASE WHEN status IN ('completed', 'failed', 'stopped') THEN ts END AS ended_at FROM m""")
 def job_status_map(spark, d):
-    state = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("?")
-    return table(spark, d, "events").select("event_id", C.run_status(state).alias("status"))
+    other = F.when(F.expr("user_id % 4 = 0"), "cancelled").when(F.expr("user_id % 4 = 1"), "starting").when(F.expr("user_id % 4 = 2"), "")
+    known = {"signup": "queued", "view": "running", "purchase": "done", "error": "error"}
+    state = other
+    for k, v in known.items():
+        state = F.when(F.col("event_type") == k, v).otherwise(state)
+    run = C.run_of_job(F.col("state"), F.col("ts"))
+    return table(spark, d, "events").withColumn("state", state).select("event_id", *(c.alias(k) for k, c in run.items()))
 
 
 @query("page_results", "SELECT event_id, ts, (SELECT count(*) FROM events) AS total FROM events ORDER BY ts, event_id LIMIT 25 OFFSET 50")
@@ -195,7 +282,7 @@ def page_results(spark, d):
 
 @query("catalog_upsert", f"""WITH {_CATALOG}, old AS (SELECT * FROM cat WHERE id < 400), new AS (SELECT * FROM cat WHERE id >= 400),
 merged AS (SELECT *, 0 AS age FROM old UNION ALL SELECT *, 1 FROM new)
-SELECT source, source_ref, arg_min(id, (age, created_at, id)) AS id, arg_min(created_at, (age, created_at, id)) AS created_at, arg_max(name, (age, updated_at)) AS name, max(CASE WHEN age = 1 THEN 1 ELSE 0 END) = 1 AS replaced
+SELECT source, source_ref, arg_min(id, (age, created_at, id)) AS id, arg_min(created_at, (age, created_at, id)) AS created_at, arg_max(name, (age, updated_at, id)) AS name, max(CASE WHEN age = 1 THEN 1 ELSE 0 END) = 1 AS replaced
 FROM merged GROUP BY source, source_ref""")
 def catalog_upsert(spark, d):
     cat = _catalog(spark, d).withColumn("replaced", F.expr("id >= 400"))
@@ -209,19 +296,20 @@ def find_by_hash(spark, d):
     return p.join(F.broadcast(p.where("id = 0").select("h")), "h", "left_semi").select("id")
 
 
-_FACTORS = "f AS (SELECT p_partkey AS id, p_name AS name, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size - 20) / 200.0::DOUBLE AS rank_ic, (p_size % 7 - 3)::DOUBLE AS sharpe, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir, p_partkey % 120 AS n_days, p_partkey % 4 > 0 AS has_returns FROM part)"
+_FACTORS = "f AS (SELECT p_partkey AS id, p_name AS name, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size - 20) / 200.0::DOUBLE AS rank_ic, (p_size % 7 - 3)::DOUBLE AS sharpe, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir, CASE WHEN p_size % 13 = 0 THEN 'NaN'::DOUBLE ELSE (p_size % 3 - 1) / 4.0::DOUBLE END AS selection_score, p_brand AS hypothesis, p_partkey % 120 AS n_days, p_partkey % 4 > 0 AS has_returns FROM part)"
 
 
 def _factors(spark, d) -> DataFrame:
     x = lambda e, a: F.expr(e).cast("double").alias(a)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), x("(p_size - 25) / 250D", "ic"), x("(p_size - 20) / 200D", "rank_ic"), x("p_size % 7 - 3", "sharpe"), x("(p_size % 11 - 5) / 10D", "ic_ir"), F.expr("p_partkey % 120").alias("n_days"), F.expr("p_partkey % 4 > 0").alias("has_returns"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), x("(p_size - 25) / 250D", "ic"), x("(p_size - 20) / 200D", "rank_ic"), x("p_size % 7 - 3", "sharpe"), x("(p_size % 11 - 5) / 10D", "ic_ir"), x("CASE WHEN p_size % 13 = 0 THEN double('NaN') ELSE (p_size % 3 - 1) / 4D END", "selection_score"), F.col("p_brand").alias("hypothesis"), F.expr("p_partkey % 120").alias("n_days"), F.expr("p_partkey % 4 > 0").alias("has_returns"))
 
 
-@query("sign_reflect", f"""WITH {_FACTORS} SELECT id, name, ic + 0.0 AS ic, rank_ic + 0.0 AS rank_ic, false AS mirrored FROM f UNION ALL
-SELECT id, name || '_mirror', -ic + 0.0, -rank_ic + 0.0, true FROM f WHERE ic < 0 AND has_returns AND abs(ic_ir * sqrt(n_days)) >= 3""")
+@query("sign_reflect", f"""WITH {_FACTORS} SELECT id, ic + 0.0 AS ic, rank_ic + 0.0 AS rank_ic, CASE WHEN isfinite(selection_score) THEN selection_score + 0.0 END AS selection_score, hypothesis, false AS sign_reflected, NULL::DOUBLE AS reflected_from_t FROM f UNION ALL
+SELECT id, -ic + 0.0, -rank_ic + 0.0, CASE WHEN isfinite(selection_score) THEN -selection_score + 0.0 END, hypothesis || ' [sign-mirrored]', true, round(ic_ir * sqrt(n_days), 3) FROM f WHERE ic < 0 AND has_returns AND abs(ic_ir * sqrt(n_days)) >= 3""")
 def sign_reflect(spark, d):
     out = pool.sign_reflected(_factors(spark, d))
-    return out.select("id", "name", (F.col("ic") + F.lit(0.0)).alias("ic"), (F.col("rank_ic") + F.lit(0.0)).alias("rank_ic"), "mirrored")
+    plain = lambda c: (S.finite(F.col(c)) + F.lit(0.0)).alias(c)
+    return out.select("id", plain("ic"), plain("rank_ic"), plain("selection_score"), "hypothesis", "sign_reflected", "reflected_from_t")
 
 
 @query("motif_weights", """WITH m AS (SELECT user_id AS signature, list(CASE WHEN event_type = 'purchase' THEN 2.0 ELSE -1.0 END ORDER BY event_id) AS steps, count(*) AS attempts, count(*) FILTER (event_type = 'purchase') AS survived FROM events GROUP BY user_id)
@@ -240,11 +328,15 @@ def motif_topk(spark, d):
     return C.clamped_weights(_motifs(spark, d)).orderBy(F.desc("weight"), "signature").limit(5).select("signature", "weight")
 
 
-@query("next_action", """WITH l AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT user_id, CASE WHEN event_type = 'error' THEN 'repair' WHEN value > 50 THEN 'exploit' ELSE 'explore' END AS action FROM l WHERE rn = 1""")
+@query("next_action", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'factor' WHEN 'click' THEN 'model' WHEN 'purchase' THEN 'model' WHEN 'error' THEN 'other' END AS action, event_id % 2 = 0 AS ok, event_id % 3 > 0 AS has_returns,
+  CASE WHEN event_id % 5 = 0 THEN 'thin' END AS skip, CASE WHEN event_id % 4 > 0 THEN value - 20 END AS sharpe_net, CASE WHEN event_id % 8 > 0 THEN 20 - value END AS portfolio FROM l WHERE rn = 1)
+SELECT user_id, CASE WHEN action = 'factor' AND ok AND has_returns THEN 'model' WHEN action = 'model' AND skip IS NULL AND coalesce(sharpe_net, portfolio) > 0 THEN 'model' ELSE 'factor' END AS action FROM e""")
 def next_action(spark, d):
     last = C.first_by(table(spark, d, "events"), "user_id", F.desc("ts"), F.desc("event_id"))
-    return last.select("user_id", S.next_action(F.col("event_type"), F.when(F.col("event_type") == "error", F.lit("x")), F.col("value") > 50).alias("action"))
+    kind = F.when(F.col("event_type") == "view", "factor").when(F.col("event_type").isin("click", "purchase"), "model").when(F.col("event_type") == "error", "other")
+    event = {"action": kind, "ok": F.expr("event_id % 2 = 0"), "has_returns": F.expr("event_id % 3 > 0"), "skip_reason": F.when(F.expr("event_id % 5 = 0"), "thin"), "sharpe_net": F.when(F.expr("event_id % 4 > 0"), F.col("value") - 20), "portfolio_return": F.when(F.expr("event_id % 8 > 0"), 20 - F.col("value"))}
+    return last.select("user_id", S.next_action(event).alias("action"))
 
 
 @query("retag_synthetic", "SELECT p_partkey AS id, array_to_string(list_sort(list_distinct([p_type, p_brand] || CASE WHEN p_size % 2 = 0 THEN ['synthetic', p_type] ELSE [] END)), ',') AS tags FROM part")
@@ -260,13 +352,36 @@ def adversary_tolerance(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), G.within_tolerance(recorded, recorded + F.col("p_size")).alias("within"))
 
 
-@query("evaluate_gates", f"""WITH {_FACTORS} SELECT id, array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'simulated' END, CASE WHEN id % 17 = 0 THEN 'formula_proxy' END, CASE WHEN id % 19 = 0 THEN 'thin_panel' END,
-  CASE WHEN id % 23 = 0 THEN 'missing_ic' END, CASE WHEN id % 23 <> 0 AND abs(ic) <= 0.005 THEN 'ic_threshold' END, CASE WHEN n_days = 0 THEN 'missing_returns' END, CASE WHEN id % 29 = 0 THEN 'correlated' END,
-  CASE WHEN id % 31 = 0 THEN 'empty_code' END, CASE WHEN n_days > 0 AND abs(ic_ir * sqrt(n_days)) < 3 THEN 'weak_ic' END, CASE WHEN id % 37 = 0 THEN 'inflated_sharpe' END, CASE WHEN id % 41 = 0 THEN 'homogeneous' END, CASE WHEN id % 43 = 0 THEN 'overcomplex' END], lambda x: x IS NOT NULL), ',') AS failures FROM f""")
+# Parts as records: their series are those of the part pool, their panel the one of their brand's suppliers, their code an expression of the corpus.
+@query("evaluate_gates", f"""WITH {_POOL_SERIES}, own AS (SELECT 'p' || p_partkey % 320 AS series_id, p_partkey AS id FROM part),
+sizes AS (SELECT p_brand, count(DISTINCT l_suppkey) AS n_assets, count(DISTINCT date_trunc('month', l_shipdate)) AS n_days FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
+lens AS (SELECT series_id, count(*) AS n_returns FROM series GROUP BY series_id),
+pairs AS (SELECT a.series_id AS a, b.series_id AS b, count(*) AS n, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id <> b.series_id WHERE b.series_id IN ('p1', 'p2', 'p3', 'p4', 'p5') GROUP BY 1, 2),
+most AS (SELECT a AS series_id, max(corr) FILTER (n >= 10 AND b IN ('p1', 'p2', 'p3')) AS pool_corr, max(corr) FILTER (n >= 10 AND b IN ('p4', 'p5')) AS library_corr FROM pairs GROUP BY a),
+texts AS (SELECT * FROM (VALUES {_GATE_ROWS}) t(k, code, similarity, sl, pc, fc)),
+f AS (SELECT p_partkey AS id, p_brand, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir, (p_size % 50) / 49.0::DOUBLE AS dsr, p_partkey % {_N_GATES} AS k FROM part),
+r AS (SELECT f.*, n_assets, n_days, coalesce(n_returns, 0) AS n_returns, pool_corr, library_corr, code, similarity, sl, pc, fc FROM f JOIN own USING (id) LEFT JOIN sizes USING (p_brand) LEFT JOIN lens USING (series_id) LEFT JOIN most USING (series_id) JOIN texts USING (k))
+SELECT id, array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'simulated' END, CASE WHEN coalesce(n_assets < 50 OR n_days < 60, true) THEN 'thin_panel' END, CASE WHEN id % 23 = 0 THEN 'missing_ic' WHEN abs(ic) <= 0.005 THEN 'ic_threshold' END, CASE WHEN n_returns = 0 THEN 'missing_returns' END,
+  CASE WHEN n_returns > 0 AND pool_corr > 0.7 THEN 'correlated' END, CASE WHEN n_returns > 0 AND id % 31 = 0 THEN 'corr_error:no pool' END, CASE WHEN trim(code) = '' THEN 'empty_code' END, CASE WHEN n_returns > 0 AND abs(ic_ir * sqrt(n_returns)) < 3 THEN 'weak_ic' END, CASE WHEN dsr < 0.95 THEN 'inflated_sharpe' END,
+  CASE WHEN similarity > 0.85 THEN 'homogeneous' END, CASE WHEN sl > 40 OR pc > 6 OR fc > 8 THEN 'overcomplex' END], lambda x: x IS NOT NULL), ',') AS failures FROM r""")
 def evaluate_gates(spark, d):
+    series = saved(pool_series(spark, d), "series")
+    part, items = table(spark, d, "part"), table(spark, d, "lineitem")
+    sizes = items.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy("p_brand").agg(F.count_distinct("l_suppkey").alias("n_assets"), F.count_distinct(F.trunc("l_shipdate", "month")).alias("n_days"))
+    lens = series.groupBy("series_id").agg(F.count("*").alias("n_returns"))
+    most = None
+    for name, members in (("pool_corr", ["p1", "p2", "p3"]), ("library_corr", ["p4", "p5"])):
+        for m in members:
+            one = S.correlation_with(series, m).select(F.col("b").alias("series_id"), F.lit(name).alias("of"), "corr")
+            most = one if most is None else most.unionByName(one)
+    most = most.groupBy("series_id").agg(*(F.max(F.when(F.col("of") == k, F.col("corr"))).alias(k) for k in ("pool_corr", "library_corr")))
+    texts = spark.createDataFrame([(k, t, s, c["sl"], c["pc"], c["fc"]) for k, (t, s, c) in enumerate(_gate_texts())], "k int, code string, similarity double, sl int, pc int, fc int")
+    f = part.select(F.col("p_partkey").alias("id"), "p_brand", F.concat(F.lit("p"), F.expr("p_partkey % 320").cast("string")).alias("series_id"), F.expr(f"CAST(p_partkey % {len(_gate_texts())} AS INT)").alias("k"), F.expr("(p_size - 25) / 250D").alias("ic"), F.expr("(p_size % 11 - 5) / 10D").alias("ic_ir"), F.expr("(p_size % 50) / 49D").alias("dsr"))
+    f = f.join(sizes, "p_brand", "left").join(lens, "series_id", "left").join(most, "series_id", "left").join(F.broadcast(texts), "k")
     every = lambda k: F.expr(f"id % {k} = 0")
-    record = {"simulated": every(13), "formula_proxy": every(17), "thin": every(19), "ic": F.when(every(23), float("nan")).otherwise(F.col("ic")), "n_returns": F.col("n_days"), "correlated": every(29), "code": F.when(every(31), " ").otherwise("x"), "ic_ir": F.col("ic_ir"), "dsr": F.when(every(37), 0.5).otherwise(0.99), "similarity": F.when(every(41), 0.9).otherwise(0.2), "sl": F.when(every(43), 41).otherwise(3), "pc": F.lit(1), "fc": F.lit(1)}
-    return _factors(spark, d).select("id", F.array_join(G.failures(record, "to_pool"), ",").alias("failures"))
+    record = {c: F.col(c) for c in ("n_assets", "n_days", "n_returns", "pool_corr", "library_corr", "code", "ic_ir", "dsr", "similarity", "sl", "pc", "fc")}
+    record |= {"simulated": every(13), "formula_proxy": F.lit(False), "ic": F.when(every(23), float("nan")).otherwise(F.col("ic")), "corr_error": F.when(every(31), "no pool")}
+    return f.select("id", F.array_join(G.failures(record, "to_pool"), ",").alias("failures"))
 
 
 def _named(spark, rows: list, schema: str) -> DataFrame:
@@ -279,20 +394,21 @@ def structural_dedup(spark, d):
     return _named(spark, pool.structural_dedup(candidates, ZOO), "name string, expr string")
 
 
-def _few_factors(spark, d) -> DataFrame:
-    ids = returns(spark, d).select(F.col("series_id").alias("name")).distinct()
-    score = F.length("name").cast("double")
-    return ids.select("name", F.lit(0.02).alias("ic"), score.alias("score"), F.lit("m").alias("profile"), F.lit(False).alias("simulated"), F.lit("review").alias("status"))
-
-
-@query("pool_cull")
+@query("pool_cull", f"""WITH RECURSIVE {_POOL_SERIES}, {_POOL_FACTORS},
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS k FROM factors WHERE NOT simulated AND abs(ic) > 0.005),
+close AS (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS earlier FROM (SELECT a.series_id AS a, b.series_id AS b, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id < b.series_id GROUP BY 1, 2 HAVING count(*) >= 10) p
+  JOIN ranked x ON x.name = p.a JOIN ranked y ON y.name = p.b WHERE x.profile = y.profile AND corr * (CASE WHEN x.ic >= 0 THEN 1 ELSE -1 END) * (CASE WHEN y.ic >= 0 THEN 1 ELSE -1 END) > 0.7 GROUP BY 1),
+step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT step.k + 1, CASE WHEN len(list_intersect(kept, coalesce(earlier, []::BIGINT[]))) = 0 THEN list_append(kept, step.k + 1) ELSE kept END FROM step LEFT JOIN close ON close.k = step.k + 1 WHERE step.k < (SELECT max(k) FROM ranked))
+SELECT name FROM ranked WHERE list_contains((SELECT kept FROM step ORDER BY k DESC LIMIT 1), k)""")
 def pool_cull(spark, d):
-    return _named(spark, [(n,) for n in pool.pool_cull(_few_factors(spark, d), returns(spark, d))], "name string")
+    series = saved(pool_series(spark, d), "series")
+    return _named(spark, [(n,) for n in pool.pool_cull(pool_factors(spark, d), series)], "name string")
 
 
 @query("diverse_samples")
 def diverse_samples(spark, d):
-    return _named(spark, list(enumerate(pool.diverse_samples(_few_factors(spark, d), returns(spark, d), 2))), "rank int, name string")
+    series = saved(pool_series(spark, d), "series")
+    return _named(spark, list(enumerate(pool.diverse_samples(pool_factors(spark, d), series, 5))), "rank int, name string")
 
 
 @query("chain_decision")

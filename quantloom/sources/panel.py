@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 FIELDS = ["trade_date", "ts_code", "open", "high", "low", "close", "volume", "amount"]
 SCHEMA = "trade_date date, ts_code string, open double, high double, low double, close double, volume double, amount double"
+# The names that a date and a code column may have.
 DATE_NAMES = ("trade_date", "datetime", "date", "time", "timestamp")
 CODE_NAMES = ("ts_code", "instrument", "symbol", "ticker", "asset", "order_book_id", "code")
 THIN_ASSETS, THIN_DAYS = 50, 60
@@ -20,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _bars(items: DataFrame, asset: Column) -> DataFrame:
-    """Monthly bars from line items, in whole cents, so that sums don't depend on their order."""
+def bars_of(items: DataFrame, asset: Column, period: str = "month") -> DataFrame:
+    """Bars of line items by asset and month (or week), in whole cents, so that sums don't depend on their order."""
     cents, quantity = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
-    rows = items.select(asset.cast("string").alias("ts_code"), F.trunc("l_shipdate", "month").alias("trade_date"), cents.alias("cents"), quantity.alias("qty"))
+    rows = items.select(asset.cast("string").alias("ts_code"), F.trunc("l_shipdate", period).alias("trade_date"), cents.alias("cents"), quantity.alias("qty"))
     unit = F.expr("cents div qty")
     bars = rows.groupBy("trade_date", "ts_code").agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.max(unit).alias("hi"), F.min(unit).alias("lo"))
     return bars.select(
@@ -38,15 +39,15 @@ def _bars(items: DataFrame, asset: Column) -> DataFrame:
     )
 
 
-def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brand by month: 25 assets at every scale."""
+def brand_panel(spark: SparkSession, sf_dir: str, period: str = "month") -> DataFrame:
+    """Brand by month (or week): 25 assets at every scale."""
     brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return _bars(table(spark, sf_dir, "lineitem").join(brands, "l_partkey"), F.col("p_brand"))
+    return bars_of(table(spark, sf_dir, "lineitem").join(brands, "l_partkey"), F.col("p_brand"), period)
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier by month; the number of assets grows with the data."""
-    return _bars(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
+    return bars_of(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
 
 
 def normalised(df: DataFrame) -> DataFrame:
