@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quantloom.catalog_of_queries import QUERIES
 from quantloom.operators import evaluation as E
-from quantloom.operators import scores
+from quantloom.operators import pool, records, scores
+from quantloom.plans.record_queries import pool_factors, pool_series
 from quantloom.session import make_session
 from quantloom.sources import panel as P
 
@@ -28,7 +29,22 @@ def one_factor(spark, d):
     return E.net_metrics(E.long_short(rows), ["factor"], F.lit(5.0))
 
 
-HEADLINE = {"sweep_145_suppliers": sweep, "one_factor_suppliers": one_factor} | {n: QUERIES[n] for n in ("daily_ic", "bench_table", "cost_curve", "walkforward", "combine_daily", "neutralize_2", "catalog_upsert", "motif_weights")}
+def pool_cull(spark, d):
+    """A cull of 100 candidates with their return series."""
+    names = [(f"p{k}",) for k in range(100)]
+    few = spark.createDataFrame(names, "name string")
+    factors = pool_factors(spark, d).join(F.broadcast(few), "name").withColumn("ic", F.lit(0.02))
+    series = pool_series(spark, d).join(F.broadcast(few.withColumnRenamed("name", "series_id")), "series_id")
+    return spark.createDataFrame([(n,) for n in pool.pool_cull(factors, series)], "name string")
+
+
+def catalog_rebuild(spark, d):
+    """10,000 entries upserted over a catalog that has a third of them."""
+    rows = spark.range(10_000).select(F.lit("store").alias("source"), F.col("id").alias("source_ref"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"), F.lit("name").alias("name"))
+    return records.upserted(rows.where("source_ref % 3 = 0"), rows.withColumn("updated_at", F.lit(2)))
+
+
+HEADLINE = {"sweep_145_suppliers": sweep, "one_factor_suppliers": one_factor, "pool_cull_100": pool_cull, "catalog_rebuild_10000": catalog_rebuild} | {n: QUERIES[n] for n in ("daily_ic", "bench_table", "cost_curve", "walkforward", "combine_daily", "neutralize_2", "catalog_upsert", "motif_weights")}
 
 
 def main() -> None:

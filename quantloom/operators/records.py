@@ -202,3 +202,34 @@ def accepted(rows: DataFrame, allow_incomplete: bool = False) -> DataFrame:
     pool = (F.col("kind") == "pool") & (F.col("n_returns") > 0)
     library = (F.col("kind") == "library") & F.col("has_metrics") & (F.lit(allow_incomplete) | F.col("ic").isNotNull() | (F.col("n_returns") > 0))
     return rows.where(pool | library)
+
+
+def isolated_records(results: DataFrame) -> DataFrame:
+    """Catalog rows of results (name, ok, expression, ic, n_returns) of user code that ran; ready for `upserted`.
+
+    A result with an expression that was evaluated is real; one of code alone counts as simulated.
+    """
+    text = F.trim(F.coalesce("expression", F.lit("")))
+    ref = F.concat(F.lit("iso_"), F.left(F.sha2("name", 256), F.lit(16)))
+    fine = results.where("ok")
+    return fine.select(
+        F.lit("manual").alias("source"), ref.alias("source_ref"), F.concat(F.lit("fac_"), ref).alias("id"), "name",
+        F.when(text != "", text).otherwise("compute(panel)").alias("formula"), F.when(text != "", "expression").otherwise("python").alias("dialect"),
+        "ic", "n_returns", F.lit("candidate").alias("status"), ((text == "") | F.col("ic").isNull()).alias("is_simulated"), F.array(F.lit("isolated")).alias("tags"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+    )
+
+
+def lessons(failures: DataFrame, error: str | None = None, limit: int = 5, most: int = 120) -> DataFrame:
+    """event_id, error_head, summary, hypothesis of the newest failures (ts, event_id, error, summary, hypothesis), akin to an error if one is given."""
+    found = failures.where("error IS NOT NULL")
+    if error is not None:
+        found = found.where(same_error(F.col("error"), F.lit(error)))
+    summary = F.coalesce("summary", F.lit(""))
+    short = F.when(F.length(summary) > most, F.concat(F.substring(summary, 1, most - 3), F.lit("..."))).otherwise(summary)
+    return found.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit).select("event_id", F.trim(F.split_part("error", F.lit(":"), F.lit(1))).alias("error_head"), short.alias("summary"), "hypothesis")
+
+
+def research_context(samples: list, failures: DataFrame, chains: list, error: str | None = None, most: int = 5) -> dict:
+    """Samples, lessons and chains in one block with their counts; a few of each."""
+    found = [r.asDict() for r in lessons(failures, error, most).collect()]
+    return {"samples": samples, "lessons": found, "chains": chains, "counts": {"samples": len(samples), "lessons": len(found), "chains": len(chains)}}

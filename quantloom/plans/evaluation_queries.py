@@ -59,9 +59,13 @@ _BASE = f"""WITH {PANEL}, s AS ({ranked(f'close - lag(close, 1) OVER ({SERIES})'
 rows AS (SELECT 'baseline' AS factor, trade_date, ts_code, score, fwd FROM s JOIN fwd USING (trade_date, ts_code) WHERE score IS NOT NULL AND fwd IS NOT NULL), {IC}"""
 
 
-def baseline_rows(spark, d) -> DataFrame:
-    """The locked baseline: one expression over the brand panel, all assets."""
-    p = P.brand_panel(spark, d)
+# The same over suppliers, whose number grows with the data.
+_WIDE = _BASE.replace("p_brand AS ts_code", "CAST(l_suppkey AS VARCHAR) AS ts_code").replace("FROM lineitem JOIN part ON l_partkey = p_partkey", "FROM lineitem")
+
+
+def baseline_rows(spark, d, panel=P.brand_panel) -> DataFrame:
+    """The locked baseline: one expression over the panel, all assets."""
+    p = panel(spark, d)
     scored = p.select(F.lit("baseline").alias("factor"), "trade_date", "ts_code", X.compiled("Rank(Delta(close, 1))").alias("score"))
     return E.aligned(scored, scores.forward_returns(p))
 
@@ -71,6 +75,17 @@ def daily_ic(spark, d):
     return _rounded(E.daily_ic(baseline_rows(spark, d)).select("trade_date", "ic", "n"), "ic")
 
 
+@query("daily_ic_suppliers", f"{_WIDE} SELECT trade_date, round(ic, 6) + 0.0 AS ic, round(rank_ic, 6) + 0.0 AS rank_ic, n FROM ic")
+def daily_ic_suppliers(spark, d):
+    return _rounded(E.daily_ic(baseline_rows(spark, d, P.supplier_panel)).select("trade_date", "ic", "rank_ic", "n"), "ic", "rank_ic")
+
+
+@query("ls_returns_suppliers", f"{_WIDE}, {LEGS} SELECT trade_date, round(ls, 6) + 0.0 AS ls, round(turnover, 6) AS turnover FROM ls")
+def ls_returns_suppliers(spark, d):
+    out = E.long_short(baseline_rows(spark, d, P.supplier_panel))
+    return _rounded(out.select("trade_date", "ls", F.round("turnover", 6).alias("turnover")), "ls")
+
+
 @query("daily_rank_ic", f"{ROWS}, {IC} SELECT factor, trade_date, round(rank_ic, 6) + 0.0 AS rank_ic, n FROM ic")
 def daily_rank_ic(spark, d):
     return _rounded(E.daily_ic(seed_rows(spark, d)).select("factor", "trade_date", "rank_ic", "n"), "rank_ic")

@@ -395,8 +395,8 @@ def structural_dedup(spark, d):
 
 
 @query("pool_cull", f"""WITH RECURSIVE {_POOL_SERIES}, {_POOL_FACTORS},
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS k FROM factors WHERE NOT simulated AND abs(ic) > 0.005),
-close AS (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS earlier FROM (SELECT a.series_id AS a, b.series_id AS b, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id < b.series_id GROUP BY 1, 2 HAVING count(*) >= 10) p
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS k FROM factors WHERE NOT simulated AND abs(ic) > 0.005),
+close AS MATERIALIZED (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS earlier FROM (SELECT a.series_id AS a, b.series_id AS b, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id < b.series_id GROUP BY 1, 2 HAVING count(*) >= 10) p
   JOIN ranked x ON x.name = p.a JOIN ranked y ON y.name = p.b WHERE x.profile = y.profile AND corr * (CASE WHEN x.ic >= 0 THEN 1 ELSE -1 END) * (CASE WHEN y.ic >= 0 THEN 1 ELSE -1 END) > 0.7 GROUP BY 1),
 step AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT step.k + 1, CASE WHEN len(list_intersect(kept, coalesce(earlier, []::BIGINT[]))) = 0 THEN list_append(kept, step.k + 1) ELSE kept END FROM step LEFT JOIN close ON close.k = step.k + 1 WHERE step.k < (SELECT max(k) FROM ranked))
 SELECT name FROM ranked WHERE list_contains((SELECT kept FROM step ORDER BY k DESC LIMIT 1), k)""")
