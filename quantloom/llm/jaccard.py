@@ -51,7 +51,7 @@ from quantloom.session import dropped, saved, ship
 K, NUM, DEN = 4, 85, 100
 #: Shingles with this local count are candidates for the table of frequent ones, which holds so many at most.
 HOT_FROM, MOST_HOT = 6, 1 << 19
-FLUSH, MOST_IDS = 1 << 21, 1 << 20
+FLUSH, MOST_IDS = 1 << 21, 1 << 19
 #: Bits of a bitmap for each shingle of the largest set of a band, in blocks up to SMALL rows and in larger ones.
 COARSE, FINE, SMALL = 1, 4, 8
 LEAST_BITS, MOST_BITS = 64, 1 << 16
@@ -468,9 +468,12 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     blocks = _blocks(with_prefix, num, den)
     classes = saved(with_prefix.drop("prefix"), "classes")
     dropped(with_prefix)
-    wanted = blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2")
-    sets = texts.join(wanted, ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
+    wanted = saved(blocks.select("rep").distinct().join(classes, "rep").select("rep", "t.t1", "t.t2"), "wanted")
+    # Up to MOST_IDS keys pick out their texts before these travel. The join must sort, as _as_sets drops neighbouring copies.
+    used = texts.join(F.broadcast(wanted.select("t1", "t2")), ["t1", "t2"], "left_semi") if wanted.count() <= MOST_IDS else texts
+    sets = used.join(wanted.hint("merge"), ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
     sets = saved(sets, "sets")
+    dropped(wanted)
     links, marked = None, blocks.withColumn("comp", F.col("rep"))
     for step in (_pivot_pairs, _best_pairs, _all_pairs):
         pairs = saved(step(marked, sets, num, den), "pairs")
