@@ -68,15 +68,17 @@ def pool_cull(factors: DataFrame, series: DataFrame, least_ic: float = 0.005, mo
 
     Spark finds the pairs that are too close; the pass over the candidates in order needs only these.
     """
-    rows = _few(factors.where(~F.col("simulated") & (F.abs("ic") > least_ic)).orderBy(F.desc("score"), "name"))
+    fine = factors.where(~F.col("simulated") & (F.abs("ic") > least_ic))
+    rows = _few(fine.orderBy(F.desc("score"), "name"))
     place = {r["name"]: k for k, r in enumerate(rows)}
-    side = lambda k: factors.select(F.col("name").alias(k), F.when(F.col("ic") >= 0, 1).otherwise(-1).alias(f"sign_{k}"), F.col("profile").alias(f"profile_{k}"))
-    wanted = series.join(factors.where(~F.col("simulated") & (F.abs("ic") > least_ic)).select(F.col("name").alias("series_id")), "series_id", "left_semi")
-    close = S.pairwise(wanted).join(side("a"), "a").join(side("b"), "b").where((F.col("profile_a") == F.col("profile_b")) & (F.col("corr") * F.col("sign_a") * F.col("sign_b") > most_corr)).select("a", "b").toArrow()
+    wanted = series.join(F.broadcast(series.sparkSession.createDataFrame([(n,) for n in place], "series_id string")), "series_id", "left_semi")
+    pairs = S.pairwise(wanted, count=len(rows)).where(F.abs("corr") > most_corr).toArrow()
     earlier: list[list[int]] = [[] for _ in rows]
-    for a, b in zip(close["a"].to_pylist(), close["b"].to_pylist(), strict=True):
+    for a, b, corr in zip(*(pairs[c].to_pylist() for c in ("a", "b", "corr")), strict=True):
         i, j = sorted((place[a], place[b]))
-        earlier[j].append(i)
+        same_sign = (rows[i]["ic"] >= 0) == (rows[j]["ic"] >= 0)
+        if rows[i]["profile"] == rows[j]["profile"] and (corr if same_sign else -corr) > most_corr:
+            earlier[j].append(i)
     kept = [False] * len(rows)
     for k in range(len(rows)):
         kept[k] = not any(kept[i] for i in earlier[k])

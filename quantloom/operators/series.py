@@ -104,17 +104,21 @@ def selection_score(annual: Column, ratio: Column, ic: Column, drawdown: Column,
 BLOCK = 256
 
 
-def pairwise(series: DataFrame, least: int = OVERLAP_LEAST) -> DataFrame:
+def pairwise(series: DataFrame, least: int = OVERLAP_LEAST, count: int | None = None) -> DataFrame:
     """a, b (a < b), n, corr over common dates; null where a side is flat or few dates are common, no row without a common date.
 
     Series are packed to arrays over their dates and dealt into blocks of about BLOCK; each pair of
     blocks is one task's matrix products over the dates of its series, so neither a join by date nor
-    one task holds all pairs. The number of series is that of factors under comparison, not of rows.
+    one task holds all pairs. The number of series is that of factors under comparison, not of rows;
+    where it is known, as count, they need not be counted first.
     """
     ship(series.sparkSession)
     packed = series.where("series_id IS NOT NULL AND d IS NOT NULL AND r IS NOT NULL").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date(F.to_date("d")).alias("d"), "r"))).alias("v"))
-    packed = saved(packed.select("series_id", "v.d", "v.r"), "series")
-    blocks = -(-packed.count() // BLOCK) or 1
+    packed = packed.select("series_id", "v.d", "v.r")
+    if count is None:
+        packed = saved(packed, "series")
+        count = packed.count()
+    blocks = -(-count // BLOCK) or 1
     own = F.pmod(F.xxhash64("series_id"), F.lit(blocks))
     rows = packed.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
