@@ -405,10 +405,26 @@ def pool_cull(spark, d):
     return _named(spark, [(n,) for n in pool.pool_cull(pool_factors(spark, d), series)], "name string")
 
 
-@query("diverse_samples")
+SAMPLES = 5
+
+
+def _sampling() -> str:
+    """SQL of the choices one after the other: pick_k, and the largest distance of every name to the picks so far, near_k."""
+    picks = ["pick_0 AS (SELECT name FROM c WHERE k = 1)", "near_0 AS (SELECT c.name, c.k, coalesce(v, 1) AS near FROM c LEFT JOIN dist ON a = c.name AND b = (SELECT name FROM pick_0))"]
+    for i in range(1, SAMPLES):
+        taken = " UNION ALL ".join(f"SELECT name FROM pick_{j}" for j in range(i))
+        picks.append(f"pick_{i} AS MATERIALIZED (SELECT name FROM near_{i - 1} WHERE name NOT IN ({taken}) ORDER BY near, k LIMIT 1)")
+        picks.append(f"near_{i} AS MATERIALIZED (SELECT n.name, n.k, greatest(near, coalesce(v, 1)) AS near FROM near_{i - 1} n LEFT JOIN dist ON a = n.name AND b = (SELECT name FROM pick_{i}))")
+    return ", ".join(picks)
+
+
+@query("diverse_samples", f"""WITH {_POOL_SERIES}, {_POOL_FACTORS},
+c AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY abs(ic) DESC, name) AS k FROM factors WHERE status <> 'culled' AND name IN (SELECT series_id FROM series)),
+dist AS MATERIALIZED (SELECT a.series_id AS a, b.series_id AS b, CASE WHEN count(*) >= 10 THEN abs(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0)) END AS v FROM series a JOIN series b ON a.d = b.d AND a.series_id <> b.series_id GROUP BY 1, 2),
+{_sampling()} {' UNION ALL '.join(f'SELECT {i} AS rank, name FROM pick_{i}' for i in range(SAMPLES))}""")
 def diverse_samples(spark, d):
     series = saved(pool_series(spark, d), "series")
-    return _named(spark, list(enumerate(pool.diverse_samples(pool_factors(spark, d), series, 5))), "rank int, name string")
+    return _named(spark, list(enumerate(pool.diverse_samples(pool_factors(spark, d), series, SAMPLES))), "rank int, name string")
 
 
 @query("chain_decision")
