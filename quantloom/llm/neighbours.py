@@ -33,9 +33,9 @@ from quantloom.llm.streams import as_binary, binaries, run_bounds, whole_runs
 from quantloom.session import dropped, saved, ship
 
 WANTED, QUERY_STEP = 5, 50
-GRAPH_K, MOST_K, RETURNED = 48, 256, 12
+GRAPH_K, MOST_K, RETURNED = 48, 256, 5
 #: A round that changes a larger share of the neighbours is followed by another; PROBES nodes measure the graph's recall.
-DELTA, RECALL, PROBES = 0.01, 0.92, 256
+DELTA, RECALL, PROBES = 0.02, 0.92, 256
 #: Rows aimed at for each random-projection cell, the most compared at once, and how many times cells are drawn.
 CELL_ROWS, CELL_MOST, CELL_TREES = 128, 1024, 2
 BEAM, OPEN = 96, 16
@@ -132,7 +132,7 @@ def _cell_pairs(k: int, most: int):
 
 def drawn(at: int, center: np.ndarray, member: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Which (center, member) pairs the at-th round draws, each with the chance `share`."""
-    h = W.mix(W.mix(center.view(np.uint64) + np.uint64(at + 1) * np.uint64(W.BASE)) ^ member.view(np.uint64))
+    h = W.mix(W.mix(center.view(np.uint64) + np.uint64((at + 1) * W.BASE % (1 << 64))) ^ member.view(np.uint64))
     return (h >> np.uint64(40)).astype(np.float64) < share * (1 << 24)
 
 
