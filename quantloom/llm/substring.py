@@ -35,13 +35,15 @@ from quantloom.llm import words as W
 from quantloom.session import dropped, saved, ship
 
 WINDOW, BLOCK = 35, 18
-#: Bytes of text for each hash partition, and the most partitions; words that a task gathers before it emits rows.
+#: Bytes of text for each hash partition (there are as many as shuffle partitions at least), and the most partitions; words that a task gathers before it emits rows.
 PART_BYTES, MOST_PARTS, FLUSH = 16 << 20, 1 << 16, 1 << 21
+#: Keys of texts that are broadcast at most.
+MOST_KEYS = 1 << 19
 
 
 def parts_for(docs: DataFrame) -> int:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(MOST_PARTS, 1 + size // PART_BYTES))
+    return int(min(MOST_PARTS, max(1 + size // PART_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -265,7 +267,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     probes = rows.where("text IS NOT NULL").mapInArrow(_probes(parts, block), PROBE_SCHEMA)
     hits = probes.groupBy("part").applyInArrow(_repeated_blocks, "doc_id long, mark long, number int")
     hits = saved(hits.groupBy("doc_id", "mark").agg(F.collect_set("number").alias("numbers")), "blocks")
-    near = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(hits, ["doc_id", "mark"]).select("doc_id", "mark", "text", "numbers")
+    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    # Up to MOST_KEYS texts are picked out before they travel.
+    few = hits.count() <= MOST_KEYS
+    near = keyed.join(F.broadcast(hits.select("doc_id", "mark")), ["doc_id", "mark"], "left_semi") if few else keyed
+    near = near.join(hits.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "numbers")
     found = near.mapInArrow(_candidates(parts, window, block), PROBE_SCHEMA).groupBy("part").applyInArrow(_repeated_windows(parts), FOUND_SCHEMA)
     found = saved(found.groupBy("bucket").applyInArrow(_by_text, "doc_id long, mark long, starts binary"), "windows")
     dropped(hits)
@@ -281,9 +287,16 @@ def _with_repeats(docs: DataFrame, window: int, block: int) -> DataFrame:
     name = "starts"
     while any(c.lower().endswith(name) for c in docs.columns):
         name = f"_{name}"
-    found = repeats(docs, window, block).select(F.col("doc_id").alias(f"id_{name}"), F.col("mark").alias(f"mark_{name}"), F.col("starts").alias(name))
-    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == found[f"id_{name}"]) & (F.xxhash64(docs["text"]) == found[f"mark_{name}"])
-    return docs.join(found, match, "left").drop(f"id_{name}", f"mark_{name}")
+    keys = [f"id_{name}", f"mark_{name}"]
+    found = repeats(docs, window, block).select(F.col("doc_id").alias(keys[0]), F.col("mark").alias(keys[1]), F.col("starts").alias(name))
+    rows = docs.withColumns({keys[0]: F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)), keys[1]: F.xxhash64(docs["text"])})
+    if found.count() > MOST_KEYS:
+        return rows.join(found.hint("merge"), keys, "left").drop(*keys)
+    # Up to MOST_KEYS texts with repeats are picked out, and the others don't travel.
+    few = F.broadcast(found.select(keys))
+    some = rows.join(few, keys, "left_semi").join(found.hint("merge"), keys)
+    none = rows.join(few, keys, "left_anti").withColumn(name, F.lit(None).cast("binary"))
+    return some.select(*docs.columns, name).unionByName(none.select(*docs.columns, name))
 
 
 def digests(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
