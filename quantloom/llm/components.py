@@ -17,8 +17,8 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (u, v); edges with a null end don't count.
 
-    Minima are pre-aggregated, written and joined back, so the neighbours of a hub never meet in one row,
-    and Spark splits a hub's partition in the joins. Each round is written to the shared folder.
+    Minima are pre-aggregated and joined back, so the neighbours of a hub never meet in one row; those that
+    a hub's many larger neighbours meet are written first, so that Spark splits the hub in that join.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = saved(e, "edges")
@@ -29,10 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
         large = saved(both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         new = saved(small, "edges")
-        for t in (e, low, large, least):
+        for t in (e, low, large):
             dropped(t)
         e, before = new, mark
         mark = _mark(e)

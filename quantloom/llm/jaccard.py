@@ -18,8 +18,8 @@ Two documents link when DEN * overlap >= NUM * union of their shingle sets. The
    sets are all of one component is done and trees skip pairs within one: first each set of a block is
    held against one of them, the set with the largest share of its tokens in blocks, which among edited
    copies of a text is the least edited one; then the trees give BEST partners for each set, those with
-   the largest possible similarity; then all that is left. So a group of k near copies costs a few k
-   pairs.
+   the largest possible similarity; then, in the blocks where a set had more partners than that, all
+   that is left. So a group of k near copies costs a few k pairs.
 5. What the trees give is verified on the full sets, and all links together give the components.
 
 Groupings by token, class, pivot or component are joins of two written tables (which Spark splits
@@ -53,7 +53,7 @@ K, NUM, DEN = 4, 85, 100
 HOT_FROM, MOST_HOT = 6, 1 << 19
 FLUSH, MOST_IDS = 1 << 21, 1 << 19
 #: Bits of a bitmap for each shingle of the largest set of a band, in blocks up to SMALL rows and in larger ones.
-COARSE, FINE, SMALL = 1, 4, 8
+COARSE, FINE, SMALL = 1, 4, 64
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Children of a tree's node, most rows of a tree, node pairs that are held at once, 64-bit words of bitmaps compared at once.
 FANOUT, CHUNK, FRONTIER, COMPARED = 4, 512, 1 << 15, 1 << 19
@@ -250,11 +250,14 @@ class Forest:
 
 
 def _tree_pairs(num: int, den: int, best: int | None):
-    """Rows of blocks, sorted by block -> pairs (a, b) of sets that may link; with `best`, for each row of a block so many."""
+    """Rows of blocks, sorted by block -> pairs (a, b) of sets that may link.
 
-    def of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        block, rep, n, room, comp, side, home, split, words = (b.column(k).to_numpy(zero_copy_only=False) for k in range(9))
-        bits = b.column(9).to_pylist()
+    With `best`, for each row of a block so many, and a row (null, null, key) for each block where one had more.
+    """
+
+    def of(b: pa.RecordBatch, more: list[np.ndarray]) -> Iterator[np.ndarray]:
+        block, rep, n, room, comp, side, home, split, words, key = (b.column(k).to_numpy(zero_copy_only=False) for k in range(10))
+        bits = b.column(10).to_pylist()
         size = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
         for kind in np.unique(words):
             at = np.flatnonzero(words == kind)
@@ -264,29 +267,38 @@ def _tree_pairs(num: int, den: int, best: int | None):
                 table[rows] = folded(np.frombuffer(b"".join(bits[k] for k in at[rows]), np.uint64).reshape(len(rows), -1), int(kind))
             forest = Forest(block[at], table, n[at], comp[at], room[at], side[at], home[at], split[at])
             found = forest.pairs(num, den)
-            for i, j in ((i, j) for i, j, _ in found) if best is None else [most_similar(found, best)]:
+            if best is not None:
+                *top, cut = most_similar(found, best)
+                more.append(np.unique(key[at[cut]]))
+                found = [(*top, None)]
+            for i, j, _ in found:
                 yield np.stack([np.minimum(rep[at[i]], rep[at[j]]), np.maximum(rep[at[i]], rep[at[j]])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, more = [], 0, []
         for b in whole_runs(batches):
-            for p in of(b):
+            for p in of(b, more):
                 held.append(p)
                 size += len(p)
                 if size >= FLUSH:
                     yield _pair_batch(held)
                     held, size = [], 0
+            if sum(map(len, more)) >= FLUSH:
+                yield _key_batch(more)
+                more = []
         if size:
             yield _pair_batch(held)
+        if more:
+            yield _key_batch(more)
 
     return run
 
 
-def most_similar(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], best: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs with similarities: for each row the `best` most similar ones. Not more than FLUSH pairs and the best are held."""
+def most_similar(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs with similarities: for each row the `best` most similar ones, and the rows that had more. Not more than FLUSH pairs and the best are held."""
     i = j = np.zeros(0, np.int64)
     s = np.zeros(0)
-    held, size = [], 0
+    held, size, cut = [], 0, [i]
 
     def merged():
         a, b, v = (np.concatenate(x) for x in zip((i, j, s), *held, strict=True))
@@ -294,18 +306,21 @@ def most_similar(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], bes
         order = np.lexsort((other, -value, row))
         row, other, value = row[order], other[order], value[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < best
+        cut.append(np.unique(row[~keep]))
         row, other, value = row[keep], other[keep], value[keep]
         a, b = np.minimum(row, other), np.maximum(row, other)
         _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
         return a[once], b[once], value[once]
 
+    # A pair stays if it is among the best of either row, so a row may hold more than `best` between the rounds.
     for p in found:
         held.append(p)
         size += len(p[0])
         if size >= FLUSH:
             i, j, s = merged()
             held, size = [], 0
-    return merged()[:2] if held else (i, j)
+    i, j, s = merged() if held else (i, j, s)
+    return i, j, np.concatenate(cut)
 
 
 def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -313,7 +328,12 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     keep = np.ones(len(p), bool)
     keep[1:] = (p[1:] != p[:-1]).any(axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(p[keep, 0]), pa.array(p[keep, 1])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(p[keep, 0]), pa.array(p[keep, 1]), pa.nulls(int(keep.sum()), pa.int64())], ["a", "b", "key"])
+
+
+def _key_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    key = np.unique(np.concatenate(held))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64()), pa.array(key)], ["a", "b", "key"])
 
 
 def _may_link(num: int, den: int):
@@ -379,12 +399,14 @@ def _verify(num: int, den: int):
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on the full sets, as edges (u, v). Hot sets should stand in b.
 
-    Only the sets of the pairs travel: up to MOST_IDS keys are broadcast to pick them out, more are joined.
+    Up to MOST_IDS pairs, and keys, are broadcast, so that one side of the pairs travels and only the
+    sets of the other that are in pairs; more are joined.
     """
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ids")
-    used = sets.select("rep", "grams").join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids.hint("merge"), "rep", "left_semi")
-    rows = pairs.join(used.select(F.col("rep").alias("a"), F.col("grams").alias("own")), "a").join(used.select(F.col("rep").alias("b"), F.col("grams").alias("other")), "b")
-    out = saved(rows.select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long").distinct(), "links")
+    ids = saved(pairs.select(F.col("b").alias("rep")).distinct(), "ids")
+    few = lambda t: F.broadcast(t) if t.count() <= MOST_IDS else t.hint("merge")
+    own = sets.select(F.col("rep").alias("a"), F.col("grams").alias("own")).join(few(pairs), "a")
+    other = sets.select("rep", "grams").join(few(ids), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("grams").alias("other"))
+    out = saved(own.join(other.hint("merge"), "b").select("a", "b", "own", "other").mapInArrow(_verify(num, den), "u long, v long").distinct(), "links")
     dropped(ids)
     return out
 
@@ -421,7 +443,7 @@ def _chunked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.withColumns({"block": F.xxhash64("token", "band", "x", "y"), "split": F.col("x") != F.col("y"), "side": (F.col("chunk") != F.col("x")).cast("int"), "words": words, "kind": per})
     rows = rows.join(sets.select("rep", "bits", "fine").hint("merge"), "rep")
     bits = F.when(F.col("kind") == FINE, F.col("fine")).otherwise(F.col("bits"))
-    rows = rows.select("block", "rep", "n", (F.col("n") - F.col("pos")).alias("room"), "comp", "side", "home", "split", "words", bits.alias("bits"))
+    rows = rows.select("block", "rep", "n", (F.col("n") - F.col("pos")).alias("room"), "comp", "side", "home", "split", "words", F.xxhash64("token", "band").alias("key"), bits.alias("bits"))
     return rows.repartition("block").sortWithinPartitions("block")
 
 
@@ -441,13 +463,10 @@ def _pivot_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_may_link(num, den), "a long, b long")
 
 
-def _best_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int, best: int | None = BEST) -> DataFrame:
+def _tree_step(marked: DataFrame, sets: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+    """(a, b, key) as of _tree_pairs, each once."""
     rows = _chunked(marked.join(_open(marked, F.count("*").alias("c")), ["token", "band"]), sets)
-    return rows.mapInArrow(_tree_pairs(num, den, best), "a long, b long").distinct()
-
-
-def _all_pairs(marked: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    return _best_pairs(marked, sets, num, den, None)
+    return saved(rows.mapInArrow(_tree_pairs(num, den, best), "a long, b long, key long").distinct(), "pairs")
 
 
 def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -456,6 +475,8 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     t1 and t2 are hashes of the text, component is a key of the class's component, least the smallest
     doc_id in it; rows with an empty set are in no class.
     """
+    if not den <= 2 * num <= 2 * den:
+        raise ValueError("the threshold must be from one half to one, as sets of one band meet those of the next only")
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
@@ -474,17 +495,25 @@ def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     sets = used.join(wanted.hint("merge"), ["t1", "t2"]).select("rep", "text").mapInArrow(_as_sets(k), "rep long, n long, grams binary, bits binary, fine binary")
     sets = saved(sets, "sets")
     dropped(wanted)
-    links, marked = None, blocks.withColumn("comp", F.col("rep"))
-    for step in (_pivot_pairs, _best_pairs, _all_pairs):
-        pairs = saved(step(marked, sets, num, den), "pairs")
-        found = _links(pairs, sets, num, den)
-        links = found if links is None else links.unionByName(found)
-        if marked is not blocks and step is not _pivot_pairs:
-            dropped(marked)
-        dropped(pairs)
-        if step is not _all_pairs:
-            comp = components(links).select(F.col("node").alias("rep"), "component")
-            marked = saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "marked")
+    def with_components(links: DataFrame) -> DataFrame:
+        comp = components(links).select(F.col("node").alias("rep"), "component")
+        return saved(blocks.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "marked")
+
+    pairs = saved(_pivot_pairs(blocks.withColumn("comp", F.col("rep")), sets, num, den), "pairs")
+    links = _links(pairs, sets, num, den)
+    marked = with_components(links)
+    best = _tree_step(marked, sets, num, den, BEST)
+    links = links.unionByName(_links(best.where("a IS NOT NULL").select("a", "b"), sets, num, den))
+    dropped(pairs)
+    dropped(marked)
+    marked = with_components(links)
+    again = best.where("key IS NOT NULL").select("key")
+    rest = marked.withColumn("key", F.xxhash64("token", "band")).join(again.hint("merge"), "key", "left_semi").drop("key")
+    rest = saved(rest, "rest")
+    pairs = _tree_step(rest, sets, num, den, None)
+    links = links.unionByName(_links(pairs.select("a", "b"), sets, num, den))
+    for t in (marked, best, rest, pairs):
+        dropped(t)
     dropped(blocks)
     dropped(sets)
     comp = components(links).withColumnRenamed("node", "rep")

@@ -359,8 +359,9 @@ def repeats_by_brute_force(docs_, window):
         yield gone
 
 
-@pytest.mark.parametrize(("window", "block"), [(35, 18), (7, 4), (3, 2)])
-def test_substrings(docs, window, block):
+@pytest.mark.parametrize(("window", "block", "keys"), [(35, 18, 1 << 19), (7, 4, 1 << 19), (3, 2, 1)])
+def test_substrings(docs, monkeypatch, window, block, keys):
+    monkeypatch.setattr(substring, "MOST_KEYS", keys)
     all_words = [split(t) for _, t, *_ in rows()]
     want = collections.Counter()
     for (d, *_), w, gone in zip(rows(), all_words, repeats_by_brute_force(all_words, window)):
@@ -407,8 +408,9 @@ def components_by_brute_force(docs_, k, num, den):
     return collections.Counter((d, len(s), least.get(find(i))) for i, ((d, *_), s) in enumerate(zip(docs_, sets)))
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (2, 50)])
-def test_jaccard(docs, k, num):
+@pytest.mark.parametrize(("k", "num", "keys"), [(4, 85, 1 << 19), (2, 50, 1)])
+def test_jaccard(docs, monkeypatch, k, num, keys):
+    monkeypatch.setattr(jaccard, "MOST_IDS", keys)
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, k, num, 100).collect())
     want = components_by_brute_force(rows(), k, num, 100)
     # Rows without an id and without a set have no component.
@@ -437,10 +439,12 @@ def test_best_partners(monkeypatch):
     random.seed(3)
     value = {(i, j): random.random() for j in range(12) for i in range(j) if random.random() < 0.7}
     pairs = [(np.array([i]), np.array([j]), np.array([v])) for (i, j), v in value.items()]
-    got = set(zip(*(x.tolist() for x in jaccard.most_similar(iter(pairs), 2))))
+    *found, cut = (x.tolist() for x in jaccard.most_similar(iter(pairs), 2))
+    got = set(zip(*found))
+    assert {k for k in range(12) if sum(k in p for p in value) > 2} <= set(cut) and all(sum(k in p for p in value) > 2 for k in cut)
     of = lambda k: sorted((p for p in value if k in p), key=value.get)[-2:]
     assert {p for k in range(12) for p in of(k)} <= got <= set(value)
-    assert [len(x) for x in jaccard.most_similar(iter([]), 2)] == [0, 0]
+    assert [len(x) for x in jaccard.most_similar(iter([]), 2)] == [0, 0, 0]
 
 
 def test_keep_one(docs, empty):
@@ -451,6 +455,12 @@ def test_keep_one(docs, empty):
     assert 30 in ids and 31 not in ids and 32 not in ids and 33 not in ids and jaccard.keep_one(empty).count() == 0
 
 
+def test_jaccard_thresholds(docs):
+    for num in (49, 101):
+        with pytest.raises(ValueError):
+            jaccard.join(docs, 4, num, 100)
+
+
 def bridge():
     """Texts of which the first and the last are linked only through the middle one."""
     w = [f"w{k}" for k in range(107)]
@@ -495,8 +505,8 @@ def test_trees_give_all_pairs_of_a_block(monkeypatch, chunk, fanout):
             if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
                 want.add((j, i))
     of = [k % (1 + n // chunk) for k in range(n)]
-    rows_ = [(x * 100 + y, k, len(sets[k]), len(sets[k]), k, int(of[k] != x), True, x != y, words, jaccard.bitmap(sets[k], jaccard.FINE)) for x in set(of) for y in set(of) if x <= y for k in range(n) if of[k] in (x, y)]
-    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows_)], ["block", "rep", "n", "room", "comp", "side", "home", "split", "words", "bits"])
+    rows_ = [(x * 100 + y, k, len(sets[k]), len(sets[k]), k, int(of[k] != x), True, x != y, words, 7, jaccard.bitmap(sets[k], jaccard.FINE)) for x in set(of) for y in set(of) if x <= y for k in range(n) if of[k] in (x, y)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows_)], ["block", "rep", "n", "room", "comp", "side", "home", "split", "words", "key", "bits"])
     got = [tuple(p) for b in jaccard._tree_pairs(85, 100, None)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert want <= set(got) and len(want) > 20 and len(got) < n * (n - 1) // 4
 
