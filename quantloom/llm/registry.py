@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import bpe, chat, jaccard, language, media, neighbours, oracles, packing, quality, substring, urls
+from quantloom.llm import alignment, bpe, chat, collocations, jaccard, language, media, neighbours, oracles, packing, quality, simhash, substring, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_language": language.op10_language,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_simhash": simhash.op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": oracles.SUBSTRING, "op6_ngram_jaccard": oracles.JACCARD, "op9_chat_formatting": chat.ORACLE}
+    return {"op5_substring_dedup": oracles.SUBSTRING, "op6_ngram_jaccard": oracles.JACCARD, "op9_chat_formatting": chat.ORACLE, "op11_collocations": collocations.ORACLE}
