@@ -5,16 +5,18 @@ All counts are per language. The steps:
 1. Each batch of text counts its words and word pairs into sparse count-min sketches of DEPTH rows; the
    sketches are merged shard by shard in Spark. A merged cell is never below the count of an n-gram in
    it, so an n-gram with a cell below `least` is rare. Only one bit a cell is kept of the merged sketch.
-2. A second sketch takes the n-grams of 3 and more words whose pairs all survived the first.
+2. A second sketch takes the n-grams of 3 and more words whose pairs all survived the first, and marks the words
+   of surviving pairs, the only ones whose counts a score can need.
 3. The second pass over the texts counts, exactly and by the phrase itself, the n-grams that survive with
-   all n-grams in them. Nothing frequent is lost, and what was let through in error drops out here.
+   all n-grams in them. Nothing frequent is lost, and what was let through in error drops out here. A batch
+   sends its counts in one packed block for each of many parts of the phrases, and the blocks of a part are summed.
 4. Each candidate is cut behind each of its words; the parts are as frequent as the candidate at least, so
    they are in the exact table. The lowest score counts.
 5. A candidate is dropped if a longer one that holds it is as frequent as `share` percent of it. A phrase in
    between is at least as frequent as the longer one, so phrases of one word more tell it all.
 
 The sketch has a cell for every CELL_BYTES bytes of text, MOST_CELLS at most: that bounds the bits sent to
-each executor (DEPTH x 16 MB each for words, pairs and longer ones). Beyond some 8 GB of text the cells fill up and
+each executor (DEPTH x 16 MB each for words, pairs, longer ones and words of pairs). Beyond some 8 GB of text the cells fill up and
 more n-grams survive in error, so the exact count shuffles more; its result is the same.
 
 Defined results: a null text counts as empty, a null lang as `und`; repeated rows count each; doc_id
@@ -39,13 +41,15 @@ from quantloom.session import dropped, saved, ship
 
 LONGEST, LEAST, SHARE, WANTED = 5, 100, 100, 2000
 DEPTH, CELL_BYTES, LEAST_CELLS, MOST_CELLS, SHARD = 2, 64, 1 << 16, 1 << 27, 1 << 16
-STRETCH = 1 << 23
+STRETCH = 1 << 22
+#: Parts of the phrases for each shard of a sketch, and the counts that a sum of blocks holds before it sums them.
+PARTS_A_SHARD, HELD = 4, 1 << 20
 #: Bytes between the words of a piece, and those that end a piece.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[9, 32]] = True
 ENDS = np.zeros(256, bool)
 ENDS[[10, 11, 12, 13, *b".,;:!?"]] = True
-WORDS, PAIRS, LONGER = range(3)
+WORDS, PAIRS, LONGER, IN_PAIRS = range(4)
 
 
 def stretches(texts: pa.Array, langs: pa.Array, most: int = STRETCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
@@ -84,10 +88,14 @@ def stretches(texts: pa.Array, langs: pa.Array, most: int = STRETCH) -> Iterator
         i = j
 
 
+def salts(names: list[str]) -> np.ndarray:
+    """A hash of each language."""
+    return np.array([int.from_bytes(blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], np.uint64)
+
+
 def grams(part: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, lang: np.ndarray, names: list[str], longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hash, first word) of all n-grams of 1 to `longest` words; the language is part of the hash."""
-    salt = np.array([int.from_bytes(blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], np.uint64)
-    h = W.mix(W.word_hashes(part, start, end) ^ salt[lang])
+    h = W.mix(W.word_hashes(part, start, end) ^ salts(names)[lang])
     return [W.windows(h, first, k) for k in range(1, longest + 1)]
 
 
@@ -131,17 +139,22 @@ def _sketched(longest: int, least: int, n_cells: int, kept, stretch: int):
 
     A cell counts up to `least` a batch, which changes no comparison with it.
     """
-    kinds = (WORDS, PAIRS) if kept is None else (LONGER,)
+    kinds = (WORDS, PAIRS) if kept is None else (LONGER, IN_PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if kept is None else Kept(kept.value, n_cells)
         for b in batches:
             for s in stretches(b.column(0), b.column(1), stretch):
                 found = grams(*s, longest=2 if bits is None else longest)
-                of_kind = [x[0] for x in found] if bits is None else [np.concatenate([x[0] for x in surviving(found, bits, longest, False)[2:]] or [found[0][0][:0]])]
+                of_kind = [x[0] for x in found]
+                if bits is not None:
+                    left = surviving(found, bits, longest, False)
+                    at = left[1][1]
+                    of_kind = [np.concatenate([x[0] for x in left[2:]] or [found[0][0][:0]]), found[0][0][np.concatenate([at, at + 1])]]
                 for kind, h in zip(kinds, of_kind, strict=True):
                     for row in range(DEPTH):
                         cell, n = np.unique(cells(h, kind, row, n_cells), return_counts=True)
+                        n = np.full(len(n), least) if kind == IN_PAIRS else n  # a mark, no count
                         part = (cell // SHARD).astype(np.int64)
                         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
                         own = [_packed(x, edge) for x in ((cell % SHARD).astype("<u2"), np.minimum(n, least).astype("<u2"))]
@@ -182,7 +195,7 @@ def sketch(rows: DataFrame, longest: int, least: int, n_cells: int, kept, stretc
     counts = rows.mapInArrow(_sketched(longest, least, n_cells, kept, stretch), "part long, offsets binary, counts binary")
     size = min(SHARD, n_cells)
     merged = saved(counts.repartition("part").sortWithinPartitions("part").mapInArrow(_merged(least, size), "part long, bits binary"), "sketch")
-    kinds = (WORDS, PAIRS) if kept is None else (LONGER,)
+    kinds = (WORDS, PAIRS) if kept is None else (LONGER, IN_PAIRS)
     out = {kind * DEPTH + row: bytearray(n_cells // 8) for kind in kinds for row in range(DEPTH)}
     for r in merged.toLocalIterator():
         at = (r["part"] & (1 << 40) - 1) * size // 8
@@ -191,29 +204,72 @@ def sketch(rows: DataFrame, longest: int, least: int, n_cells: int, kept, stretc
     return {k: bytes(v) for k, v in out.items()}
 
 
-def _counted(longest: int, n_cells: int, kept, stretch: int):
-    """(text, lang) -> (lang, k, phrase, n) of the surviving n-grams of each batch; k = 0 has the number of words."""
+def _counted(longest: int, n_cells: int, kept, stretch: int, parts: int):
+    """(text, lang) -> (part, block): of each stretch, the surviving n-grams of each part with their counts, as _packed_counts; k = 0 has the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Kept(kept.value, n_cells)
         for b in batches:
             for part, start, end, first, lang, names in stretches(b.column(0), b.column(1), stretch):
-                out_lang, out_k, out_phrase, out_n = [], [], [], []
-                for which, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
-                    out_lang.append(names[which])
-                    out_k.append(0)
-                    out_phrase.append(b"")
-                    out_n.append(n)
-                data = part.tobytes()
+                data, languages = part.tobytes(), pa.array(names, pa.string())
+                words = np.bincount(lang, minlength=len(names))
+                of = [(salts(names) % np.uint64(parts)).astype(np.int64)]
+                tables = [pa.table([languages, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(words.astype(np.int64))], COUNTED)]
                 for k, (h, at) in enumerate(surviving(grams(part, start, end, first, lang, names, longest), bits, longest, True), 1):
-                    _, one, n = np.unique(h, return_index=True, return_counts=True)
+                    if k == 1:
+                        needed = bits.may(h, IN_PAIRS)
+                        h, at = h[needed], at[needed]
+                    h, one, n = np.unique(h, return_index=True, return_counts=True)
                     at = at[one]
-                    out_lang += [names[x] for x in lang[at].tolist()]
-                    out_k += [k] * len(at)
                     spans = [zip(start[at + x].tolist(), end[at + x].tolist(), strict=True) for x in range(k)]
-                    out_phrase += [b" ".join(data[x:y] for x, y in phrase) for phrase in zip(*spans, strict=True)]
-                    out_n += n.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_k, pa.int32()), pa.array(out_phrase, pa.binary()).cast(pa.string()), pa.array(out_n, pa.int64())], ["lang", "k", "phrase", "n"])
+                    phrases = [b" ".join(data[x:y] for x, y in phrase) for phrase in zip(*spans, strict=True)]
+                    of.append((W.mix(h + np.uint64(k)) % np.uint64(parts)).astype(np.int64))
+                    tables.append(pa.table([languages.take(pa.array(lang[at])), pa.array(np.full(len(at), k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], COUNTED))
+                of = np.concatenate(of)
+                order = np.argsort(of, kind="stable")
+                table, of = pa.concat_tables(tables).take(pa.array(order)), of[order]
+                edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+                blocks = [_packed_counts(table.slice(i, j - i)) for i, j in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]]), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    return run
+
+
+COUNTED = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _packed_counts(table: pa.Table) -> bytes:
+    """A table of COUNTED as one compressed block."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _summed(least: int):
+    """Blocks sorted by part -> the counts of COUNTED, of phrases that reach `least`."""
+
+    def total(tables: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")])
+        return out.select(["lang", "k", "phrase", "n_sum"]).rename_columns(COUNTED.names)
+
+    def frequent(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+        out = total(tables)
+        return out.filter(pc.or_(pc.greater_equal(out["n"], least), pc.equal(out["k"], 0))).cast(COUNTED).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, rows, most = None, [], 0, HELD
+        for b in batches:
+            for part, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if part != key:
+                    yield from frequent(held) if held else []
+                    key, held, rows, most = part, [], 0, HELD
+                held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+                rows += len(held[-1])
+                if rows > most:
+                    held = [total(held).cast(COUNTED)]
+                    rows, most = len(held[0]), max(HELD, 2 * len(held[0]))
+        yield from frequent(held) if held else []
 
     return run
 
@@ -230,8 +286,8 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cell_byt
     sent = spark.sparkContext.broadcast(bits := sketch(rows, longest, least, n_cells, None, stretch))
     both = spark.sparkContext.broadcast(bits | sketch(rows, longest, least, n_cells, sent, stretch))
     sent.destroy()
-    found = rows.mapInArrow(_counted(longest, n_cells, both, stretch), "lang string, k int, phrase string, n long")
-    out = saved(found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0)), "phrases")
+    blocks = rows.mapInArrow(_counted(longest, n_cells, both, stretch, n_cells // SHARD * PARTS_A_SHARD or 1), "part long, block binary")
+    out = saved(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_summed(least), "lang string, k int, phrase string, n long"), "phrases")
     both.destroy()
     return out
 
