@@ -7,10 +7,12 @@ A is a byte-level BPE, B a piece BPE with byte fallback. The steps:
    across a cut would be a piece of its vocabulary; `breaks` verifies on both vocabularies before which
    characters that holds. So a text's tokens are those of its segments, one after another.
 2. Texts of about BUNDLE bytes make a bundle, which numbers its distinct segments; a document becomes their
-   numbers. The distinct segments of all bundles are tokenised and aligned, each once in the whole corpus.
-3. Alignments are joined back to the bundles, and each bundle composes its documents. This happens twice: first
-   a bundle tells in how many of its documents each pair of ids is linked; when these counts are summed and
-   each A id's highest is known, segments get their share of the sums, and documents the sums over segments.
+   numbers. Segments are dealt by a hash into shards of about SHARD_BYTES of text, and a bundle asks each shard for
+   those of its segments in one packed row. A shard tokenises and aligns each of its distinct segments once in
+   the whole corpus and replies to every bundle.
+3. Bundles put documents together from replies. This happens twice: first a bundle tells in how many of its
+   documents each pair of ids is linked; these counts are summed in shards of A ids, which know each id's highest
+   count and answer the bundles; then segments get their sums over links, and documents the sums over segments.
 
 Segments are aligned by the byte offsets where tokens of both end; tokens link where their byte ranges overlap.
 B never makes a text longer, so a document's bytes differ from its tokens' just where those of a segment do;
@@ -24,8 +26,10 @@ is cut; its numbers, four bytes a segment, are held by one task.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -38,14 +42,13 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.bpe import byte_alphabet
 from quantloom.llm.packing import tokenizer_path
-from quantloom.session import dropped, saved, ship
+from quantloom.llm.streams import as_binary
+from quantloom.session import saved, ship
 
-BUNDLE, LONG_TEXT = 1 << 23, 1 << 22
-#: Joins with at most this many pairs of ids broadcast them.
-MOST_PAIRS = 1 << 19
+BUNDLE, LONG_TEXT = 1 << 25, 1 << 22
+LEAST_SHARDS, SHARD_BYTES = 64, 1 << 24
 #: White space of Unicode and three characters that some tables count as such: no cut behind one of these.
 SPACES = r"\s\u180e\u200b\ufeff"
-SEGMENT = "seg string, n_a long, n_b long, n_groups long, groups binary, links array<long>, bad boolean"
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -129,26 +132,30 @@ class Numbers(dict):
         return len(self) - 1
 
 
-def _bundled(paths: tuple[str, str, str], size: int):
-    """(doc_id, text) -> rows (bundle, doc_id, no, seg, seq): a bundle's segments by number, and its documents as numbers."""
+def _bundled(paths: tuple[str, str, str], size: int, shards: int):
+    """(doc_id, text) -> a bundle's distinct segments by shard, numbered from `start` in this order, and its documents as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = tokenizers(*paths).segments
         bundle, numbers, held, ids, seqs = TaskContext.get().partitionId() << 32, Numbers(), 0, [], []
 
         def given() -> Iterator[pa.RecordBatch]:
-            n, m = len(numbers), len(ids)
-            names = ["bundle", "doc_id", "no", "seg", "seq"]
-            # Some thousand rows a batch, so that none is large for its reader.
-            segs = pa.array(list(numbers), pa.string())
-            for i in range(0, n, 1 << 14):
-                part = segs.slice(i, 1 << 14)
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bundle)), pa.nulls(k, pa.int64()), pa.array(np.arange(i, i + k, dtype=np.int32)), part, pa.nulls(k, pa.binary())], names)
-            for i in range(0, m, 1 << 10):
-                part = seqs[i : i + (1 << 10)]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bundle)), pa.array(ids[i : i + k], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(part, pa.binary())], names)
+            texts = [t.encode() for t in numbers]
+            shard = np.array([zlib.crc32(t) for t in texts], np.int64) % shards
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            texts, shard = [texts[k] for k in order.tolist()], shard[order]
+            sizes = np.array([len(t) for t in texts], np.uint32)
+            edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
+            n = len(edge) - 1
+            blocks = [b"".join(texts[i:j]) for i, j in zip(edge, edge[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), pa.array(shard[edge[:-1]]), pa.array(edge[:-1]), pa.nulls(n, pa.int64()), pa.array(blocks, pa.binary()), as_binary(sizes, edge), pa.nulls(n, pa.binary())], ASKED)
+            for i in range(0, len(ids), 1 << 10):
+                part = [place[np.frombuffer(x, np.uint32)].tobytes() for x in seqs[i : i + (1 << 10)]]
+                n = len(part)
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), none, none, pa.array(ids[i : i + n], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(part, pa.binary())], ASKED)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -166,12 +173,15 @@ def _bundled(paths: tuple[str, str, str], size: int):
     return run
 
 
-def aligned(tok: Tokenizers, segs: list[str]) -> pa.RecordBatch:
-    """n_a, n_b, n_groups, groups, links, bad of each segment."""
+ASKED = ["bundle", "shard", "start", "doc_id", "texts", "sizes", "seq"]
+
+
+def aligned(tok: Tokenizers, segs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(COUNTS, bytes of the groups and whether it is bad of each segment, links of all, groups of each)."""
     a, b, bad = [], [], []
-    for text, x, y in zip(segs, map(tok.encode_a, segs), tok.encode_b(segs), strict=True):
-        raw = text.encode()
-        wrong = b"".join(tok.a_bytes.get(i, b"") for i in x) != raw or b"".join(tok.b_bytes[i] for i in y) != raw
+    texts = [x.decode() for x in segs]
+    for raw, x, y in zip(segs, map(tok.encode_a, texts), tok.encode_b(texts), strict=True):
+        wrong = b"".join([tok.a_bytes.get(i, b"") for i in x]) != raw or b"".join([tok.b_bytes[i] for i in y]) != raw
         bad.append(wrong)
         a.append([] if wrong else x)
         b.append([] if wrong else y)
@@ -179,148 +189,230 @@ def aligned(tok: Tokenizers, segs: list[str]) -> pa.RecordBatch:
     flat_a, flat_b = (np.array([i for x in of for i in x], np.int64) for of in (a, b))
     ends_a, ends_b = (np.cumsum(np.array([len(t[i]) for x in of for i in x], np.int64)) for of, t in ((a, tok.a_bytes), (b, tok.b_bytes)))
     # Segments lie one behind another, with as many bytes in A as in B, so their ends are common ends.
-    common = np.intersect1d(ends_a, ends_b)
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     edge_a, edge_b = (np.searchsorted(e, common, "right") for e in (ends_a, ends_b))
     low = np.searchsorted(ends_b, np.concatenate(([0], ends_a[:-1])) if len(ends_a) else ends_a, "right")
     n_links = np.searchsorted(ends_b, ends_a, "left") - low + 1
     to = np.arange(n_links.sum()) + np.repeat(low - (np.cumsum(n_links) - n_links), n_links)
     links = np.repeat(flat_a, n_links) << 32 | flat_b[to]
     bound_a = np.concatenate(([0], np.cumsum(n_a)))
-    of_seg = np.searchsorted(edge_a, bound_a, "left") + (bound_a > 0)
-    n_groups = np.diff(np.where(bound_a > 0, of_seg, 0))
+    bound_g = np.searchsorted(edge_a, bound_a, "right")  # groups that have ended by then
     text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
     heads_a, heads_b = [0, *edge_a.tolist()], [0, *edge_b.tolist()]
     groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(heads_a, heads_a[1:], heads_b, heads_b[1:], strict=False)]
-    bound_g = np.concatenate(([0], np.cumsum(n_groups))).tolist()
-    joined = [";".join(groups[i:j]).encode() for i, j in zip(bound_g, bound_g[1:], strict=False)]
+    joined = [";".join(groups[i:j]).encode() for i, j in itertools.pairwise(bound_g.tolist())]
     bound_l = np.concatenate(([0], np.cumsum(n_links)))[bound_a]
-    linked = pa.ListArray.from_arrays(pa.array(bound_l.astype(np.int32)), pa.array(links))
-    return pa.RecordBatch.from_arrays([pa.array(n_a), pa.array(n_b), pa.array(n_groups.astype(np.int64)), pa.array(joined, pa.binary()), linked, pa.array(bad, pa.bool_())], ["n_a", "n_b", "n_groups", "groups", "links", "bad"])
+    counts = np.stack([n_a, n_b, np.diff(bound_g), np.diff(bound_l), np.array([len(x) for x in joined], np.int64), np.array(bad, np.int64)]).astype(np.uint32)
+    return counts, links, joined
+
+
+#: Segments that a task tokenises at once.
+AT_ONCE = 1 << 13
 
 
 def _aligned(paths: tuple[str, str, str]):
+    """What bundles ask (bundle, shard, start, texts, sizes), sorted by shard -> replies (bundle, start, counts, links, groups) in the order of what was asked."""
+
+    def replies(tok: Tokenizers, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        numbers, own = Numbers(), []
+        for _, _, texts, sizes in asked:
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
+            own.append(np.fromiter(map(numbers.__getitem__, [texts[i:j] for i, j in zip([0, *ends], ends, strict=False)]), np.int64, len(ends)))
+        segs = list(numbers)
+        parts = [aligned(tok, segs[i : i + AT_ONCE]) for i in range(0, len(segs), AT_ONCE)]
+        counts, links = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+        groups = [g for p in parts for g in p[2]]
+        first = np.concatenate(([0], np.cumsum(counts[3].astype(np.int64))))
+        for (bundle, start, _, _), at in zip(asked, own, strict=True):
+            n = counts[3][at].astype(np.int64)
+            linked = links[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)]
+            yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([start]), *(pa.array([x], pa.binary()) for x in (counts[:, at].tobytes(), linked.tobytes(), b"".join([groups[k] for k in at.tolist()])))], REPLIES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizers(*paths)
+        tok, key, asked = tokenizers(*paths), None, []
         for b in batches:
-            out = aligned(tok, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], ["seg", *out.schema.names])
+            for bundle, shard, start, texts, sizes in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if shard != key:
+                    yield from replies(tok, asked) if asked else ()
+                    key, asked = shard, []
+                asked.append((bundle, start, texts, sizes))
+        yield from replies(tok, asked) if asked else ()
 
     return run
 
 
-def _in_bundles(begin, document, end=None):
-    """Walks rows (bundle, kind, ...) sorted by bundle, kind and number: begin(segment rows) gives what document(it, document rows) and then end(it) get; batches that these give are given out."""
+REPLIES = ["bundle", "start", "counts", "links", "groups"]
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
+SUMS = [*COUNTS, "n_best", "count_sum"]
+
+
+class Segments:
+    """A bundle's segments by number, put together from its replies and the answers on its pairs."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.answers: list[tuple] = []
+
+    def take(self, kind: int, start, counts, links, groups, n, best) -> None:
+        if kind == 0:
+            self.parts.append((start, np.frombuffer(counts, np.uint32).reshape(6, -1), np.frombuffer(links, np.int64), groups))
+        else:
+            self.answers.append((np.frombuffer(links, np.int64), np.frombuffer(n, np.int64), np.frombuffer(best, np.uint8)))
+
+    def settle(self, whole: bool) -> None:
+        """whole: with the texts of groups, and the sums over links."""
+        self.parts.sort(key=lambda p: p[0])
+        counts = np.concatenate([p[1] for p in self.parts], axis=1).astype(np.int64) if self.parts else np.zeros((6, 0), np.int64)
+        self.links = np.concatenate([p[2] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+        self.bad, self.bound = counts[5] > 0, np.concatenate(([0], np.cumsum(counts[3])))
+        if whole:
+            ends = np.cumsum(counts[4]).tolist()
+            text = b"".join([p[3] for p in self.parts])
+            self.groups = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            pair, n, best = (np.concatenate([x[k] for x in self.answers]) if self.answers else np.zeros(0, np.int64) for k in range(3))
+            order = np.argsort(pair)
+            pair, n, best = pair[order], n[order], best[order]
+            at = np.minimum(np.searchsorted(pair, self.links), max(len(pair) - 1, 0))
+            # A pair that only documents without tokens hold is in no answer, and its segments in no sum.
+            there = pair[at] == self.links if len(pair) else np.zeros(len(self.links), bool)
+            over = [np.concatenate(([0], np.cumsum(np.where(there, x[at] if len(pair) else 0, 0), dtype=np.int64))) for x in (best, n)]
+            self.sums = np.concatenate([counts[:4], np.stack([x[self.bound[1:]] - x[self.bound[:-1]] for x in over])])
+        self.parts, self.answers = [], []
+
+
+def _in_bundles(whole: bool, document, end=None):
+    """Walks rows (bundle, kind, start, doc_id, counts, links, groups, n, best, seq) sorted by bundle and kind: document(segments, documents) and then end(segments, bundle) give out batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, state = None, [], None
+        key, segs, settled = None, Segments(), False
         for b in batches:
             bundle, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], (bundle[1:] != bundle[:-1]) | (kind[1:] != kind[:-1]), [True]))) if len(b) else []
             for i, j in zip(edge, edge[1:], strict=False):
                 if bundle[i] != key:
-                    if end is not None and state is not None:
-                        yield from end(state)
-                    key, held, state = bundle[i], [], None
+                    if settled and end is not None:
+                        yield from end(segs, key)
+                    key, segs, settled = bundle[i], Segments(), False
                 part = b.slice(i, j - i)
-                if kind[i] == 0:
-                    held.append(part)
+                if kind[i] < 2:
+                    for row in zip(*(part.column(c).to_pylist() for c in ("kind", "start", "counts", "links", "groups", "n", "best")), strict=True):
+                        segs.take(*row)
                 else:
-                    if state is None:
-                        state, held = begin(pa.Table.from_batches(held) if held else None), []
-                    yield from document(state, part)
-        if end is not None and state is not None:
-            yield from end(state)
+                    if not settled:
+                        segs.settle(whole)
+                        settled, segs.found = True, []
+                    yield from document(segs, part)
+        if settled and end is not None:
+            yield from end(segs, key)
 
     return run
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bundles (…, links, bad, …) -> (pair, n): how many of a bundle's documents hold a pair linked."""
-
-    def begin(segs: pa.Table | None):
-        if segs is None:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool), []
-        links = segs["links"].combine_chunks()
-        return links.flatten().to_numpy(), np.concatenate(([0], np.cumsum(links.value_lengths().to_numpy()))), segs["bad"].to_numpy(), []
+def _held(shards: int):
+    """Bundles -> (part, bundle, links, n): how many of a bundle's documents hold each pair linked, packed by the shard of its A id."""
 
-    def document(state, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        flat, bound, bad, found = state
-        for seq in rows["seq"]:
+    def document(segs: Segments, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for seq in rows.column("seq"):
             own = np.unique(np.frombuffer(seq.as_buffer(), np.uint32))
-            if len(own) and not bad[own].any():
-                n = bound[own + 1] - bound[own]
-                found.append(np.unique(flat[np.arange(n.sum()) + np.repeat(bound[own] - (np.cumsum(n) - n), n)]))
+            if len(own) and not segs.bad[own].any():
+                n = segs.bound[own + 1] - segs.bound[own]
+                segs.found.append(np.unique(segs.links[np.arange(n.sum()) + np.repeat(segs.bound[own] - (np.cumsum(n) - n), n)]))
+                if sum(map(len, segs.found[-64:])) and len(segs.found) >= 4096:
+                    segs.found = [_tallied(segs.found)]
         return iter(())
 
-    def end(state) -> Iterator[pa.RecordBatch]:
-        if state[3]:
-            pair, n = np.unique(np.concatenate(state[3]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    return _in_bundles(begin, document, end)(batches)
-
-
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bundles (…, the sums of each segment, groups, bad, …) -> documents."""
-
-    def begin(segs: pa.Table | None):
-        if segs is None:
-            return None, [], np.zeros(0, bool)
-        return np.stack([segs[c].to_numpy() for c in SUMS]), segs["groups"].to_pylist(), segs["bad"].to_numpy()
-
-    def document(state, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sums, groups, bad = state
-        out, digests = np.zeros((len(SUMS), len(rows)), np.int64), []
-        for k, seq in enumerate(rows["seq"]):
-            own = np.frombuffer(seq.as_buffer(), np.uint32)
-            if not len(own) or bad[own].any():
-                digests.append("")
-                continue
-            digest = hashlib.sha256()
-            for i in range(0, len(own), 1 << 16):
-                part = own[i : i + (1 << 16)]
-                out[:, k] += sums[:, part].sum(axis=1)
-                digest.update((b";" if i else b"") + b";".join([groups[x] for x in part.tolist()]))
-            digests.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([rows["doc_id"], *map(pa.array, out), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
-
-    return _in_bundles(begin, document)(batches)
-
-
-def _together(segs: DataFrame, docs: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """A bundle's segments (kind 0, by number) and then its documents (kind 1), each bundle in one task."""
-    none = {c: F.lit(None).cast(kind) for c, kind in (columns | {"doc_id": "long", "seq": "binary", "no": "int"}).items()}
-    one = segs.select("bundle", F.lit(0).alias("kind"), "no", none["doc_id"].alias("doc_id"), none["seq"].alias("seq"), *columns)
-    two = docs.select("bundle", F.lit(1).alias("kind"), none["no"].alias("no"), "doc_id", "seq", *(none[c].alias(c) for c in columns))
-    return one.unionByName(two).repartition("bundle").sortWithinPartitions("bundle", "kind", "no")
+    def end(segs: Segments, bundle: int) -> Iterator[pa.RecordBatch]:
+        if segs.found:
+            pair, n = _tallied(segs.found)
+            part = (pair >> 32) % shards
+            order = np.argsort(part, kind="stable")
+            pair, n, part = pair[order], n[order], part[order]
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            k = len(edge) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.full(k, bundle)), as_binary(pair, edge), as_binary(n, edge)], ["part", "bundle", "links", "n"])
+
+    return _in_bundles(False, document, end)
+
+
+def _tallied(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, n) of arrays of pairs, each for one document, and of such tallies."""
+    pair = np.concatenate([x[0] if isinstance(x, tuple) else x for x in found])
+    n = np.concatenate([x[1] if isinstance(x, tuple) else np.ones(len(x), np.int64) for x in found])
+    pair, at = np.unique(pair, return_inverse=True)
+    return pair, np.bincount(at, n, len(pair)).astype(np.int64)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bundle, links, n) sorted by part, each with all pairs of its A ids -> (bundle, links, n, best) for each bundle that asked, and for bundle -1 of all pairs."""
+
+    def answers(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x[1], np.int64) for x in asked]
+        pair, n = _tallied([(x, np.frombuffer(a[2], np.int64)) for x, a in zip(own, asked, strict=True)])
+        a = pair >> 32
+        edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        best = (n == np.repeat(np.maximum.reduceat(n, edge), np.diff(np.append(edge, len(a))))).astype(np.uint8)
+        for bundle, at in [(-1, slice(None)), *((x[0], np.searchsorted(pair, y)) for x, y in zip(asked, own, strict=True))]:
+            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), *(pa.array([np.ascontiguousarray(x[at]).tobytes()], pa.binary()) for x in (pair, n, best))], ["bundle", "links", "n", "best"])
+
+    key, asked = None, []
+    for b in batches:
+        for part, bundle, links, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if part != key:
+                yield from answers(asked) if asked else ()
+                key, asked = part, []
+            asked.append((bundle, links, n))
+    yield from answers(asked) if asked else ()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for links, n, best in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            pair = np.frombuffer(links, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(best, np.uint8) > 0)], ["a", "b", "n", "best"])
+
+
+def _composed(segs: Segments, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    out, digests = np.zeros((len(SUMS), len(rows)), np.int64), []
+    for k, seq in enumerate(rows.column("seq")):
+        own = np.frombuffer(seq.as_buffer(), np.uint32)
+        if not len(own) or segs.bad[own].any():
+            digests.append("")
+            continue
+        digest = hashlib.sha256()
+        for i in range(0, len(own), 1 << 16):
+            part = own[i : i + (1 << 16)]
+            out[:, k] += segs.sums[:, part].sum(axis=1)
+            digest.update((b";" if i else b"") + b";".join([segs.groups[x] for x in part.tolist()]))
+        digests.append(digest.hexdigest())
+    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, out), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
+
+
+KINDS = {"start": "long", "doc_id": "long", "counts": "binary", "links": "binary", "groups": "binary", "n": "binary", "best": "binary", "seq": "binary"}
+
+
+def _together(**kinds: DataFrame) -> DataFrame:
+    """Replies (kind 0), answers (1) and documents (2), each bundle in one task in this order."""
+    out = None
+    for kind, df in ((0, kinds["replies"]), (1, kinds.get("answers")), (2, kinds["docs"])):
+        if df is not None:
+            rows = df.select("bundle", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in KINDS.items()))
+            out = rows if out is None else out.unionByName(rows)
+    return out.repartition("bundle").sortWithinPartitions("bundle", "kind")
 
 
 def aligned_documents(docs: DataFrame, a_json: str | None = None, a_ranks: str | None = None, b_model: str | None = None, bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
-    """(documents, pairs): doc_id and the sums and digest of every row of docs; pair, a, b, n, best of all linked ids of the corpus."""
+    """(documents, pairs): doc_id and the sums and digest of every row of docs; a, b, n, best of all linked ids of the corpus."""
     ship(docs.sparkSession)
     paths = (a_json or tokenizer_path("byte_bpe_50k.json"), a_ranks or tokenizer_path("byte_bpe_50k.tiktoken"), b_model or tokenizer_path("piece_bpe_32k.model"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bundles = saved(rows.mapInArrow(_bundled(paths, bundle), "bundle long, doc_id long, no int, seg string, seq binary"), "bundles", "zstd")
-    held, of_doc = bundles.where("no IS NOT NULL"), bundles.where("no IS NULL").select("bundle", "doc_id", "seq")
-    known = saved(held.select("seg").distinct().mapInArrow(_aligned(paths), SEGMENT).withColumn("id", F.monotonically_increasing_id()), "segments", "zstd")
-    numbered = saved(held.select("bundle", "no", "seg").join(known.select("seg", "id"), "seg").select("bundle", "no", "id"), "numbered", "zstd")
-    linked = numbered.join(known.select("id", "links", "bad"), "id")
-    found = _together(linked, of_doc, {"links": "array<long>", "bad": "boolean"}).mapInArrow(_held, "pair long, n long")
-    pairs = saved(found.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
-    a = F.shiftright("pair", 32)
-    best = pairs.groupBy(a.alias("a")).agg(F.max("n").alias("most"))
-    pairs = saved(pairs.withColumn("a", a).join(best, "a").select("pair", "a", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
-    counted = pairs.select("pair", "n", "best")
-    counted = F.broadcast(counted) if pairs.count() <= MOST_PAIRS else counted
-    # A pair that only documents without tokens hold is in no count, and its segments in no sum.
-    sums = known.select("id", F.explode("links").alias("pair")).join(counted, "pair").groupBy("id").agg(F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n").alias("count_sum"))
-    full = known.select("id", "n_a", "n_b", "n_groups", "groups", "bad").join(sums, "id", "left")
-    full = numbered.join(full.na.fill(0, ["n_links", "n_best", "count_sum"]), "id")
-    out = _together(full, of_doc, {**dict.fromkeys(SUMS, "long"), "groups": "binary", "bad": "boolean"}).mapInArrow(_composed, DOCUMENT)
-    return out, pairs
+    shards = max(LEAST_SHARDS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    bundles = saved(rows.mapInArrow(_bundled(paths, bundle, shards), "bundle long, shard long, start long, doc_id long, texts binary, sizes binary, seq binary"), "bundles", "zstd")
+    asked, of_doc = bundles.where("shard IS NOT NULL").select(*ASKED[:3], "texts", "sizes"), bundles.where("shard IS NULL").select("bundle", "doc_id", "seq")
+    replies = saved(asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(_aligned(paths), "bundle long, start long, counts binary, links binary, groups binary"), "replies", "zstd")
+    held = _together(replies=replies.drop("groups"), docs=of_doc).mapInArrow(_held(shards), "part long, bundle long, links binary, n binary")
+    answers = saved(held.repartition("part").sortWithinPartitions("part").mapInArrow(_answered, "bundle long, links binary, n binary, best binary"), "answers", "zstd")
+    pairs = answers.where("bundle = -1").select("links", "n", "best").mapInArrow(_listed, "a long, b long, n long, best boolean")
+    return _together(replies=replies, answers=answers.where("bundle >= 0"), docs=of_doc).mapInArrow(_in_bundles(True, _composed), DOCUMENT), pairs
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
