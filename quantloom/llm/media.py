@@ -14,7 +14,9 @@ Defined results: null html has no items; text between tags is one item with whit
 scripts and styles are left out; images, videos, audios, embeds and objects are references, of a picture
 its image, of a video or audio without a source the first of its sources; a reference whose digest is
 unknown resolves to nulls and stays in its place; equal payloads share a row of features; a null text
-counts as empty and is stored as WIDTH zero bytes; other columns are ignored.
+counts as empty and is stored as WIDTH zero bytes; repeated rows are documents each; other columns are
+ignored; an empty table gives no rows. No HTML stops a job: what is malformed is read as a browser would, a
+marked section that is none as a comment.
 """
 
 from __future__ import annotations
@@ -55,8 +57,15 @@ class _Parser(HTMLParser):
         self.caption: list[str] | None = None
         self.image: dict | None = None
 
+    def parse_marked_section(self, i, report=1):
+        """Sections that are none count as comments up to the next >, as browsers read them."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
-        text = " ".join(" ".join(self.words).split())
+        text =" ".join(" ".join(self.words).split())
         self.words = []
         if text:
             self.items.append({"kind": "text", "text": text, "tag": None, "source": None, "digest": None, "caption": None})

@@ -1,22 +1,26 @@
 """Approximate nearest neighbours: an NN-descent graph by iterative joins, and greedy graph search.
 
-Equal vectors form one node that knows its smallest ids, so a group of copies costs one node. A few
+Equal vectors form one node with a key of its own that knows its smallest ids, so a group of copies costs one
+node, and an id that comes with several vectors is in several nodes. A few
 small random-projection cells give first, mostly wrong neighbours. Each descent round then joins nodes
 to their neighbours' neighbours: at every node meet a draw of its neighbours and of the nodes that
 have it as one, and pairs of which one is new there (not yet compared in an earlier round) are scored;
 better ones go back to their nodes, which keep the GRAPH_K best. A hub meets another draw of the nodes
 that point to it in each round. Rounds go on until one changes at most DELTA of the graph. Then the
 neighbours of a sample of nodes are compared with those of a full scan; while fewer than RECALL of
-them are right, the graph gets more neighbours a node (MOST_K at most), newly drawn cells and further
-rounds, so its size follows the table. Codes are unit vectors of 16-bit floats. A query starts at its own node, and in each step opens the
-best nodes that it has not opened yet, until all in its beam are open; the BEAM best nodes found are
-scored in double precision on the original vectors and expanded to ids. Queries that still have fewer
+them are right, the graph gets more neighbours a node, newly drawn cells and further rounds, so its size
+follows the table; nothing bounds that but the number of nodes. Codes are unit vectors of 16-bit floats. A
+query starts at its own node, and in each step opens the best nodes that it has not opened yet, until all in
+its beam are open; the best nodes found are scored in double precision on the original vectors and expanded
+to ids. The results of a sample of queries are compared with those of a full scan as well; while fewer than
+RECALL are right, all queries are searched again with a beam twice as wide. Queries that still have fewer
 results than there are candidates for are answered by a full scan, in blocks of SCANNED.
 
 Defined results: vectors that are null, empty, zero, of a length other than the commonest, or that
 hold null or non-finite components take no part, nor do rows with a null id; a query's own id is no
-candidate; with fewer candidates than wanted, all found are returned; ties go to the smaller id; an
-empty table gives no rows; other columns are ignored. Every row is indexed.
+candidate; with fewer candidates than wanted, all found are returned; ties go to the smaller id; repeated
+rows count once; an id with several vectors is one query and one candidate, whose score is the largest of
+any pair of vectors; an empty table gives no rows; other columns are ignored. Every row is indexed.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from quantloom.llm.streams import as_binary, binaries, run_bounds, whole_runs
 from quantloom.session import dropped, saved, ship
 
 WANTED, QUERY_STEP = 5, 50
-GRAPH_K, MOST_K, RETURNED = 48, 256, 5
-#: A round that changes a larger share of the neighbours is followed by another; PROBES nodes measure the graph's recall.
+GRAPH_K, RETURNED = 48, 5
+#: A round that changes a larger share of the neighbours is followed by another; PROBES nodes measure the graph's recall, and as many queries that of the search.
 DELTA, RECALL, PROBES = 0.02, 0.92, 256
+#: How far the similarity of two codes may lie from that of their vectors.
+ROUNDING = 2e-4
 #: Rows aimed at for each random-projection cell, the most compared at once, and how many times cells are drawn.
 CELL_ROWS, CELL_MOST, CELL_TREES = 128, 1024, 2
 BEAM, OPEN = 96, 16
@@ -78,14 +84,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes_of(rows: DataFrame, wanted: int) -> DataFrame:
-    """node (smallest id), vector, ids (the wanted + 1 smallest), code of each distinct vector.
+    """node (a key of its own), vector, ids (the wanted + 1 smallest), code of each distinct vector; to be written before use, as keys come from the order of rows.
 
     The rank limit is applied before the shuffle too, so copies don't travel.
     """
-    rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))
     top = rows.withColumn("rank", rank).where(F.col("rank") <= wanted + 1)
-    grouped = top.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.select("node", "vector", "ids").mapInArrow(_encode, "node long, vector array<double>, ids array<long>, code binary")
+    grouped = top.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_set("id")).alias("ids"))
+    return grouped.select(F.monotonically_increasing_id().alias("node"), "vector", "ids").mapInArrow(_encode, "node long, vector array<double>, ids array<long>, code binary")
 
 
 def _cells(planes: np.ndarray, middle: np.ndarray):
@@ -275,15 +281,18 @@ def _sorted_by(df: DataFrame, key: str, *more) -> DataFrame:
 
 
 def _truth(ids: np.ndarray, codes: np.ndarray, wanted: int):
-    """(node, code) -> (node, sim): the wanted best similarities of each probe among the rows of a partition."""
+    """(node, code, weight) -> (node, sim): the wanted best similarities of each probe among the rows of a partition, each as often as it weighs, the probe's own once less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros((len(ids), 0), np.float32)
         for b in batches:
             if not len(b):
                 continue
-            s = codes @ _matrix(b.column(1), np.float16).astype(np.float32).T
-            s[ids[:, None] == b.column(0).to_numpy()] = -2
+            weight = np.minimum(b.column(2).to_numpy(), wanted + 1)
+            s = np.repeat(codes @ _matrix(b.column(1), np.float16).astype(np.float32).T, weight, axis=1)
+            first = np.cumsum(weight) - weight
+            own, at = np.nonzero(ids[:, None] == b.column(0).to_numpy())
+            s[own, first[at]] = -2
             best = np.concatenate([best, s], axis=1)
             best = np.take_along_axis(best, _best(best, wanted), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel())], ["node", "sim"])
@@ -291,23 +300,46 @@ def _truth(ids: np.ndarray, codes: np.ndarray, wanted: int):
     return run
 
 
+def _least(rows: DataFrame, probes: list, wanted: int) -> dict[int, float]:
+    """By probe (node, code): the similarity of the wanted-th best of rows (node, code, weight)."""
+    ids = np.array([r["node"] for r in probes])
+    codes = np.stack([np.frombuffer(r["code"], np.float16) for r in probes]).astype(np.float32)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim")))
+    best = rows.mapInArrow(_truth(ids, codes, wanted), "node long, sim float").withColumn("rank", rank)
+    return {r["node"]: r["sim"] for r in best.where(F.col("rank") == wanted).collect()}
+
+
+def _drawn_few(rows: DataFrame, key: str, n: int, columns: list[str]) -> list:
+    """About PROBES of the n rows, drawn by their key."""
+    draw = F.pmod(F.xxhash64(F.lit("probe"), key), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < min(1.0, 2 * PROBES / max(n, 1))).select(*columns).orderBy(F.xxhash64(F.lit("probe"), key)).limit(PROBES).collect()
+
+
 def recall_of(graph: DataFrame, n: int, wanted: int = WANTED) -> float:
     """The share of the wanted best neighbours that PROBES of the n nodes have in the graph; equally near ones count as right."""
     wanted = min(wanted, n - 1)
-    if wanted < 1:
-        return 1.0
-    draw = F.pmod(F.xxhash64(F.lit("probe"), "node"), F.lit(1 << 30)) / float(1 << 30)
-    probes = graph.where(draw < min(1.0, 2 * PROBES / n)).select("node", "code", "sims").orderBy(F.xxhash64(F.lit("probe"), "node")).limit(PROBES).collect()
+    probes = _drawn_few(graph, "node", n, ["node", "code", "sims"]) if wanted > 0 else []
     if not probes:
         return 1.0
-    ids = np.array([r["node"] for r in probes])
-    codes = np.stack([np.frombuffer(r["code"], np.float16) for r in probes]).astype(np.float32)
-    best = graph.select("node", "code").mapInArrow(_truth(ids, codes, wanted), "node long, sim float")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim")))
-    least = {r["node"]: r["sim"] for r in best.withColumn("rank", rank).where(F.col("rank") == wanted).collect()}
+    least = _least(graph.select("node", "code", F.lit(1).cast("long").alias("weight")), probes, wanted)
     return sum((np.frombuffer(r["sims"], np.float32)[:wanted] >= least[r["node"]] - 1e-5).sum() for r in probes) / (wanted * len(probes))
 
 
+def recall_of_search(found: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int = WANTED) -> float:
+    """The share of the wanted best candidates that found has for PROBES of the queries; equally near ones count as right."""
+    probes = _drawn_few(queries.join(nodes.select("node", "code"), "node"), "id", queries.count(), ["id", "node", "code"])
+    wanted = min(wanted, (nodes.agg(F.sum(F.size("ids"))).first()[0] or 0) - 1)
+    if not probes or wanted < 1:
+        return 1.0
+    least = _least(nodes.select("node", "code", F.size("ids").cast("long").alias("weight")), probes, wanted)
+    node_of = {r["id"]: r["node"] for r in probes}
+    ids = found.sparkSession.createDataFrame([(i,) for i in node_of], "query_id long")
+    scores: dict[int, list[float]] = {}
+    for r in found.join(F.broadcast(ids), "query_id").select("query_id", "score").collect():
+        scores.setdefault(r["query_id"], []).append(r["score"])
+    return sum(min(wanted, sum(x >= least[node] - ROUNDING for x in scores.get(i, []))) for i, node in node_of.items()) / (wanted * len(node_of))
+
+
 def _descended(graph: DataFrame, k: int, at: int) -> DataFrame:
     """The graph after a round of descent, the at-th; the given one is deleted."""
     edges = graph.select("node", "neighbours", "flags").mapInArrow(_edges(k, at), "center long, member long, new boolean, back boolean")
@@ -348,9 +380,9 @@ def graph_of(nodes: DataFrame, k: int = GRAPH_K, trees: int = CELL_TREES, wanted
             graph = _descended(graph, k, at)
             changed = (graph.agg(F.sum("fresh")).first()[0] or 0) > DELTA * n * k
             at += 1
-        if k >= min(n - 1, MOST_K) or recall_of(graph, n, wanted) >= RECALL:
+        if k >= n - 1 or recall_of(graph, n, wanted) >= RECALL:
             return graph
-        k = min(n - 1, MOST_K, k * 3 // 2)
+        k = min(n - 1, k * 3 // 2)
         more = saved(_sorted_by(graph.drop("fresh").unionByName(met_in_cells()), "node").mapInArrow(_merge(k, -1), MERGED), "graph")
         dropped(graph)
         graph = more
@@ -423,8 +455,14 @@ def _beam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(q, n), q])), pa.array(np.concatenate([u, q]))], ["q", "u"])
 
 
+def _first_of_each(vec: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The places by falling score and rising id, of each id the first."""
+    order = np.lexsort((vec, -score))
+    return order[np.sort(np.unique(vec[order], return_index=True)[1])]
+
+
 def _exact(wanted: int):
-    """Rows (q, u, vector, ids) sorted by q -> the wanted + 1 best (vec_id, score) of each q."""
+    """Rows (q, u, vector, ids) sorted by q -> the wanted + 1 best (vec_id, score) of each q, each vec_id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_runs(batches):
@@ -440,7 +478,7 @@ def _exact(wanted: int):
                 vec = [v.values.to_numpy(zero_copy_only=False) for v in ids.slice(i, j - i)]
                 score = np.repeat(score, [len(v) for v in vec])
                 vec = np.concatenate(vec)
-                order = np.lexsort((vec, -score))[: wanted + 1]
+                order = _first_of_each(vec, score)[: wanted + 1]
                 for k, v in enumerate((np.full(len(order), q[i]), vec[order], score[order])):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["node", "vec_id", "score"])
@@ -462,9 +500,14 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, wanted: int =
         state = after
     pairs = state.select("q", "beam").mapInArrow(_beam, "q long, u long").join(nodes.select(F.col("node").alias("u"), "vector", "ids"), "u")
     best = _sorted_by(pairs.select("q", "u", "vector", "ids"), "q").mapInArrow(_exact(wanted), "node long, vec_id long, score double")
+    return _ranked(queries.select(F.col("id").alias("query_id"), "node").join(saved(best, "best"), "node"), wanted)
+
+
+def _ranked(found: DataFrame, wanted: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the wanted best of found, each vec_id once."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = queries.select(F.col("id").alias("query_id"), "node").join(saved(best, "best"), "node").where("vec_id <> query_id").select("query_id", "vec_id", "score")
-    return found.withColumn("rank", rank).where(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
+    best = found.where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
 
 
 def _scan(ids: np.ndarray, vectors: np.ndarray, wanted: int):
@@ -482,7 +525,7 @@ def _scan(ids: np.ndarray, vectors: np.ndarray, wanted: int):
             of, vec = np.repeat(np.arange(len(b)), [len(v) for v in vec]), np.concatenate(vec)
             for q, a, n in zip(ids, asked, asked_norm, strict=True):
                 score = ((x * a).sum(axis=1) / (norm * n))[of]
-                top = np.lexsort((vec, -score))[: wanted + 1]
+                top = _first_of_each(vec, score)[: wanted + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q)), pa.array(vec[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
 
     return run
@@ -500,12 +543,11 @@ def completed(found: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: in
     blocks = -(-n // SCANNED)
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
     out = found.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for k in range(blocks):
         rows = lacking.where(block == k).collect()
         if rows:
             best = nodes.select("vector", "ids").mapInArrow(_scan(np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows]), wanted), "query_id long, vec_id long, score double")
-            out = out.unionByName(saved(best.where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= wanted), "scanned").select(found.columns))
+            out = out.unionByName(saved(_ranked(best, wanted), "scanned").select(found.columns))
     return out
 
 
@@ -518,7 +560,12 @@ def nearest(table: DataFrame, id_column: str, vector: str, is_query, wanted: int
     of_node = nodes.select("node", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
     queries = saved(asked.join(of_node, ["h1", "h2"]).select("id", "node"), "queries")
     graph = graph_of(nodes, wanted=wanted)
-    found = saved(search(nodes, graph, queries, wanted), "found")
+    n, beam = nodes.count(), BEAM
+    found = saved(search(nodes, graph, queries, wanted, beam), "found")
+    while beam < n and recall_of_search(found, nodes, queries, wanted) < RECALL:
+        beam *= 2
+        dropped(found)
+        found = saved(search(nodes, graph, queries, wanted, beam), "found")
     dropped(graph)
     return completed(found, nodes, queries, wanted)
 
