@@ -42,16 +42,40 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.bpe import byte_alphabet
 from quantloom.llm.packing import tokenizer_path
-from quantloom.llm.streams import as_binary
 from quantloom.session import saved, ship
 
-BUNDLE, LONG_TEXT = 1 << 25, 1 << 22
+BUNDLE, LONG_TEXT = 1 << 24, 1 << 22
 LEAST_SHARDS, SHARD_BYTES = 64, 1 << 24
 #: White space of Unicode and three characters that some tables count as such: no cut behind one of these.
 SPACES = r"\s\u180e\u200b\ufeff"
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def squeezed(data) -> bytes:
+    """Packed values as they travel: bytes, or the bytes of an array."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes())
+
+
+def spread(data: bytes, kind=None):
+    """What was squeezed, as bytes or as an array."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw if kind is None else np.frombuffer(raw, kind)
+
+
+def two_by_two(links: np.ndarray) -> np.ndarray:
+    """Links with all A ids before all B ids, which squeezes better."""
+    return np.concatenate([links >> 32, links & 0xFFFFFFFF]).astype(np.uint32)
+
+
+def one_by_one(parts: np.ndarray) -> np.ndarray:
+    n = len(parts) // 2
+    return parts[:n].astype(np.int64) << 32 | parts[n:]
+
+
 class Tokenizers:
     """Both tokenizers, their tokens' bytes, and where a text may be cut."""
 
@@ -149,10 +173,11 @@ def _bundled(paths: tuple[str, str, str], size: int, shards: int):
             sizes = np.array([len(t) for t in texts], np.uint32)
             edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
             n = len(edge) - 1
-            blocks = [b"".join(texts[i:j]) for i, j in zip(edge, edge[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), pa.array(shard[edge[:-1]]), pa.array(edge[:-1]), pa.nulls(n, pa.int64()), pa.array(blocks, pa.binary()), as_binary(sizes, edge), pa.nulls(n, pa.binary())], ASKED)
+            blocks = [squeezed(b"".join(texts[i:j])) for i, j in zip(edge, edge[1:], strict=False)]
+            lengths = [squeezed(sizes[i:j]) for i, j in zip(edge, edge[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), pa.array(shard[edge[:-1]]), pa.array(edge[:-1]), pa.nulls(n, pa.int64()), pa.array(blocks, pa.binary()), pa.array(lengths, pa.binary()), pa.nulls(n, pa.binary())], ASKED)
             for i in range(0, len(ids), 1 << 10):
-                part = [place[np.frombuffer(x, np.uint32)].tobytes() for x in seqs[i : i + (1 << 10)]]
+                part = [squeezed(place[np.frombuffer(x, np.uint32)]) for x in seqs[i : i + (1 << 10)]]
                 n = len(part)
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bundle)), none, none, pa.array(ids[i : i + n], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(part, pa.binary())], ASKED)
@@ -216,7 +241,7 @@ def _aligned(paths: tuple[str, str, str]):
     def replies(tok: Tokenizers, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
         numbers, own = Numbers(), []
         for _, _, texts, sizes in asked:
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
+            texts, ends = spread(texts), np.cumsum(spread(sizes, np.uint32).astype(np.int64)).tolist()
             own.append(np.fromiter(map(numbers.__getitem__, [texts[i:j] for i, j in zip([0, *ends], ends, strict=False)]), np.int64, len(ends)))
         segs = list(numbers)
         parts = [aligned(tok, segs[i : i + AT_ONCE]) for i in range(0, len(segs), AT_ONCE)]
@@ -226,7 +251,7 @@ def _aligned(paths: tuple[str, str, str]):
         for (bundle, start, _, _), at in zip(asked, own, strict=True):
             n = counts[3][at].astype(np.int64)
             linked = links[np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([start]), *(pa.array([x], pa.binary()) for x in (counts[:, at].tobytes(), linked.tobytes(), b"".join([groups[k] for k in at.tolist()])))], REPLIES)
+            yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([start]), *(pa.array([squeezed(x)], pa.binary()) for x in (counts[:, at], two_by_two(linked), b"".join([groups[k] for k in at.tolist()])))], REPLIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, key, asked = tokenizers(*paths), None, []
@@ -255,21 +280,21 @@ class Segments:
 
     def take(self, kind: int, start, counts, links, groups, n, best) -> None:
         if kind == 0:
-            self.parts.append((start, np.frombuffer(counts, np.uint32).reshape(6, -1), np.frombuffer(links, np.int64), groups))
+            self.parts.append((start, counts, links, groups))
         else:
-            self.answers.append((np.frombuffer(links, np.int64), np.frombuffer(n, np.int64), np.frombuffer(best, np.uint8)))
+            self.answers.append((links, n, best))
 
     def settle(self, whole: bool) -> None:
         """whole: with the texts of groups, and the sums over links."""
         self.parts.sort(key=lambda p: p[0])
-        counts = np.concatenate([p[1] for p in self.parts], axis=1).astype(np.int64) if self.parts else np.zeros((6, 0), np.int64)
-        self.links = np.concatenate([p[2] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+        counts = np.concatenate([spread(p[1], np.uint32).reshape(6, -1) for p in self.parts], axis=1).astype(np.int64) if self.parts else np.zeros((6, 0), np.int64)
+        self.links = np.concatenate([one_by_one(spread(p[2], np.uint32)) for p in self.parts]) if self.parts else np.zeros(0, np.int64)
         self.bad, self.bound = counts[5] > 0, np.concatenate(([0], np.cumsum(counts[3])))
         if whole:
             ends = np.cumsum(counts[4]).tolist()
-            text = b"".join([p[3] for p in self.parts])
+            text = b"".join([spread(p[3]) for p in self.parts])
             self.groups = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-            pair, n, best = (np.concatenate([x[k] for x in self.answers]) if self.answers else np.zeros(0, np.int64) for k in range(3))
+            pair, n, best = (np.concatenate([spread(x[k], kind) for x in self.answers]) if self.answers else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.uint8)))
             order = np.argsort(pair)
             pair, n, best = pair[order], n[order], best[order]
             at = np.minimum(np.searchsorted(pair, self.links), max(len(pair) - 1, 0))
@@ -313,7 +338,7 @@ def _held(shards: int):
 
     def document(segs: Segments, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for seq in rows.column("seq"):
-            own = np.unique(np.frombuffer(seq.as_buffer(), np.uint32))
+            own = np.unique(spread(seq.as_py(), np.uint32))
             if len(own) and not segs.bad[own].any():
                 n = segs.bound[own + 1] - segs.bound[own]
                 segs.found.append(np.unique(segs.links[np.arange(n.sum()) + np.repeat(segs.bound[own] - (np.cumsum(n) - n), n)]))
@@ -329,7 +354,7 @@ def _held(shards: int):
             pair, n, part = pair[order], n[order], part[order]
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             k = len(edge) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.full(k, bundle)), as_binary(pair, edge), as_binary(n, edge)], ["part", "bundle", "links", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.full(k, bundle)), *(pa.array([squeezed(x[i:j]) for i, j in zip(edge, edge[1:], strict=False)], pa.binary()) for x in (pair, n))], ["part", "bundle", "links", "n"])
 
     return _in_bundles(False, document, end)
 
@@ -346,13 +371,13 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, bundle, links, n) sorted by part, each with all pairs of its A ids -> (bundle, links, n, best) for each bundle that asked, and for bundle -1 of all pairs."""
 
     def answers(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
-        own = [np.frombuffer(x[1], np.int64) for x in asked]
-        pair, n = _tallied([(x, np.frombuffer(a[2], np.int64)) for x, a in zip(own, asked, strict=True)])
+        own = [spread(x[1], np.int64) for x in asked]
+        pair, n = _tallied([(x, spread(a[2], np.int64)) for x, a in zip(own, asked, strict=True)])
         a = pair >> 32
         edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         best = (n == np.repeat(np.maximum.reduceat(n, edge), np.diff(np.append(edge, len(a))))).astype(np.uint8)
         for bundle, at in [(-1, slice(None)), *((x[0], np.searchsorted(pair, y)) for x, y in zip(asked, own, strict=True))]:
-            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), *(pa.array([np.ascontiguousarray(x[at]).tobytes()], pa.binary()) for x in (pair, n, best))], ["bundle", "links", "n", "best"])
+            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), *(pa.array([squeezed(x[at])], pa.binary()) for x in (pair, n, best))], ["bundle", "links", "n", "best"])
 
     key, asked = None, []
     for b in batches:
@@ -367,14 +392,14 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for links, n, best in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            pair = np.frombuffer(links, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(best, np.uint8) > 0)], ["a", "b", "n", "best"])
+            pair = spread(links, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF), pa.array(spread(n, np.int64)), pa.array(spread(best, np.uint8) > 0)], ["a", "b", "n", "best"])
 
 
 def _composed(segs: Segments, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     out, digests = np.zeros((len(SUMS), len(rows)), np.int64), []
     for k, seq in enumerate(rows.column("seq")):
-        own = np.frombuffer(seq.as_buffer(), np.uint32)
+        own = spread(seq.as_py(), np.uint32)
         if not len(own) or segs.bad[own].any():
             digests.append("")
             continue

@@ -12,7 +12,7 @@ bytes and bytes into text with an incremental state machine, and holds no more t
 character.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are encoded each; other
-columns are ignored. Strings of added tokens inside a text become those tokens, as the tokenizers
+columns are ignored; an empty table gives no rows. Strings of added tokens inside a text become those tokens, as the tokenizers
 library has it by default.
 """
 

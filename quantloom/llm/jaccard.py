@@ -30,7 +30,7 @@ Defined results: a null text or one without words has an empty set, n_shingles 0
 as component; below K words the whole sequence is one shingle; repeated rows are kept as they are; a
 row takes the component of its text, whatever its doc_id: with a null one too, and with one that
 comes with other texts (which makes no link between the texts); a component has the smallest doc_id
-of its rows, null if they have none; other columns are ignored. Shingles are 64-bit hashes: that any
+of its rows, null if they have none; other columns are ignored; an empty table gives no rows. Shingles are 64-bit hashes: that any
 two given shingles are confused has a chance of 2^-64.
 """
 

@@ -9,7 +9,7 @@ on a part of that sample which training leaves out calibrates the scores.
 Defined results: a null text or one without a letter is ``und`` with score 0; a null lang is never
 learned from; without training rows every text is ``und`` with score 0; a null doc_id counts as the
 empty string for the split; equal texts get equal results; whole texts are read whatever their
-length; other columns are ignored.
+length; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

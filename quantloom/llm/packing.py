@@ -10,7 +10,7 @@ nowhere. A group leaves few open sequences, so dealing costs next to nothing in
 of a piece in the table takes part in its hash, so copies of one document are dealt over all groups.
 
 Defined results: a null text counts as empty and gives one piece, the end id alone; repeated rows
-are packed each; a null doc_id is kept; other columns are ignored. Special strings in a text are
+are packed each; a null doc_id is kept; other columns are ignored; an empty table gives no rows. Special strings in a text are
 encoded as the tokenizers library does by default.
 """
 

@@ -8,7 +8,8 @@ only sums reach the driver.
 Defined results: a null or empty text has the statistics of an empty document and gets a score like
 any other; a null doc_id counts as the empty string for the split; several labels of one doc_id are
 averaged and count as 1 from 0.5; without labelled rows of both classes every score is 0.5; repeated
-rows are scored alike; other columns are ignored.
+rows are scored alike; other columns are ignored; an empty table gives no rows. A text is read whole, in
+blocks of texts or alone if it is a very long one, and leaves its statistics only.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Substring dedup: remove every word that a repeated window of WINDOW words covers.
 
 Fixed-block anchors: each text is cut into non-overlapping reference blocks of BLOCK words, where
-2 * BLOCK - 1 <= WINDOW + 1, so every window holds exactly one whole reference block of its own text.
+2 * BLOCK - 1 <= WINDOW, so every window holds exactly one whole reference block of its own text.
 1. The blocks are indexed and every rolling BLOCK-word window of every text probes the index. Probes
    travel as 32-bit remainders within hash partitions, without a location: only a block that occurs
    at two places or more is of use, and the block knows where it is.
@@ -15,7 +15,7 @@ its number of occurrences; places are dealt out by text.
 
 Defined results: a null or empty text has no words and stays as it is; windows of one document count
 as well as those of others, and repeated rows are occurrences like any other; texts below WINDOW
-words lose nothing; other columns are ignored. Words are bytes outside space and 0x09-0x0D; windows
+words lose nothing; other columns are ignored; an empty table gives no rows. Words are bytes outside space and 0x09-0x0D; windows
 are compared by 64-bit hashes, of which any two given different ones agree with a chance of 2^-64.
 """
 

@@ -9,8 +9,9 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quantloom.llm import alignment, bpe, collocations, packing, simhash
+from quantloom.llm import alignment, bpe, collocations, language, media, neighbours, packing, quality, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `n` long, seg string, fp long, component string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,3 +304,175 @@ def test_links_connect_a_crowd(rounds):
         alone = classes(mine)
         assert all(find(x) == find(y) for x in mine for y in mine if alone[x] == alone[y])
     assert all(own[u] == own[v] for u, v in found) and len(found) < 2 * len(fp)
+
+
+# --- mends of earlier operators -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("html", ["<![foo<bar]]><p>a", "<![foo", "<![", "<![CDATA[x]]>y", "<![if x]>y<![endif]>", "<![if", "<![ 1>b", "<!foo<p>a", "<!-- a", "<!", "<!>", "<!doctype", "<!DOCTYPE [<!x", "</", "<p", "<img src='a", "<?x", "&#xFFFFFFFF;", "<script>", "<figure><figcaption>x", "</figcaption></figure>"])
+def test_malformed_html(html):
+    items = media.parse(f"<p>before</p>{html}")
+    assert items[0]["text"].startswith("before") and [x["pos"] for x in items] == list(range(len(items)))
+
+
+def test_any_bytes_are_parsed():
+    rng = random.Random(2)
+    bits = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "</", "<p", "<img src=", "<figure>", "<figcaption>", "<script>", "</script>", "'", '"', "=", "&", "&#", ";", " ", "a", "[", "é", "\x00", "<?", "<!doctype", "<video>", "<source src=x>"]
+    for _ in range(10_000):
+        media.parse("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))))
+    for _ in range(2000):
+        media.parse(rng.randbytes(60).decode("latin1"))
+
+
+def near_by_brute_force(rows, queries, wanted):
+    """The best candidates of each query id, each with its largest score over all its vectors."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = (u[ids == q] @ u.T).max(axis=0)
+        best = {int(i): max(s[ids == i]) for i in set(ids.tolist()) - {q}}
+        out[q] = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:wanted]
+    return out
+
+
+def test_an_id_with_several_vectors_and_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((30, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[5].tolist()), (7, x[7].tolist()), (7, x[7].tolist()), (9, x[10].tolist())]
+    df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows], "vec_id long, embedding array<double>, score double, node int").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, "vec_id", "embedding", F.pmod(F.col("id"), F.lit(5)) == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = near_by_brute_force(rows, range(0, 30, 5), 5)
+    assert got.keys() == want.keys() and all([i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
+    assert got[0][0] == (5, pytest.approx(1.0))
+
+
+def test_the_graph_grows_as_far_as_it_must(spark, monkeypatch):
+    """From 4 neighbours a node on, with poor cells and a narrow beam: both grow until the probes find theirs."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    monkeypatch.setattr(neighbours, "CELL_MOST", 16)
+    monkeypatch.setattr(neighbours, "BEAM", 6)
+    x = np.random.default_rng(6).standard_normal((1500, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5), "nodes")
+    graph = neighbours.graph_of(nodes, k=4, trees=1)
+    assert neighbours.recall_of(graph, 1500) >= neighbours.RECALL
+    queries = nodes.select(F.col("ids")[0].alias("id"), "node").where("id % 10 = 0")
+    short = neighbours.saved(neighbours.search(nodes, graph, queries, 5, 6, 1), "found")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(u @ u.T - 2 * np.eye(1500)), axis=1)[:, :5]
+    share = lambda rows: sum(r["vec_id"] in best[r["query_id"]] for r in rows) / 750
+    real = share(short.collect())
+    assert abs(neighbours.recall_of_search(short, nodes, queries) - real) < 0.03
+    monkeypatch.setattr(neighbours, "OPEN", 1)
+    monkeypatch.setattr(neighbours, "GRAPH_K", 4)
+    assert share(neighbours.nearest(df, "vec_id", "embedding", F.pmod(F.col("id"), F.lit(10)) == 0).collect()) >= 0.9
+
+
+def test_copies_of_a_vector_count_in_the_recall(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((40, 6)), 4, axis=0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5), "nodes")
+    queries = nodes.select(F.explode("ids").alias("id"), "node")
+    found = neighbours.saved(neighbours.search(nodes, neighbours.graph_of(nodes), queries, 5), "found")
+    assert neighbours.recall_of_search(found, nodes, queries) == 1.0
+    assert neighbours.recall_of_search(found.where("rank > 1"), nodes, queries) == pytest.approx(0.8)
+
+
+# --- classifiers against dense and plain versions -----------------------------------------------------
+
+
+def labelled(spark, n=260):
+    rng = random.Random(12)
+    texts = [(" ".join(rng.choice(["alpha", "beta", "gamma", "Delta.", "is", "of"]) for _ in range(rng.randint(5, 60))), 1) if k % 2 else ("".join(rng.choice("@#$%&*!0123 \n") for _ in range(rng.randint(10, 200))), 0) for k in range(n)]
+    docs = table(spark, [(k, t, "en") for k, (t, _) in enumerate(texts)])
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, quality int")
+    return texts, docs, labels
+
+
+def test_quality_equals_a_dense_discriminant(spark):
+    """numpy.cov, slogdet and solve on the same statistics."""
+    import zlib
+
+    texts, docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    x = quality.statistics(pa.array([t for t, _ in texts]))
+    y = np.array([label for _, label in texts])
+    learn = np.array([zlib.crc32(str(k).encode()) % 3 != 1 for k in range(len(texts))])
+    mean, scale = x[learn].mean(axis=0), x[learn].std(axis=0)
+    scale[scale < 1e-5] = 1
+    z = np.clip((x - mean) / scale, -12, 12)
+    own = (x - mean) / scale  # moments are those of values that aren't clipped
+    p = x.shape[1]
+    parts = [own[learn & (y == k)] for k in (0, 1)]
+    covs = [np.cov(v, rowvar=False, bias=True) for v in parts]
+    pooled = sum(len(v) * c for v, c in zip(parts, covs, strict=True)) / learn.sum()
+    density = []
+    for v, c in zip(parts, covs, strict=True):
+        s = (1 - quality.POOL) * c + quality.POOL * pooled
+        s = (1 - quality.RIDGE) * s + quality.RIDGE * np.trace(s) / p * np.eye(p)
+        d = z - v.mean(axis=0)
+        prior = (len(v) + quality.PRIOR_ROWS) / (learn.sum() + 2 * quality.PRIOR_ROWS)
+        density.append(np.log(prior) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (d * np.linalg.solve(s, d.T).T).sum(axis=1))
+    difference = (density[1] - density[0]) / p
+    assert np.allclose(model.difference(x) + model.shift, difference, atol=1e-6)
+    # The shift is one of the cuts with the fewest errors.
+    errors = lambda cut: np.mean(difference[learn & (y == 1)] < cut) + np.mean(difference[learn & (y == 0)] >= cut)
+    assert errors(model.shift) <= min(map(errors, quality.EDGES)) + 1e-9
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in quality.score(docs, model).collect()}
+    d = difference - model.shift
+    assert all(got[k] == (not learn[k], pytest.approx(0.5 + 0.5 * d[k] / (1 + abs(d[k])), abs=1e-6), int(d[k] >= 0)) for k in range(len(texts)) if abs(d[k]) > 1e-5)
+
+
+def ftrl_by_hand(rows, n_langs, features):
+    """Follow the regularised leader, coordinate by coordinate."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language.L1:
+            return 0.0
+        sign = 1 if z[i, c] > 0 else -1
+        return -(z[i, c] - sign * language.L1) / ((language.BETA + n[i, c] ** 0.5) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for y, at, x in rows:
+            items = [*zip(at.tolist(), x.tolist(), strict=True), (features, 0.1)]
+            w = {(i, c): weight(i, c) for i, _ in items for c in range(n_langs)}
+            s = [sum(v * w[i, c] for i, v in items) for c in range(n_langs)]
+            e = np.exp(np.array(s) - max(s))
+            p = e / e.sum()
+            for i, v in items:
+                for c in range(n_langs):
+                    g = v * (p[c] - (c == y))
+                    step = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / language.ALPHA
+                    z[i, c] += g - step * w[i, c]
+                    n[i, c] += g * g
+    return {(i, c): weight(i, c) for i, c in list(z)}
+
+
+def test_language_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        at = np.sort(rng.choice(60, 12, replace=False))
+        x = rng.random(12)
+        rows.append((k % 3, at, x / np.sqrt((x**2).sum())))
+    weights, bias = language.train(rows, 3)
+    want = ftrl_by_hand(rows, 3, language.FEATURES)
+    assert all(abs(weights[i, c] - want.get((i, c), 0.0)) < 1e-9 for i in range(60) for c in range(3))
+    assert np.allclose(bias, [0.1 * want.get((language.FEATURES, c), 0.0) for c in range(3)]) and (weights[:60] == 0).any() and not weights[60:].any()
+    model = language.Model(["a", "b", "c"], np.ones(language.FEATURES), weights, bias)
+    held = [(y, at, x) for y, at, x in rows[::3]] + [((rows[0][0] + 1) % 3, *rows[0][1:])]
+
+    def loss(t):
+        total = 0.0
+        for y, at, x in held:
+            s = (x @ weights[at] + bias) / t
+            total -= s[y] - np.log(np.exp(s - s.max()).sum()) - s.max()
+        return total / len(held)
+
+    grid = np.geomspace(0.1, 5, 60)
+    assert language.temperature(model, held) == pytest.approx(grid[np.argmin([loss(t) for t in grid])])

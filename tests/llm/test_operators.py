@@ -610,7 +610,7 @@ def test_queries_that_the_search_leaves_short_are_scanned(spark, monkeypatch):
     x = np.random.default_rng(4).standard_normal((60, 6))
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
     nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5), "nodes")
-    queries = nodes.where("node % 6 = 0").select(F.col("node").alias("id"), "node")
+    queries = nodes.select(F.col("ids")[0].alias("id"), "node").where("id % 6 = 0")
     none = spark.createDataFrame([(0, 1, 7, 0.5)], "query_id long, rank int, vec_id long, score double")
     got = collections.defaultdict(list)
     for r in neighbours.completed(none, nodes, queries, 5).orderBy("query_id", "rank").collect():
@@ -641,7 +641,8 @@ def test_neighbour_graph_of_many_cells(spark, monkeypatch):
     x = np.random.default_rng(1).standard_normal((1200, 24))
     df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>")
     nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "id", "vector"), 5), "nodes")
-    graph = {r["node"]: np.frombuffer(r["neighbours"], np.int64)[:5] for r in neighbours.graph_of(nodes, k=10, trees=2).collect()}
+    of = {r["node"]: r["ids"][0] for r in nodes.select("node", "ids").collect()}
+    graph = {of[r["node"]]: [of[x] for x in np.frombuffer(r["neighbours"], np.int64)[:5]] for r in neighbours.graph_of(nodes, k=10, trees=2).collect()}
     u = neighbours.unit(x)
     s = u @ u.T
     np.fill_diagonal(s, -2)
