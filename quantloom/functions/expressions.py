@@ -111,6 +111,12 @@ def window_bucket(v: float) -> int:
     return next((w for w, up in zip(WINDOWS, WINDOWS[1:], strict=False) if v < (w + up) / 2), WINDOWS[-1])
 
 
+def bucket_of(v: Column) -> Column:
+    """window_bucket as a Column."""
+    steps = list(zip(WINDOWS, WINDOWS[1:], strict=False))
+    return F.coalesce(*(F.when(v < (w + up) / 2, w) for w, up in steps), F.when(v.isNotNull(), WINDOWS[-1])).cast("int")
+
+
 def expr_hash(expr: Node | str) -> str:
     n = canonical(parse(expr) if isinstance(expr, str) else expr)
     return hashlib.sha256(text_of(n, lambda p: str(window_bucket(float(p)))).encode()).hexdigest()[:16]
@@ -130,12 +136,21 @@ def _aligned(a: Node, b: Node) -> float:
     return 1.0 + (len(a.params) if a.params == b.params else 0) + sum(map(_aligned, a.kids, b.kids))
 
 
+def subtree_sizes(n: Node) -> dict[str, int]:
+    """The canonical forms of all subtrees, with the size of the largest of each."""
+    out: dict[str, int] = {}
+    for x in _walk(n):
+        key = serialize(x)
+        out[key] = max(out.get(key, 0), x.size)
+    return out
+
+
 def similarity(a: Node, b: Node) -> float:
     """1 for equal canonical forms; else the larger of the share of the largest common subtree and of nodes that match from the top."""
     if serialize(a) == serialize(b):
         return 1.0
-    sizes = {serialize(x): x.size for x in _walk(b)}
-    common = max((min(x.size, sizes.get(serialize(x), 0)) for x in _walk(a)), default=0)
+    sizes = subtree_sizes(b)
+    common = max((min(size, sizes.get(key, 0)) for key, size in subtree_sizes(a).items()), default=0)
     return max(2 * common / (a.size + b.size), _aligned(canonical(a), canonical(b)) / max(a.size, b.size))
 
 
@@ -169,6 +184,12 @@ def to_dollar(text: str) -> str | None:
     return re.sub(rf"(?<![$\w])({'|'.join(DOLLAR_FIELDS)})\b", r"$\1", text) if is_listed(text) else None
 
 
+def translation(text: str, dialect: str) -> dict:
+    """translatable, and the text with $ fields where it is in the plain dialect and translatable."""
+    listed = is_listed(text)
+    return {"translatable": listed, "alt_text": to_dollar(text) if listed and dialect == "repro_polars" else None, "operators": sorted(LISTED)}
+
+
 def _truth(x: Column) -> Column:
     return x.cast("double")
 
@@ -188,39 +209,51 @@ ELEMENTWISE: dict[str, Callable] = {
     "if": lambda c, a, b: F.when(c.isNotNull(), F.when(c != 0, a).otherwise(b)),
     "rank": R.rank,
     "csrank": R.rank_share,
+    "cszscore": R.standard_score,
 }
-WINDOWED: dict[str, Callable] = {"ref": R.lagged, "delta": R.change, "mean": R.mean, "std": R.deviation, "sum": R.total, "max": R.highest, "min": R.lowest, "corr": R.correlation}
+WINDOWED: dict[str, Callable] = {"ref": R.lagged, "delta": R.change, "mean": R.mean, "std": R.deviation, "sum": R.total, "max": R.highest, "min": R.lowest, "median": R.median, "ema": R.smoothed, "corr": R.correlation}
+
+
+def check(n: Node) -> None:
+    """ValueError for what doesn't compile; needs no session."""
+    op = SAME.get(n.op, n.op)
+    if op == FIELD and n.args[0] not in FIELDS:
+        raise ValueError(f"unknown field {n.args[0]}")
+    if op in (FIELD, CONST):
+        return
+    arity = {"corr": 3, "if": 3, "neg": 1, "abs": 1, "log": 1, "sign": 1, "rank": 1, "csrank": 1, "cszscore": 1}.get(op, 2)
+    if op not in ELEMENTWISE and op not in WINDOWED:
+        raise ValueError(f"unknown operator {n.op}")
+    if len(n.args) != arity:
+        raise ValueError(f"{n.op} takes {arity} arguments")
+    if op in WINDOWED and (n.args[-1].op != CONST or n.args[-1].args[0] != int(n.args[-1].args[0]) or n.args[-1].args[0] < 1):
+        raise ValueError(f"the window of {n.op} must be a whole number from 1 on")
+    for x in n.args if op in ELEMENTWISE else n.args[:-1]:
+        check(x)
 
 
 def compile_node(n: Node) -> Column:
-    """A Column over a panel (trade_date, ts_code and fields)."""
+    """A Column over a panel (trade_date, ts_code and fields); of what passes check."""
     op = SAME.get(n.op, n.op)
     if op == FIELD:
-        if n.args[0] not in FIELDS:
-            raise ValueError(f"unknown field {n.args[0]}")
         return F.col("amount") / F.nullif(F.col("volume"), F.lit(0.0)) if n.args[0] == "vwap" else F.col(n.args[0])
     if op == CONST:
         return F.lit(n.args[0])
-    arity = {"corr": 3, "if": 3, "neg": 1, "abs": 1, "log": 1, "sign": 1, "rank": 1, "csrank": 1}.get(op, 2)
-    if op not in ELEMENTWISE and op not in WINDOWED:
-        raise ValueError(f"unknown operator {n.op}")
-    if len(n.args) != arity:
-        raise ValueError(f"{n.op} takes {arity} arguments")
     if op in ELEMENTWISE:
         return ELEMENTWISE[op](*map(compile_node, n.args))
-    if n.args[-1].op != CONST or n.args[-1].args[0] != int(n.args[-1].args[0]) or n.args[-1].args[0] < 1:
-        raise ValueError(f"the window of {n.op} must be a whole number from 1 on")
     return WINDOWED[op](*map(compile_node, n.args[:-1]), int(n.args[-1].args[0]))
 
 
 def compiled(text: str) -> Column:
-    return compile_node(parse(text))
+    n = parse(text)
+    check(n)
+    return compile_node(n)
 
 
 def validate(text: str) -> dict:
     """valid, errors, warnings of an expression, without running it."""
     try:
-        compiled(text)
+        check(parse(text))
     except ValueError as e:
         return {"valid": False, "errors": [str(e)], "warnings": []}
     return {"valid": True, "errors": [], "warnings": [] if is_listed(text) else ["uses operators that aren't translatable"]}

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import scores
+
 IC_LEAST, GROUPS, DAYS_LEAST, YEAR = 10, 5, 20, 252
 
 
@@ -182,6 +184,19 @@ def top_k(table: DataFrame, rank_by: str, k: int) -> DataFrame:
     return table.where(F.lower("window") == window).orderBy(F.col(metric).desc_nulls_last(), "factor").limit(max(1, k))
 
 
+def sweep(panel: DataFrame, specs: list[tuple[str, str, int]]) -> DataFrame:
+    """factor, ok, error, days, mean, ratio of each candidate: those that can be computed in one job, the others as rows that tell why not."""
+    wrong = {s: why for s in specs if (why := scores.refused(panel, s)) is not None}
+    fine = [s for s in dict.fromkeys(specs) if s not in wrong]
+    name = lambda s: "_".join(map(str, s))
+    spark = panel.sparkSession
+    listed = spark.createDataFrame([(name(s), s not in wrong, wrong.get(s)) for s in dict.fromkeys(specs)], "factor string, ok boolean, error string")
+    if not fine:
+        return listed.select("*", F.lit(0).cast("long").alias("days"), *(F.lit(None).cast("double").alias(c) for c in ("mean", "ratio")))
+    rows = scores.score_many(panel, fine, with_forward=True).dropna(subset=["score", "fwd"])
+    return listed.join(ic_summary(daily_ic(rows)), "factor", "left").withColumn("days", F.coalesce("days", F.lit(0)))
+
+
 def rebalance_dates(spark, start: str, end: str) -> DataFrame:
     """Second Fridays of June and December inside the range."""
     months = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(start).cast("date"), "month"), F.lit(end).cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("first"))

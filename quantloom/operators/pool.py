@@ -70,11 +70,21 @@ def pool_cull(factors: DataFrame, series: DataFrame, least_ic: float = 0.005, mo
     """
     fine = factors.where(~F.col("simulated") & (F.abs("ic") > least_ic))
     rows = _few(fine.orderBy(F.desc("score"), "name"))
+    return kept_in_order(rows, close_pairs([r["name"] for r in rows], series, most_corr), most_corr)
+
+
+def close_pairs(names: list[str], series: DataFrame, most_corr: float = 0.7) -> list[tuple[str, str, float]]:
+    """(a, b, corr) of the named series that are too close."""
+    wanted = series.join(F.broadcast(series.sparkSession.createDataFrame([(n,) for n in names], "series_id string")), "series_id", "left_semi")
+    pairs = S.pairwise(wanted, count=len(names)).where(F.abs("corr") > most_corr).toArrow()
+    return list(zip(*(pairs[c].to_pylist() for c in ("a", "b", "corr")), strict=True))
+
+
+def kept_in_order(rows: list, pairs: list[tuple[str, str, float]], most_corr: float = 0.7) -> list[str]:
+    """The pass of the cull over rows (name, ic, profile) in order of their score."""
     place = {r["name"]: k for k, r in enumerate(rows)}
-    wanted = series.join(F.broadcast(series.sparkSession.createDataFrame([(n,) for n in place], "series_id string")), "series_id", "left_semi")
-    pairs = S.pairwise(wanted, count=len(rows)).where(F.abs("corr") > most_corr).toArrow()
     earlier: list[list[int]] = [[] for _ in rows]
-    for a, b, corr in zip(*(pairs[c].to_pylist() for c in ("a", "b", "corr")), strict=True):
+    for a, b, corr in pairs:
         i, j = sorted((place[a], place[b]))
         same_sign = (rows[i]["ic"] >= 0) == (rows[j]["ic"] >= 0)
         if rows[i]["profile"] == rows[j]["profile"] and (corr if same_sign else -corr) > most_corr:

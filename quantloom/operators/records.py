@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 from functools import reduce
 from operator import or_
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.structure import described
+from quantloom.session import saved
+
 # Keys whose values are secret, and the metrics that a slim record keeps.
 SECRET_KEYS = ["api_key", "password", "token", "authorization", "secret", "llm_api_key"]
 METRIC_KEYS = ["ic", "rank_ic", "sharpe", "turnover", "max_drawdown", "annual"]
@@ -37,6 +41,20 @@ def search(catalog: DataFrame, text: str | None = None, limit: int = 50, **equal
     return catalog.orderBy(F.desc("updated_at"), "id").limit(limit)
 
 
+def search_or(catalog: DataFrame, library: DataFrame, text: str | None = None, limit: int = 50, **equal: str) -> DataFrame:
+    """The search in the catalog, and only if nothing is found there, that in the library; `origin` tells which. Both are searched in one job."""
+    found = search(catalog, text, limit, **equal).withColumn("origin", F.lit("catalog"))
+    other = search(library, text, limit, **equal).withColumn("origin", F.lit("library"))
+    some = found.agg(F.count("*").alias("some"))  # one row
+    return found.unionByName(other.crossJoin(F.broadcast(some)).where("some = 0").drop("some"))
+
+
+def with_expr_hash(catalog: DataFrame, column: str = "expr") -> DataFrame:
+    """catalog with expr_hash, the coarse hash of its expressions, null where one doesn't parse; each distinct expression is parsed once."""
+    known = described(catalog.select(F.col(column).alias("expr"))).select(F.col("expr").alias(column), F.col("hash").alias("expr_hash"))
+    return catalog.join(known, column, "left")
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> tuple[DataFrame, int, int | None]:
     """The page, the total, and the next offset or None; offset is 0 at least, limit 1 to 200."""
     offset, limit = max(0, offset), min(200, max(1, limit))
@@ -100,12 +118,18 @@ def same_error(a: Column, b: Column) -> Column:
 def error_kin(errors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """members (e, key) of distinct strings e, and kin (key, longer): the distinct keys that begin with another, and each with itself.
 
-    A key meets the keys among its own beginnings, so no two strings of one group are paired.
+    A key meets the keys among its own beginnings, of the lengths that keys have, by number and hash of the beginning; so no
+    two strings of one group are paired, and no text travels more often than there are pairs.
     """
     members = errors.select("e", error_key(F.col("e")).alias("key")).distinct()
-    keys = members.select("key").distinct()
-    start = F.explode(F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n)))
-    return members, keys.select(F.col("key").alias("longer"), start.alias("key")).join(keys, "key").select("key", "longer")
+    keys = saved(members.select("key").distinct().withColumn("id", F.monotonically_increasing_id()), "keys")
+    lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths"))
+    held = keys.crossJoin(F.broadcast(lengths))  # one row, a number for each length that occurs
+    starts = held.select(F.col("id").alias("longer_id"), "key", F.explode(F.filter("lengths", lambda n: n <= F.length("key"))).alias("n"))
+    starts = starts.select("longer_id", "n", F.xxhash64(F.substring(F.col("key"), F.lit(1), F.col("n"))).alias("h"))
+    pairs = starts.join(keys.select("id", F.length("key").alias("n"), F.xxhash64("key").alias("h")), ["n", "h"]).select("id", "longer_id")
+    pairs = saved(pairs, "kin").join(keys, "id").join(keys.select(F.col("id").alias("longer_id"), F.col("key").alias("longer")), "longer_id")
+    return members, pairs.where(F.startswith("longer", F.col("key"))).select("key", "longer")
 
 
 def error_pairs(errors: DataFrame) -> DataFrame:
@@ -187,6 +211,20 @@ def run_of_job(status: Column, updated_at: Column) -> dict[str, Column]:
     return {"status": mapped, "is_active": mapped.isin("pending", "running", "starting"), "ended_at": F.when(mapped.isin("completed", "failed", "stopped"), updated_at)}
 
 
+def wiki_issues(pages: DataFrame, now: Column, stale_days: int = 90) -> DataFrame:
+    """slug, issue of pages (slug, title, text, updated): missing_title, stale (not updated for stale_days, one at least, or never), missing_frontmatter."""
+    old = F.coalesce(F.col("updated") < now - F.make_dt_interval(F.lit(max(1, stale_days))), F.lit(True))
+    issues = F.array_compact(F.array(F.when(F.coalesce("title", F.lit("")) == "", "missing_title"), F.when(old, "stale"), F.when(~F.startswith(F.coalesce("text", F.lit("")), F.lit("---")), "missing_frontmatter")))
+    return pages.select("slug", F.explode(issues).alias("issue"))
+
+
+def recalled_motifs(motifs: DataFrame, error: str | None = None, limit: int = 5) -> DataFrame:
+    """The motifs (signature, weight, error_prefix …) of the largest weight, of the class of an error if one is given; one at least is asked for."""
+    head = lambda c: F.split_part(F.coalesce(c, F.lit("")), F.lit(":"), F.lit(1))
+    found = motifs if not error else motifs.where(head(F.col("error_prefix")) == head(F.lit(error)))
+    return found.orderBy(F.desc("weight"), "signature").limit(max(1, limit))
+
+
 def wiki_edges(pages: DataFrame) -> DataFrame:
     """src, dst of [[slug]] links between known slugs of pages (slug, text)."""
     links = pages.select(F.col("slug").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[([A-Za-z0-9_\-]+)\]\]"), 1))).alias("dst"))

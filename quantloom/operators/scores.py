@@ -49,6 +49,24 @@ def sweep_grid(fields: list[str] = GRID_FIELDS, windows: list[int] = GRID_WINDOW
     return [(t, f, w) for t in TEMPLATES for f in fields for w in windows if (t, f) != ("compression", "amount")]
 
 
+def refused(panel: DataFrame, spec: tuple[str, str, int]) -> str | None:
+    """Why a candidate can't be computed on this panel, or None."""
+    template, field, window = spec
+    if template not in TEMPLATES:
+        return f"unknown template {template}"
+    if field not in panel.columns:
+        return f"the panel has no field {field}"
+    if not isinstance(window, int) or isinstance(window, bool) or window < 1:
+        return f"not a window: {window!r}"
+    try:
+        kind = panel.select(raw(*spec)).dtypes[0][1]
+        if kind.split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+            return f"field {field} holds no numbers"
+    except Exception as e:  # noqa: BLE001  what Spark's analysis says of this one must not stop the others
+        return str(e).split("\n")[0][:200]
+    return None
+
+
 def raw(template: str, field: str, window: int) -> Column:
     return TEMPLATES[template](F.col(field), window)
 
@@ -67,7 +85,7 @@ def score_many(panel: DataFrame, specs: list[tuple[str, str, int]], with_forward
     """
     names = [f"{t}_{f}_{w}" for t, f, w in specs]
     extra = [forward().alias("fwd")] if with_forward else []
-    wide = panel.select("trade_date", "ts_code", *extra, *(raw(*s).alias(n) for s, n in zip(specs, names, strict=True)))
+    wide = panel.select("trade_date", "ts_code", *extra, *(raw(*s).cast("double").alias(n) for s, n in zip(specs, names, strict=True)))
     pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.col(n).alias("raw")) for n in names)))
     keys = ["trade_date", "ts_code", *(["fwd"] if with_forward else [])]
     long = wide.select(*keys, pairs.alias("p")).select("p.factor", *keys, "p.raw")

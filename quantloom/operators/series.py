@@ -14,6 +14,8 @@ from quantloom.session import saved, ship
 
 DAYS_LEAST, YEAR, OVERLAP_LEAST = 20, 252, 10
 EULER = 0.5772156649015329
+#: Share of the product of two variances under which their determinant is no more than rounding.
+COLLINEAR = 1e-11
 
 
 def finite(x: Column) -> Column:
@@ -96,10 +98,23 @@ def grade(score: Column) -> Column:
     return F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C").otherwise("D")
 
 
-def selection_score(annual: Column, ratio: Column, ic: Column, drawdown: Column, turnover: Column, drag: Column) -> Column:
+def selection_score(annual: Column, ratio: Column, ic: Column, drawdown: Column, turnover: Column, drag: Column, windows: Column | None = None, oos_ratio: Column | None = None) -> Column:
+    """The weighted score; with the number of walk-forward windows and their ratio, two windows move half the ratio's weight to theirs."""
+    if windows is not None:
+        ratio = F.when((windows >= 2) & oos_ratio.isNotNull(), (ratio + oos_ratio) / 2).otherwise(ratio)
     return 0.35 * annual + 0.35 * ratio + 0.15 * ic - 0.08 * F.abs(drawdown) - 0.04 * turnover - 0.03 * drag
 
 
+def named_score(scorer: str, **columns: Column) -> dict[str, Column]:
+    """The columns of a score by its name: selection_score gives score, library_grade gives score and grade."""
+    if scorer == "selection_score":
+        return {"score": selection_score(**columns)}
+    if scorer == "library_grade":
+        score = library_score(**columns)
+        return {"score": score, "grade": grade(score)}
+    raise ValueError(f"unknown scorer {scorer!r}")
+
+
 #: Series of a block of the correlation table.
 BLOCK = 256
 
@@ -155,6 +170,15 @@ def _block_correlations(least: int):
     return run
 
 
+def correlations_with(series: DataFrame, names: list[str], least: int = OVERLAP_LEAST) -> DataFrame:
+    """a, b, corr of the named series a with every other one, in one join; the named ones are few and go to every task if they are small."""
+    few = series.where(F.col("series_id").isin(names)).select(F.col("series_id").alias("a"), "d", F.col("r").alias("x"))
+    spread = F.stddev_pop("x") * F.stddev_pop("r")
+    ok = (F.count("*") >= least) & (spread > 1e-18)
+    rows = series.join(few, "d").where("x IS NOT NULL AND r IS NOT NULL AND series_id <> a")
+    return rows.groupBy("a", F.col("series_id").alias("b")).agg(F.when(ok, F.covar_pop("x", "r") / F.when(spread > 1e-18, spread)).alias("corr"))
+
+
 def correlation_with(series: DataFrame, name: str, least: int = OVERLAP_LEAST) -> DataFrame:
     """b, corr of every other series with one, as in pairwise."""
     one = series.where(F.col("series_id") == name).select("d", F.col("r").alias("x"))
@@ -211,11 +235,32 @@ def combination_vs_best(series: DataFrame, lookback: int = 20, bps: float = 5.0)
 
 
 def ols_head(series: DataFrame, least: int = 6) -> DataFrame:
-    """series_id, n, and the in-sample coefficients of r on its two lags, by normal equations; of series with `least` values."""
+    """series_id, n, and the in-sample coefficients of r on 1 and its two lags, by normal equations; of series with `least` values.
+
+    Where the lags don't determine them (a flat series, one that alternates), they are those of the smallest norm.
+    """
     rows = _lagged(series)
     m = rows.groupBy("series_id").agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m_{k}") for k in ("y", "x1", "x2")), F.var_pop("x1").alias("v11"), F.var_pop("x2").alias("v22"), F.covar_pop("x1", "x2").alias("v12"), F.covar_pop("x1", "y").alias("v1y"), F.covar_pop("x2", "y").alias("v2y"))
-    det = F.nullif(F.col("v11") * F.col("v22") - F.col("v12") * F.col("v12"), F.lit(0.0))
-    m = m.where(F.col("n") >= least - 2).withColumns({"b1": (F.col("v1y") * F.col("v22") - F.col("v2y") * F.col("v12")) / det, "b2": (F.col("v2y") * F.col("v11") - F.col("v1y") * F.col("v12")) / det})
+    c = {k: F.col(k) for k in ("m_y", "m_x1", "m_x2", "v11", "v22", "v12", "v1y", "v2y")}
+    m = m.where(F.col("n") >= least - 2)
+    spread, means = c["v11"] + c["v22"], c["m_x1"] * c["m_x1"] + c["m_x2"] * c["m_x2"]
+    flat = spread <= COLLINEAR**2 * (1 + means)
+    det = F.when(~flat & (c["v11"] * c["v22"] - c["v12"] * c["v12"] > COLLINEAR * c["v11"] * c["v22"]), c["v11"] * c["v22"] - c["v12"] * c["v12"])
+    # Of one direction (u1, u2) in which the lags vary only the slope along it is determined, of flat lags none; across it, the least norm decides.
+    longer = c["v11"] >= c["v22"]
+    u1, u2 = F.when(longer, c["v11"]).otherwise(c["v12"]), F.when(longer, c["v12"]).otherwise(c["v22"])
+    size = F.sqrt(u1 * u1 + u2 * u2)
+    u1, u2 = (F.when(flat, 0.0).otherwise(x / F.nullif(size, F.lit(0.0))) for x in (u1, u2))
+    along = F.when(flat, 0.0).otherwise((c["v1y"] * u1 + c["v2y"] * u2) / F.nullif(spread, F.lit(0.0)))
+    m = m.withColumns({"u1": u1, "u2": u2, "along": along})
+    rest = F.col("m_y") - F.col("along") * (F.col("u1") * F.col("m_x1") + F.col("u2") * F.col("m_x2"))
+    # What is left is shared between the constant and the means' part across the direction.
+    turn = F.col("u1") * F.col("m_x2") - F.col("u2") * F.col("m_x1")
+    w1, w2 = F.when(flat, c["m_x1"]).otherwise(-F.col("u2") * turn), F.when(flat, c["m_x2"]).otherwise(F.col("u1") * turn)
+    share = rest / (1 + F.when(flat, means).otherwise(turn * turn))
+    full = {"b1": (c["v1y"] * c["v22"] - c["v2y"] * c["v12"]) / det, "b2": (c["v2y"] * c["v11"] - c["v1y"] * c["v12"]) / det}
+    poor = {"b1": F.col("along") * F.col("u1") + share * w1, "b2": F.col("along") * F.col("u2") + share * w2}
+    m = m.withColumns({k: F.coalesce(full[k], poor[k]) for k in full})
     return m.select("series_id", "n", (F.col("m_y") - F.col("b1") * F.col("m_x1") - F.col("b2") * F.col("m_x2")).alias("b0"), "b1", "b2")
 
 
@@ -233,6 +278,13 @@ def ols_curve(series: DataFrame, least: int = 6) -> DataFrame:
     return rows.select("series_id", "d", "pred", "pnl", F.product(1 + F.col("pnl")).over(_order()).alias("nav"))
 
 
+def head(series: DataFrame, kind: str = "ols") -> DataFrame:
+    """series_id, d, pred, pnl, nav of a head of the given kind, ols or gbm; of any other name, that of ols."""
+    from quantloom.operators.boosting import boosted_head
+
+    return boosted_head(series) if kind == "gbm" else ols_curve(series)
+
+
 def portfolio_return(curve: DataFrame) -> DataFrame:
     """series_id, portfolio_return: the last value of nav over the first, less 1; null below two dates or from 0."""
     first, last = F.min_by("nav", "d"), F.max_by("nav", "d")

@@ -221,10 +221,12 @@ def sweep_topk(spark, d):
     return E.top_k(bench(spark, d).where("bps = 5"), "ic", 2).select("factor", "ic", "sharpe")
 
 
-@query("rebalance_dates", """SELECT CAST(m + to_days(CAST((5 - dayofweek(m) + 7) % 7 + 7 AS INTEGER)) AS DATE) AS rebalance_date
-FROM (SELECT CAST(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH)) AS DATE) AS m) WHERE month(m) IN (6, 12)""")
+@query("rebalance_dates", """WITH s AS (SELECT min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem), months AS (SELECT CAST(unnest(range(CAST(date_trunc('month', first) AS DATE), CAST(last + to_days(1) AS DATE), INTERVAL 1 MONTH)) AS DATE) AS m, first, last FROM s),
+days AS (SELECT CAST(m + to_days(CAST((5 - dayofweek(m) + 7) % 7 + 7 AS INTEGER)) AS DATE) AS rebalance_date, first, last FROM months WHERE month(m) IN (6, 12)) SELECT rebalance_date FROM days WHERE rebalance_date BETWEEN first AND last""")
 def rebalance_dates(spark, d):
-    return E.rebalance_dates(spark, "1995-01-01", "2001-12-31")
+    """Those within the dates of the items."""
+    first, last = P.table(spark, d, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return E.rebalance_dates(spark, str(first)[:10], str(last)[:10])
 
 
 @query("component_gaps", f"WITH {PANEL}, {CONSTITUENTS}, want AS (SELECT CAST(unnest(range(DATE '1994-01-01', DATE '2003-01-01', INTERVAL 1 MONTH)) AS DATE) AS as_of) SELECT as_of AS missing FROM want WHERE month(as_of) IN (6, 12) AND as_of NOT IN (SELECT as_of FROM cons)")
@@ -278,13 +280,17 @@ def _horner(cs: list[float], x: str) -> str:
 _FAR = reduce(lambda acc, k: f"(a + {k} / {acc})", (4, 3, 2, 1), "(a + 0.65)")
 
 
-@query("deflated_sharpe", f"""{_RETURNS}, c AS (SELECT series_id, count(r) AS n, avg(r) AS m FROM series GROUP BY series_id),
-q AS (SELECT series_id, any_value(n) AS n, any_value(m) AS m, avg((r - m) ** 2) AS v, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM series JOIN c USING (series_id) GROUP BY series_id),
-s AS (SELECT series_id, n, m / sqrt(v) AS ratio, 1 - m3 / v ** 1.5 * m / sqrt(v) + (m4 / v ** 2 - 1) / 4 * (m / sqrt(v)) ** 2 AS spread FROM q WHERE n >= 20 AND v > 1e-12),
-z AS (SELECT series_id, ratio * sqrt((n - 1) / spread) - {S.chance_factor(145)!r}::DOUBLE AS x FROM s WHERE spread > 0),
-t AS (SELECT series_id, x, least(abs(x), 37.0) AS a FROM z),
-u AS (SELECT series_id, x, exp(-a * a / 2) * CASE WHEN a < 7.07106781186547 THEN {_horner(S.TAIL_TOP, 'a')} / {_horner(S.TAIL_BOTTOM, 'a')} ELSE 1 / ({_FAR} * 2.506628274631) END AS tail FROM t)
-SELECT series_id, round(CASE WHEN x > 0 THEN 1 - tail ELSE tail END, 8) AS dsr FROM c LEFT JOIN u USING (series_id)""")
+#: CTE dsr (series_id, dsr) over series; {trials} is the factor of chance.
+DSR_SQL = f"""dsr_n AS (SELECT series_id, count(r) AS n, avg(r) AS m FROM series GROUP BY series_id),
+dsr_q AS (SELECT series_id, any_value(n) AS n, any_value(m) AS m, avg((r - m) ** 2) AS v, avg((r - m) ** 3) AS m3, avg((r - m) ** 4) AS m4 FROM series JOIN dsr_n USING (series_id) GROUP BY series_id),
+dsr_s AS (SELECT series_id, n, m / sqrt(v) AS ratio, 1 - m3 / v ** 1.5 * m / sqrt(v) + (m4 / v ** 2 - 1) / 4 * (m / sqrt(v)) ** 2 AS spread FROM dsr_q WHERE n >= 20 AND v > 1e-12),
+dsr_z AS (SELECT series_id, ratio * sqrt((n - 1) / spread) - {{trials!r}}::DOUBLE AS x FROM dsr_s WHERE spread > 0),
+dsr_t AS (SELECT series_id, x, least(abs(x), 37.0) AS a FROM dsr_z),
+dsr_u AS (SELECT series_id, x, exp(-a * a / 2) * CASE WHEN a < 7.07106781186547 THEN {_horner(S.TAIL_TOP, 'a')} / {_horner(S.TAIL_BOTTOM, 'a')} ELSE 1 / ({_FAR} * 2.506628274631) END AS tail FROM dsr_t),
+dsr AS (SELECT series_id, CASE WHEN x > 0 THEN 1 - tail ELSE tail END AS dsr FROM dsr_n LEFT JOIN dsr_u USING (series_id))"""
+
+
+@query("deflated_sharpe", f"""{_RETURNS}, {DSR_SQL.format(trials=S.chance_factor(145))} SELECT series_id, round(dsr, 8) AS dsr FROM dsr""")
 def deflated_sharpe(spark, d):
     return S.deflated_sharpe(returns(spark, d), 145).withColumn("dsr", F.round("dsr", 8))
 
@@ -341,14 +347,31 @@ def common_dates(spark, d):
     return r.where("series_id = 'mom_close_20'").select("d").intersect(r.where("series_id = 'rev_close_5'").select("d"))
 
 
-_OLS = f"""{_RETURNS}, l AS (SELECT series_id, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
+# The seeds' series, and on the dates of one of them a flat series and one that alternates, whose lags don't determine a fit.
+_HEADS = f"""{_RETURNS.replace('series AS (SELECT factor', 'seeds AS (SELECT factor')}, series AS (SELECT * FROM seeds UNION ALL SELECT 'flat', d, 0.01::DOUBLE FROM seeds WHERE series_id = 'rev_close_5'
+  UNION ALL SELECT 'zigzag', d, CASE WHEN row_number() OVER (ORDER BY d) % 2 = 0 THEN 0.02 ELSE -0.02 END::DOUBLE FROM seeds WHERE series_id = 'rev_close_5')"""
+# The fit of the smallest norm is the limit of the ridge's; of two lags in one line it is that of the pseudo-inverse, X' (X X')^+ y, written out for each rank.
+_OLS = f"""{_HEADS}, l AS (SELECT series_id, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
 m AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS v1y, covar_pop(x2, y) AS v2y FROM l WHERE x2 IS NOT NULL GROUP BY series_id HAVING count(*) >= 4),
-b AS (SELECT *, (v1y * v22 - v2y * v12) / (v11 * v22 - v12 * v12) AS b1, (v2y * v11 - v1y * v12) / (v11 * v22 - v12 * v12) AS b2 FROM m), h AS (SELECT series_id, n, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)"""
+k AS (SELECT *, CASE WHEN v11 + v22 < 1e-20 THEN 0 WHEN v11 * v22 - v12 * v12 < 1e-11 * v11 * v22 THEN 1 ELSE 2 END AS kind FROM m),
+u AS (SELECT *, v11 / sqrt(v11 * v11 + v12 * v12) AS u1, v12 / sqrt(v11 * v11 + v12 * v12) AS u2 FROM k WHERE kind = 1),
+g AS (SELECT *, (v1y * u1 + v2y * u2) / (v11 + v22) AS g, u1 * m2 - u2 * m1 AS t FROM u),
+b AS (SELECT series_id, n, my, m1, m2, (v1y * v22 - v2y * v12) / (v11 * v22 - v12 * v12) AS b1, (v2y * v11 - v1y * v12) / (v11 * v22 - v12 * v12) AS b2 FROM k WHERE kind = 2
+  UNION ALL SELECT series_id, n, my, m1, m2, my * m1 / (1 + m1 * m1 + m2 * m2), my * m2 / (1 + m1 * m1 + m2 * m2) FROM k WHERE kind = 0
+  UNION ALL SELECT series_id, n, my, m1, m2, g * u1 - u2 * t * (my - g * (u1 * m1 + u2 * m2)) / (1 + t * t), g * u2 + u1 * t * (my - g * (u1 * m1 + u2 * m2)) / (1 + t * t) FROM g),
+h AS (SELECT series_id, n, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM b)"""
+
+
+def head_series(spark, d) -> DataFrame:
+    seeds = returns(spark, d)
+    days = seeds.where("series_id = 'rev_close_5'").select("d", F.row_number().over(E.Window.partitionBy("series_id").orderBy("d")).alias("k"))
+    flat = days.select(F.lit("flat").alias("series_id"), "d", F.lit(0.01).alias("r"))
+    return seeds.unionByName(flat).unionByName(days.select(F.lit("zigzag").alias("series_id"), "d", F.when(F.expr("k % 2 = 0"), 0.02).otherwise(-0.02).alias("r")))
 
 
 @query("ols_head", f"{_OLS} SELECT series_id, n, round(b0, 6) + 0.0 AS b0, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2 FROM h")
 def ols_head(spark, d):
-    return _rounded(S.ols_head(returns(spark, d)), "b0", "b1", "b2")
+    return _rounded(S.ols_head(head_series(spark, d)), "b0", "b1", "b2")
 
 
 _CURVE = f"""{_OLS}, lagged_days AS (SELECT series_id, d, r AS y, lag(r, 1) OVER (PARTITION BY series_id ORDER BY d) AS x1, lag(r, 2) OVER (PARTITION BY series_id ORDER BY d) AS x2 FROM series),
@@ -358,13 +381,13 @@ curve AS (SELECT *, product(1 + pnl) OVER (PARTITION BY series_id ORDER BY d) AS
 
 @query("ols_curve", f"{_CURVE} SELECT series_id, d, round(pred, 6) + 0.0 AS pred, round(pnl, 8) + 0.0 AS pnl, round(nav, 6) AS nav FROM curve")
 def ols_curve(spark, d):
-    out = S.ols_curve(returns(spark, d))
+    out = S.ols_curve(head_series(spark, d))
     return out.select("series_id", "d", (F.round("pred", 6) + F.lit(0.0)).alias("pred"), (F.round("pnl", 8) + F.lit(0.0)).alias("pnl"), F.round("nav", 6).alias("nav"))
 
 
 @query("ols_portfolio", f"{_CURVE} SELECT series_id, CASE WHEN count(*) >= 2 THEN round(arg_max(nav, d) / nullif(arg_min(nav, d), 0) - 1, 6) + 0.0 END AS portfolio_return FROM curve GROUP BY series_id")
 def ols_portfolio(spark, d):
-    return _rounded(S.portfolio_return(S.ols_curve(returns(spark, d))), "portfolio_return")
+    return _rounded(S.portfolio_return(S.head(head_series(spark, d))), "portfolio_return")
 
 
 @query("eval_net_metrics", f"{ROWS}, {LEGS}, {_net('factor', '12.0')} SELECT factor, days, sharpe, annual, max_drawdown, turnover, turnover IS NULL AS no_turnover FROM metrics")
@@ -375,6 +398,18 @@ def eval_net_metrics(spark, d):
 _GRADE = """50 + greatest(-20.0, least(20.0, ic * 200)) + greatest(-15.0, least(15.0, sharpe * 5)) - greatest(0.0, least(15.0, abs(mdd) * 20)) - greatest(0.0, least(20.0, pbo * 25))"""
 
 
+@query("selection_score_folds", f"""{_FOLDS}, w AS (SELECT factor, count(*) AS n, avg(sharpe) AS oos FROM folds WHERE fold >= 2000 GROUP BY factor), i AS (SELECT factor, avg(sharpe) AS s, avg(annual) AS a, avg(ic) AS ic, min(max_drawdown) AS dd, avg(turnover) AS t FROM folds WHERE fold < 2000 GROUP BY factor)
+SELECT factor, round(0.35 * a + 0.35 * CASE WHEN n >= 2 THEN (s + oos) / 2 ELSE s END + 0.15 * ic - 0.08 * abs(dd) - 0.04 * t - 0.03 * 0.1, 5) + 0.0 AS score FROM i LEFT JOIN w USING (factor)""")
+def selection_score_folds(spark, d):
+    """The score of each seed, whose years from 2000 on are its walk-forward windows."""
+    late = F.col("fold") >= 2000
+    early = lambda f, c: f(F.when(~late, F.col(c)))
+    by = _folds(spark, d).groupBy("factor").agg(early(F.avg, "sharpe").alias("ratio"), early(F.avg, "annual").alias("annual"), early(F.avg, "ic").alias("ic"), early(F.min, "max_drawdown").alias("drawdown"), early(F.avg, "turnover").alias("turnover"), F.count(F.when(late, 1)).alias("windows"), F.avg(F.when(late, F.col("sharpe"))).alias("oos_ratio"), F.count(F.when(~late, 1)).alias("n"))
+    columns = {c: F.col(c) for c in ("annual", "ratio", "ic", "drawdown", "turnover", "windows", "oos_ratio")}
+    score = S.named_score("selection_score", drag=F.lit(0.1), **columns)["score"]
+    return by.where("n > 0").select("factor", (F.round(score, 5) + F.lit(0.0)).alias("score"))
+
+
 @query("library_grade", f"""WITH f AS (SELECT p_partkey AS id, (p_size - 25) / 250.0::DOUBLE AS ic, (p_partkey % 9 - 4)::DOUBLE AS sharpe, (p_size % 10) / 10.0::DOUBLE AS mdd, (p_partkey % 5) / 5.0::DOUBLE AS pbo FROM part),
 s AS (SELECT id, round(greatest(0.0, least(100.0, {_GRADE})), 1) AS score FROM f) SELECT id, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade FROM s""")
 def library_grade(spark, d):

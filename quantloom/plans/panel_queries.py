@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import expressions as X
 from quantloom.functions import rolling as R
 from quantloom.operators import scores
+from quantloom.operators import structure as T
 from quantloom.plans.registry import PANEL, SERIES, over_panel, query, rolling
 from quantloom.sources import panel as P
 
@@ -77,6 +78,10 @@ _expression("ts_max", "Max(high, 20)", rolling("max", "high", 20))
 _expression("ts_min", "Min(low, 20)", rolling("min", "low", 20))
 _W10 = f"OVER ({SERIES} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 _expression("ts_corr", "Corr(close, volume, 10)", f"CASE WHEN count(*) {_W10} = 10 AND stddev_pop(close) {_W10} * stddev_pop(volume) {_W10} > 1e-12 THEN covar_pop(close, volume) {_W10} / nullif(stddev_pop(close) {_W10} * stddev_pop(volume) {_W10}, 0) END")
+_expression("ts_median", "Median(close, 6)", rolling("median", "close", 6))
+_EMA = f"list_reduce(list(close) OVER ({SERIES} ROWS UNBOUNDED PRECEDING), lambda e, v: e + (v - e) * 2 / 13.0::DOUBLE)"
+_expression("ts_ema", "EMA(close, 12)", _EMA)
+_expression("cs_zscore", "CSZScore(volume)", "(volume - avg(volume) OVER (PARTITION BY trade_date)) / nullif(stddev_samp(volume) OVER (PARTITION BY trade_date), 0)")
 _expression("cs_rank", "Rank(close)", "CAST(row_number() OVER (PARTITION BY trade_date ORDER BY close, ts_code) AS DOUBLE)")
 _expression("cs_rank_pct", "CSRank(low)", "(rank() OVER (PARTITION BY trade_date ORDER BY low) + (count(*) OVER (PARTITION BY trade_date, low) - 1) / 2) / count(*) OVER (PARTITION BY trade_date)")
 _expression(
@@ -151,9 +156,14 @@ _GRID_FIELDS = ", ".join(f"('{f}')" for f in scores.GRID_FIELDS)
 _GRID_WINDOWS = ", ".join(f"({w})" for w in scores.GRID_WINDOWS)
 
 
-@query("sweep_grid", f"SELECT template, field, CAST(w AS INTEGER) AS window_size FROM (VALUES {_GRID_TEMPLATES}) a(template), (VALUES {_GRID_FIELDS}) b(field), (VALUES {_GRID_WINDOWS}) c(w) WHERE NOT (template = 'compression' AND field = 'amount')")
+@query("sweep_grid", f"""WITH {PANEL.replace("p_brand AS ts_code", "CAST(l_suppkey AS VARCHAR) AS ts_code").replace("FROM lineitem JOIN part ON l_partkey = p_partkey", "FROM lineitem")},
+held AS (SELECT unnest(['close', 'open', 'high', 'low', 'volume', 'amount']) AS field, unnest([count(close), count(open), count(high), count(low), count(volume), count(amount)]) AS n_values FROM p)
+SELECT template, field, CAST(w AS INTEGER) AS window_size, n_values FROM (VALUES {_GRID_TEMPLATES}) a(template), (VALUES {_GRID_FIELDS}) b(field) JOIN held USING (field), (VALUES {_GRID_WINDOWS}) c(w) WHERE NOT (template = 'compression' AND field = 'amount')""")
 def sweep_grid(spark, d):
-    return spark.createDataFrame(scores.sweep_grid(), "template string, field string, window_size int")
+    """The candidates, and how many values the supplier panel has for each."""
+    p = P.supplier_panel(spark, d)
+    held = p.agg(*(F.count(c).alias(c) for c in P.FIELDS[2:])).unpivot([], P.FIELDS[2:], "field", "n_values")
+    return spark.createDataFrame(scores.sweep_grid(), "template string, field string, window_size int").join(held, "field")
 
 
 _NEUTRAL = f"WITH {PANEL}, s AS ({ranked(SEED_SQL['reversal_5'])}), a AS ({ranked(SEED_SQL['rank_delta_20'], 'a')}), b AS ({ranked(SEED_SQL['vp_shock'], 'b')})"
@@ -200,42 +210,100 @@ ZOO = [
     "Log(Max(amount, 40)) - Log(Min(amount, 40))",
     "If(Greater(high, Ref(high, 6)), Std(low, 12), -Std(low, 24))",
 ]
-TEXTS = [*ZOO, "Foo(close, 3)", "Rank(Foo($close))", "$Close / Ref($OPEN, 1)", "close + open", "Div(high, low)"]
-_TEXT_ROWS = ", ".join(f"('{t}')" for t in TEXTS)
-_LISTED = ", ".join(f"'{t}'" for t in X.LISTED)
+
+# Expressions of the parts: eight forms over fields and windows that type, brand and size give, some with an unlisted operator or none.
+FORMS = ["Rank(Delta({f}, {n}))", "Rank(Mean({f}, {n}) - Mean({g}, {m}))", "-Rank(Corr({f}, {g}, {n}))", "Div({f}, Ref({f}, {n})) - 1", "Rank(Rank(Std({f}, {n}))) * Sign(Delta({g}, {m}))", "Foo({f}, {n})", "If(Greater({f}, {g}), Mean({f}, {n}), -Mean({g}, {n}))", "Rank(Delta({f}, {n})"]
+#: Size, numbers and fields of each form, where f and g are different fields; the last doesn't parse.
+FORM_COUNTS = [(5, 1, 1), (10, 2, 2), (8, 1, 2), (10, 2, 1), (12, 2, 2), (4, 1, 1), (15, 2, 2), None]
+_PART_FIELDS = ["close", "open", "high", "low", "volume", "amount"]
+
+
+def _filled(form: str) -> str:
+    """SQL of a form's text."""
+    out = "'" + form + "'"
+    for mark, sql in (("{f}", "f"), ("{g}", "g"), ("{n}", "n"), ("{m}", "m")):
+        out = out.replace(mark, f"' || {sql} || '")
+    return out
+
+
+_PART_TEXTS = f"""x AS (SELECT p_partkey AS id, p_size, p_partkey % {len(FORMS)} AS k, [{', '.join(f"'{f}'" for f in _PART_FIELDS)}] AS fields, p_size % 6 + 1 AS i, CAST(substr(p_brand, 7) AS INTEGER) % 6 + 1 AS j FROM part),
+y AS (SELECT id, p_size, k, fields[i] AS f, fields[j] AS g, i <> j AS two, p_size AS n, p_size % 7 + 2 AS m FROM x),
+texts AS (SELECT *, CASE k {' '.join(f'WHEN {k} THEN {_filled(t)}' for k, t in enumerate(FORMS))} END AS expr FROM y)"""
 
 
-def _texts(spark) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TEXTS], "expr string")
+def part_texts(spark, d) -> DataFrame:
+    """id, place, expr of every part."""
+    fields = F.array(*map(F.lit, _PART_FIELDS))
+    of = lambda i: F.element_at(fields, i.cast("int"))
+    marks = {"{f}": of(F.col("p_size") % 6 + 1), "{g}": of(F.substr("p_brand", F.lit(7)).cast("int") % 6 + 1), "{n}": F.col("p_size").cast("string"), "{m}": (F.col("p_size") % 7 + 2).cast("string")}
+    text = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
+    for mark, value in marks.items():
+        text = F.replace(text, F.lit(mark), value)
+    return P.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), text.alias("expr"))
 
 
-@query("expr_is_listed", f"SELECT expr, len(list_filter(regexp_extract_all(expr, '([A-Za-z_]\\w*)\\s*\\(', 1), lambda x: x NOT IN ({_LISTED}))) = 0 AS listed FROM (VALUES {_TEXT_ROWS}) t(expr)")
+def _described(spark, d) -> DataFrame:
+    rows = part_texts(spark, d)
+    return rows.join(T.described(rows), "expr")
+
+
+_LISTED = ", ".join(f"'{t}'" for t in X.LISTED)
+
+
+@query("expr_is_listed", f"WITH {_PART_TEXTS} SELECT id, len(list_filter(regexp_extract_all(expr, '([A-Za-z_]\\w*)\\s*\\(', 1), lambda x: x NOT IN ({_LISTED}))) = 0 AS listed FROM texts")
 def expr_is_listed(spark, d):
-    calls = F.regexp_extract_all("expr", F.lit(r"([A-Za-z_]\w*)\s*\("), 1)
-    return _texts(spark).select("expr", (F.size(F.array_except(calls, F.array(*map(F.lit, X.LISTED)))) == 0).alias("listed"))
+    return _described(spark, d).select("id", "listed")
 
 
-@query("expr_translate", f"SELECT expr, lower(regexp_replace(expr, '\\$', '', 'g')) AS plain FROM (VALUES {_TEXT_ROWS}) t(expr)")
+@query("expr_translate", f"WITH {_PART_TEXTS} SELECT id, expr AS plain, CASE WHEN k <> 5 THEN regexp_replace(expr, '\\b(close|open|high|low|volume|amount)\\b', '$\\1', 'g') END AS dollar FROM texts")
 def expr_translate(spark, d):
-    return _texts(spark).select("expr", F.lower(F.regexp_replace("expr", r"\$", "")).alias("plain"))
+    return _described(spark, d).select("id", "plain", "dollar")
+
 
+@query("expr_validate", f"WITH {_PART_TEXTS} SELECT id, k NOT IN (5, 7) AS valid FROM texts")
+def expr_validate(spark, d):
+    return _described(spark, d).select("id", "valid")
 
-@query("window_bucket", "SELECT CAST(v AS INTEGER) AS v, CAST(CASE WHEN v < 3 THEN 1 WHEN v < 7.5 THEN 5 WHEN v < 15 THEN 10 WHEN v < 40 THEN 20 WHEN v < 90 THEN 60 WHEN v < 180 THEN 120 ELSE 240 END AS INTEGER) AS bucket FROM range(1, 301) t(v)")
+
+@query("expr_complexity", f"""WITH {_PART_TEXTS}, c AS (SELECT * FROM (VALUES {', '.join(f'({k}, {c[0]}, {c[1]}, {c[2]})' for k, c in enumerate(FORM_COUNTS) if c)}) t(k, sl, pc, fc))
+SELECT id, sl, pc, CAST(CASE WHEN fc = 2 AND NOT two THEN 1 ELSE fc END AS INTEGER) AS fc FROM texts LEFT JOIN c USING (k)""")
+def expr_complexity(spark, d):
+    return _described(spark, d).select("id", "sl", "pc", "fc")
+
+
+# Of the forms with one window, the hash tells windows apart by their bucket only.
+@query("expr_hash", f"""WITH {_PART_TEXTS}, b AS (SELECT *, CASE WHEN n < 3 THEN 1 WHEN n < 7.5 THEN 5 WHEN n < 15 THEN 10 WHEN n < 40 THEN 20 ELSE 60 END AS bucket FROM texts WHERE k IN (0, 5))
+SELECT id, min(id) OVER (PARTITION BY k, f, bucket) AS first_alike FROM b""")
+def expr_hash(spark, d):
+    first = F.min("id").over(R.Window.partitionBy("hash"))
+    return _described(spark, d).where("id % 8 IN (0, 5)").select("id", first.alias("first_alike"))
+
+
+@query("window_bucket", "SELECT p_partkey AS id, CAST(CASE WHEN v < 3 THEN 1 WHEN v < 7.5 THEN 5 WHEN v < 15 THEN 10 WHEN v < 40 THEN 20 WHEN v < 90 THEN 60 WHEN v < 180 THEN 120 ELSE 240 END AS INTEGER) AS bucket FROM (SELECT p_partkey, p_size * 6 / 2.0 - 2 AS v FROM part)")
 def window_bucket(spark, d):
-    bucket = F.lit(X.WINDOWS[-1])
-    for low, high in reversed(list(zip(X.WINDOWS, X.WINDOWS[1:], strict=False))):
-        bucket = F.when(F.col("v") < (low + high) / 2, low).otherwise(bucket)
-    return spark.range(1, 301).select(F.col("id").cast("int").alias("v")).withColumn("bucket", bucket.cast("int"))
+    return P.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.bucket_of(F.col("p_size") * 6 / 2 - 2).alias("bucket"))
+
+
+def _zoo(spark) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in ZOO], "expr string")
 
 
 @query("expr_similarity")
 def expr_similarity(spark, d):
-    trees = [X.parse(t) for t in ZOO]
-    rows = [(ZOO[i], ZOO[j], round(X.similarity(trees[i], trees[j]), 6)) for i in range(len(ZOO)) for j in range(i + 1, len(ZOO))]
-    return spark.createDataFrame(rows, "a string, b string, similarity double")
+    """All pairs of classes of the parts' expressions that are more alike than 0.55: mostly one form over the same fields with other windows."""
+    of = T.classes(part_texts(spark, d), 0.55)
+    text = of.groupBy("class").agg(F.min("expr").alias("expr"))
+    pairs = T.alike(of, 0.55)
+    pairs = pairs.join(text.select(F.col("class").alias("a"), F.col("expr").alias("expr_a")), "a").join(text.select(F.col("class").alias("b"), F.col("expr").alias("expr_b")), "b")
+    return pairs.select(F.least("expr_a", "expr_b").alias("a"), F.greatest("expr_a", "expr_b").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("expr_complexity")
-def expr_complexity(spark, d):
-    rows = [(t, *X.complexity(X.parse(t)).values()) for t in ZOO]
-    return spark.createDataFrame(rows, "expr string, sl int, pc int, fc int")
+@query("expr_most_similar")
+def expr_most_similar(spark, d):
+    rows = part_texts(spark, d)
+    return rows.join(T.most_similar(rows, _zoo(spark)), "expr").select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("structural_dedup")
+def structural_dedup(spark, d):
+    return T.structural_dedup(part_texts(spark, d), _zoo(spark)).select("id", "expr")

@@ -14,8 +14,9 @@ from quantloom.operators import gates as G
 from quantloom.operators import pool
 from quantloom.operators import records as C
 from quantloom.operators import series as S
-from quantloom.plans.evaluation_queries import returns
-from quantloom.plans.panel_queries import ZOO
+from quantloom.operators import structure as T
+from quantloom.plans.evaluation_queries import DSR_SQL
+from quantloom.plans.panel_queries import _PART_TEXTS, FORM_COUNTS, part_texts
 from quantloom.plans.registry import query
 from quantloom.session import saved
 from quantloom.sources import panel as P
@@ -39,19 +40,10 @@ def pool_factors(spark, d) -> DataFrame:
     return by.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), F.expr("(s % 41 - 20) / 1000D").alias("ic"), F.expr("CAST(t % 53 AS DOUBLE)").alias("score"), F.concat(F.lit("m"), F.expr("k % 3").cast("string")).alias("profile"), F.expr("k % 19 = 0").alias("simulated"), F.expr("CASE WHEN k % 17 = 0 THEN 'culled' ELSE 'review' END").alias("status"))
 
 
-def _gate_texts() -> list[tuple[str, float, dict]]:
-    """Expressions with their largest similarity to the corpus and their complexity."""
-    texts = [*ZOO[:3], "Rank(Delta(close, 7) / Std(open, 33))", "If(Greater(open, low), Mean(volume, 9), Sum(amount, 4)) * Corr(high, volume, 15) - Rank(vwap)", " "]
-    out = []
-    for t in texts:
-        known = t.strip() != ""
-        out.append((t, round(X.most_similar(t, ZOO), 6) if known else 0.0, X.complexity(X.parse(t)) if known else {"sl": 0, "pc": 0, "fc": 0}))
-    long = " + ".join(f"Mean(close, {k})" for k in range(2, 12))
-    return [*out, (long, round(X.most_similar(long, ZOO), 6), X.complexity(X.parse(long)))]
-
-
-_GATE_ROWS = ", ".join(f"({k}, '{t}', {s!r}::DOUBLE, {c['sl']}, {c['pc']}, {c['fc']})" for k, (t, s, c) in enumerate(_gate_texts()))
-_N_GATES = len(_gate_texts())
+#: What an expression must differ from; forms of _PART_TEXTS with given fields and windows, so that only equal ones are more alike than the gate allows.
+GATE_CORPUS = ["Rank(Delta(close, 7))", "-Rank(Corr(open, close, 12))", "If(Greater(high, low), Mean(high, 5), -Mean(low, 5))", "Foo(open, 3)", "not one ("]
+_KNOWN = ", ".join(f"'{t}'" for t in [*GATE_CORPUS, "-Rank(Corr(close, open, 12))"])
+TRIALS = 145
 _DAY = "CAST(DATE '2024-01-01' + to_days(CAST({} AS INTEGER)) AS DATE)"
 _CATALOG = f"cat AS (SELECT 'part' AS source, p_partkey % 500 AS source_ref, p_partkey AS id, p_name AS name, 'Rank(' || p_type || ')' AS formula, p_brand || '-cn' AS name_cn, p_type AS style, p_brand AS status, {_DAY.format('p_partkey % 300')} AS created_at, {_DAY.format('p_partkey % 300 + 1')} AS updated_at FROM part)"
 
@@ -72,6 +64,19 @@ def catalog_search_all(spark, d):
     return C.search(cat, "eco", 1 << 30).unionByName(C.search(cat, "#1_-CN", 1 << 30)).select("id", "name", "formula", "name_cn")
 
 
+_LIBRARY = f"lib AS (SELECT 'library' AS source, s_suppkey AS id, s_name AS name, {_DAY.format('s_suppkey % 300')} AS updated_at FROM supplier)"
+
+
+@query("catalog_search_fallback", f"""WITH {_CATALOG}, {_LIBRARY}, a AS (SELECT id, name, 'catalog' AS origin, updated_at FROM cat WHERE name ILIKE '%supplier%' ORDER BY updated_at DESC, id LIMIT 9),
+b AS (SELECT id, name, 'library' AS origin, updated_at FROM lib WHERE name ILIKE '%supplier%' ORDER BY updated_at DESC, id LIMIT 9), c AS (SELECT id, name, 'catalog' AS origin, updated_at FROM cat WHERE name ILIKE '%red%' ORDER BY updated_at DESC, id LIMIT 9)
+SELECT id, name, origin FROM a UNION ALL SELECT id, name, origin FROM b WHERE (SELECT count(*) FROM a) = 0 UNION ALL SELECT id, name, origin FROM c""")
+def catalog_search_fallback(spark, d):
+    """Two searches: one that the catalog knows nothing of, which the library answers, and one that it knows."""
+    cat = _catalog(spark, d).select("source", "id", "name", "updated_at")
+    lib = table(spark, d, "supplier").select(F.lit("library").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr("CAST(s_suppkey % 300 AS INT)")).alias("updated_at"))
+    return C.search_or(cat, lib, "supplier", 9).unionByName(C.search_or(cat, lib, "red", 9)).select("id", "name", "origin")
+
+
 # Three stores of entries; a rebuild upserts them over a catalog that has some of them.
 _STORES = """stores AS (SELECT 'part' AS source, p_partkey AS source_ref, p_name AS name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name FROM customer),
 before AS (SELECT source, source_ref, source || source_ref AS id, 'old' AS name, 1 AS created_at FROM stores WHERE source_ref % 3 = 0),
@@ -200,11 +205,15 @@ def wiki_dedupe(spark, d):
     return C.first_by(w, "host", "page_id").select("host", "slug")
 
 
-@query("wiki_lint", "SELECT page_id, 'no_title' AS issue FROM pages WHERE html NOT LIKE '%<title>%' OR html IS NULL UNION ALL SELECT page_id, 'stale' FROM pages WHERE page_id % 10 > 7 UNION ALL SELECT page_id, 'no_links' FROM pages WHERE html NOT LIKE '%href=%' OR html IS NULL")
+# Wiki pages of the given ones: the title is that of the HTML, the text begins with front matter in every third, and they were updated day by day.
+@query("wiki_lint", """WITH w AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) AS title, CASE WHEN page_id % 3 = 0 THEN '---' || chr(10) || 'a' ELSE 'text' END AS text, CASE WHEN page_id % 50 > 0 THEN TIMESTAMP '2024-06-30' - to_days(CAST(page_id % 200 AS INTEGER)) END AS updated FROM pages)
+SELECT page_id, 'missing_title' AS issue FROM w WHERE title = '' UNION ALL SELECT page_id, 'stale' FROM w WHERE updated IS NULL OR updated < TIMESTAMP '2024-06-30' - to_days(90) UNION ALL SELECT page_id, 'missing_frontmatter' FROM w WHERE NOT starts_with(text, '---')""")
 def wiki_lint(spark, d):
-    has = lambda x: F.coalesce(F.contains("html", F.lit(x)), F.lit(False))
-    issues = F.array_compact(F.array(F.when(~has("<title>"), "no_title"), F.when(F.expr("page_id % 10 > 7"), "stale"), F.when(~has("href="), "no_links")))
-    return table(spark, d, "pages").select("page_id", F.explode(issues).alias("issue"))
+    now = F.to_timestamp(F.lit("2024-06-30 00:00:00"))
+    updated = F.when(F.expr("page_id % 50 > 0"), now - F.make_dt_interval(F.expr("CAST(page_id % 200 AS INT)")))
+    text = F.when(F.expr("page_id % 3 = 0"), "---\na").otherwise("text")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("slug"), F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)", 1).alias("title"), text.alias("text"), updated.alias("updated"))
+    return C.wiki_issues(pages, now).select(F.col("slug").alias("page_id"), "issue")
 
 
 @query("trial_count", "SELECT 1 + count(*) FILTER (event_type LIKE 'p%' OR event_type LIKE 'err%') AS n_trials FROM (SELECT event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")
@@ -224,10 +233,25 @@ def trace_parent(spark, d):
     return C.with_parent(e, ["user_id"], ["ts", "id"]).select("id", "parent_id")
 
 
-@query("failure_lessons", "SELECT user_id, event_type, count(*) AS n, max(ts) AS last_ts FROM events WHERE event_type = 'error' GROUP BY user_id, event_type ORDER BY n DESC, user_id LIMIT 20")
+_FAILURES = """f AS (SELECT event_id, ts, CASE WHEN event_type IN ('error', 'click') THEN event_type || CASE WHEN event_id % 2 = 0 THEN ': at ' || user_id ELSE '' END END AS error, CASE WHEN event_id % 5 > 0 THEN repeat('s' || event_id || ' ', CAST(event_id % 60 AS INTEGER)) END AS summary, 'h' || user_id AS hypothesis FROM events)"""
+
+
+@query("failure_lessons", f"""WITH {_FAILURES} SELECT event_id, trim(split_part(error, ':', 1)) AS error_head, CASE WHEN length(coalesce(summary, '')) > 120 THEN left(summary, 117) || '...' ELSE coalesce(summary, '') END AS summary, hypothesis FROM f WHERE lower(trim(split_part(error, ':', 1))) = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def failure_lessons(spark, d):
-    e = table(spark, d, "events").where(C.same_error(F.col("event_type"), F.lit("Error: x")))
-    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts")).orderBy(F.desc("n"), "user_id").limit(20)
+    text = lambda c: F.col(c).cast("string")
+    error = F.when(F.col("event_type").isin("error", "click"), F.concat("event_type", F.when(F.expr("event_id % 2 = 0"), F.concat(F.lit(": at "), text("user_id"))).otherwise("")))
+    summary = F.when(F.expr("event_id % 5 > 0"), F.expr("repeat('s' || event_id || ' ', CAST(event_id % 60 AS INT))"))
+    rows = table(spark, d, "events").select("event_id", "ts", error.alias("error"), summary.alias("summary"), F.concat(F.lit("h"), text("user_id")).alias("hypothesis"))
+    return C.lessons(rows, "Error: x", 20)
+
+
+@query("motif_recall", """WITH m AS (SELECT user_id AS signature, list(CASE WHEN event_type = 'purchase' THEN 2.0 ELSE -1.0 END ORDER BY event_id) AS steps FROM events GROUP BY user_id),
+w AS (SELECT signature, CAST(list_reduce(list_prepend(0.0, steps), lambda a, x: greatest(-10.0, least(10.0, a + x))) AS DOUBLE) AS weight, 'class' || signature % 4 AS head FROM m) SELECT signature, weight FROM w WHERE head = 'class2' ORDER BY weight DESC, signature LIMIT 7""")
+def motif_recall(spark, d):
+    """Of the motifs after errors of one class, those of the largest weight."""
+    prefix = F.concat(F.lit("class"), F.expr("signature % 4").cast("string"), F.lit(": at "), F.col("signature").cast("string"))
+    motifs = C.clamped_weights(_motifs(spark, d)).withColumn("error_prefix", prefix)
+    return C.recalled_motifs(motifs, "class2: of now", 7).select("signature", "weight")
 
 
 @query("audit_verify", """WITH a AS (SELECT user_id AS chain, event_id AS seq, sha256(CAST(event_id AS VARCHAR)) AS hash,
@@ -290,10 +314,11 @@ def catalog_upsert(spark, d):
     return out.select("source", "source_ref", "id", "created_at", "name", "replaced")
 
 
-@query("find_by_hash", "SELECT p_partkey AS id FROM part WHERE substr(sha256(p_name), 1, 16) = (SELECT substr(sha256(p_name), 1, 16) FROM part WHERE p_partkey = 0)")
+@query("find_by_hash", f"WITH {_PART_TEXTS} SELECT id FROM texts WHERE k = 0 AND f = 'close' AND n BETWEEN 15 AND 39")
 def find_by_hash(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.left(F.sha2("p_name", 256), F.lit(16)).alias("h"))
-    return p.join(F.broadcast(p.where("id = 0").select("h")), "h", "left_semi").select("id")
+    """The parts whose expression has the hash of Rank(Delta(close, 19)), whose window is one of the bucket of 20."""
+    rows = part_texts(spark, d)
+    return C.with_expr_hash(rows).where(F.col("expr_hash") == X.expr_hash("Rank(Delta($close, 19))")).select("id")
 
 
 _FACTORS = "f AS (SELECT p_partkey AS id, p_name AS name, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size - 20) / 200.0::DOUBLE AS rank_ic, (p_size % 7 - 3)::DOUBLE AS sharpe, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir, CASE WHEN p_size % 13 = 0 THEN 'NaN'::DOUBLE ELSE (p_size % 3 - 1) / 4.0::DOUBLE END AS selection_score, p_brand AS hypothesis, p_partkey % 120 AS n_days, p_partkey % 4 > 0 AS has_returns FROM part)"
@@ -352,33 +377,35 @@ def adversary_tolerance(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), G.within_tolerance(recorded, recorded + F.col("p_size")).alias("within"))
 
 
-# Parts as records: their series are those of the part pool, their panel the one of their brand's suppliers, their code an expression of the corpus.
-@query("evaluate_gates", f"""WITH {_POOL_SERIES}, own AS (SELECT 'p' || p_partkey % 320 AS series_id, p_partkey AS id FROM part),
+# Parts as records: their series are those of the part pool, their panel the one of their brand's suppliers, their code an expression of the part,
+# now and then nothing or four times the expression.
+@query("evaluate_gates", f"""WITH {_POOL_SERIES}, {_PART_TEXTS}, {DSR_SQL.format(trials=S.chance_factor(TRIALS))}, own AS (SELECT 'p' || p_partkey % {POOL} AS series_id, p_partkey AS id FROM part),
 sizes AS (SELECT p_brand, count(DISTINCT l_suppkey) AS n_assets, count(DISTINCT date_trunc('month', l_shipdate)) AS n_days FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
 lens AS (SELECT series_id, count(*) AS n_returns FROM series GROUP BY series_id),
 pairs AS (SELECT a.series_id AS a, b.series_id AS b, count(*) AS n, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id <> b.series_id WHERE b.series_id IN ('p1', 'p2', 'p3', 'p4', 'p5') GROUP BY 1, 2),
 most AS (SELECT a AS series_id, max(corr) FILTER (n >= 10 AND b IN ('p1', 'p2', 'p3')) AS pool_corr, max(corr) FILTER (n >= 10 AND b IN ('p4', 'p5')) AS library_corr FROM pairs GROUP BY a),
-texts AS (SELECT * FROM (VALUES {_GATE_ROWS}) t(k, code, similarity, sl, pc, fc)),
-f AS (SELECT p_partkey AS id, p_brand, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir, (p_size % 50) / 49.0::DOUBLE AS dsr, p_partkey % {_N_GATES} AS k FROM part),
-r AS (SELECT f.*, n_assets, n_days, coalesce(n_returns, 0) AS n_returns, pool_corr, library_corr, code, similarity, sl, pc, fc FROM f JOIN own USING (id) LEFT JOIN sizes USING (p_brand) LEFT JOIN lens USING (series_id) LEFT JOIN most USING (series_id) JOIN texts USING (k))
-SELECT id, array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'simulated' END, CASE WHEN coalesce(n_assets < 50 OR n_days < 60, true) THEN 'thin_panel' END, CASE WHEN id % 23 = 0 THEN 'missing_ic' WHEN abs(ic) <= 0.005 THEN 'ic_threshold' END, CASE WHEN n_returns = 0 THEN 'missing_returns' END,
-  CASE WHEN n_returns > 0 AND pool_corr > 0.7 THEN 'correlated' END, CASE WHEN n_returns > 0 AND id % 31 = 0 THEN 'corr_error:no pool' END, CASE WHEN trim(code) = '' THEN 'empty_code' END, CASE WHEN n_returns > 0 AND abs(ic_ir * sqrt(n_returns)) < 3 THEN 'weak_ic' END, CASE WHEN dsr < 0.95 THEN 'inflated_sharpe' END,
-  CASE WHEN similarity > 0.85 THEN 'homogeneous' END, CASE WHEN sl > 40 OR pc > 6 OR fc > 8 THEN 'overcomplex' END], lambda x: x IS NOT NULL), ',') AS failures FROM r""")
+codes AS (SELECT id, k, id % 37 = 0 AS empty, id % 29 = 0 AS long, expr FROM texts),
+counts AS (SELECT codes.*, CASE WHEN long THEN 4 * sl + 3 ELSE sl END AS sl, CASE WHEN long THEN 4 * pc ELSE pc END AS pc FROM codes LEFT JOIN (VALUES {', '.join(f'({k}, {c[0]}, {c[1]})' for k, c in enumerate(FORM_COUNTS) if c)}) t(k, sl, pc) USING (k)),
+f AS (SELECT p_partkey AS id, p_brand, (p_size - 25) / 250.0::DOUBLE AS ic, (p_size % 11 - 5) / 10.0::DOUBLE AS ic_ir FROM part),
+r AS (SELECT f.*, n_assets, n_days, coalesce(n_returns, 0) AS n_returns, pool_corr, library_corr, dsr, empty, long, k, expr, sl, pc FROM f JOIN own USING (id) LEFT JOIN sizes USING (p_brand) LEFT JOIN lens USING (series_id) LEFT JOIN most USING (series_id) LEFT JOIN dsr USING (series_id) JOIN counts USING (id))
+  SELECT id, array_to_string(list_filter([CASE WHEN id % 13 = 0 THEN 'simulated' END, CASE WHEN coalesce(n_assets < 50 OR n_days < 60, true) THEN 'thin_panel' END, CASE WHEN id % 23 = 0 THEN 'missing_ic' WHEN abs(ic) <= 0.005 THEN 'ic_threshold' END, CASE WHEN n_returns = 0 THEN 'missing_returns' END,
+  CASE WHEN n_returns > 0 AND pool_corr > 0.7 THEN 'correlated' END, CASE WHEN n_returns > 0 AND id % 31 = 0 THEN 'corr_error:no pool' END, CASE WHEN empty THEN 'empty_code' END, CASE WHEN n_returns > 0 AND abs(ic_ir * sqrt(n_returns)) < 3 THEN 'weak_ic' END, CASE WHEN dsr < 0.95 THEN 'inflated_sharpe' END,
+  CASE WHEN NOT empty AND NOT long AND expr IN ({_KNOWN}) AND k <> 7 THEN 'homogeneous' END, CASE WHEN NOT empty AND k <> 7 AND (sl > 40 OR pc > 6) THEN 'overcomplex' END], lambda x: x IS NOT NULL), ',') AS failures FROM r""")
 def evaluate_gates(spark, d):
     series = saved(pool_series(spark, d), "series")
     part, items = table(spark, d, "part"), table(spark, d, "lineitem")
     sizes = items.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy("p_brand").agg(F.count_distinct("l_suppkey").alias("n_assets"), F.count_distinct(F.trunc("l_shipdate", "month")).alias("n_days"))
     lens = series.groupBy("series_id").agg(F.count("*").alias("n_returns"))
-    most = None
-    for name, members in (("pool_corr", ["p1", "p2", "p3"]), ("library_corr", ["p4", "p5"])):
-        for m in members:
-            one = S.correlation_with(series, m).select(F.col("b").alias("series_id"), F.lit(name).alias("of"), "corr")
-            most = one if most is None else most.unionByName(one)
-    most = most.groupBy("series_id").agg(*(F.max(F.when(F.col("of") == k, F.col("corr"))).alias(k) for k in ("pool_corr", "library_corr")))
-    texts = spark.createDataFrame([(k, t, s, c["sl"], c["pc"], c["fc"]) for k, (t, s, c) in enumerate(_gate_texts())], "k int, code string, similarity double, sl int, pc int, fc int")
-    f = part.select(F.col("p_partkey").alias("id"), "p_brand", F.concat(F.lit("p"), F.expr("p_partkey % 320").cast("string")).alias("series_id"), F.expr(f"CAST(p_partkey % {len(_gate_texts())} AS INT)").alias("k"), F.expr("(p_size - 25) / 250D").alias("ic"), F.expr("(p_size % 11 - 5) / 10D").alias("ic_ir"), F.expr("(p_size % 50) / 49D").alias("dsr"))
-    f = f.join(sizes, "p_brand", "left").join(lens, "series_id", "left").join(most, "series_id", "left").join(F.broadcast(texts), "k")
+    members = {"pool_corr": ["p1", "p2", "p3"], "library_corr": ["p4", "p5"]}
+    most = S.correlations_with(series, [m for ms in members.values() for m in ms])
+    most = most.groupBy(F.col("b").alias("series_id")).agg(*(F.max(F.when(F.col("a").isin(ms), F.col("corr"))).alias(k) for k, ms in members.items()))
     every = lambda k: F.expr(f"id % {k} = 0")
+    four = F.when(every(29), F.array_join(F.array_repeat("expr", 4), " + ")).otherwise(F.col("expr"))
+    codes = saved(part_texts(spark, d).select("id", F.when(every(37), " ").otherwise(four).alias("expr")), "codes")
+    alike = T.most_similar(codes, spark.createDataFrame([(t,) for t in GATE_CORPUS], "expr string"))
+    codes = codes.join(T.described(codes).select("expr", "sl", "pc", "fc"), "expr").join(alike, "expr", "left")
+    f = part.select(F.col("p_partkey").alias("id"), "p_brand", F.concat(F.lit("p"), F.expr(f"p_partkey % {POOL}").cast("string")).alias("series_id"), F.expr("(p_size - 25) / 250D").alias("ic"), F.expr("(p_size % 11 - 5) / 10D").alias("ic_ir"))
+    f = f.join(sizes, "p_brand", "left").join(lens, "series_id", "left").join(most, "series_id", "left").join(S.deflated_sharpe(series, TRIALS), "series_id", "left").join(codes.withColumnRenamed("expr", "code"), "id")
     record = {c: F.col(c) for c in ("n_assets", "n_days", "n_returns", "pool_corr", "library_corr", "code", "ic_ir", "dsr", "similarity", "sl", "pc", "fc")}
     record |= {"simulated": every(13), "formula_proxy": F.lit(False), "ic": F.when(every(23), float("nan")).otherwise(F.col("ic")), "corr_error": F.when(every(31), "no pool")}
     return f.select("id", F.array_join(G.failures(record, "to_pool"), ",").alias("failures"))
@@ -388,12 +415,6 @@ def _named(spark, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-@query("structural_dedup")
-def structural_dedup(spark, d):
-    candidates = [("a", "Rank(Delta(close, 21))"), ("b", "Rank(Delta(volume, 20))"), ("c", "-Rank(Corr(open, volume, 20))"), ("d", "not an expression ("), ("e", "Rank(Std(high, 5)) * Mean(low, 7)")]
-    return _named(spark, pool.structural_dedup(candidates, ZOO), "name string, expr string")
-
-
 @query("pool_cull", f"""WITH RECURSIVE {_POOL_SERIES}, {_POOL_FACTORS},
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS k FROM factors WHERE NOT simulated AND abs(ic) > 0.005),
 close AS MATERIALIZED (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS earlier FROM (SELECT a.series_id AS a, b.series_id AS b, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS corr FROM series a JOIN series b ON a.d = b.d AND a.series_id < b.series_id GROUP BY 1, 2 HAVING count(*) >= 10) p
@@ -425,18 +446,3 @@ dist AS MATERIALIZED (SELECT a.series_id AS a, b.series_id AS b, CASE WHEN count
 def diverse_samples(spark, d):
     series = saved(pool_series(spark, d), "series")
     return _named(spark, list(enumerate(pool.diverse_samples(pool_factors(spark, d), series, SAMPLES))), "rank int, name string")
-
-
-@query("chain_decision")
-def chain_decision(spark, d):
-    corr = pool.correlations(returns(spark, d))
-    chains: list = []
-    out = []
-    for name, rank_ic in (("mom_close_20", 0.01), ("rev_close_5", 0.03), ("shock_volume_20", 0.02), ("mom_close_20", 0.05)):
-        decision, at = pool.chain_decision((name, rank_ic), chains, lambda a, b: 1.0 if a == b else corr(a, b))
-        if decision == "new":
-            chains.append([(name, rank_ic)])
-        elif decision == "extend":
-            chains[at].append((name, rank_ic))
-        out.append((name, decision, at))
-    return _named(spark, out, "name string, decision string, chain int")

@@ -71,6 +71,16 @@ def default_universe(stats_row) -> str:
     return "local_panel" if stats_row is None or stats_row["thin"] else "csi300"
 
 
+# The window where nothing else is known.
+WINDOW = ("2024-01-02", "2024-03-29")
+
+
+def default_window(stats_row, start: str | None = None, end: str | None = None) -> tuple[str, str]:
+    """What is asked for, else the panel's first and last day, else WINDOW; each end by itself."""
+    known = (None, None) if stats_row is None else (stats_row["first_day"], stats_row["last_day"])
+    return tuple(asked or (str(day)[:10] if day is not None else fixed) for asked, day, fixed in zip((start, end), known, WINDOW, strict=True))
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
