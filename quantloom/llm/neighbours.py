@@ -301,7 +301,8 @@ def _truth(ids: np.ndarray, codes: np.ndarray, wanted: int):
 
 
 def _least(rows: DataFrame, probes: list, wanted: int) -> dict[int, float]:
-    """By probe (node, code): the similarity of the wanted-th best of rows (node, code, weight)."""
+    """By node of the probes (node, code): the similarity of the wanted-th best of rows (node, code, weight)."""
+    probes = list({r["node"]: r for r in probes}.values())
     ids = np.array([r["node"] for r in probes])
     codes = np.stack([np.frombuffer(r["code"], np.float16) for r in probes]).astype(np.float32)
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim")))
