@@ -66,6 +66,9 @@ def predictions(x: np.ndarray, y: np.ndarray, steps: np.ndarray, common: int, ro
         node = np.zeros((fits, n), np.int64)
         for level in range(depth):
             count = 1 << level
+            if np.bincount(fit * count + node[fit, row]).max() < 2 * least:  # no node can be split any further
+                node <<= depth - level
+                break
             at = (fit * count + node[fit, row])[:, None] * lags * width + np.arange(lags) * width + code[row]
             shape = (fits, count, lags, width)
             size = np.bincount(at.ravel(), minlength=np.prod(shape)).reshape(shape).cumsum(axis=3)
