@@ -83,6 +83,16 @@ def test_boosting_equals_a_refit(name):
     assert np.allclose(got, boosted_by_brute_force(values, **kw), atol=1e-9)
 
 
+def test_boosting_of_many_series_side_by_side():
+    rng = np.random.default_rng(4)
+    values = [rng.normal(0, 0.02, n) for n in (40, 70, 55, 20)] + [f(rng) for f in SERIES.values()]
+    kw = {"rounds": 8, "rate": 0.3, "depth": 3, "least": 5}
+    parts = [B.lagged(np.asarray(v, float)) for v in values]
+    got = B.side_by_side([(x, y, np.arange(B.LEAST_TRAIN, len(y)), B.LEAST_TRAIN) for x, y in parts], **kw)
+    for v, pred in zip(values, got, strict=True):
+        assert np.allclose(pred, boosted_by_brute_force(v, **kw), atol=1e-9)
+
+
 def test_boosting_with_few_bins_does_not_look_ahead():
     rng = np.random.default_rng(5)
     values = rng.normal(0, 0.02, 90)
