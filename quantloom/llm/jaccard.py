@@ -8,7 +8,7 @@ Two documents link when DEN * overlap >= NUM * union of their shingle sets. The
    n - ceil(t n) + 1 ones. The order puts frequent shingles last (a bounded table of them, from local
    counts; any order is right), so passages that many documents share make no large blocks. A token's
    rows are split by size: bands of doubling sizes, in which a set of the next lower band takes part
-   as a guest if it is large enough.
+   as a guest if it is large enough. Of blocks with the same sets only one is kept.
 3. Signature trees give all pairs of a block: sets at the bottom, above them nodes with the OR of
    their members' shingle bitmaps, the size range, the least bit count and the components below. A
    dual traversal of tree pairs drops node pairs whose largest possible overlap is too small, down to
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import words as W
@@ -412,7 +412,11 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """token, band, rep, n, pos, home of the rows of all blocks that can hold a link, and alone: the share of the set's tokens that no block has."""
+    """token, band, rep, n, pos, home of the rows of all blocks that can hold a link, and alone: the share of the set's tokens that no block has.
+
+    Of blocks with the same sets, as near copies have by the dozen, the one of the first token in the global order stands
+    for all: it is the first common token of every pair in them that shares none before.
+    """
     tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n")
     often = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     band = F.length(F.bin("n")) - 1
@@ -422,12 +426,13 @@ def _blocks(classes: DataFrame, num: int, den: int) -> DataFrame:
     rows = saved(rows.withColumn("home", F.col("band") == band), "rows")
     # Some row stands so early that it can be the smaller one of a pair at its first common token.
     early = (num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")
-    stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"))
-    stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band"), "stats")
+    stats = rows.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(early).alias("early"), F.max("home").alias("own"), F.min("pos").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2"))
+    lead = F.min("first").over(Window.partitionBy("band", "c", "x1", "x2")) == F.col("first")
+    stats = saved(stats.where(f"c > 1 AND early AND own AND (c > 2 OR {den} * low >= {num} * high)").select("token", "band", lead.alias("lead")), "stats")
     kept = saved(rows.join(stats, ["token", "band"]), "kept")
     prefix = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
     alone = saved(kept.where("home").groupBy("rep", "n").agg(F.count("*").alias("m")).select("rep", (1 - F.col("m") / prefix).alias("alone")), "alone")
-    out = saved(kept.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(1.0))), "blocks")
+    out = saved(kept.where("lead").drop("lead").join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(1.0))), "blocks")
     for t in (often, rows, stats, kept, alone):
         dropped(t)
     return out

@@ -455,6 +455,14 @@ def test_keep_one(docs, empty):
     assert 30 in ids and 31 not in ids and 32 not in ids and 33 not in ids and jaccard.keep_one(empty).count() == 0
 
 
+def test_blocks_with_the_same_sets_are_kept_once(spark):
+    sets = [(0, 20, [1, 2, 3, 9]), (1, 20, [1, 2, 3, 8]), (2, 20, [2, 4, 5, 6])]
+    rows = jaccard._blocks(spark.createDataFrame(sets, "rep long, n long, prefix array<long>"), 85, 100)
+    assert sorted((r["token"], r["rep"], r["pos"]) for r in rows.collect()) == [(1, 0, 0), (1, 1, 0), (2, 0, 1), (2, 1, 1), (2, 2, 0)]
+    rows = jaccard._blocks(spark.createDataFrame(sets[:2], "rep long, n long, prefix array<long>"), 85, 100)
+    assert sorted((r["token"], r["rep"], r["pos"]) for r in rows.collect()) == [(1, 0, 0), (1, 1, 0)]
+
+
 def test_jaccard_thresholds(docs):
     for num in (49, 101):
         with pytest.raises(ValueError):
