@@ -1,19 +1,24 @@
 """Approximate nearest neighbours: an NN-descent graph by iterative joins, and greedy graph search.
 
 Equal vectors form one node with a key of its own that knows its smallest ids, so a group of copies costs one
-node, and an id that comes with several vectors is in several nodes. A few
-small random-projection cells give first, mostly wrong neighbours. Each descent round then joins nodes
-to their neighbours' neighbours: at every node meet a draw of its neighbours and of the nodes that
+node, and an id that comes with several vectors is in several nodes. The graph is fitted on a documented sample
+of the nodes, the leaders: all up to LEAST_LEADERS, then one of LEADER_ROWS, and about MOST_LEADERS at most. A few
+small random-projection cells give first, mostly wrong neighbours. Each descent round then joins leaders
+to their neighbours' neighbours: at every leader meet a draw of its neighbours and of those that
 have it as one, and pairs of which one is new there (not yet compared in an earlier round) are scored;
-better ones go back to their nodes, which keep the GRAPH_K best. A hub meets another draw of the nodes
+better ones go back to their leaders, which keep the GRAPH_K best. A hub meets another draw of those
 that point to it in each round. Rounds go on until one changes at most DELTA of the graph. Then the
-neighbours of a sample of nodes are compared with those of a full scan; while fewer than RECALL of
-them are right, the graph gets more neighbours a node, newly drawn cells and further rounds, so its size
-follows the table; nothing bounds that but the number of nodes. Codes are unit vectors of 16-bit floats. A
-query starts at its own node, and in each step opens the best nodes that it has not opened yet, until all in
-its beam are open; the best nodes found are scored in double precision on the original vectors and expanded
+neighbours of a sample are compared with those of a full scan; while fewer than RECALL of
+them are right, the graph gets more neighbours a leader, newly drawn cells and further rounds.
+
+Every node, leader or not, is then put into the graph by a greedy search, on the lists of the HOMES best leaders that
+it finds. A query is searched in the graph likewise and goes through the lists of its best leaders; how many it
+opens is chosen by a full scan for PROBES queries, such that they meet AIM of their neighbours, and grows
+with the table where it must, to all leaders if need be. Queries and lists meet in one shuffle by leader, packed. The lists of
+the first leaders tell which similarity the others must reach. Vectors travel as 16-bit residues from their leader, so
+near copies are told apart. The best nodes found are scored in double precision on the original vectors and expanded
 to ids. The results of a sample of queries are compared with those of a full scan as well; while fewer than
-RECALL are right, all queries are searched again with a beam twice as wide. Queries that still have fewer
+RECALL are right, all queries are searched again with half as many leaders more. Queries that still have fewer
 results than there are candidates for are answered by a full scan, in blocks of SCANNED.
 
 Defined results: vectors that are null, empty, zero, of a length other than the commonest, or that
@@ -25,6 +30,7 @@ any pair of vectors; an empty table gives no rows; other columns are ignored. Ev
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +50,27 @@ DELTA, RECALL, PROBES = 0.02, 0.92, 256
 ROUNDING = 2e-4
 #: Rows aimed at for each random-projection cell, the most compared at once, and how many times cells are drawn.
 CELL_ROWS, CELL_MOST, CELL_TREES = 128, 1024, 2
-BEAM, OPEN = 96, 16
+BEAM, OPEN = 96, 32
+#: Nodes a leader, the least and the most leaders that are drawn (as expected), and how many of them list a node.
+LEADER_ROWS, LEAST_LEADERS, MOST_LEADERS, HOMES = 256, 1024, 2048, 3
+#: Links of a leader that a search follows, leaders that every search begins with, and the beam by which nodes are listed.
+LINKS, ENTRIES, INSERT_BEAM, INSERT_OPEN = 16, 512, 8, 4
+#: Share of the probes' neighbours for which the beam is chosen, leaders whose lists are gone through first, nodes kept for the exact scores, and queries a task of walks.
+AIM, FIRST, KEPT, WALKED = 0.94, 8, 16, 512
 SAMPLE_ROWS, SCANNED = 2000, 256
-#: Rows of neighbours or members that a Python task works on at once.
-AT_ONCE = 1 << 18
+#: Rows of neighbours or members that a Python task works on at once, and of a list that queries are compared with.
+AT_ONCE, TILE = 1 << 18, 4096
 GRAPH = "node long, code binary, neighbours binary, sims binary, flags binary"
 MERGED = f"{GRAPH}, fresh int"
 
 
 def usable(table: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """id, vector (array<double>) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
-    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.where(F.col(id_column).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("vector"))
+    """id, vector (floats or doubles), h1, h2 of the rows that take part; both zeros have one hash."""
+    v = F.col(vector).cast("array<float>" if table.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
+    # The largest is NaN where one is, and nulls are passed over.
+    most, least = F.array_max(v), F.array_min(v)
+    fine = ~F.isnan(most) & (most < float("inf")) & (least > float("-inf")) & ((most != 0) | (least != 0)) & ~F.exists(v, lambda x: x.isNull())
+    rows = table.where(F.col(id_column).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), v.alias("vector"))
     size = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     return rows.where(F.size("vector") == (size["size"] if size else 0)).withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
 
@@ -75,23 +89,28 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def units(column: pa.Array) -> np.ndarray:
+    v = _matrix(column, None).astype(np.float64)
+    return unit(v / np.abs(v).max(axis=1, keepdims=True))
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if len(b):
-            v = _matrix(b.column(1), None)
-            code = unit(v / np.abs(v).max(axis=1, keepdims=True)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([*b.columns, as_binary(code.ravel(), np.arange(len(b) + 1) * v.shape[1])], [*b.schema.names, "code"])
+            code = units(b.column(1)).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([*b.columns, as_binary(code.ravel(), np.arange(len(b) + 1) * code.shape[1])], [*b.schema.names, "code"])
 
 
 def nodes_of(rows: DataFrame, wanted: int) -> DataFrame:
-    """node (a key of its own), vector, ids (the wanted + 1 smallest), code of each distinct vector; to be written before use, as keys come from the order of rows.
+    """node (a key of its own), h1, h2, vector, ids (the wanted + 1 smallest), code of each distinct vector; to be written before use, as keys come from the order of rows.
 
     The rank limit is applied before the shuffle too, so copies don't travel.
     """
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))
     top = rows.withColumn("rank", rank).where(F.col("rank") <= wanted + 1)
     grouped = top.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_set("id")).alias("ids"))
-    return grouped.select(F.monotonically_increasing_id().alias("node"), "vector", "ids").mapInArrow(_encode, "node long, vector array<double>, ids array<long>, code binary")
+    kind = dict(rows.dtypes)["vector"]
+    return grouped.select(F.monotonically_increasing_id().alias("node"), "vector", "ids", "h1", "h2").mapInArrow(_encode, f"node long, vector {kind}, ids array<long>, h1 long, h2 long, code binary")
 
 
 def _cells(planes: np.ndarray, middle: np.ndarray):
@@ -289,10 +308,18 @@ def _truth(ids: np.ndarray, codes: np.ndarray, wanted: int):
             if not len(b):
                 continue
             weight = np.minimum(b.column(2).to_numpy(), wanted + 1)
-            s = np.repeat(codes @ _matrix(b.column(1), np.float16).astype(np.float32).T, weight, axis=1)
-            first = np.cumsum(weight) - weight
+            s = codes @ _matrix(b.column(1), np.float16).astype(np.float32).T
+            # Only what may be among the best goes on, with the probes' own.
             own, at = np.nonzero(ids[:, None] == b.column(0).to_numpy())
-            s[own, first[at]] = -2
+            may = (s > best.min(axis=1)[:, None]).any(axis=0) if best.shape[1] == wanted else np.ones(len(b), bool)
+            may[at] = True
+            place = np.cumsum(may) - 1
+            weight = weight[may]
+            s = np.repeat(s[:, may], weight, axis=1)
+            first = np.cumsum(weight) - weight
+            s[own, first[place[at]]] = -2
+            if not s.shape[1]:
+                continue
             best = np.concatenate([best, s], axis=1)
             best = np.take_along_axis(best, _best(best, wanted), 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel())], ["node", "sim"])
@@ -389,71 +416,276 @@ def graph_of(nodes: DataFrame, k: int = GRAPH_K, trees: int = CELL_TREES, wanted
         graph = more
 
 
-STATE = "q long, u long, code binary, beam binary, sims binary, opened binary"
+class Leaders:
+    """The graph of the leaders as arrays, in which vectors are searched: a bounded number of rows, sent to the tasks."""
+
+    def __init__(self, graph: DataFrame, links: int = LINKS):
+        rows = sorted(graph.select("node", "code", "neighbours").collect(), key=lambda r: r["node"])
+        self.key = np.array([r["node"] for r in rows], np.int64)
+        self.code = np.stack([np.frombuffer(r["code"], np.float16) for r in rows]) if rows else np.zeros((0, 1), np.float16)
+        near = [np.searchsorted(self.key, np.frombuffer(r["neighbours"], np.int64)[:links]) for r in rows]
+        width = max([1, *map(len, near)])
+        # A row with fewer neighbours is filled up with the leader itself.
+        self.links = np.array([np.concatenate([v, np.full(width - len(v), k)]) for k, v in enumerate(near)], np.int32).reshape(len(rows), width)
+        # The keys come from the order of rows, so the first ones are spread by a draw.
+        self.entries = np.sort(np.random.default_rng(21).permutation(len(rows))[:ENTRIES])
+
+    def residues(self, place: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What is left of unit vectors without their leaders: small, and so exact, among near copies."""
+        return (x - self.code[place]).astype(np.float16)
+
+    def vectors(self, place, residues: np.ndarray) -> np.ndarray:
+        return self.code[place].astype(np.float32) + residues.astype(np.float32)
+
+    def walk(self, x: np.ndarray, beam: int, width: int) -> np.ndarray:
+        """For each row of x the places of its `beam` best leaders, best first, as a greedy search finds them; fewer are filled up with -1."""
+        beam, code = min(beam, len(self.key)), self.code.astype(np.float32)
+        step = max(1, AT_ONCE // max(1, min(width, beam) * self.links.shape[1]) // 4)
+        return np.concatenate([self._walk(x[i : i + step], code, beam, width) for i in range(0, len(x), step)]) if len(x) else np.zeros((0, beam), np.int32)
+
+    def _walk(self, x: np.ndarray, code: np.ndarray, beam: int, width: int) -> np.ndarray:
+        s = x @ code[self.entries].T
+        best = _best(s, min(beam, s.shape[1]))
+        found = np.full((len(x), beam), -1, np.int32)
+        sims = np.full((len(x), beam), -4, np.float32)
+        found[:, : best.shape[1]], sims[:, : best.shape[1]] = self.entries[best], np.take_along_axis(s, best, 1)
+        closed, live = found < 0, np.arange(len(x))
+        while len(live):
+            f, v, c = found[live], sims[live], closed[live]
+            ahead = _best(np.where(c, -4, v), min(width, beam))
+            u = np.take_along_axis(f, ahead, 1)
+            fresh = ~np.take_along_axis(c, ahead, 1)
+            np.put_along_axis(c, ahead, True, 1)
+            near = np.where(fresh[:, :, None], self.links[u], -1).reshape(len(live), -1)
+            s = np.where(near < 0, -4, (code[near] @ x[live][:, :, None])[:, :, 0]).astype(np.float32)
+            f, v, c = np.concatenate([f, near], 1), np.concatenate([v, s], 1), np.concatenate([c, near < 0], 1)
+            # Of a leader that comes again, the one in the beam stays.
+            order = np.argsort(f, axis=1, kind="stable")
+            again = np.zeros(f.shape, bool)
+            by_id = np.take_along_axis(f, order, 1)
+            np.put_along_axis(again, order[:, 1:], by_id[:, 1:] == by_id[:, :-1], 1)
+            v[again], c[again] = -4, True
+            best = _best(v, beam)
+            f, v, c = (np.take_along_axis(a, best, 1) for a in (f, v, c))
+            f[v <= -4] = -1
+            found[live], sims[live], closed[live] = f, v, c
+            live = live[~c.all(axis=1)]
+        return np.take_along_axis(found, np.argsort(-sims, axis=1, kind="stable"), 1)
+
+
+def leaders_of(nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes that lead: of n nodes, all up to LEAST_LEADERS, then one of LEADER_ROWS, and about MOST_LEADERS at most."""
+    share = min(MOST_LEADERS, max(LEAST_LEADERS, n // LEADER_ROWS)) / max(n, 1)
+    return nodes.where(F.pmod(F.xxhash64(F.lit("leader"), "node"), F.lit(1 << 30)) / float(1 << 30) < share)
+
+
+def _packed(leader: np.ndarray, kind: int, *values: np.ndarray) -> pa.RecordBatch:
+    """A row (leader, kind, packed values) for each leader."""
+    order = np.argsort(leader, kind="stable")
+    edge = run_bounds(leader[order])
+    heads = leader[order][edge[:-1]].astype(np.int64)
+    columns = [as_binary(v[order].ravel(), edge * (v.shape[1] if v.ndim > 1 else 1)) for v in values]
+    columns += [pa.nulls(len(heads), pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(heads), pa.array(np.full(len(heads), kind, np.int32)), *columns], ["leader", "kind", "keys", "codes", "least"])
+
+
+LISTS = "leader long, kind int, keys binary, codes binary, least binary"
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Graph rows of query nodes -> their first states."""
-    for b in batches:
-        n = np.array([len(x.as_buffer()) // 8 for x in b.column(2)], np.int64)
-        opened = as_binary(np.zeros(n.sum(), np.uint8), np.concatenate(([0], np.cumsum(n))))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(len(b), pa.int64()), b.column(1), b.column(2), b.column(3), opened], ["q", "u", "code", "beam", "sims", "opened"])
+def _insert(leaders: Leaders):
+    """(node, vector) -> the lists of the leaders, packed: every node is on those of its HOMES nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _bundles(batches, AT_ONCE // 4):
+            x = units(b.column(1)).astype(np.float32)
+            home = leaders.walk(x, INSERT_BEAM, INSERT_OPEN)[:, :HOMES]
+            row, at = np.nonzero(home >= 0)
+            yield _packed(home[row, at], 1, b.column(0).to_numpy()[row], leaders.residues(home[row, at], x[row]))
+
+    return run
+
+
+def lists_of(nodes: DataFrame, leaders: Leaders) -> DataFrame:
+    """Every node on the lists of its nearest leaders, as the search in their graph finds them: leader (its place), kind, keys and codes (residues, packed)."""
+    return saved(nodes.select("node", "vector").mapInArrow(_insert(leaders), LISTS), "lists")
 
 
-def _frontier(width: int):
-    """States -> (q, v) for the best nodes that are not opened."""
+def _walks(leaders: Leaders, beam: int, width: int):
+    """(q, vector) -> (q, unit vector, beam): the leaders to be opened, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, v = [], []
-            for own, beam, opened in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                at = np.flatnonzero(np.frombuffer(opened.as_buffer(), np.uint8) == 0)[:width]
-                q.append(np.full(len(at), own, np.int64))
-                v.append(np.frombuffer(beam.as_buffer(), np.int64)[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (q, v)], ["q", "v"])
+            if len(b):
+                x = units(b.column(1)).astype(np.float32)
+                found = leaders.walk(x, beam, width)
+                yield pa.RecordBatch.from_arrays([b.column(0), as_binary(x.ravel(), np.arange(len(b) + 1) * x.shape[1]), as_binary(found.ravel(), np.arange(len(b) + 1) * found.shape[1])], ["q", "code", "beam"])
 
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        u, n = binaries(b.column(1), np.int64)
-        pair = np.unique(np.stack([np.repeat(b.column(0).to_numpy(), n), u], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["q", "u"])
+def _asks(leaders: Leaders, first: int, last: int | None):
+    """(q, code, beam, least) -> the queries packed by each of their leaders from the first to before the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _bundles(batches, SCANNED * 4):
+            leader = _matrix(b.column(2), np.int32)[:, first:last]
+            row, at = np.nonzero(leader >= 0)
+            if len(row):
+                yield _packed(leader[row, at], 0, b.column(0).to_numpy()[row], leaders.residues(leader[row, at], _matrix(b.column(1), np.float32)[row]), b.column(3).to_numpy()[row].astype(np.float32))
+
+    return run
+
+
+FOUND = "q long, nodes binary, sims binary"
+
+
+def _kept(q: np.ndarray, node: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of each q its `most` best nodes, each once, best first."""
+    order = np.lexsort((node, q))
+    q, node, sim = q[order], node[order], sim[order]
+    once = np.ones(len(q), bool)
+    once[1:] = (q[1:] != q[:-1]) | (node[1:] != node[:-1])
+    q, node, sim = q[once], node[once], sim[once]
+    order = np.lexsort((node, -sim, q))
+    q, node, sim = q[order], node[order], sim[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[near], node[near], sim[near]
+
+
+def _found(q: np.ndarray, node: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    edge = run_bounds(q)
+    return pa.RecordBatch.from_arrays([pa.array(q[edge[:-1]]), as_binary(node, edge), as_binary(sim, edge)], ["q", "nodes", "sims"])
 
 
-def _advance(width: int, beam_width: int):
-    """States with their new candidates, sorted by q and then u with the state first -> the next states."""
+def _meet(leaders: Leaders, most: int):
+    """Rows sorted by leader, the queries of each before its list -> for the queries their `most` best nodes of the lists, of those that reach `least`."""
+
+    def compared(asked: list, rows: list, out: list) -> int:
+        if len(asked) > 1:
+            asked[:] = [tuple(np.concatenate(v) for v in zip(*asked, strict=True))]
+        keys, x = (np.concatenate(v) for v in zip(*rows, strict=True))
+        n = 0
+        for (q, y, low), i, j in itertools.product(asked, range(0, len(asked[0][0]) if asked else 0, TILE // 4), range(0, len(keys), TILE)):
+            some = slice(i, i + TILE // 4)
+            s = y[some] @ x[j : j + TILE].T
+            row, col = np.nonzero(s >= low[some, None])
+            if len(row) > most * len(s):
+                best = _best(s, most)
+                row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+            out.append((q[i + row], keys[j + col], s[row, col]))
+            n += len(row)
+        return n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, rows, out, listed, held = None, [], [], [], 0, 0
+        for leader, kind, keys, codes, least in itertools.chain((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), [(None,) * 5]):
+            # A list is gone through when it has ended, and in parts if it is long.
+            if rows and (leader != at or listed >= TILE):
+                held += compared(asked, rows, out)
+                rows, listed = [], 0
+                if held > AT_ONCE * 4:
+                    out = [_kept(*(np.concatenate(v) for v in zip(*out, strict=True)), most)]
+                    held = len(out[0][0])
+                    if held > AT_ONCE:
+                        yield _found(*out[0])
+                        out, held = [], 0
+            if leader != at:
+                at, asked = leader, []
+            if leader is not None:
+                keys = np.frombuffer(keys, np.int64)
+                x = leaders.vectors(leader, np.frombuffer(codes, np.float16).reshape(len(keys), -1))
+                if kind:
+                    rows.append((keys, x))
+                    listed += len(keys)
+                else:
+                    asked.append((keys, x, np.frombuffer(least, np.float32)))
+        if held:
+            yield _found(*_kept(*(np.concatenate(v) for v in zip(*out, strict=True)), most))
+
+    return run
+
+
+def _best_found(most: int):
+    """Rows sorted by q -> one for each with its `most` best nodes, and the similarity that further ones must reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_runs(batches):
-            edge = run_bounds(b.column(0).to_numpy())
-            x = _matrix(b.column(2), np.float16).astype(np.float32)
-            u = b.column(1).fill_null(-1).to_numpy()
-            beams, sims, opened = [], [], []
-            for i, j in zip(edge, edge[1:], strict=False):
-                ids, s, o = (np.frombuffer(b.column(k)[int(i)].as_buffer(), kind) for k, kind in ((3, np.int64), (4, np.float32), (5, np.uint8)))
-                o = o.copy()
-                o[np.flatnonzero(o == 0)[:width]] = 1
-                new = i + 1 + np.flatnonzero(~np.isin(u[i + 1 : j], ids) & (u[i + 1 : j] != b.column(0)[int(i)].as_py()))
-                ids, s, o = np.concatenate([ids, u[new]]), np.concatenate([s, x[new] @ x[i]]), np.concatenate([o, np.zeros(len(new), np.uint8)])
-                order = np.lexsort((ids, -s))[:beam_width]
-                beams.append(ids[order])
-                sims.append(s[order].astype(np.float32))
-                opened.append(o[order])
-            heads = pa.array(edge[:-1])
-            bound = np.concatenate(([0], np.cumsum([len(x) for x in beams])))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(heads), b.column(1).take(heads), b.column(2).take(heads), *(as_binary(np.concatenate(v), bound) for v in (beams, sims, opened))], ["q", "u", "code", "beam", "sims", "opened"])
+            node, n = binaries(b.column(1), np.int64)
+            found = _found(*_kept(np.repeat(b.column(0).to_numpy(), n), node, binaries(b.column(2), np.float32)[0], most))
+            sims, n = binaries(found.column(2), np.float32)
+            least = np.where(n < most, -4, sims[np.cumsum(n) - 1] - 2 * ROUNDING).astype(np.float32)
+            yield found.append_column("least", pa.array(least))
 
     return run
 
 
-def _beam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """States -> (q, u) of the beam and of the query's own node."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What was found -> (q, u) with the query's own node."""
     for b in batches:
         u, n = binaries(b.column(1), np.int64)
         q = b.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(q, n), q])), pa.array(np.concatenate([u, q]))], ["q", "u"])
+        pair = np.unique(np.stack([np.concatenate([np.repeat(q, n), q]), np.concatenate([u, q])], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["q", "u"])
+
+
+def _true_depths(leaders: Leaders, asked: np.ndarray, own: np.ndarray, place: np.ndarray, wanted: int):
+    """The lists -> (q, node, sim, depth): the best nodes of a partition for each probe, and at which of its leaders they are met."""
+    most = (wanted + 1) * HOMES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(own))[:, None]
+        sim, node, depth = np.zeros((len(own), 0), np.float32), np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0), np.int32)
+        for b in batches:
+            if not len(b):
+                continue
+            keys, n = binaries(b.column(2), np.int64)
+            leader = np.repeat(b.column(0).to_numpy(), n)
+            s = asked @ leaders.vectors(leader, binaries(b.column(3), np.float16)[0].reshape(len(keys), -1)).T
+            row, at = np.nonzero(own[:, None] == keys)
+            s[row, at] = -4
+            if sim.shape[1] == most:
+                may = (s > sim.min(axis=1)[:, None]).any(axis=0)
+                s, keys, leader = s[:, may], keys[may], leader[may]
+                if not len(keys):
+                    continue
+            best = _best(s, most)
+            sim = np.concatenate([sim, s[every, best]], 1)
+            node = np.concatenate([node, keys[best]], 1)
+            depth = np.concatenate([depth, place[every, leader[best]]], 1)
+            best = _best(sim, most)
+            sim, node, depth = sim[every, best], node[every, best], depth[every, best]
+        q = np.repeat(own, sim.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (q, node.ravel(), sim.ravel(), depth.ravel())], ["q", "node", "sim", "depth"])
+
+    return run
+
+
+def beam_for(lists: DataFrame, leaders: Leaders, nodes: DataFrame, queries: DataFrame, wanted: int = WANTED) -> int:
+    """How many leaders PROBES of the queries must open until they meet AIM of their wanted nearest nodes, by a full scan; BEAM at least."""
+    probes = _drawn_few(queries.select("node").distinct().join(nodes.select("node", "vector"), "node"), "node", queries.count(), ["node", "vector"])
+    if not probes:
+        return BEAM
+    own = np.array([r["node"] for r in probes])
+    asked = unit(scaled(np.array([r["vector"] for r in probes]))).astype(np.float32)
+    order = leaders.walk(asked, len(leaders.key), OPEN)
+    place = np.full((len(own), len(leaders.key)), len(leaders.key), np.int32)
+    row, at = np.nonzero(order >= 0)
+    place[row, order[row, at]] = at
+    met = lists.mapInArrow(_true_depths(leaders, asked, own, place, wanted), "q long, node long, sim float, depth int").where("sim > -3").groupBy("q", "node").agg(F.max("sim").alias("sim"), F.min("depth").alias("depth"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    depths = np.sort([r["depth"] for r in met.withColumn("rank", rank).where(F.col("rank") <= wanted).select("depth").collect()])
+    return max(BEAM, int(depths[min(len(depths) - 1, int(AIM * len(depths)))]) + 1) if len(depths) else BEAM
 
 
 def _first_of_each(vec: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -469,7 +701,7 @@ def _exact(wanted: int):
         for b in whole_runs(batches):
             q, u = b.column(0).to_numpy(), b.column(1).to_numpy()
             edge = run_bounds(q)
-            x = scaled(_matrix(b.column(2), None))
+            x = scaled(_matrix(b.column(2), None).astype(np.float64))
             norm = np.sqrt((x * x).sum(axis=1))
             ids = b.column(3)
             out = ([], [], [])
@@ -487,21 +719,33 @@ def _exact(wanted: int):
     return run
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, wanted: int = WANTED, beam: int = BEAM, width: int = OPEN) -> DataFrame:
-    """query_id, rank, vec_id, score for queries (id, node), whose nodes are in the graph."""
-    starts = queries.select("node").distinct()
-    state = saved(graph.join(starts, "node", "left_semi").select("node", "code", "neighbours", "sims").mapInArrow(_begin, STATE), "state")
-    while not state.where(F.contains("opened", F.lit(bytearray(1)))).isEmpty():
-        ahead = state.select("q", "beam", "opened").mapInArrow(_frontier(width), "q long, v long")
-        reach = ahead.join(graph.select(F.col("node").alias("v"), "neighbours"), "v").select("q", "neighbours").mapInArrow(_spread, "q long, u long").distinct()
-        none = F.lit(None).cast("binary")
-        new = reach.join(graph.select(F.col("node").alias("u"), "code"), "u").select("q", "u", "code", none.alias("beam"), none.alias("sims"), none.alias("opened"))
-        after = saved(_sorted_by(state.unionByName(new), "q", F.col("u").asc_nulls_first()).mapInArrow(_advance(width, beam), STATE), "state")
-        dropped(state)
-        state = after
-    pairs = state.select("q", "beam").mapInArrow(_beam, "q long, u long").join(nodes.select(F.col("node").alias("u"), "vector", "ids"), "u")
-    best = _sorted_by(pairs.select("q", "u", "vector", "ids"), "q").mapInArrow(_exact(wanted), "node long, vec_id long, score double")
-    return _ranked(queries.select(F.col("id").alias("query_id"), "node").join(saved(best, "best"), "node"), wanted)
+def search(nodes: DataFrame, graph: DataFrame | Leaders, queries: DataFrame, wanted: int = WANTED, beam: int = BEAM, width: int = OPEN, lists: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for queries (id, node); the graph is that of some or all of the nodes, and the lists are made where none are given."""
+    leaders = graph if isinstance(graph, Leaders) else Leaders(graph)
+    lists = lists_of(nodes, leaders) if lists is None else lists
+    starts = queries.select("node").distinct().join(nodes.select("node", "vector"), "node").select(F.col("node").alias("q"), "vector")
+    walks = saved(starts.repartition(1 + queries.count() // WALKED, "q").mapInArrow(_walks(leaders, beam, width), "q long, code binary, beam binary"), "walks")
+    most = max(KEPT, wanted + 1)
+
+    def met(asked: DataFrame, first: int, last: int | None) -> DataFrame:
+        asks = asked.select("q", "code", "beam", "least").mapInArrow(_asks(leaders, first, last), LISTS)
+        return _sorted_by(asks.unionByName(lists), "leader", "kind").mapInArrow(_meet(leaders, most), FOUND)
+
+    def best(found: DataFrame) -> DataFrame:
+        return saved(_sorted_by(found, "q").mapInArrow(_best_found(most), FOUND + ", least float"), "best")
+
+    # The lists of the first leaders tell what similarity the nodes on the others must reach.
+    near = best(met(walks.withColumn("least", F.lit(-4.0).cast("float")), 0, FIRST))
+    rest = met(walks.join(near.select("q", "least"), "q", "left").withColumn("least", F.coalesce("least", F.lit(-4.0).cast("float"))), FIRST, None)
+    found = best(near.drop("least").unionByName(rest))
+    # A query that met nothing still has its own node, whose copies may be asked for.
+    none = F.lit(None).cast("binary")
+    alone = walks.join(found, "q", "left_anti").select("q", none.alias("nodes"), none.alias("sims"))
+    pairs = found.drop("least").unionByName(alone).mapInArrow(_pairs, "q long, u long").join(nodes.select(F.col("node").alias("u"), "vector", "ids"), "u")
+    exact = saved(_sorted_by(pairs.select("q", "u", "vector", "ids"), "q").mapInArrow(_exact(wanted), "node long, vec_id long, score double"), "exact")
+    for table in (walks, near, found):
+        dropped(table)
+    return _ranked(queries.select(F.col("id").alias("query_id"), "node").join(exact, "node"), wanted)
 
 
 def _ranked(found: DataFrame, wanted: int) -> DataFrame:
@@ -520,7 +764,7 @@ def _scan(ids: np.ndarray, vectors: np.ndarray, wanted: int):
         for b in batches:
             if not len(b):
                 continue
-            x = scaled(_matrix(b.column(0), None))
+            x = scaled(_matrix(b.column(0), None).astype(np.float64))
             norm = np.sqrt((x * x).sum(axis=1))
             vec = [v.values.to_numpy(zero_copy_only=False) for v in b.column(1)]
             of, vec = np.repeat(np.arange(len(b)), [len(v) for v in vec]), np.concatenate(vec)
@@ -558,16 +802,19 @@ def nearest(table: DataFrame, id_column: str, vector: str, is_query, wanted: int
     rows = usable(table, id_column, vector)
     nodes = saved(nodes_of(rows, wanted), "nodes")
     asked = rows.where(is_query).select("id", "h1", "h2").distinct()
-    of_node = nodes.select("node", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"))
-    queries = saved(asked.join(of_node, ["h1", "h2"]).select("id", "node"), "queries")
-    graph = graph_of(nodes, wanted=wanted)
-    n, beam = nodes.count(), BEAM
-    found = saved(search(nodes, graph, queries, wanted, beam), "found")
-    while beam < n and recall_of_search(found, nodes, queries, wanted) < RECALL:
-        beam *= 2
+    queries = saved(asked.join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("id", "node"), "queries")
+    first = saved(leaders_of(nodes, nodes.count()), "leaders")
+    graph = graph_of(first, wanted=wanted)
+    leaders = Leaders(graph)
+    lists = lists_of(nodes, leaders)
+    beam = beam_for(lists, leaders, nodes, queries, wanted)
+    found = saved(search(nodes, leaders, queries, wanted, beam, lists=lists), "found")
+    while beam < len(leaders.key) and recall_of_search(found, nodes, queries, wanted) < RECALL:
+        beam = beam * 3 // 2
         dropped(found)
-        found = saved(search(nodes, graph, queries, wanted, beam), "found")
-    dropped(graph)
+        found = saved(search(nodes, leaders, queries, wanted, beam, lists=lists), "found")
+    for table in (first, graph, lists):
+        dropped(table)
     return completed(found, nodes, queries, wanted)
 
 

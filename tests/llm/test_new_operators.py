@@ -382,6 +382,39 @@ def test_copies_of_a_vector_count_in_the_recall(spark):
     assert neighbours.recall_of_search(found.where("rank > 1"), nodes, queries) == pytest.approx(0.8)
 
 
+def test_the_graph_is_fitted_on_leaders_and_every_row_is_listed(spark, monkeypatch):
+    """Of 6000 vectors about 200 get a graph, which was that of all of them before; every vector is on lists and found."""
+    monkeypatch.setattr(neighbours, "LEAST_LEADERS", 200, raising=False)
+    monkeypatch.setattr(neighbours, "ENTRIES", 32, raising=False)
+    monkeypatch.setattr(neighbours, "TILE", 50, raising=False)
+    monkeypatch.setattr(neighbours, "BEAM", 4)
+    fitted, listed = [], []
+    real = neighbours.graph_of
+    monkeypatch.setattr(neighbours, "graph_of", lambda nodes, *a, **b: (fitted.append(nodes.count()), real(nodes, *a, **b))[1])
+    x = np.random.default_rng(9).standard_normal((6000, 12))
+    x[:900] = x[0] + 0.01 * x[:900]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -2
+    best = np.argsort(-s, axis=1)[:, :5]
+    got = neighbours.nearest(df, "vec_id", "embedding", F.pmod(F.col("id"), F.lit(20)) == 0).collect()
+    assert len(fitted) == 1 and 120 < fitted[0] < 320
+    assert len(got) == 1500 and sum(r["vec_id"] in best[r["query_id"] // 20] for r in got) >= 0.9 * 1500
+    assert all(abs(r["score"] - u[r["query_id"]] @ u[r["vec_id"]]) < 1e-12 for r in got)
+    nodes = neighbours.saved(neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5), "nodes")
+    leaders = neighbours.Leaders(real(neighbours.saved(neighbours.leaders_of(nodes, 6000), "leaders")))
+    for r in neighbours.lists_of(nodes, leaders).collect():
+        listed += np.frombuffer(r["keys"], np.int64).tolist()
+    assert sorted(listed) == sorted([r["node"] for r in nodes.select("node").collect()] * neighbours.HOMES)
+
+
+def test_both_zeros_are_one_vector(spark):
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(0, [0.0, 1.0]), (1, [-0.0, 1.0]), (2, [1.0, 0.5])], f"vec_id long, embedding array<{kind}>")
+        assert sorted(r["ids"] for r in neighbours.nodes_of(neighbours.usable(df, "vec_id", "embedding"), 5).collect()) == [[0, 1], [2]]
+
+
 # --- classifiers against dense and plain versions -----------------------------------------------------
 
 
