@@ -30,6 +30,7 @@ any pair of vectors; an empty table gives no rows; other columns are ignored. Ev
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -55,8 +56,8 @@ BEAM, OPEN = 96, 32
 LEADER_ROWS, LEAST_LEADERS, MOST_LEADERS, HOMES = 256, 1024, 2048, 3
 #: Links of a leader that a search follows, leaders that every search begins with, and the beam by which nodes are listed.
 LINKS, ENTRIES, INSERT_BEAM, INSERT_OPEN = 16, 512, 8, 4
-#: Share of the probes' neighbours for which the beam is chosen, leaders whose lists are gone through first, nodes kept for the exact scores, and queries a task of walks.
-AIM, FIRST, KEPT, WALKED = 0.94, 8, 16, 512
+#: Share of the probes' neighbours for which the beam is chosen, leaders whose lists are gone through first, nodes kept for the exact scores, queries a task of walks, and parts in which the other lists are gone through.
+AIM, FIRST, KEPT, WALKED, PARTS = 0.94, 8, 16, 512, 3
 SAMPLE_ROWS, SCANNED = 2000, 256
 #: Rows of neighbours or members that a Python task works on at once, and of a list that queries are compared with.
 AT_ONCE, TILE = 1 << 18, 4096
@@ -534,13 +535,13 @@ def _walks(leaders: Leaders, beam: int, width: int):
     return run
 
 
-def _asks(leaders: Leaders, first: int, last: int | None):
-    """(q, code, beam, least) -> the queries packed by each of their leaders from the first to before the last."""
+def _asks(leaders: Leaders, first: int, last: int | None, parts: int, part: int):
+    """(q, unit vector, beam, least) -> the queries packed by each of their leaders from the first to before the last, of a part of the leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _bundles(batches, SCANNED * 4):
             leader = _matrix(b.column(2), np.int32)[:, first:last]
-            row, at = np.nonzero(leader >= 0)
+            row, at = np.nonzero((leader >= 0) & (leader % parts == part))
             if len(row):
                 yield _packed(leader[row, at], 0, b.column(0).to_numpy()[row], leaders.residues(leader[row, at], _matrix(b.column(1), np.float32)[row]), b.column(3).to_numpy()[row].astype(np.float32))
 
@@ -727,23 +728,25 @@ def search(nodes: DataFrame, graph: DataFrame | Leaders, queries: DataFrame, wan
     walks = saved(starts.repartition(1 + queries.count() // WALKED, "q").mapInArrow(_walks(leaders, beam, width), "q long, code binary, beam binary"), "walks")
     most = max(KEPT, wanted + 1)
 
-    def met(asked: DataFrame, first: int, last: int | None) -> DataFrame:
-        asks = asked.select("q", "code", "beam", "least").mapInArrow(_asks(leaders, first, last), LISTS)
-        return _sorted_by(asks.unionByName(lists), "leader", "kind").mapInArrow(_meet(leaders, most), FOUND)
+    def met(asked: DataFrame, first: int, last: int | None, parts: int = 1, part: int = 0) -> DataFrame:
+        asks = asked.select("q", "code", "beam", "least").mapInArrow(_asks(leaders, first, last, parts, part), LISTS)
+        return _sorted_by(asks.unionByName(lists.where(F.col("leader") % parts == part)), "leader", "kind").mapInArrow(_meet(leaders, most), FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         return saved(_sorted_by(found, "q").mapInArrow(_best_found(most), FOUND + ", least float"), "best")
 
     # The lists of the first leaders tell what similarity the nodes on the others must reach.
     near = best(met(walks.withColumn("least", F.lit(-4.0).cast("float")), 0, FIRST))
-    rest = met(walks.join(near.select("q", "least"), "q", "left").withColumn("least", F.coalesce("least", F.lit(-4.0).cast("float"))), FIRST, None)
-    found = best(near.drop("least").unionByName(rest))
+    asked = walks.join(near.select("q", "least"), "q", "left").withColumn("least", F.coalesce("least", F.lit(-4.0).cast("float")))
+    # In parts, so that not all that is asked is on disk at once.
+    rest = [saved(met(asked, FIRST, None, PARTS, k), "rest") for k in range(PARTS)]
+    found = best(functools.reduce(DataFrame.unionByName, rest, near.drop("least")))
     # A query that met nothing still has its own node, whose copies may be asked for.
     none = F.lit(None).cast("binary")
     alone = walks.join(found, "q", "left_anti").select("q", none.alias("nodes"), none.alias("sims"))
     pairs = found.drop("least").unionByName(alone).mapInArrow(_pairs, "q long, u long").join(nodes.select(F.col("node").alias("u"), "vector", "ids"), "u")
     exact = saved(_sorted_by(pairs.select("q", "u", "vector", "ids"), "q").mapInArrow(_exact(wanted), "node long, vec_id long, score double"), "exact")
-    for table in (walks, near, found):
+    for table in (walks, near, *rest, found):
         dropped(table)
     return _ranked(queries.select(F.col("id").alias("query_id"), "node").join(exact, "node"), wanted)
 
